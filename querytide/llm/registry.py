@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
+    "op5_benchmark_decontamination": decontaminate.ORACLE,
 }
