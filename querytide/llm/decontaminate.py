@@ -63,7 +63,7 @@ class FMIndex:
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
         """Suffix order by doubling the compared length."""
-        n, rank, step = len(text), text.astype(np.int64), 1
+        n, rank, step = len(text), np.unique(text, return_inverse=True)[1], 1  # dense, so a pair fits its key
         while True:
             key = rank * np.int64(n + 2)
             key[: n - step] += rank[step:] + 1
