@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, substring_dedup
+from . import decontaminate, langid, quality, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": langid.op3_language_id,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op10_compression_quality": quality.op10_compression_quality,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,

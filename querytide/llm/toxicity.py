@@ -3,8 +3,8 @@
 Training. From at most `TRAIN_ROWS` labelled rows (a documented bound; chosen by a hash of doc_id)
 three quarters give document frequencies of words and word beginnings (hashed into `BUCKETS`
 features) in toxic and clean documents. Each feature's log-odds carries an informative Dirichlet
-prior proportional to its overall frequency, and counts only where it is `LEAST_Z` standard errors
-from zero. A token scores the log-odds of its better-supported feature, less a small drift, so
+prior proportional to its overall frequency, and counts only where it is at least `LEAST_ODDS` and
+`LEAST_Z` standard errors from zero. A token scores the log-odds of its better-supported feature, less a small drift, so
 random text drifts down. The last quarter calibrates: lambda solves E[exp(lambda * score)] = 1 over
 the tokens of clean documents, K follows from the extreme-value median of their best segments, and a
 logistic curve maps the normalised best segment score, lambda * S - ln(K * n), to a probability.
@@ -39,7 +39,8 @@ TRAIN_ROWS = 20_000
 BUCKETS = 1 << 18
 BEGINNING = 5
 PRIOR = 200.0
-LEAST_Z = 3.0
+LEAST_Z = 4.0
+LEAST_ODDS = 1.5
 MOST_SCORE = 6.0
 DRIFT = 0.05
 MOST_EXPECTED = 0.01
@@ -70,7 +71,7 @@ class Lexicon:
         rest_a, rest_b = np.maximum(n_toxic + PRIOR - a, 0.5), np.maximum(n_clean + PRIOR - b, 0.5)
         odds = np.log(a) - np.log(rest_a) - np.log(b) + np.log(rest_b)
         z = odds / np.sqrt(1 / a + 1 / b)
-        self.z = np.where(np.abs(z) >= LEAST_Z, np.abs(z), 0).astype(np.float32)
+        self.z = np.where((np.abs(z) >= LEAST_Z) & (np.abs(odds) >= LEAST_ODDS), np.abs(z), 0).astype(np.float32)
         self.odds = np.where(self.z > 0, np.clip(odds, -1.0, MOST_SCORE), 0).astype(np.float32)
 
     def scores(self, tokens: Tokens) -> np.ndarray:
