@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality, simhash, substring_dedup, toxicity
+from . import decontaminate, langid, mixing, quality, secrets, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op8_secret_linking": secrets.op8_secret_linking,
+    "op9_source_mixing": mixing.op9_source_mixing,
     "op10_compression_quality": quality.op10_compression_quality,
 }
 ORACLES = {
