@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, quality, secrets, simhash, substring_dedup, toxicity
+from . import decontaminate, langid, mixing, quality, secrets, simhash, substring_dedup, surrogates, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": langid.op3_language_id,
+    "op4_pii_surrogates": surrogates.op4_pii_surrogates,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op8_secret_linking": secrets.op8_secret_linking,
