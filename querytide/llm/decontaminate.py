@@ -276,6 +276,14 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("items_sha256", F.sha2(names, 256)).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `documents` that are not contaminated, with all columns."""
+    names = documents.columns
+    rows, key = tables.keyed(tables.whole(documents), "_row", "text")
+    bad = judged(contamination(documents, benchmark)).where("contaminated").select(*key).distinct()
+    return tables.unpacked(rows.join(bad, key, "left_anti"), names)
+
+
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     found = judged(contamination(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "benchmark")))
     return found.select(tables.doc_id(), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

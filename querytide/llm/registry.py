@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, quality, secrets, simhash, substring_dedup, surrogates, toxicity
+from . import decontaminate, langid, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, surrogates, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii_surrogates": surrogates.op4_pii_surrogates,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_secret_linking": secrets.op8_secret_linking,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_compression_quality": quality.op10_compression_quality,

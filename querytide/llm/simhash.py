@@ -258,14 +258,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """_id, _tag, fp and component (smallest _id reachable) of every row."""
+    """_id, _tag, fp, root (the group) and component (smallest _id reachable) of every row."""
     docs, _ = tables.keyed(documents, "text")
     prints = tables.written(fingerprints(tables.with_tag(docs)), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("_id").alias("rep"))
     roots = components(links(classes.select("fp"), radius))
     of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("rep").alias("component"))
-    return prints.join(of.join(least, "root").select("fp", "component"), "fp")
+    return prints.join(of.join(least, "root").select("fp", "root", "component"), "fp")
+
+
+def representatives(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each group, with all columns: the row of the smallest doc_id (among its rows, of the least text hash)."""
+    names = documents.columns
+    found = near_duplicates(documents, radius)
+    best = found.groupBy("root").agg(F.min(F.struct("_id", "_tag")).alias("b")).select("b.*")
+    rows, key = tables.keyed(tables.whole(documents), "_row", "text")
+    kept = rows.join(best.select(*key), key, "left_semi")
+    return tables.unpacked(kept.dropDuplicates(key) if "_tag" in key else kept, names)
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

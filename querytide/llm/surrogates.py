@@ -186,24 +186,25 @@ def _rendered(kind: Column, hit: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("card", "phone"), fill(r"^\d$")).when(kind == "iban", fill(r"^[A-Z0-9]$")).when(upper, F.upper(surrogate)).otherwise(surrogate)
 
 
-def replaced(documents: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns of `documents` with surrogates in `text`, and n_entities (long)."""
+def replaced(documents: DataFrame, key: str = KEY, counted: bool = True) -> DataFrame:
+    """All columns of `documents` with surrogates in `text`, and n_entities (long) if `counted`."""
     names = documents.columns
-    maybe = F.col("text").rlike(_MAYBE)
-    hits = F.when(maybe, F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)))
-    marked = documents.select(*[F.col(c) for c in names], F.coalesce(hits, F.array().cast("array<string>")).alias("_hits"))
-    found = documents.select(F.explode(hits).alias("hit")).distinct()
+    rows = tables.whole(documents)
+    hits = F.when(F.col("text").rlike(_MAYBE), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)))
+    marked = rows.withColumn("_hits", F.coalesce(hits, F.array().cast("array<string>")))
+    found = rows.select(F.explode(hits).alias("hit")).distinct()
     found = tables.written(found.withColumn("kind", _kind(F.col("hit"))).withColumn("normal", _normal(F.col("kind"), F.col("hit"))), "hits")
     chosen = assigned(found.select("kind", "normal"), key)
     by_hit = tables.written(found.join(chosen, ["kind", "normal"]).select("hit", _rendered(F.col("kind"), F.col("hit"), F.col("surrogate")).alias("new")), "surrogates")
-    plain = marked.where(F.size("_hits") == 0).drop("_hits").withColumn("n_entities", F.lit(0).cast("long"))
-    row = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256)
-    some = marked.where(F.size("_hits") > 0).withColumn("_row", row)
-    ordered = some.select("_row", F.posexplode("_hits").alias("at", "hit")).distinct().join(by_hit, "hit").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("_new"))
-    gaps = F.split("text", _ANY, -1)
-    put = F.array_join(F.zip_with(gaps, F.col("_new"), lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
-    some = some.join(ordered, "_row").select(*[put.alias(c) if c == "text" else F.col(c) for c in names], F.size("_new").cast("long").alias("n_entities"))
-    return plain.unionByName(some)
+    plain = marked.where(F.size("_hits") == 0).select("_row", F.lit(0).cast("long").alias("n"))
+    same = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256)
+    some = marked.where(F.size("_hits") > 0).withColumn("_same", same)
+    ordered = some.select("_same", F.posexplode("_hits").alias("at", "hit")).distinct().join(by_hit, "hit").groupBy("_same").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("_new"))
+    put = F.array_join(F.zip_with(F.split("text", _ANY, -1), F.col("_new"), lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
+    some = some.join(ordered, "_same").select(F.col("_row").withField("text", put).alias("_row"), F.size("_new").cast("long").alias("n"))
+    out = plain.unionByName(some)
+    columns = [F.col("_row").getField(c).alias(c) for c in names]
+    return out.select(*columns, F.col("n").alias("n_entities")) if counted else out.select(*columns)
 
 
 def op4_pii_surrogates(spark, sf_dir: str) -> DataFrame:

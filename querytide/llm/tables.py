@@ -56,3 +56,12 @@ def with_tag(df: DataFrame) -> DataFrame:
 
 def doc_id() -> F.Column:
     return F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id")
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """`df` as (_row, doc_id, text): the row as one struct beside the columns that operators read, so no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), "doc_id", "text")
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in names])

@@ -245,6 +245,26 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("row", "text").mapInArrow(_score(shared), "row long, score double, best double, passages array<struct<start:int,count:int,score:double>>")
 
 
+def _kept(model, threshold: float):
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, calibration = model.value.lexicon, model.value.calibration
+        for batch in batches:
+            found = [np.zeros(0)]
+            for _, _, chunk in tk.chunks(batch.column(2), CHUNK_BYTES):
+                t = Tokens(chunk)
+                found.append(calibration.probability(best_segments(lexicon.scores(t), t.first), np.diff(t.first)))
+            yield batch.select([0]).filter(pa.array(np.concatenate(found) < threshold))
+
+    return mapper
+
+
+def kept(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `documents` that score below the threshold, with all columns."""
+    rows = tables.whole(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return tables.unpacked(rows.mapInArrow(_kept(shared, threshold), rows.select("_row").schema), documents.columns)
+
+
 def fold() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
 
