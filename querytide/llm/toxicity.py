@@ -38,8 +38,9 @@ THRESHOLD = 0.3
 TRAIN_ROWS = 20_000
 BUCKETS = 1 << 18
 BEGINNING = 5
-PRIOR = 200.0
-LEAST_Z = 4.0
+#: Strength of the prior in documents, and its most as a share of the documents seen.
+PRIOR, PRIOR_SHARE = 200.0, 0.1
+LEAST_Z = 3.0
 LEAST_ODDS = 1.5
 MOST_SCORE = 6.0
 DRIFT = 0.05
@@ -65,10 +66,11 @@ class Lexicon:
     """Log-odds with a Dirichlet prior, by feature."""
 
     def __init__(self, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> None:
-        share = (toxic + clean) / max(n_toxic + n_clean, 1)
-        prior = PRIOR * share + 0.01
+        seen = max(n_toxic + n_clean, 1)
+        strength = min(PRIOR, PRIOR_SHARE * seen)
+        prior = strength * (toxic + clean) / seen + 0.01
         a, b = toxic + prior, clean + prior
-        rest_a, rest_b = np.maximum(n_toxic + PRIOR - a, 0.5), np.maximum(n_clean + PRIOR - b, 0.5)
+        rest_a, rest_b = np.maximum(n_toxic + strength - a, 0.5), np.maximum(n_clean + strength - b, 0.5)
         odds = np.log(a) - np.log(rest_a) - np.log(b) + np.log(rest_b)
         z = odds / np.sqrt(1 / a + 1 / b)
         self.z = np.where((np.abs(z) >= LEAST_Z) & (np.abs(odds) >= LEAST_ODDS), np.abs(z), 0).astype(np.float32)
