@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import core
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (core,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
