@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, groups
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (core,):
+for _module in (core, groups):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
