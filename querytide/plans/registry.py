@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, groups
+from . import core, externals, groups
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (core, groups):
+for _module in (core, groups, externals):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
