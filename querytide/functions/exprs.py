@@ -125,7 +125,7 @@ def bare_column(c: Column | str) -> Column:
 
 def split_names(c: Column | str) -> Column:
     """Names of a list separated by commas, semicolons or bars, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[,;|]\s*"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[,;|]\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def planned_rows(c: Column | str) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, externals, groups
+from . import core, designs, externals, groups
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (core, groups, externals):
+for _module in (core, groups, externals, designs):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

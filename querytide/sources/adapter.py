@@ -40,6 +40,10 @@ RELATIONS = {
  cast(round(o_totalprice*100) as bigint)*1000 as elapsed_time, cast(round(o_totalprice*100) as bigint)*800 as execution_time, (o_orderkey%97)*1000000 as queue_time, 'ns' || cast(o_custkey%5 as varchar(20)) as namespace_id from {orders}""",
     "history_all": """select o_orderkey as query_id, 'ns' || cast(o_custkey%5 as varchar(20)) as namespace_id, cast(round(o_totalprice*100) as bigint)*1000 as elapsed_time, 'orders' as origin from {orders} where o_orderkey%2=0
  union all select event_id + 1000000000 as query_id, 'ns' || cast(user_id%5 as varchar(20)) as namespace_id, cast(round(value*100) as bigint)*1000 as elapsed_time, 'events' as origin from {events}""",
+    "patterns": """select 'P' || cast(p_partkey as varchar(20)) as repeat_group_id, case when p_partkey%11=0 then 'proc' else 'sql' end as repeat_kind, case p_partkey%5 when 0 then 'UTILITY' when 1 then 'DDL' else 'SELECT' end as query_type, p_size as query_count, cast(p_size*(p_partkey%90)*100 as double) as total_runtime_s,
+ lower(replace(p_brand,'#','_')) || '.' || replace(p_name,' ','_') || '_' || cast(p_partkey as varchar(20)) || case when p_partkey%4=0 then ', other.unknown' else '' end as sql_tables, case p_partkey%3 when 0 then 'event_date, a.cust_id' when 1 then 'cust_id' else 'event_date' end as sql_filter_columns, case p_partkey%2 when 0 then 'cust_id; b.item_id' else '' end as sql_join_columns,
+ p_partkey%3 as wildcard_count, p_partkey%4 as predicate_count, p_partkey%5 as join_count, cast(p_partkey%6*1000 as double) as avg_total_spill, cast(p_partkey%10 as double)/10 as avg_has_nested_loop, cast(p_partkey%7 as double)/7 as avg_dist_both_cnt, cast(p_partkey%9 as double)/9 as avg_bcast_cnt, cast(p_partkey%8 as double)/8 as avg_remote_io_ratio,
+ cast(p_partkey%9 as double) as avg_max_data_skewness, cast(p_partkey%6 as double) as avg_max_time_skewness, cast(p_partkey%12 as double)/10 as avg_selectivity_ratio, cast(p_partkey%4 as double) as avg_s3_scan_cnt, cast(p_size as bigint)*1000000 as total_input_rows, cast(p_partkey%50 as double) as total_queue_s from {part}""",
     "fragments": """select conv_id as query_id, turn as sequence, text from {conversations}""",
     "users": """select c_custkey%150 as user_id, 'ns' || cast(c_custkey%5 as varchar(20)) as namespace_id, 'IAM:' || lower(c_mktsegment) || '.' || cast(c_custkey%150 as varchar(12)) || '.smith@corp.example' as user_name from {customer}""",
     "scans": """select l_orderkey as query_id, 'DB' || cast(l_partkey%3 as varchar(20)) || '.' || lower(replace(p_brand,'#','_')) || '.' || replace(p_name,' ','_') || '_' || cast(p_partkey as varchar(20)) as full_table_name,
