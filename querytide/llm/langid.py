@@ -115,7 +115,7 @@ class Model:
         self.languages = languages
         total = counts.sum(1, keepdims=True)
         self.matrix = np.ascontiguousarray((np.log(counts + SMOOTHING) - np.log(total + SMOOTHING * BUCKETS)).T.astype(np.float32))
-        self.prior = np.log(documents + 1.0) - np.log((documents + 1.0).sum())
+        self.prior = np.log(documents + 1.0) - np.log((documents + 1.0).sum() or 1.0)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         points, first, known = code_points(texts)

@@ -57,6 +57,8 @@ def _matches(kind: str) -> Column:
 def parts(docs: DataFrame, key: list[str]) -> DataFrame:
     """key, kind, start, end of every match of every kind that passes its length rule."""
     found = docs.select(*key, F.explode(F.concat(*[_matches(k) for k in KINDS])).alias("m")).select(*key, "m.*")
+    if "_tag" in key:  # equal rows give equal matches: their places must count once
+        found = found.distinct()
     run = W.partitionBy(*key, "kind").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = found.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(run)).withColumn("start", F.col("end") - F.col("hit"))
     passes = F.lit(False)
