@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, designs, externals, groups
+from . import core, designs, externals, groups, stores
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (core, groups, externals, designs):
+for _module in (core, groups, externals, designs, stores):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
