@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, designs, externals, groups, stores
+from . import core, designs, externals, groups, stores, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (core, groups, externals, designs, stores):
+for _module in (core, groups, externals, designs, stores, texts):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
