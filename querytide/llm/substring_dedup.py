@@ -1,7 +1,7 @@
 """Substring deduplication over a compacted De Bruijn graph of token k-mers.
 
 The edges of the graph are the windows of `window` words. As in compaction by minimizers, every
-window is keyed by the smallest k-mer inside it, and consecutive windows of a document with the
+window is keyed by the smallest k-mer inside it (frequent k-mers last, see `anchors`), and consecutive windows of a document with the
 same key form one nonbranching path (a super-k-mer), stored as one record: key, hash of the
 path's words, source coordinates. Equal windows have equal keys at equal offsets, so all
 occurrences of an edge meet under one key:
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tables
+from . import anchors, tables
 from . import textkernel as tk
 from .exchange import batch_of, bucket_count, bucket_of, deal, exchange, unpack
 
@@ -84,20 +84,30 @@ def _local_blobs(ids, tags, doc, start, count, n) -> list[tuple[int, bytes]]:
     return [(b, b"L" + x) for b, x in deal(bucket, [ids[doc], tags[doc], start.astype(np.uint32), count.astype(np.uint32)])]
 
 
-def _paths(n_buckets: int, window: int, kmer: int):
+def _kmers(kmer: int):
+    def grams_of(chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        begin, end, first = tk.spans(chunk, tk.WHITE)
+        grams = tk.Rolling(tk.word_hashes(chunk.data, begin, end)).windows(kmer)
+        valid = tk.window_valid(first, len(begin), kmer)[: len(grams)]
+        return grams[valid], np.repeat(np.arange(len(chunk)), np.diff(first))[: len(grams)][valid]
+
+    return grams_of
+
+
+def _paths(n_buckets: int, window: int, kmer: int, frequent):
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             batch = sorted_rows(whole)
             all_ids, all_tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, chunk in tk.chunks(batch.column(2), CHUNK_BYTES):
-                rows = _chunk_paths(chunk, all_ids[a:b], all_tags[a:b], n_buckets, window, kmer)
+                rows = _chunk_paths(chunk, all_ids[a:b], all_tags[a:b], n_buckets, window, kmer, frequent.value)
                 if rows:
                     yield batch_of(rows)
 
     return mapper
 
 
-def _chunk_paths(chunk, ids, tags, n_buckets, window, kmer) -> list[tuple[int, bytes]]:
+def _chunk_paths(chunk, ids, tags, n_buckets, window, kmer, frequent) -> list[tuple[int, bytes]]:
     begin, end, first = tk.spans(chunk, tk.WHITE)
     n = len(begin)
     if n < window:
@@ -111,9 +121,7 @@ def _chunk_paths(chunk, ids, tags, n_buckets, window, kmer) -> list[tuple[int, b
     coordinate = (ranked(ids)[doc] << 32) | start
     again = not_first((rolling.windows(window)[index],), coordinate)
     kmers = rolling.windows(kmer)
-    bits = np.uint64(int(n).bit_length())
-    low = tk.sliding_minimum((kmers >> bits << bits) | np.arange(len(kmers), dtype=np.uint64), window - kmer + 1)[index]
-    key = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    key = anchors.positions(kmers, window - kmer + 1, frequent)[index]
     cut, length = runs_of(index, key)
     new = np.add.reduceat((~again).astype(np.int64), cut) > 0
     cut, length = cut[new], length[new]
@@ -221,7 +229,8 @@ def _settle_edges(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, key: list[str], window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """Spans of later window starts: _id, _tag, start, count (starts of repeated windows, in words)."""
     n = bucket_count(docs)
-    found = tables.written(exchange(tables.with_tag(docs).select("_id", "_tag", "text"), _paths(n, window, kmer), _settle_paths, SPANS, n), "paths")
+    frequent = docs.sparkSession.sparkContext.broadcast(anchors.frequent_grams(docs, _kmers(kmer)))
+    found = tables.written(exchange(tables.with_tag(docs).select("_id", "_tag", "text"), _paths(n, window, kmer, frequent), _settle_paths, SPANS, n), "paths")
     asks = found.where("kind = 1").groupBy(*key).agg(F.collect_list(F.struct("start", "count")).alias("asks"))
     branching = tables.with_tag(docs.join(asks, key)).select("_id", "_tag", "text", "asks")
     later = exchange(branching, _edges(n, window), _settle_edges, SPANS, n)
