@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tables
+from . import anchors, tables
 from . import textkernel as tk
 from .exchange import batch_of, bucket_count, bucket_of, deal, exchange, pack, unpack
 from .substring_dedup import flat_spans, runs_of
@@ -60,19 +60,28 @@ def _batch(groups: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cat[0]), pa.array(cat[1]), pa.array(kinds), *(pa.array(c.astype(np.int32)) for c in cat[2:])], names=["_id", "_tag", "kind", "start", "count", "shift"])
 
 
-def _segments(n_buckets: int, length: int, anchor: int):
+def _grams(anchor: int):
+    def grams_of(chunk: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        grams = tk.Rolling(tk.BYTE_VALUES[chunk.data]).windows(anchor)
+        valid = tk.window_valid(chunk.offsets, len(chunk.data), anchor)[: len(grams)]
+        return grams[valid], np.repeat(np.arange(len(chunk)), np.diff(chunk.offsets))[: len(grams)][valid]
+
+    return grams_of
+
+
+def _segments(n_buckets: int, length: int, anchor: int, frequent):
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, chunk in tk.chunks(batch.column(2), CHUNK_BYTES):
-                rows = _chunk_segments(chunk, ids[a:b], tags[a:b], n_buckets, length, anchor)
+                rows = _chunk_segments(chunk, ids[a:b], tags[a:b], n_buckets, length, anchor, frequent.value)
                 if rows:
                     yield batch_of(rows)
 
     return mapper
 
 
-def _chunk_segments(chunk, ids, tags, n_buckets, length, anchor) -> list[tuple[int, bytes]]:
+def _chunk_segments(chunk, ids, tags, n_buckets, length, anchor, frequent) -> list[tuple[int, bytes]]:
     n = len(chunk.data)
     if n < length:
         return []
@@ -81,10 +90,7 @@ def _chunk_segments(chunk, ids, tags, n_buckets, length, anchor) -> list[tuple[i
         return []
     rolling = tk.Rolling(tk.BYTE_VALUES[chunk.data])
     grams = rolling.windows(anchor)
-    bits = np.uint64(int(n).bit_length())
-    low = tk.sliding_minimum((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), length - anchor + 1)[index]
-    place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    del low
+    place = anchors.positions(grams, length - anchor + 1, frequent)[index]
     cut, size = runs_of(index, place)
     first, place = index[cut], place[cut]
     key = grams[place]
@@ -248,7 +254,8 @@ def _settle_columns(length: int, anchor: int):
 def repeated_spans(docs: DataFrame, key: list[str], length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Spans of repeated window starts: _id, _tag, start, count, in bytes."""
     n = bucket_count(docs)
-    found = tables.written(exchange(tables.with_tag(docs).select("_id", "_tag", "text"), _segments(n, length, anchor), _settle_segments, SPANS, n), "segments")
+    frequent = docs.sparkSession.sparkContext.broadcast(anchors.frequent_grams(docs, _grams(anchor)))
+    found = tables.written(exchange(tables.with_tag(docs).select("_id", "_tag", "text"), _segments(n, length, anchor, frequent), _settle_segments, SPANS, n), "segments")
     asks = found.where("kind = 1").groupBy(*key).agg(F.collect_list(F.struct("start", "count", "shift")).alias("asks"))
     mixed = tables.with_tag(docs.join(asks, key)).select("_id", "_tag", "text", "asks")
     later = exchange(mixed, _asked(n, length, anchor), _settle_columns(length, anchor), SPANS, n)
