@@ -22,9 +22,13 @@ def _total(value: str, condition: Column | None = None) -> Column:
     return F.sum(v if condition is None else F.when(condition, v).otherwise(0))
 
 
+#: Sources of steps that read outside the warehouse.
+EXTERNAL = ("s3", "external", "spectrum")
+
+
 def step_rollup(steps: DataFrame) -> DataFrame:
     """One row per query: sums, maxima, conditional counts and guarded ratios of its steps."""
-    name, outer = F.lower(F.coalesce("step_name", F.lit(""))), F.coalesce(F.col("source") == "s3", F.lit(False))
+    name, outer = F.lower(F.coalesce("step_name", F.lit(""))), F.lower(F.coalesce("source", F.lit(""))).isin(*EXTERNAL)
     found = steps.groupBy("query_id").agg(
         F.count("*").alias("step_cnt"),
         F.size(F.collect_set("segment_id")).cast("long").alias("segment_cnt"),
@@ -41,15 +45,16 @@ def step_rollup(steps: DataFrame) -> DataFrame:
         _total("remote_read_io").alias("remote_read_io"),
         _total("duration").alias("duration"),
         _total("duration", outer).alias("external_duration"),
-        _count(outer).alias("s3_steps"),
+        _count(outer).alias("external_steps"),
+        _count(F.lower(F.coalesce("source", F.lit(""))) == "s3").alias("s3_steps"),
         _count(name.contains("join")).alias("join_steps"),
-        _count(name.contains("aggregate")).alias("agg_steps"),
+        _count(name.contains("agg")).alias("agg_steps"),
         _count(name.contains("sort")).alias("sort_steps"),
         _count(name.contains("scan")).alias("scan_steps"),
-        _count(F.coalesce("alert", F.lit("")) != "").alias("alert_count"),
+        _count(F.trim(F.coalesce("alert", F.lit(""))) != "").alias("alert_count"),
         _total("input_rows", outer).alias("ext_input_rows"),
         _total("output_rows", outer).alias("ext_output_rows"),
-        F.sum(F.when(outer, zero("spill_local") + zero("spill_remote")).otherwise(0)).alias("external_spill_blocks"),
+        _total("spill_remote", outer).alias("external_spill_blocks"),
     )
     return (
         found.withColumn("total_spill", F.col("local_spill") + F.col("remote_spill"))
@@ -60,26 +65,31 @@ def step_rollup(steps: DataFrame) -> DataFrame:
     )
 
 
+#: Counters of plan nodes by what their text holds; the flags say only whether one is there.
 PLAN_COUNTS = {
     "seq_scan_cnt": "seq scan",
-    "s3_scan_cnt": "s3",
+    "s3_scan_cnt": "s3 seq scan",
     "dist_both_cnt": "ds_dist_both",
     "bcast_cnt": "ds_bcast_inner",
     "dist_total_cnt": "ds_dist_",
     "has_nested_loop": "nested loop",
+    "hash_join_cnt": "hash join",
+    "subquery_cnt": "subquery scan",
     "network_cnt": "network",
     "partition_loop_cnt": "partition loop",
-    "missing_stats_flag": "missing stat",
+    "missing_stats_flag": "missing statistics",
     "filter_node_cnt": "filter:",
-    "sort_node_cnt": "xn sort",
+    "sort_node_cnt": "sort",
+    "agg_node_cnt": "agg",
 }
+PLAN_FLAGS = ("has_nested_loop", "missing_stats_flag")
 
 
 def _plan_counts(plans: DataFrame, text: Column) -> DataFrame:
     node = F.lower(F.coalesce("plan_node", F.lit("")))
     return plans.where(F.col("query_id").isNotNull()).groupBy("query_id").agg(
         F.count("*").alias("node_cnt"),
-        *[_count(text.contains(word)).alias(k) for k, word in PLAN_COUNTS.items()],
+        *[(F.max(text.contains(word).cast("long")) if k in PLAN_FLAGS else _count(text.contains(word))).alias(k) for k, word in PLAN_COUNTS.items()],
         F.max(F.regexp_extract(node, r"rows=(\d+)", 1).try_cast("bigint")).alias("max_plan_rows"),
         F.max(F.regexp_extract(node, r"cost=[0-9.]*?\.\.([0-9]+)", 1).try_cast("bigint")).alias("max_plan_cost"),
     )

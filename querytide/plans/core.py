@@ -47,9 +47,9 @@ def _r(*columns: str, digits: int = 5) -> str:
 SR = """sr as (select query_id, count(*) as step_cnt, count(distinct segment_id) as segment_cnt, count(distinct stream_id) as stream_cnt, count(distinct table_id) as table_cnt,
  cast(sum(input_rows) as bigint) as input_rows, cast(sum(output_rows) as bigint) as output_rows, cast(sum(input_bytes) as bigint) as input_bytes, cast(sum(spill_local) as bigint) as local_spill, cast(sum(spill_remote) as bigint) as remote_spill,
  max(data_skewness) as max_data_skewness, max(time_skewness) as max_time_skewness, cast(sum(local_read_io) as bigint) as local_read_io, cast(sum(remote_read_io) as bigint) as remote_read_io, cast(sum(duration) as bigint) as duration,
- cast(coalesce(sum(duration) filter (source = 's3'), 0) as bigint) as external_duration, count(*) filter (source = 's3') as s3_steps, count(*) filter (step_name like '%join%') as join_steps, count(*) filter (step_name like '%aggregate%') as agg_steps,
+ cast(coalesce(sum(duration) filter (source = 's3'), 0) as bigint) as external_duration, count(*) filter (source in ('s3', 'external', 'spectrum')) as external_steps, count(*) filter (source = 's3') as s3_steps, count(*) filter (step_name like '%join%') as join_steps, count(*) filter (step_name like '%aggregate%') as agg_steps,
  count(*) filter (step_name like '%sort%') as sort_steps, count(*) filter (step_name like '%scan%') as scan_steps, count(alert) as alert_count,
- cast(coalesce(sum(input_rows) filter (source = 's3'), 0) as bigint) as ext_input_rows, cast(coalesce(sum(output_rows) filter (source = 's3'), 0) as bigint) as ext_output_rows, cast(coalesce(sum(spill_local + spill_remote) filter (source = 's3'), 0) as bigint) as external_spill_blocks
+ cast(coalesce(sum(input_rows) filter (source = 's3'), 0) as bigint) as ext_input_rows, cast(coalesce(sum(output_rows) filter (source = 's3'), 0) as bigint) as ext_output_rows, cast(coalesce(sum(spill_remote) filter (source = 's3'), 0) as bigint) as external_spill_blocks
  from steps group by query_id),
 st as (select *, local_spill + remote_spill as total_spill, case when remote_read_io + local_read_io > 0 then remote_read_io / cast(remote_read_io + local_read_io as double) end as remote_io_ratio,
  case when duration > 0 then external_duration / cast(duration as double) end as external_duration_pct, case when input_rows > 0 then output_rows / cast(input_rows as double) end as selectivity_ratio,
@@ -57,7 +57,7 @@ st as (select *, local_spill + remote_spill as total_spill, case when remote_rea
 
 
 def _pc(text: str) -> str:
-    return ", ".join(f"count(*) filter (contains({text}, '{word}')) as {k}" for k, word in rollups.PLAN_COUNTS.items())
+    return ", ".join(f"max(case when contains({text}, '{word}') then 1 else 0 end)::bigint as {k}" if k in rollups.PLAN_FLAGS else f"count(*) filter (contains({text}, '{word}')) as {k}" for k, word in rollups.PLAN_COUNTS.items())
 
 
 _ISSUE = "case when dist_both_cnt > 0 then 'BAD_DISTRIBUTION' when has_nested_loop > 0 then 'NESTED_LOOP_RISK' when s3_scan_cnt > 0 then 'S3_HEAVY' when missing_stats_flag > 0 then 'MISSING_STATS' when seq_scan_cnt > 5 then 'SCAN_HEAVY' {f} else 'GENERAL' end as dominant_issue"

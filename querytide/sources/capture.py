@@ -188,7 +188,8 @@ def pasted(spark: SparkSession, text: str, contract: dict[str, str], needed: str
     if needed not in names:
         raise ValueError(f"no column {needed}")
     schema = ", ".join(f"`{n}` string" for n in names)
-    return typed(spark.createDataFrame(rows, schema), contract).orderBy(*[F.asc_nulls_last(c) for c in order])
+    out = typed(spark.createDataFrame(rows, schema), contract)
+    return out.orderBy(*[F.asc_nulls_last(c) for c in order]) if order else out
 
 
 def typed(df: DataFrame, contract: dict[str, str]) -> DataFrame:
@@ -214,9 +215,11 @@ def pasted_tables(spark: SparkSession, text: str) -> DataFrame:
     return pasted(spark, text, TABLE_COLUMNS, "table")
 
 
-def imported(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "UTF-16", "windows-1252")) -> DataFrame:
+def imported(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "UTF-16", "ISO-8859-1")) -> DataFrame:
     """A delimited file with a header, all columns text; the delimiter and encoding are probed on its first lines."""
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65_536).alias("c")).first()["c"]
+    if bytes(head[:2]) not in (b"\xff\xfe", b"\xfe\xff"):  # UTF-16 needs its byte order mark
+        encodings = tuple(e for e in encodings if e != "UTF-16")
     for e in encodings:
         try:
             sample = bytes(head).decode("utf-8-sig" if e == "UTF-8" else e)
@@ -226,7 +229,7 @@ def imported(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-
                 sample = bytes(head).decode("utf-8-sig" if e == "UTF-8" else e, "ignore")
                 break
     sep = delimiter(sample)
-    df = spark.read.csv(path, sep=sep if len(sep) == 1 else "\t", header=True, inferSchema=False, encoding=e, mode="DROPMALFORMED")
+    df = spark.read.csv(path, sep=sep if len(sep) == 1 else "\t", header=True, inferSchema=False, encoding=e, mode="DROPMALFORMED", multiLine=e == "UTF-16")
     return df.select(*[token(f"`{c}`").alias(c.strip("﻿ ").lower()) for c in df.columns])
 
 
