@@ -271,8 +271,12 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 def representatives(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each group, with all columns: the row of the smallest doc_id (among its rows, of the least text hash)."""
     names = documents.columns
-    found = near_duplicates(documents, radius)
-    best = found.groupBy("root").agg(F.min(F.struct("_id", "_tag")).alias("b")).select("b.*")
+    docs, _ = tables.keyed(documents, "text")
+    prints = tables.written(fingerprints(tables.with_tag(docs)), "fingerprints")
+    # one row of each fingerprint stands for its copies, so a large group is combined before any shuffle or join
+    classes = prints.groupBy("fp").agg(F.min(F.struct("_id", "_tag")).alias("b"))
+    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    best = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("b").alias("b")).select("b.*")
     rows, key = tables.keyed(tables.whole(documents), "_row", "text")
     kept = rows.join(best.select(*key), key, "left_semi")
     return tables.unpacked(kept.dropDuplicates(key) if "_tag" in key else kept, names)
