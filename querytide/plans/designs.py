@@ -148,7 +148,7 @@ def step_diagnosis(spark, sf):
 
 @query("step_previous", f"{with_('steps')}, d as (select query_id, stream_id, segment_id, step_id, min(step_name) as step_name, sum(duration) as duration from steps group by all) select query_id, step_id, lag(step_name) over (partition by query_id, stream_id, segment_id order by step_id) as previous_step, {near_sql('100.0 * duration / cast(sum(duration) over (partition by query_id) as double)', 3)} as pct_runtime from d")
 def step_previous(spark, sf):
-    d = relation(spark, sf, "steps").groupBy("query_id", "stream_id", "segment_id", "step_id").agg(F.min("step_name").alias("step_name"), F.sum("duration").alias("duration")).withColumn("table_id", F.lit(0).cast("long"))
+    d = relation(spark, sf, "steps").groupBy("query_id", "stream_id", "segment_id", "step_id").agg(F.min("step_name").alias("step_name"), F.sum("duration").alias("duration"), F.min("table_id").alias("table_id"))
     found = triage.enriched_steps(d, relation(spark, sf, "tables"))
     return rounded(found.select("query_id", "step_id", "previous_step", "pct_runtime"), "pct_runtime", digits=3)
 
