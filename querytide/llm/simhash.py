@@ -278,7 +278,8 @@ def representatives(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
     best = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("b").alias("b")).select("b.*")
     rows, key = tables.keyed(tables.whole(documents), "_row", "text")
-    kept = rows.join(best.select(*key), key, "left_semi")
+    # texts meet their keys by a sort-merge join at every size, so cost and disk follow the input without a jump
+    kept = rows.join(best.select(*key).hint("merge"), key, "left_semi")
     return tables.unpacked(kept.dropDuplicates(key) if "_tag" in key else kept, names)
 
 
