@@ -246,18 +246,26 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names, kinds, strict=True)], names=names)
 
 
+def _phrases(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """Items as (item_id text, text), and the number of blocks that keeps each within `block_bytes`."""
+    phrases = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
+    size = phrases.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return phrases, max(1, -(-size // block_bytes))
+
+
+def _collected(part: DataFrame) -> list[tuple[str, str | None]]:
+    return [(r["item_id"], r["text"]) for r in part.collect()]  # at most about a block of text
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """_id, _tag, n_words, spans (merged hit runs, in words), items of every row of `documents`."""
     docs, key = tables.keyed(documents, "text")
     docs = tables.with_tag(docs).select("_id", "_tag", "text")
-    phrases = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
-    size = phrases.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    phrases, blocks = _phrases(benchmark, block_bytes)
     found = []
     for k in range(blocks):
         part = phrases.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else phrases
-        rows = [(r["item_id"], r["text"]) for r in part.collect()]  # at most about block_bytes of text
-        found.append(docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(Phrases(rows, window))), SCHEMA))
+        found.append(docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(Phrases(_collected(part), window))), SCHEMA))
     if blocks == 1:
         return found[0]
     parts = found[0].select("_id", "_tag", "n_words", "spans", "items", F.lit(0).alias("k"))
@@ -276,11 +284,35 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("items_sha256", F.sha2(names, 256)).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `documents` that are not contaminated, with all columns."""
+def _clean(block):
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases: Phrases = block.value
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for _, _, chunk in tk.chunks(batch.column(batch.num_columns - 1), CHUNK_BYTES):
+                data = tk.LOWER[chunk.data]
+                begin, end, first = tk.spans(chunk, tk.NOT_ALNUM_LOWER, data)
+                at, phrase = phrases.occurrences(phrases.codes(tk.word_hashes(data, begin, end)), first)
+                n_hit = tk.per_document(tk.cover(at, phrases.lengths[phrase], len(begin)), first)
+                keep.append((n_hit == 0) | (SHARE * n_hit < np.diff(first)))
+            yield batch.select([0]).filter(pa.array(np.concatenate(keep)))
+
+    return mapper
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `documents` that are not contaminated, with all columns.
+
+    A benchmark of one block is searched as the rows pass, which moves no text; with several blocks the
+    contaminated rows are found first and then taken away by their keys."""
     names = documents.columns
+    phrases, blocks = _phrases(benchmark, block_bytes)
+    if blocks == 1:
+        rows = tables.whole(documents).select("_row", "text")
+        block = documents.sparkSession.sparkContext.broadcast(Phrases(_collected(phrases)))
+        return tables.unpacked(rows.mapInArrow(_clean(block), rows.select("_row").schema), names)
     rows, key = tables.keyed(tables.whole(documents), "_row", "text")
-    bad = judged(contamination(documents, benchmark)).where("contaminated").select(*key).distinct()
+    bad = judged(contamination(documents, benchmark, block_bytes=block_bytes)).where("contaminated").select(*key).distinct()
     return tables.unpacked(rows.join(bad, key, "left_anti"), names)
 
 

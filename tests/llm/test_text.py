@@ -57,11 +57,12 @@ def test_contamination_without_benchmark_or_documents(spark, documents):
     assert decontaminate.contamination(documents([]), none).count() == 0
 
 
-def test_clean_keeps_rows_and_columns(spark, documents):
-    bench = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string")
+@pytest.mark.parametrize("block", [1 << 20, 30])
+def test_clean_keeps_rows_and_columns(spark, documents, block):
+    bench = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20))), (2, "something else entirely")], "item_id long, text string")
     bad = "intro " + " ".join(f"Q{i}," for i in range(15))
     docs = documents(["fine", bad, None, "fine", bad + " more" * 1000], ids=[1, 2, 3, 1, 5])
-    kept = decontaminate.clean(docs, bench)
+    kept = decontaminate.clean(docs, bench, block)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 3, 5]
 
