@@ -66,6 +66,11 @@ def draws(quota: list[int], slots: int = SLOTS, seed: int = SEED):
     rng, left = np.random.default_rng(seed), np.array(quota, np.int64)
     while left.sum():
         n, out, rest = int(min(slots, left.sum())), np.zeros(len(left), np.int64), int(left.sum())
+        if rest < 10**9:  # the generator's range
+            out = rng.multivariate_hypergeometric(left, n, method="marginals")
+            left -= out
+            yield out
+            continue
         for k in range(len(left)):
             take = left[k] if rest == left[k] else _hypergeometric(rng, int(left[k]), int(rest - left[k]), n)
             take = min(int(take), n)

@@ -178,3 +178,29 @@ def test_xxh64_lengths():
     start = r.integers(0, 3000, len(length))
     got = simhash.xxh64(data, start, length)
     assert [int(x) for x in got] == [xxhash.xxh64_intdigest(data[s : s + n].tobytes(), 42) for s, n in zip(start, length, strict=True)]
+
+
+def test_frequent_anchors_keep_equal_windows_together():
+    from querytide.llm import anchors
+
+    r = np.random.default_rng(5)
+    grams = r.integers(0, 40, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    frequent = anchors.Frequent(np.unique(grams)[::3])
+    assert (frequent.has(grams) == np.isin(grams, np.unique(grams)[::3])).all()
+    width = 4
+    place = anchors.positions(grams, width, frequent)
+    seen = {}
+    for i, p in enumerate(place):
+        window = tuple(grams[i : i + width].tolist())
+        assert seen.setdefault(window, int(p) - i) == int(p) - i
+        if not frequent.has(grams[i : i + width]).all():
+            assert not frequent.has(grams[p : p + 1])[0]
+
+
+def test_a_hot_passage_among_different_words(documents):
+    hot = " ".join(f"h{i}" for i in range(40))
+    texts = [f"a{i} b{i} c{i} {hot} d{i} e{i} f{i}" for i in range(60)]
+    got = sorted(tuple(x) for x in substring_dedup.dedup_substrings(documents(texts)).collect())
+    assert got == brute_substrings(list(enumerate(texts)), 20)
+    raw = sorted(tuple(x) for x in suffix_dedup.dedup_bytes(documents(texts), 40, 16).drop("kept").collect())
+    assert raw == sorted(brute_bytes(list(enumerate(texts)), 40))
