@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
+    "op7_suffix_array_dedup": suffix_dedup.ORACLE,
 }

@@ -294,3 +294,26 @@ def dedup_bytes(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_bytes(tables.table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents
+), starts as (
+  select doc_id, b, unnest(range(0, greatest(octet_length(b) - 399, 0))) as s from d
+), windows as (
+  select doc_id, s, md5(b[s + 1 : s + 400]) as h from starts
+), again as (
+  select doc_id, s from (select doc_id, s, count(*) over (partition by h) as n from windows) where n > 1
+), runs as (
+  select doc_id, s, sum(fresh) over (partition by doc_id order by s) as run from (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 400 then 0 else 1 end as fresh from again)
+), gone as (
+  select doc_id, run, min(s) as a, max(s) + 400 as z from runs group by doc_id, run
+), pieces as (
+  select doc_id, a as place, lag(z, 1, 0) over (partition by doc_id order by a) as p, a as q from gone
+  union all select doc_id, max(z), max(z), null from gone group by doc_id
+), kept as (
+  select doc_id, string_agg(hex(b[p + 1 : coalesce(q, octet_length(b))]), '' order by place, q nulls last) as k from pieces join d using (doc_id) group by doc_id
+), counts as (select doc_id, count(*) as n_spans, sum(z - a) as n_removed from gone group by doc_id)
+select doc_id, octet_length(b) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(case when k is null then b else unhex(k) end) as kept_sha256
+from d left join counts using (doc_id) left join kept using (doc_id)
+"""
