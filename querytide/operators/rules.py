@@ -9,9 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import missing_sortkey
+from ..functions.exprs import impact_band, missing_sortkey
 
 
 @dataclass(frozen=True)
@@ -150,3 +151,21 @@ def family_summary(found: DataFrame) -> DataFrame:
     """Counts by severity and impact figures per rule."""
     n = lambda s: F.count(F.when(F.col("severity") == s, 1))
     return found.groupBy("rule_id").agg(F.count("*").alias("findings"), n("crit").alias("crit_count"), n("warn").alias("warn_count"), n("info").alias("info_count"), F.avg("impact_score").alias("avg_impact"), F.max("impact_score").alias("max_impact"))
+
+
+METRIC_LABELS = {"SPILL": "blocks", "RATIO": "share", "SHARE": "share", "SKEW": "skew", "ROWS": "rows", "WASTE": "rows", "COST": "score"}
+
+
+def decorated(found: DataFrame) -> DataFrame:
+    """Findings with target type, metric label and impact band."""
+    label = F.lit("count")
+    for word, text in reversed(METRIC_LABELS.items()):
+        label = F.when(F.col("rule_id").contains(word), F.lit(text)).otherwise(label)
+    return found.withColumn("target_type", F.initcap("scope")).withColumn("metric_label", label).withColumn("impact_band", impact_band("impact_score"))
+
+
+def capped(found: DataFrame, most: int, *order: Column) -> DataFrame:
+    """The first `most` rows, and whether more were there: one row beyond the cap is looked at, never all."""
+    rows = found.orderBy(*order).limit(most + 1).withColumn("place", F.row_number().over(W.orderBy(*order)))
+    more = F.max("place").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) > most
+    return rows.withColumn("truncated", more).where(F.col("place") <= most).drop("place")

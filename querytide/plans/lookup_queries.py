@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import external, grouping, lookups
+from ..operators import external, grouping, lookups, rules
 from ..sources import storage
 from ..sources.adapter import relation, with_
 from . import core, externals, groups
@@ -131,3 +131,27 @@ def closure(spark, sf) -> DataFrame:
 @query("catalog_closure", "select 'spectrum_2.ext_2' as table_key union all select 'spectrum_0.ext_4'")
 def catalog_closure(spark, sf):
     return closure(spark, sf)
+
+
+_INS = f"{with_(*core.BASE)}, {core.SLOW}, {core.RISK}, {core.QOP}, {core.TOP}, {core.INSIGHTS}"
+_LABEL = "case when contains(rule_id, 'SPILL') then 'blocks' when contains(rule_id, 'RATIO') or contains(rule_id, 'SHARE') then 'share' when contains(rule_id, 'SKEW') then 'skew' when contains(rule_id, 'ROWS') or contains(rule_id, 'WASTE') then 'rows' when contains(rule_id, 'COST') then 'score' else 'count' end"
+_BAND = "case when impact_score >= 90 then 'severe' when impact_score >= 75 then 'high' when impact_score >= 50 then 'medium' else 'low' end"
+
+
+@query("insight_decoration", f"{_INS} select upper(left(scope, 1)) || substr(scope, 2) as target_type, rule_id, {_LABEL} as metric_label, {_BAND} as impact_band, count(*) as n from ins group by all")
+def insight_decoration(spark, sf):
+    found = rules.decorated(rules.insights(core.slow(spark, sf), core.risk(spark, sf)))
+    return found.groupBy("target_type", "rule_id", "metric_label", "impact_band").agg(F.count("*").alias("n"))
+
+
+@query("capped_insights", f"{_INS} select scope, subject, rule_id, {near_sql('impact_score')} as impact_score, (select count(*) from ins) > 1000 as truncated from ins order by 4 desc, subject, rule_id limit 1000")
+def capped_insights(spark, sf):
+    found = rounded(rules.insights(core.slow(spark, sf), core.risk(spark, sf)), "impact_score").select("scope", "subject", "rule_id", "impact_score")
+    return rules.capped(found, 1000, F.desc("impact_score"), F.asc("subject"), F.asc("rule_id"))
+
+
+@query("cluster_severity", f"{with_('history')}, c as (select namespace_id, namespace_id <> 'ns4' as enabled, 3000 as expected, count(*) filter (query_id % (cast(right(namespace_id, 1) as integer) + 1) = 0) as loaded from history group by 1) select namespace_id, case when not enabled then 'disabled' when loaded >= expected then 'complete' when loaded * 2 < expected then 'red' else 'amber' end as severity from c")
+def cluster_severity(spark, sf):
+    h = relation(spark, sf, "history").withColumn("k", F.expr("cast(right(namespace_id, 1) as int) + 1"))
+    c = h.groupBy("namespace_id").agg(F.count(F.when(F.col("query_id") % F.col("k") == 0, 1)).alias("loaded")).withColumn("enabled", F.col("namespace_id") != "ns4").withColumn("expected", F.lit(3000))
+    return storage.cluster_severity(c).select("namespace_id", "severity")
