@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A quoted string. Java matches a repeated group by recursion, which long texts overflow, unless it is possessive;
+#: the second form is for a text that ends inside its string.
+QUOTED = r"'(?:[^']++|'')*+'|'(?:[^']++|'')*'"
 TOKEN = r"[a-z_][a-z0-9_$]*|\?|<=|>=|<>|!=|[(),.=+*/%-]"
 TABLE = r"\b(?:from|join|update|into)\s+([a-z_#][a-z0-9_$#]*(?:\s*\.\s*[a-z_][a-z0-9_$#]*){0,2})"
 
@@ -31,11 +34,11 @@ def collapsed(c: Column | str) -> Column:
 def regex_shape(c: Column | str, run_suffix: bool = True) -> Column:
     """Literal-free text: comments go; dollar-quoted and quoted strings, numbers and value lists become ?;
     a stem with a numeric run suffix becomes stem_#; lower case; single blanks."""
-    t = _chain(decoded(c), (r"(?s)/\*.*?\*/", " "), (r"--[^\n]*", " "), (r"(?s)\$([A-Za-z_]*)\$.*?\$\1\$", "?"), (r"(?s)'(?:[^']|'')*'", "?"))
+    t = _chain(decoded(c), (r"(?s)/\*.*?\*/", " "), (r"--[^\n]*", " "), (r"(?s)\$([A-Za-z_]*)\$.*?\$\1\$", "?"), (QUOTED, "?"))
     t = F.lower(t)
     if run_suffix:
         t = F.regexp_replace(t, r"\b([a-z_][a-z0-9_$]*?)_\d{3,}\b", "$1_#")
-    t = _chain(t, (r"(?<![a-z0-9_$#])\d+(?:\.\d+)?(?:e[+-]?\d+)?\b", "?"), (r"\(\s*\?(?:\s*,\s*\?)+\s*\)", "(?)"))
+    t = _chain(t, (r"(?<![a-z0-9_$#])\d+(?:\.\d+)?(?:e[+-]?\d+)?\b", "?"), (r"\(\s*\?(?:\s*,\s*\?)++\s*\)", "(?)"))
     return collapsed(t)
 
 
@@ -59,8 +62,9 @@ def without_leading_comments(c: Column | str) -> Column:
 def unloaded(c: Column | str) -> Column:
     """The inner statement of UNLOAD ('…'), else the text."""
     t = without_leading_comments(c)
-    inner = F.regexp_extract(t, r"(?is)^unload\s*\(\s*'((?:[^']|'')*)'", 1)
-    return F.when(inner != "", F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(t)
+    found = [F.regexp_extract(t, rf"(?i)^unload\s*\(\s*'((?:[^']++|'')*{more})'", 1) for more in ("+", "")]  # as in QUOTED
+    whole, cut = (F.when(x != "", F.replace(x, F.lit("''"), F.lit("'"))) for x in found)
+    return F.coalesce(whole, cut, t)
 
 
 def call_key(c: Column | str, database: Column | str) -> Column:

@@ -1,7 +1,8 @@
 """Facts of parsed statements: shapes, features, slow markers, decomposability; and their batch form.
 
 The batch form runs over distinct statements with mapInPandas; a statement that cannot be parsed or is
-longer than MOST_CHARS keeps the regular-expression shape, which the caller has as a column.
+longer than MOST_CHARS keeps the regular-expression shape, which the caller has as a column. Length bears on
+the shape only; a statement that cannot be parsed has its tables, counts and markers by regular expressions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from ...functions import shapes
+from ...operators import grouping
 from . import tree as T
 
 MOST_CHARS = 8000
@@ -134,6 +136,8 @@ def _operator(p: T.Node) -> str:
 
 # Slow markers ----------------------------------------------------------------------------------
 LARGE_MB = 5 * 1024
+#: A star among the outputs of a literal-free text.
+STAR = r"\bselect (?:distinct |all |top \? )?\*|, ?\*|[a-z0-9_$\"] ?\. ?\*"
 
 
 def markers(sql: str, catalog: dict[str, dict] | None = None, views: dict[str, str] | None = None) -> list[str]:
@@ -168,14 +172,31 @@ def markers(sql: str, catalog: dict[str, dict] | None = None, views: dict[str, s
     return out
 
 
+def text_markers(sql: str, shape: str) -> list[str]:
+    """As markers, by regular expressions, for a statement that does not parse; `shape` is its literal-free text."""
+    tests = [
+        ("select-star", re.search(STAR, shape)),
+        ("cross-join", re.search(r"\bcross join\b", shape) and not re.search(r"\bwhere\b", shape)),
+        ("window-functions", re.search(r"\bover\s*\(", shape)),
+        ("distinct", re.search(r"\bselect distinct\b", shape)),
+        ("many-joins", len(re.findall(r"\bjoin\b", shape)) >= 8),
+        ("many-subqueries", len(re.findall(r"\(\s*select\b", shape)) >= 3),
+        ("leading-wildcard-like", re.search(r"(?i)like\s+'\s*%", sql)),
+    ]
+    return [name for name, ok in tests if ok]
+
+
 # Decomposability -------------------------------------------------------------------------------
 def decomposability(sql: str, external: frozenset[str] = frozenset()) -> tuple[float, list[str]]:
     """A score from 0 to 1 and the named deductions."""
     try:
-        tree = T.parse(sql)
+        return _scored(T.parse(sql), external)
     except (SyntaxError, RecursionError):
         word = (re.match(r"\s*(\w+)", sql) or [None, ""])[1].lower()
         return (0.10, ["recursive"]) if re.search(r"(?i)\bwith\s+recursive\b", sql) else (0.05, ["not a query"]) if word not in ("select", "with") else (0.30, ["not understood"])
+
+
+def _scored(tree: T.Node, external: frozenset[str]) -> tuple[float, list[str]]:
     nodes = list(tree.walk())
     selects = [n for n in nodes if isinstance(n, T.Select)]
     tables = T.tables(tree)
@@ -260,18 +281,22 @@ def statements(body: str) -> list[str]:
 SCHEMA = "sql_hash string, method string, shape string, fingerprint string, tables array<string>, join_columns array<string>, filter_columns array<string>, join_count int, predicate_count int, subquery_count int, wildcard_count int, markers array<string>, decomposability double"
 
 
+#: A name that WITH defines; the regular expression of tables finds it where it is read.
+_DEFINED = re.compile(r"([a-z_#][a-z0-9_$#]*) ?(?:\([^()]*\) ?)?\bas ?\( ?(?:select|with)\b")
+
+
 def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for key, text, shape in zip(pdf["sql_hash"], pdf["sql_text"], pdf["shape"], strict=True):
-            if len(text) > MOST_CHARS:
-                rows.append((key, "regex-oversize", shape, fingerprint(text), [], [], [], 0, 0, 0, 0, [], 0.0))
-                continue
+        for key, text, shape, tables, *counts in pdf.itertuples(index=False):
+            oversize = len(text) > MOST_CHARS
             try:
                 f = features(text)
-                rows.append((key, "ast", literal_free(text), fingerprint(text), f["tables"], f["join_columns"], f["filter_columns"], f["join_count"], f["predicate_count"], f["subquery_count"], f["wildcard_count"], markers(text), decomposability(text)[0]))
+                found = [f[c] for c in ("tables", "join_columns", "filter_columns", "join_count", "predicate_count", "subquery_count", "wildcard_count")]
+                rows.append((key, "regex-oversize" if oversize else "ast", shape if oversize else literal_free(text), fingerprint(text), *found, markers(text), decomposability(text)[0]))
             except (SyntaxError, RecursionError):
-                rows.append((key, "regex", shape, fingerprint(text), [], [], [], 0, 0, 0, 0, [], decomposability(text)[0]))
+                defined = set(_DEFINED.findall(shape))
+                rows.append((key, "regex-oversize" if oversize else "regex", shape, fingerprint(text), [t for t in tables.split(", ") if t and t not in defined], [], [], *counts, text_markers(text, shape), decomposability(text)[0]))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
@@ -281,7 +306,8 @@ def analysed(queries: DataFrame) -> DataFrame:
     distinct = queries.where(F.col("sql_text").isNotNull()).select(F.sha2("sql_text", 256).alias("sql_hash"), body.alias("sql_text")).dropDuplicates(["sql_hash"])
     # parsing is CPU-bound: the rows are few bytes, but should fill every core
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.withColumn("shape", shapes.regex_shape("sql_text")).repartition(n, "sql_hash").mapInPandas(_analyse, SCHEMA)
+    plain = grouping.features(distinct.repartition(n, "sql_hash"))
+    return plain.select("sql_hash", "sql_text", "shape", "sql_tables", "join_count", "predicate_count", "subquery_count", F.regexp_count("shape", F.lit(STAR)).alias("wildcard_count")).mapInPandas(_analyse, SCHEMA)
 
 
 def _split_series(s: pd.Series) -> pd.Series:

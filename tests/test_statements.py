@@ -68,6 +68,42 @@ def test_decomposability():
     assert facts.decomposability("delete from t")[1] == ["not a query"] and facts.decomposability("with recursive r as (select 1) select 1")[1] == ["recursive"]
 
 
+def test_facts_of_long_and_of_unparsed_statements(spark):
+    long = "select f.*, g.a from s.f f join s.g g on f.k = g.k where g.n like '%x' and f.d in (" + ", ".join(map(str, range(3000))) + ")"
+    deep = "select * from s.f where " + " or ".join(f"a = {i}" for i in range(3000))
+    texts = {
+        "long": long,
+        "long_insert": "insert into s.t " + long,
+        "deep": deep,
+        "unload": "unload ('" + "select a from s.f where k in (" + ", ".join(f"''v{i}''" for i in range(4000)) + ")') to 's3://b/1'",
+        "literal": "insert into s.t values ('" + "x" * 30000 + "')",
+        "insert": "insert into s.t select distinct x.*, b * 2 from s.f x cross join s.g",
+        "update": "update s.t set a = 1 from s.u u where u.k = 2 and u.n like '%z'",
+        "recursive": "with recursive r (n) as (select 1 union all select n from r join s.f on n = k) select * from r",
+        "offset": "select a from s.f where a in (select b from s.g) offset 3",
+    }
+    assert len(long) > facts.MOST_CHARS
+    rows = spark.createDataFrame(list(texts.items()), "name string, sql_text string")
+    named = rows.selectExpr("name", "sha2(sql_text, 256) as sql_hash")
+    got = {r.name: r for r in facts.analysed(rows).join(named, "sql_hash").collect()}
+    f, r = facts.features(long), got["long"]
+    assert (r.method, r.tables, r.join_columns, r.filter_columns) == ("regex-oversize", ["s.f", "s.g"], f["join_columns"], f["filter_columns"])
+    assert [r.join_count, r.predicate_count, r.subquery_count, r.wildcard_count] == [f[f"{c}_count"] for c in ("join", "predicate", "subquery", "wildcard")]
+    assert r.markers == facts.markers(long) != [] and r.decomposability == facts.decomposability(long)[0] > 0
+    plain = {k: (r.method, r.tables, r.join_count, r.subquery_count, r.wildcard_count, r.markers, r.decomposability) for k, r in got.items() if k != "long"}
+    assert plain == {
+        "long_insert": ("regex-oversize", ["s.f", "s.g", "s.t"], 1, 0, 1, ["select-star", "leading-wildcard-like"], 0.05),
+        "unload": ("regex-oversize", ["s.f"], 0, 0, 0, [], 1.0),
+        "literal": ("regex-oversize", ["s.t"], 0, 0, 0, [], 0.05),
+        "deep": ("regex-oversize", ["s.f"], 0, 0, 1, ["select-star"], 0.3),
+        "insert": ("regex", ["s.f", "s.g", "s.t"], 1, 0, 1, ["select-star", "cross-join", "distinct"], 0.05),
+        "update": ("regex", ["s.t", "s.u"], 0, 0, 0, ["leading-wildcard-like"], 0.05),
+        "recursive": ("regex", ["s.f"], 1, 1, 1, ["select-star"], 0.1),
+        "offset": ("regex", ["s.f", "s.g"], 0, 1, 0, [], 0.3),
+    }
+    assert got["update"].predicate_count == 2
+
+
 def test_procedure_statements():
     body = "begin insert into t values ('a;b'); -- x; y\n update t set a = $$;$$; if x > 1 then delete from t; end if; perform f(); end;"
     assert facts.statements(body) == ["insert into t values ('a;b')", "update t set a = $$;$$", "delete from t"]
