@@ -65,8 +65,20 @@ def call_resolution(spark, sf):
     from ..operators.grouping import resolved_calls
 
     s = relation(spark, sf, "statements").where("query_id % 16 = 5").select("query_id", F.concat(F.lit("db1..load_"), (F.col("query_id") % 4).cast("string")).alias("call_key"))
-    procs = spark.createDataFrame([("DB1.etl.load_0",), ("db1.etl.load_1",), ("db1.etl.load_2",), ("db1.etl.load_3",)], "procedure_key string")
-    return resolved_calls(s, procs)
+    return resolved_calls(s, _captured(spark))
+
+
+def _captured(spark) -> DataFrame:
+    return spark.createDataFrame([("DB1.etl.load_0",), ("db1.etl.load_1",), ("db1.etl.load_2",), ("db1.etl.load_3",)], "procedure_key string")
+
+
+@query("call_resolution_all", f"{with_('statements')} select query_id, 'db1.etl.load_' || cast(query_id % 4 as varchar) as call_key from statements where query_id % 8 = 5")
+def call_resolution_all(spark, sf):
+    """Every CALL among all statements, its key read from the text; call_resolution is held to half of them by its SQL."""
+    from ..operators.grouping import resolved_calls
+
+    s = relation(spark, sf, "statements").select("query_id", shapes.call_key("sql_text", F.lit("db1")).alias("call_key"))
+    return resolved_calls(s.where(F.col("call_key").isNotNull()), _captured(spark))
 
 
 @query("leading_comments", r"select p_partkey as id, regexp_replace(case p_partkey % 3 when 0 then '/* a */ -- b' || chr(10) || ' select 1' when 1 then '  select 2' else '-- only' end, '(?s)^(?:\s+|--[^\n]*(?:\n|$)|/\*.*?(?:\*/|$))+', '') as body from part")

@@ -106,6 +106,15 @@ def test_call_keys(spark):
     assert [r[0] for r in rows.select(shapes.call_key("t", shapes.F.lit("DB"))).collect()] == ["a.b.c", "db.s.p", "db..p", None]
 
 
+def test_all_calls_are_resolved(spark, sf):
+    calls = relation(spark, sf, "statements").where("sql_text like 'CALL %'")
+    got = registry.QUERIES["call_resolution_all"](spark, sf)
+    assert 0 < got.count() == calls.count() == got.join(calls, "query_id").where("call_key = concat('db1.', regexp_extract(sql_text, 'CALL (.*)[(]', 1))").count()
+    texts = spark.createDataFrame([("/* x */ call load_1(7)",), ("CALL etl.load_1 (7)",), ("call nowhere()",), ("select 1",)], "sql_text string").select(shapes.call_key("sql_text", shapes.F.lit("DB1")).alias("call_key"))
+    procs = spark.createDataFrame([("DB1.etl.load_1",), ("db1.etl.load_2",)], "procedure_key string")
+    assert sorted(r.call_key for r in grouping.resolved_calls(texts.where("call_key is not null"), procs).collect()) == ["db1..nowhere", "db1.etl.load_1", "db1.etl.load_1"]
+
+
 def test_incremental_features_parse_each_statement_once(spark):
     q = spark.createDataFrame([(1, "select a from t where x = 1"), (2, "select a from t where x = 1"), (3, "select b from u")], "query_id long, sql_text string")
     first = grouping.features(q.limit(0).select(shapes.F.lit("").alias("sql_hash"), "sql_text")).drop("sql_text")
