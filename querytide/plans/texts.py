@@ -60,6 +60,15 @@ def procedure_statements(spark, sf):
     return facts.procedure_statements(procs)
 
 
+_PROCS = _PROC.replace(" where o_orderkey % 10 = 0", "")
+
+
+@query("procedure_statements_all", f"with {_PROCS.replace('{orders}', 'orders')} select procedure_key, 0 as statement_no, 'insert into t select ''a;b''' as sql_text from procs union all select procedure_key, 1, 'update t set x = ' || cast(id as varchar) from procs")
+def procedure_statements_all(spark, sf):
+    """Procedures of all orders; procedure_statements is held to one in ten by its SQL."""
+    return facts.procedure_statements(spark.sql(f"with {_PROCS.replace('{orders}', f'parquet.`{sf}/orders.parquet`')} select * from procs"))
+
+
 @query("call_resolution", f"{with_('statements')} select query_id, 'db1.etl.load_' || cast(query_id % 4 as varchar) as call_key from statements where query_id % 16 = 5")
 def call_resolution(spark, sf):
     from ..operators.grouping import resolved_calls

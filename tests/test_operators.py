@@ -115,6 +115,13 @@ def test_all_calls_are_resolved(spark, sf):
     assert sorted(r.call_key for r in grouping.resolved_calls(texts.where("call_key is not null"), procs).collect()) == ["db1..nowhere", "db1.etl.load_1", "db1.etl.load_1"]
 
 
+def test_whole_tables_reach_the_operators(spark, sf):
+    got, n = (lambda name: registry.QUERIES[name](spark, sf)), (lambda name: spark.read.parquet(f"{sf}/{name}.parquet").count())
+    assert got("procedure_statements_all").count() == 2 * n("orders") and got("catalog_cache_all").count() == n("part")
+    errors = relation(spark, sf, "segments").selectExpr("query_id * 10 + segment_id").distinct()
+    assert got("external_errors_all").agg({"error_count": "sum"}).first()[0] == errors.count()
+
+
 def test_incremental_features_parse_each_statement_once(spark):
     q = spark.createDataFrame([(1, "select a from t where x = 1"), (2, "select a from t where x = 1"), (3, "select b from u")], "query_id long, sql_text string")
     first = grouping.features(q.limit(0).select(shapes.F.lit("").alias("sql_hash"), "sql_text")).drop("sql_text")
