@@ -7,8 +7,9 @@ that mean little alone: ident (a user or client name), bare (a long mixed token)
 URL or host and port). A weak part is reported only where complementary parts stand within
 `SCOPE` code points of it: a bare token near an identifier or an endpoint, an identifier or an
 endpoint near a secret. The link is an interval join: strong and weak parts meet in the bins of
-`SCOPE` code points that they reach, as a left semi join, which returns each part at most once
-however many partners it has. Weak parts that overlap a base span give way to it.
+`SCOPE` code points that they reach, as a left semi join, which returns each part at most once a
+bin however many partners it has; parts of any length stand in all bins they reach. Weak parts that
+overlap a base span give way to it.
 
 Only matches are shuffled, never texts. Defined results: null is the empty text. Rows that share a
 doc_id are told apart by their text; equal rows give equal results. Other columns are ignored.
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from . import tables
 
 SCOPE = 300
-#: Longest bare token; longer runs are encodings, not keys.
-MOST_BARE = 128
 # kind -> (pattern, group whose length counts, least length, role); fixed values of the contract for the first three
 BASE = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, "secret"),
@@ -32,9 +31,9 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}", 0, 24, "secret"),
 }
 WEAK = {
-    "ident": (r"""(?i)\b(?:client_?id|user_?name|user|login|account|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+_.-]{3,64})""", 0, 1, "ident"),
-    "bare": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,127}[0-9])(?=[0-9+/_-]{0,127}[A-Za-z])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])", 0, 32, "secret"),
-    "endpoint": (r"""(?i)\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,200}""", 0, 1, "endpoint"),
+    "ident": (r"""(?i)\b(?:client_?id|user_?name|user|login|account|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+_.-]{3,})""", 0, 1, "ident"),
+    "bare": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])", 0, 32, "secret"),
+    "endpoint": (r"""(?i)\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}""", 0, 1, "endpoint"),
 }
 KINDS = {**BASE, **WEAK}
 NUMBER = {k: i for i, k in enumerate(KINDS)}
@@ -79,20 +78,19 @@ def _kinds(*roles: str, among: dict | None = None) -> list[int]:
 def linked(found: DataFrame, key: list[str]) -> DataFrame:
     """Base parts, and the weak parts with complementary parts in scope."""
     base = found.where(F.col("kind") < len(BASE))
-    own = [F.col(f"w.{k}") == F.col(f"b.{k}") for k in [*key, "bin"]]
-    solid = base.withColumn("bin", _bins(F.col("start") - MOST_BARE - 256, F.col("end")))
-    weak = found.where(F.col("kind") >= len(BASE)).withColumn("bin", F.floor(F.col("start") / SCOPE))
-    condition = (F.col("w.start") < F.col("b.end")) & (F.col("b.start") < F.col("w.end"))
-    for c in own:
-        condition = condition & c
-    weak = weak.alias("w").join(solid.alias("b"), condition, "left_anti")
-    everything = base.unionByName(weak.drop("bin"))
-    partners = everything.withColumn("bin", _bins(F.col("start") - SCOPE - 256, F.col("end") + SCOPE))
+    part = [*key, "kind", "start", "end"]
+    reached = lambda parts, more=0: parts.withColumn("bin", _bins(F.col("start") - more, F.col("end") + more))
+    same = F.lit(True)
+    for k in [*key, "bin"]:
+        same = same & (F.col(f"w.{k}") == F.col(f"b.{k}"))
+    weak = found.where(F.col("kind") >= len(BASE))
+    over = (F.col("w.start") < F.col("b.end")) & (F.col("b.start") < F.col("w.end"))
+    covered = reached(weak).alias("w").join(reached(base).alias("b"), same & over, "left_semi").select(*part).distinct()
+    weak = weak.join(covered, part, "left_anti")
+    partners = reached(base.unionByName(weak), SCOPE)
     near = (F.col("w.start") - F.col("b.end") <= SCOPE) & (F.col("b.start") - F.col("w.end") <= SCOPE)
     fits = (F.col("w.kind").isin(_kinds("secret", among=WEAK)) & F.col("b.kind").isin(_kinds("ident", "endpoint"))) | (F.col("w.kind").isin(_kinds("ident", "endpoint", among=WEAK)) & F.col("b.kind").isin(_kinds("secret")))
-    for c in own:
-        near = near & c
-    kept = weak.alias("w").join(partners.alias("b"), near & fits, "left_semi").drop("bin")
+    kept = reached(weak).alias("w").join(partners.alias("b"), same & near & fits, "left_semi").select(*part).distinct()
     return base.unionByName(kept)
 
 
