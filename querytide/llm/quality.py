@@ -3,7 +3,8 @@
 The base rules count words, symbols, repeated lines and repeated five-word windows. The method's
 verdict compares zstandard ratios (raw bytes over compressed bytes) of the whole document and of
 fixed chunks of it with limits that depend on the length: repetitive text compresses too well,
-noise too badly. Everything happens inside a row; nothing is shuffled.
+noise too badly. The last chunk ends with the text and may overlap the one before, so every byte of
+a text of PIECE_BYTES or more is in a chunk; shorter texts have none. Everything happens inside a row; nothing is shuffled.
 
 Defined results: null and empty texts have no words, fail the base rule and are not kept. Texts
 shorter than the first band have no ratio limits. Repeated rows each return a row; an empty table
@@ -79,12 +80,13 @@ def measures(chunk: tk.Chunk) -> dict[str, np.ndarray]:
 
 
 def ratios(compressor: zstandard.ZstdCompressor, raw: memoryview) -> tuple[float, float, float]:
-    """Ratio of the whole text, and the lowest and highest of its full chunks (the whole's, without one)."""
+    """Ratio of the whole text, and the lowest and highest of its chunks (the whole's, without one)."""
     n = len(raw)
     if not n:
         return 1.0, 1.0, 1.0
     whole = n / len(compressor.compress(raw))
-    pieces = [PIECE_BYTES / len(compressor.compress(raw[i : i + PIECE_BYTES])) for i in range(0, n - PIECE_BYTES + 1, PIECE_BYTES)] if n >= 2 * PIECE_BYTES else []
+    starts = [*range(0, n - PIECE_BYTES, PIECE_BYTES), n - PIECE_BYTES] if n >= PIECE_BYTES else []
+    pieces = [PIECE_BYTES / len(compressor.compress(raw[i : i + PIECE_BYTES])) for i in starts]
     return whole, min(pieces, default=whole), max(pieces, default=whole)
 
 
@@ -92,7 +94,7 @@ def in_band(size: np.ndarray, ratio: np.ndarray, low: np.ndarray, high: np.ndarr
     out = np.ones(len(size), bool)
     for at, least, most in BANDS:
         out = np.where(size >= at, (ratio >= least) & (ratio <= most), out)
-    return out & ((size < 2 * PIECE_BYTES) | ((low >= PIECE_LOW) & (high <= PIECE_HIGH)))
+    return out & ((size < PIECE_BYTES) | ((low >= PIECE_LOW) & (high <= PIECE_HIGH)))
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

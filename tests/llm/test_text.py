@@ -170,6 +170,20 @@ def test_compression_bands_reject_both_ends(documents):
     assert got[0] and not got[2]
 
 
+def test_every_byte_of_a_long_text_is_in_a_chunk(documents):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8)))
+    prose = " ".join(word() for _ in range(4000))
+    noise = "".join(chr(r.randint(33, 126)) for _ in range(4000))
+    texts = [prose[:12288], prose[:16000] + "ab" * 2000, prose[:5000] + " " + "x" * 2600, prose[:4095], prose[:4096]]
+    got = {x.doc_id: x for x in quality.quality(documents(texts)).collect()}
+    assert [got[i].kept for i in range(5)] == [True, False, False, True, True]
+    assert all(1.30 <= got[i].ratio <= 3.3 and not got[i].base_failed for i in (1, 2)), "only a chunk tells"
+    assert got[1].piece_high > quality.PIECE_HIGH > got[0].piece_high
+    one, two = (next(x for x in quality.quality(documents([t])).collect()) for t in (prose[:8192], prose[:8192] + noise))
+    assert two.piece_low < one.piece_low
+
+
 # Secrets ---------------------------------------------------------------------------------------
 def brute_secrets(text):
     text, out = text or "", []
