@@ -184,10 +184,10 @@ def _bigrams(tokens: Column) -> Column:
     return F.when(n > 1, F.zip_with(F.slice(tokens, F.lit(1), n - 1), F.slice(tokens, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Cheap similarity of two shapes: Jaccard of tokens (0.65) and of neighbouring pairs (0.35)."""
-    x, y = shapes.tokens(a), shapes.tokens(b)
-    return 0.65 * shapes.jaccard(x, y) + 0.35 * shapes.jaccard(_bigrams(x), _bigrams(y))
+def _token_share() -> Column:
+    """What tokens (0.30) and neighbouring pairs (0.15) of left_shape and right_shape bring to their similarity."""
+    x, y = shapes.tokens("left_shape"), shapes.tokens("right_shape")
+    return 0.30 * shapes.jaccard(x, y) + 0.15 * shapes.jaccard(_bigrams(x), _bigrams(y))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -197,13 +197,13 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def pair_similarity(pairs: DataFrame) -> DataFrame:
     """Similarity of unparsed statements: 0.55 text, 0.30 tokens, 0.15 neighbouring pairs. Expects left_shape, right_shape."""
-    x, y = shapes.tokens("left_shape"), shapes.tokens("right_shape")
-    return pairs.withColumn("similarity", 0.55 * _ratio("left_shape", "right_shape") + 0.30 * shapes.jaccard(x, y) + 0.15 * shapes.jaccard(_bigrams(x), _bigrams(y)))
+    return pairs.withColumn("similarity", 0.55 * _ratio("left_shape", "right_shape") + _token_share())
 
 
 def similar_to(statement: str, queries: DataFrame, least: float = 0.68, most: int = 40) -> DataFrame:
-    """Queries like a statement, best first."""
-    near = queries.withColumns({"right_shape": shapes.regex_shape("sql_text"), "left_shape": shapes.regex_shape(F.lit(statement))}).where(overlap(F.col("left_shape"), F.col("right_shape")) >= least / 2)
+    """Queries like a statement, best first. The text's share of a score is 0.55 at most, so what the tokens and pairs
+    do not bring to the rest is dropped before the texts are compared."""
+    near = queries.withColumns({"right_shape": shapes.regex_shape("sql_text"), "left_shape": shapes.regex_shape(F.lit(statement))}).where(_token_share() >= least - 0.55 - 1e-9)
     return pair_similarity(near).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "query_id").limit(most)
 
 

@@ -101,6 +101,15 @@ def test_fuzzy_merge_is_complete_link(spark):
     assert abs(grouping.indel_ratio("abcd", "abxd") - 0.75) < 1e-9 and grouping.indel_ratio("", "") == 1.0
 
 
+def test_similar_statements_are_not_dropped_before_scoring(spark):
+    names = [f"{chr(97 + i)}_{'long_column_name_' * 3}" for i in range(8)]
+    text = lambda end: f"select {', '.join(n + end for n in names)} from t"
+    q = spark.createDataFrame([(1, text("x")), (2, text("y")), (3, "vacuum u")], "query_id long, sql_text string")
+    pairs = q.crossJoin(q.limit(1).selectExpr("sql_text as left_text")).withColumns({"left_shape": shapes.regex_shape("left_text"), "right_shape": shapes.regex_shape("sql_text")})
+    least = grouping.pair_similarity(pairs).where("query_id = 2").first().similarity - 0.01
+    assert [r.query_id for r in grouping.similar_to(text("x"), q, least).collect()] == [1, 2]
+
+
 def test_call_keys(spark):
     rows = spark.createDataFrame([("call a.b.c(1)",), ("CALL s.p()",), ("call p (2)",), ("select 1",)], "t string")
     assert [r[0] for r in rows.select(shapes.call_key("t", shapes.F.lit("DB"))).collect()] == ["a.b.c", "db.s.p", "db..p", None]
