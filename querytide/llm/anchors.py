@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 
 #: Documents in the sample, documents of it that make a k-mer frequent, and k-mers in the list at most.
-SAMPLE_ROWS, LEAST, MOST = 1024, 3, 1 << 18
+SAMPLE_ROWS, LEAST, MOST = 4096, 4, 1 << 18
 _BITS = np.uint64((1 << 20) - 1)
 
 
@@ -44,10 +44,9 @@ class Frequent:
 
 def positions(grams: np.ndarray, width: int, frequent: Frequent) -> np.ndarray:
     """For each window of `width` grams the place of its anchor: not frequent before frequent, then by hash, then leftmost."""
-    bits = np.uint64(int(len(grams)).bit_length())
-    key = (grams >> (bits + np.uint64(1)) << bits) | np.arange(len(grams), dtype=np.uint64)
+    key = (grams >> np.uint64(33) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)  # the same bits in every chunk
     key |= frequent.has(grams).astype(np.uint64) << np.uint64(63)
-    return (tk.sliding_minimum(key, width) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return (tk.sliding_minimum(key, width) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def frequent_grams(docs: DataFrame, grams_of: Callable[[tk.Chunk], tuple[np.ndarray, np.ndarray]]) -> Frequent:

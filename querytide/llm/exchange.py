@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PACKED = "bucket int, blob binary"
 #: Bytes of input that one bucket stands for at most.
@@ -21,12 +22,10 @@ BUCKET_BYTES = 32 << 20
 
 
 def bucket_count(df: DataFrame) -> int:
-    """At least the session's shuffle partitions; more if the scan is large."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # a session without a JVM plan keeps the setting alone
-        size = 0
-    size = 0 if size >= 1 << 60 else size
+    """At least the session's shuffle partitions; more if the input is large. Without statistics its texts are measured."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
@@ -75,11 +74,9 @@ def exchange(df: DataFrame, mapper: Callable, reducer: Callable, schema: str, n:
     """mapper: batches -> (bucket, blob) batches. reducer: list of blobs of one bucket -> batches of `schema`."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(k, []).append(blob)
-        while by:
-            yield from reducer(by.popitem()[1])
+        # n buckets in n partitions: all blobs of a partition are of one bucket
+        blobs = [blob for b in batches for blob in b.column(1).to_pylist()]
+        if blobs:
+            yield from reducer(blobs)
 
     return df.mapInArrow(mapper, PACKED).repartitionById(n, "bucket").mapInArrow(reduce, schema)

@@ -13,7 +13,20 @@ from pyspark.sql import functions as F
 NULL_ID = -(1 << 63)
 
 
+#: Rows of an Arrow batch: with long texts the usual 10 000 take hundreds of MB in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,7 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
@@ -42,6 +64,7 @@ def keyed(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
     _id is doc_id with null as NULL_ID. _tag tells rows that share a doc_id apart by a hash of
     their text and is 0 throughout when doc_ids are unique. Rows equal in doc_id and text share
     their key, and so their result."""
+    small_batches(df.sparkSession)
     base = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), *[F.col(c) for c in columns])
     shared = base.groupBy("_id").count().where("count > 1").select("_id")
     if shared.isEmpty():

@@ -1,32 +1,49 @@
 """Vectorised text primitives shared by the corpus operators.
 
 Everything works on flat numpy arrays over the UTF-8 bytes of many documents at once, so the
-per-document Python overhead is paid once per chunk. All hashes are polynomial hashes modulo
-2**64 over randomised symbol values, finished with a bijective mixer; they are fixed functions
-of the content (no per-process salt), so a retried task gives the same rows.
+per-document Python overhead is paid once per chunk. Hashes are built from 8-byte lanes and from
+neighbours, each step passing through a bijective mixer, so no pattern of the text (periods,
+Thue-Morse words) cancels out; two families with different constants are independent. They are
+fixed functions of the content (no per-process salt), so a retried task gives the same rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_P2 = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
+#: Bytes up to which a slice is hashed lane by lane; longer ones by a library hash.
+_LANES = 1024
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the whole word (a bijection)."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
+
+
+@lru_cache(None)
+def _family(k: int) -> tuple[np.uint64, np.uint64]:
+    """Odd multiplier and start of hash family k."""
+    start, factor = mix64(np.array([k * 0x9E3779B97F4A7C15 & _MASK, k * 0xA0761D6478BD642F + 1 & _MASK], U64))
+    return factor | U64(1), start
+
 
+def joined(a: np.ndarray, b: np.ndarray, family: int = 1) -> np.ndarray:
+    """Hash of the sequence that follows a's with b's."""
+    x = a * _family(family)[0]
+    x += b
+    return mix64(x)
 
-BYTE_VALUES = mix64(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
 
 #: [\x20\x09-\x0D] are separators; every other byte belongs to a word.
 WHITE = np.zeros(256, bool)
@@ -39,47 +56,40 @@ ALNUM_LOWER[0x30:0x3A] = ALNUM_LOWER[0x61:0x7B] = ALNUM_LOWER[0x80:] = True
 NOT_ALNUM_LOWER = ~ALNUM_LOWER
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    @staticmethod
-    def _grow(base: int, n: int) -> np.ndarray:
-        out = np.ones(n, U64)
-        out[1:] = U64(base)
-        return np.multiply.accumulate(out)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = self._grow(self.base, size), self._grow(self.inverse, size)
-        return self.up[:n], self.down[:n]
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of `data` as one number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(9, np.uint8)]), strides=(1,))
 
 
-_POWERS = {1: _Powers(_P), 2: _Powers(_P2)}
+#: Masks of the first 0 to 8 bytes of a lane.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
-class Rolling:
-    """Prefix sums that give the hash of any slice of a symbol sequence in constant time."""
+def windows(values: np.ndarray, *sizes: int, span: int = 1, family: int = 1) -> list[np.ndarray]:
+    """Hashes of all windows of each size, by start: doubled up to the largest power of two inside, then two that overlap.
 
-    def __init__(self, values: np.ndarray, family: int = 1) -> None:
-        n = len(values)
-        up, self.down = _POWERS[family].get(n + 1)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(values * up[:n], out=self.sums[1:])
+    Each entry of `values` stands for `span` symbols from its place on."""
+    levels, n = {span: values}, len(values) + span - 1
+    while span * 2 <= max(sizes) and len(values) > span:
+        values = joined(values[:-span], values[span:], family)
+        span *= 2
+        levels[span] = values
+    out = []
+    for size in sizes:
+        if n < size:
+            out.append(np.zeros(0, U64))
+            continue
+        low = max(k for k in levels if k <= size)
+        out.append(levels[low][: n - size + 1] if low == size else joined(levels[low][: n - size + 1], levels[low][size - low : n - low + 1], family))
+    return out
 
-    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start])
 
-    def windows(self, size: int) -> np.ndarray:
-        """Hashes of all windows of `size` symbols, by start."""
-        n = len(self.sums) - 1
-        if n < size:
-            return np.zeros(0, U64)
-        return mix64((self.sums[size:] - self.sums[:-size]) * self.down[: n - size + 1])
+def byte_windows(data: np.ndarray, *sizes: int, family: int = 1) -> list[np.ndarray]:
+    """Hashes of all windows of so many bytes each, by start."""
+    span = 1 << (min(8, *sizes).bit_length() - 1)
+    if len(data) < span:
+        return [np.zeros(0, U64) for _ in sizes]
+    return windows(mix64((_lanes(data)[: len(data) - span + 1] & _FIRST[span]) + _family(family)[1]), *sizes, span=span, family=family)
 
 
 class Chunk:
@@ -142,19 +152,32 @@ def spans(chunk: Chunk, separator: np.ndarray, data: np.ndarray | None = None) -
     return start, end, np.searchsorted(start, chunk.offsets)
 
 
-_SLICE = 1 << 20
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 1) -> np.ndarray:
+    """Hash of each slice: its length and its 8-byte lanes, each mixed in by a bijection."""
+    length, lanes, (factor, begin) = end - start, _lanes(data), _family(family)
+    out = mix64((lanes[start] & _FIRST[np.minimum(length, 8)]) + length.astype(U64) * factor + begin)
+    live, at = np.flatnonzero((length > 8) & (length <= _LANES)), 8
+    while len(live):
+        out[live] = joined(out[live], lanes[start[live] + at] & _FIRST[np.minimum(length[live] - at, 8)], family)
+        at += 8
+        live = live[length[live] > at]
+    for k in np.flatnonzero(length > _LANES).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, salt=family.to_bytes(4, "little")).digest(), "little")
+    return out
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 1) -> np.ndarray:
-    """Hash of each word; works through the bytes in slices that stay in the cache."""
-    out, i, n = np.empty(len(start), U64), 0, len(start)
-    while i < n:
-        j = max(int(np.searchsorted(end, start[i] + _SLICE, side="right")), i + 1)
-        low, high = start[i], end[j - 1]
-        rolling = Rolling(BYTE_VALUES[data[low:high]], family)
-        length = (end[i:j] - start[i:j]).astype(U64)
-        out[i:j] = mix64(rolling.slices(start[i:j] - low, end[i:j] - low) + length * U64(0xC2B2AE3D27D4EB4F))
-        i = j
+def same_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether words `one` and `two` have the same bytes."""
+    length, lanes = end - start, _lanes(data)
+    out = length[one] == length[two]
+    live, at = np.flatnonzero(out & (one != two)), 0
+    while len(live):
+        a, b = one[live], two[live]
+        mask = _FIRST[np.minimum(length[a] - at, 8)]
+        equal = (lanes[start[a] + at] & mask) == (lanes[start[b] + at] & mask)
+        out[live[~equal]] = False
+        at += 8
+        live = live[equal & (length[a] > at)]
     return out
 
 

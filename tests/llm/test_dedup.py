@@ -89,17 +89,60 @@ def test_bytes_match_brute_force(spark, seed):
     assert sorted((tuple(x) for x in got), key=str) == brute_bytes(rows, 20)
 
 
-def test_bytes_columns_in_a_file_give_the_same(monkeypatch):
+@pytest.mark.parametrize("step", [1 << 20, 200])
+def test_bytes_columns_give_the_index_of_the_collection(monkeypatch, step):
+    monkeypatch.setattr(suffix_dedup, "COLLECTION_BYTES", step)
     r = np.random.default_rng(0)
     data = r.integers(0, 3, 4000).astype(np.uint8)
-    first, wide = np.arange(0, 3900, 100), np.full(39, 60)
-    plain = dict(suffix_dedup.column_index(suffix_dedup.Columns(data, first, wide, np.zeros(39, np.int64), 60), 4))
-    monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 0)
-    filed = suffix_dedup.Columns(data, first, wide, np.zeros(39, np.int64), 60)
-    assert filed.folder
-    for column, mask in suffix_dedup.column_index(filed, 4):
-        assert (plain[column] == mask).all()
-    filed.close()
+    first, wide, offset = np.arange(0, 3900, 100), r.integers(10, 41, 39), r.integers(0, 20, 39)
+    collection = suffix_dedup.Collection(data, first, wide, offset, 60)
+    collection.build()
+    rows = np.zeros((39, 61), int)
+    for k in range(39):
+        rows[k, offset[k] : offset[k] + wide[k]] = data[first[k] : first[k] + wide[k]] + 1.0
+    order_before = np.arange(39)
+    for column, transform, order, prefixes in collection.index():
+        suffix = [tuple(rows[k, column:]) for k in range(39)]
+        assert [suffix[k] for k in order] == sorted(suffix)
+        assert (transform == rows[order_before, column]).all()
+        for i in range(1, 39):
+            a, b = suffix[order[i - 1]], suffix[order[i]]
+            common = next((n for n in range(len(a)) if a[n] != b[n] or not a[n]), len(a))
+            assert prefixes[i] == common
+        order_before = order
+    collection.close()
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    one = thue_morse(1024)
+    two = one.translate({97: 98, 98: 97})
+    spread = lambda w: " ".join(w)
+    rows = [(0, f"{one} x y z q"), (1, f"{two} x y z q"), (2, spread(one)), (3, spread(two)), (4, f"p {two} x y z q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(x) for x in substring_dedup.dedup_substrings(docs, 5, 3).collect()) == brute_substrings(rows, 5)
+    assert sorted(tuple(x) for x in suffix_dedup.dedup_bytes(docs, 400, 200, texts=False).collect()) == sorted(brute_bytes(rows, 400))
+
+
+def test_weak_hashes_are_found_out(spark):
+    r = random.Random(7)
+    pool = [" ".join(r.choice("abcdef") for _ in range(60)) for _ in range(12)]
+    rows = [(d, r.choice(pool)[: r.randint(20, 119)] + f" q{d} " + r.choice(pool)) for d in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.dedup_substrings(docs, 6, 3, bits=6).collect()
+    assert sorted(tuple(x) for x in got) == brute_substrings(rows, 6)
+    got = suffix_dedup.dedup_bytes(docs, 20, 8, texts=False, bits=4).collect()
+    assert sorted(tuple(x) for x in got) == sorted(brute_bytes(rows, 20))
+
+
+def test_paths_join_pieces_that_do_not_branch(spark):
+    # a chain of 20, a fork after it, a circle of three and a piece that follows itself
+    steps = [(i, 2, i + 1) for i in range(20)] + [(20, 2, 21), (20, 2, 22), (30, 1, 31), (31, 1, 32), (32, 1, 30), (40, 1, 40)]
+    found = {r.piece: (r.path, r.offset) for r in substring_dedup.paths(spark.createDataFrame(steps, "piece long, count int, next long")).collect()}
+    assert found == {i: (0, 2 * i) for i in range(1, 21)}
 
 
 def test_bytes_odd_texts(documents):
