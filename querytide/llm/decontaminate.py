@@ -14,7 +14,8 @@ a broadcast is bounded; with several blocks the spans of a document are merged a
 Phrases are the windows of `window` words of each item; an item with fewer words, but not none,
 is one phrase. Defined results: null texts have no words and are never contaminated; an item
 without words is ignored; a null item_id counts as the text `null`; items that repeat an id count
-once; repeated rows each return a row; an empty benchmark leaves every document clean.
+once; repeated rows each return a row; an empty benchmark leaves every document clean; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from . import textkernel as tk
 
 WINDOW, SHARE = 13, 20
 SAMPLE = 8
-CHUNK_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+CHUNK_BYTES = 2 << 20
+#: Text of one benchmark block; its broadcast takes at most about five times as much.
+BLOCK_BYTES = 2 << 20
 
 
 class FMIndex:
@@ -85,15 +87,15 @@ class FMIndex:
             high = np.where(bit, self.zeros[i] + b, high - b)
         return high - low
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row range of each phrase; phrases are right-aligned rows of symbols."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n)
+    def search(self, words: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row range of each phrase: the symbols words[start : start + length], searched from the last to the first."""
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.n)
         top = len(self.smaller) - 2
-        for step in range(phrases.shape[1]):
+        for step in range(int(lengths.max(initial=0))):
             live = np.flatnonzero((lengths > step) & (low < high))
             if not len(live):
                 break
-            symbol = phrases[live, phrases.shape[1] - 1 - step]
+            symbol = words[start[live] + lengths[live] - 1 - step].astype(np.int64)
             known = symbol <= top
             high[live[~known]] = low[live[~known]]
             live, symbol = live[known], symbol[known]
@@ -114,32 +116,41 @@ class FMIndex:
 
 
 class Phrases:
-    """The searched phrases of one benchmark block."""
+    """The searched phrases of one benchmark block, as places in the items' words; no phrase is spelled out."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
-        names = sorted({str(i) for i, _ in items})
-        place = {x: k for k, x in enumerate(names)}
+        self.names = sorted({str(i) for i, _ in items})
+        place = {x: k for k, x in enumerate(self.names)}
         chunk = next(iter(tk.chunks(pa.array([t for _, t in items], pa.string()), 1 << 62)), (0, 0, tk.Chunk(np.zeros(0, np.uint8), np.zeros(1, np.int64))))[2]
         data = tk.LOWER[chunk.data]
         begin, end, first = tk.spans(chunk, tk.NOT_ALNUM_LOWER, data)
-        hashes = tk.word_hashes(data, begin, end)
-        self.names, self.vocabulary = names, np.unique(hashes)
-        code = np.searchsorted(self.vocabulary, hashes) + 2
-        found: dict[tuple[int, ...], set[int]] = {}
-        for k, (name, _) in enumerate(items):
-            words = code[first[k] : first[k + 1]].tolist()
-            for s in range(max(len(words) - window, 0) + 1) if words else ():
-                found.setdefault(tuple(words[s : s + window]), set()).add(place[str(name)])
-        self.count = len(found)
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
-        for k, p in enumerate(found):
-            self.rows[k, window - len(p) :] = p
-        self.items = np.array([i for v in found.values() for i in sorted(v)], np.int64)
-        self.items_from = np.concatenate(([0], np.cumsum([len(v) for v in found.values()]))).astype(np.int64)
-        self.shortest = int(self.lengths.min()) if len(found) else 0
-        pairs = {(a, b) for p in found for a, b in zip(p, p[1:], strict=False)}
-        self.pairs = np.array(sorted(a * self._base + b for a, b in pairs), np.int64)
+        hashes, checks = (tk.word_hashes(data, begin, end, f) for f in (1, 2))
+        self.vocabulary, one, code = np.unique(hashes, return_index=True, return_inverse=True)
+        self.check = checks[one]
+        self.words = (code + 2).astype(np.int32)
+        counts = np.diff(first)
+        number = np.where(counts > 0, np.maximum(counts - window, 0) + 1, 0)
+        item = np.repeat(np.arange(len(counts)), number)
+        start = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(number) - number, number)
+        length = np.minimum(counts[item], window)
+        # phrases with the same words are one: by their length and 128 bits of hashes
+        same = np.zeros((2, len(start)), np.uint64)
+        for n in np.unique(length).tolist():
+            mine = np.flatnonzero(length == n)
+            for f, h in enumerate((hashes, checks)):
+                same[f, mine] = tk.windows(h, n, family=f + 1)[0][start[mine]] + np.uint64(n)
+        order = np.lexsort((same[1], same[0]))
+        new = np.concatenate(([True], (np.diff(same[:, order], axis=1) != 0).any(0)))[: len(order)]
+        phrase = np.cumsum(new) - 1
+        self.start, self.lengths, self.count = start[order][new].astype(np.int32), length[order][new].astype(np.int32), int(new.sum())
+        owner = np.array([place[str(x)] for x, _ in items], np.int64)[item[order]] if len(items) else np.zeros(0, np.int64)
+        pairs = np.unique(phrase * max(len(self.names), 1) + owner)
+        self.items = (pairs % max(len(self.names), 1)).astype(np.int32)
+        self.items_from = np.searchsorted(pairs // max(len(self.names), 1), np.arange(self.count + 1))
+        self.shortest = int(self.lengths.min()) if self.count else 0
+        next_to = np.ones(max(len(self.words) - 1, 0), bool)
+        next_to[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(self.words))] - 1] = False
+        self.pairs = np.unique((self.words[:-1].astype(np.int64) * self._base + self.words[1:])[next_to])
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -147,13 +158,15 @@ class Phrases:
     def _base(self) -> int:
         return len(self.vocabulary) + 2
 
-    def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """Symbol of each word: 1 outside the vocabulary."""
-        out = np.ones(len(hashes), np.int64)
+    def codes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Symbol of each word: 1 outside the vocabulary. A word is known if two independent hashes agree."""
+        hashes, out = tk.word_hashes(data, begin, end), np.ones(len(begin), np.int64)
         maybe = np.flatnonzero(self.bits[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), len(self.vocabulary) - 1)
-        hit = self.vocabulary[at] == hashes[maybe]
-        out[maybe[hit]] = at[hit] + 2
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), max(len(self.vocabulary) - 1, 0))
+        hit = self.vocabulary[at] == hashes[maybe] if len(self.vocabulary) else np.zeros(0, bool)
+        maybe, at = maybe[hit], at[hit]
+        real = tk.word_hashes(data, begin[maybe], end[maybe], 2) == self.check[at]
+        out[maybe[real]] = at[real] + 2
         return out
 
     def sequence(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +195,7 @@ class Phrases:
         if len(text) == 1:
             return (np.zeros(0, np.int64),) * 2
         index = FMIndex(text)
-        low, high = index.search(self.rows, self.lengths)
+        low, high = index.search(self.words, self.start, self.lengths)
         count = high - low
         phrase = np.repeat(np.arange(self.count), count)
         rows = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -196,7 +209,7 @@ def _scan(block):
             for a, b, chunk in tk.chunks(batch.column(2), CHUNK_BYTES):
                 data = tk.LOWER[chunk.data]
                 begin, end, first = tk.spans(chunk, tk.NOT_ALNUM_LOWER, data)
-                at, phrase = phrases.occurrences(phrases.codes(tk.word_hashes(data, begin, end)), first)
+                at, phrase = phrases.occurrences(phrases.codes(data, begin, end), first)
                 hit = tk.cover(at, phrases.lengths[phrase], len(begin))
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
                 run, stop = edge[::2], edge[1::2]
@@ -292,7 +305,7 @@ def _clean(block):
             for _, _, chunk in tk.chunks(batch.column(batch.num_columns - 1), CHUNK_BYTES):
                 data = tk.LOWER[chunk.data]
                 begin, end, first = tk.spans(chunk, tk.NOT_ALNUM_LOWER, data)
-                at, phrase = phrases.occurrences(phrases.codes(tk.word_hashes(data, begin, end)), first)
+                at, phrase = phrases.occurrences(phrases.codes(data, begin, end), first)
                 n_hit = tk.per_document(tk.cover(at, phrases.lengths[phrase], len(begin)), first)
                 keep.append((n_hit == 0) | (SHARE * n_hit < np.diff(first)))
             yield batch.select([0]).filter(pa.array(np.concatenate(keep)))
