@@ -5,7 +5,8 @@ distinct fingerprints are compared. Two fingerprints within the radius agree on
 four 16-bit blocks, so comparing all pairs that share two blocks (six tables of 32-bit keys)
 loses no link. Each key's fingerprints are sorted by population count and compared in numpy
 tiles (exclusive-or and bit counts); tile pairs whose population counts differ by more than the
-radius are skipped. A key with more fingerprints than a tile holds is dealt out as tile pairs.
+radius are skipped. A key with more fingerprints than a tile holds is cut into tiles by population
+count, and only pairs of tiles whose counts come within the radius are dealt out to tasks.
 A task returns a spanning forest of its links, never all pairs, and the components follow from
 alternating large-star and small-star rounds over these forests.
 
@@ -23,14 +24,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tables
 from . import textkernel as tk
+from .exchange import bucket_count
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 TILE = 4096
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 # XXH64 primes (fixed values of the published algorithm)
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 _LONG = 1024
@@ -220,23 +223,25 @@ def _links(radius: int):
     return reducer
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Forests (u, v) of the links between distinct fingerprints (column fp)."""
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, n: int = 0) -> DataFrame:
+    """Forests (u, v) of the links between distinct fingerprints (column fp), compared in `n` tasks."""
     if radius > 2:
         raise ValueError("two of four blocks must agree: the radius is 2 at most")
     block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = [F.shiftleft(F.lit(t).cast("long"), 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for t, (i, j) in enumerate(combinations(range(4), 2))]
-    entries = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = entries.groupBy("key").count().where("count > 1")
-    parts = F.ceil(F.col("count") / F.lit(tile)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    entries = distinct.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*keys)).alias("key"))
+    counted = entries.groupBy("key", "pop").agg(F.count("*").alias("n"))  # 65 rows of a key at most
+    key = W.partitionBy("key")
+    upto = lambda last: F.coalesce(F.sum("n").over(key.orderBy("pop").rangeBetween(W.unboundedPreceding, last)), F.lit(0))
+    # fingerprints of a key stand in the order of their counts; a tile is `tile` places of it
+    placed = counted.select("key", "pop", "n", F.sum("n").over(key).alias("all"), upto(-1).alias("before"), upto(-radius - 1).alias("low"), upto(radius).alias("high")).where("all > 1")
+    own = F.floor((F.col("before") + F.pmod(F.xxhash64("fp"), F.col("n"))) / tile)
     dealt = (
-        entries.join(shared, "key")
-        .select("key", "fp", parts.alias("parts"))
-        .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        entries.join(placed, ["key", "pop"])
+        .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.floor(F.col("low") / tile), F.floor((F.col("high") - 1) / tile))).alias("other"))
         .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     )
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n or int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "key", "a", "b").mapInArrow(_links(radius), "u long, v long")
 
 
@@ -250,7 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        edges = tables.written(small, "stars")
+        before, edges = edges, tables.written(small, "stars")
+        tables.removed(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -262,7 +268,7 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     docs, _ = tables.keyed(documents, "text")
     prints = tables.written(fingerprints(tables.with_tag(docs)), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("_id").alias("rep"))
-    roots = components(links(classes.select("fp"), radius))
+    roots = components(links(classes.select("fp"), radius, n=bucket_count(docs)))
     of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("rep").alias("component"))
     return prints.join(of.join(least, "root").select("fp", "root", "component"), "fp")
@@ -275,7 +281,7 @@ def representatives(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = tables.written(fingerprints(tables.with_tag(docs)), "fingerprints")
     # one row of each fingerprint stands for its copies, so a large group is combined before any shuffle or join
     classes = prints.groupBy("fp").agg(F.min(F.struct("_id", "_tag")).alias("b"))
-    roots = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    roots = components(links(classes.select("fp"), radius, n=bucket_count(docs))).withColumnRenamed("node", "fp")
     best = classes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("b").alias("b")).select("b.*")
     rows, key = tables.keyed(tables.whole(documents), "_row", "text")
     # texts meet their keys by a sort-merge join at every size, so cost and disk follow the input without a jump
