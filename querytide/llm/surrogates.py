@@ -3,23 +3,32 @@ r"""PII surrogates, in DataFrame functions only.
 Entities: email addresses, phone numbers, IPv4 addresses, payment card numbers, IBANs and persons
 after an honorific. Each becomes a replacement of its own kind, drawn from a keyed SHA-256 stream
 over (key, kind, normal form, attempt): digits stay digits, letters stay letters of the same case,
-punctuation stays; a card keeps its first digit and its valid check digit; a phone number of over ten
-digits keeps the first, which opens the country code; an address keeps four
-octets; a person keeps the honorific and gets names of its script, with an ending of its gender.
+punctuation stays; a card keeps its first digit and its valid check digit; an IBAN keeps its country
+and gets the check digits of its new account; a phone number of over ten digits keeps the first, which
+opens the country code; an address keeps four octets; a person keeps the honorific and gets names of
+its script, with an ending of its gender. A full name that an honorific has told is replaced in the
+rest of its document too, where it stands without one.
 
 The normal form (lower case, digits only, single blanks) decides the replacement, so one entity gets
 one replacement everywhere, in whatever format it is written. Distinct entities are checked for
 collisions, on the table of distinct normal forms, not on texts: a candidate that equals an entity of
 the corpus, an assigned replacement or another candidate is drawn again with the next attempt, except
 the least of equal candidates. Rounds go on until none is left; after `ROUNDS` (a format whose space
-is full) the rest are widened by a suffix from their own hash, checked in the same way.
+is full) the rest are widened by a suffix from their own hash, checked in the same way, and so leave
+their format: a document collection with more entities of a short format than free values has no
+other distinct surrogates.
+
+The key comes from the session's setting `spark.querytide.surrogateKey`; without it a fixed key of the
+package is taken, which anyone can repeat, so real corpora need the setting.
 
 Texts are matched twice, by regexp_extract_all and split: entities and the gaps between them
 alternate, so a text is put together again from its gaps and the replacements. Only texts that hold
 an entity are joined with replacements; all others pass unchanged.
 
 Defined results: null stays null; a text without entities stays as it is; rows that share a doc_id
-are told apart by their text; all other columns pass through unchanged.
+are told apart by their text; all other columns pass through unchanged, those named like the
+operator's own included (a column n_entities of the input gives way to the count, if that is asked
+for). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +38,8 @@ from pyspark.sql import functions as F
 
 from . import tables
 
-KEY = "corpus-surrogates"
+#: Stands in where the session names no key.
+KEY, KEY_SETTING = "corpus-surrogates", "spark.querytide.surrogateKey"
 ROUNDS = 8
 # Honorifics and the gender they tell (f, m or n for neither).
 HONORIFICS = {
@@ -37,7 +47,7 @@ HONORIFICS = {
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Señorita": "f", "Sra": "f", "Doña": "f", "г-жа": "f", "Госпожа": "f",
     "Dr": "n", "Prof": "n", "Professor": "n",
 }
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:['’-]\p{Lu}[\p{Ll}\p{M}]+)?"
+_NAME = r"\p{Lu}(?:['’]\p{Lu})?[\p{Ll}\p{M}]+(?:['’-]\p{Lu}[\p{Ll}\p{M}]+)?"
 #: A look at the first letter comes before the alternatives, which most positions of a text then skip.
 _TITLE = f"(?=[{''.join(sorted({x[0] for x in HONORIFICS}))}])(?:{'|'.join(sorted(HONORIFICS, key=len, reverse=True))})"
 PATTERNS = {
@@ -107,6 +117,16 @@ def _luhn(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: F.length(c) > 0), weight), F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder by 97 of the number that digits and letters (A is 10) spell."""
+
+    def step(rest: Column, c: Column) -> Column:
+        n = F.conv(c, 36, 10).cast("int")
+        return F.pmod(rest * F.when(n > 9, 100).otherwise(10) + n, F.lit(97))
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), F.lit(0), step)
+
+
 def _candidate(key: str, kind: Column, normal: Column, attempt: Column) -> Column:
     stream = _stream(key, kind, normal, attempt)
     local, domain = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
@@ -119,7 +139,8 @@ def _candidate(key: str, kind: Column, normal: Column, attempt: Column) -> Colum
     valid = F.pmod(_luhn(normal, 1), F.lit(10)) == 0
     check = F.pmod(F.lit(10) - F.pmod(_luhn(body, 0), F.lit(10)), F.lit(10)).cast("string")
     card = F.concat(body, F.when(valid, check).otherwise(F.pmod(_byte(stream, F.lit(60)), F.lit(10)).cast("string")))
-    iban = F.concat(F.substring(normal, 1, 2), _same_class(F.substring(normal, F.lit(3), F.length(normal)), stream))
+    country, account = F.substring(normal, 1, 2), _same_class(F.substring(normal, F.lit(5), F.length(normal)), stream)
+    iban = F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "person", _person(normal, key, attempt)).when(F.length(normal) > 10, F.concat(F.substring(normal, 1, 1), _same_class(F.substring(normal, F.lit(2), F.length(normal)), stream))).otherwise(_same_class(normal, stream))
 
 
@@ -182,25 +203,40 @@ def _rendered(kind: Column, hit: Column, surrogate: Column) -> Column:
         )
         return F.concat(step["out"], F.substring(surrogate, step["at"], F.length(surrogate)))
 
-    upper = (kind == "email") & (hit == F.upper(hit)) & (hit != F.lower(hit))
-    return F.when(kind.isin("card", "phone"), fill(r"^\d$")).when(kind == "iban", fill(r"^[A-Z0-9]$")).when(upper, F.upper(surrogate)).otherwise(surrogate)
+    letters = F.filter(F.split(surrogate, ""), lambda c: F.length(c) > 0)
+    cased = F.array_join(F.zip_with(letters, chars, lambda new, old: F.when((old == F.upper(old)) & (old != F.lower(old)), F.upper(new)).otherwise(new)), "")
+    same_length = (kind == "email") & (F.length(hit) == F.length(surrogate))
+    return F.when(kind.isin("card", "phone"), fill(r"^\d$")).when(kind == "iban", fill(r"^[A-Z0-9]$")).when(same_length, cased).otherwise(surrogate)
+
+
+def _names(kind: Column, hit: Column, new: Column) -> Column:
+    """struct(pattern, name) that replaces the full name of a person without the honorific; null for one name alone and for other kinds."""
+    bare = lambda text: F.regexp_extract(text, r"^\S+\x20+(.*)$", 1)
+    old = F.regexp_replace(bare(hit), r"\x20+", r"\\x20+")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), old, F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when((kind == "person") & (F.size(F.split(bare(hit), r"\x20+")) > 1), F.struct(pattern.alias("pattern"), bare(new).alias("name")))
 
 
-def replaced(documents: DataFrame, key: str = KEY, counted: bool = True) -> DataFrame:
+def replaced(documents: DataFrame, key: str | None = None, counted: bool = True) -> DataFrame:
     """All columns of `documents` with surrogates in `text`, and n_entities (long) if `counted`."""
-    names = documents.columns
+    key = key or documents.sparkSession.conf.get(KEY_SETTING, KEY)
+    names = [c for c in documents.columns if not (counted and c == "n_entities")]
     rows = tables.whole(documents)
     hits = F.when(F.col("text").rlike(_MAYBE), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)))
     marked = rows.withColumn("_hits", F.coalesce(hits, F.array().cast("array<string>")))
     found = rows.select(F.explode(hits).alias("hit")).distinct()
     found = tables.written(found.withColumn("kind", _kind(F.col("hit"))).withColumn("normal", _normal(F.col("kind"), F.col("hit"))), "hits")
     chosen = assigned(found.select("kind", "normal"), key)
-    by_hit = tables.written(found.join(chosen, ["kind", "normal"]).select("hit", _rendered(F.col("kind"), F.col("hit"), F.col("surrogate")).alias("new")), "surrogates")
+    new = F.coalesce(_rendered(F.col("kind"), F.col("hit"), F.col("surrogate")), F.raise_error(F.concat(F.lit("no surrogate for a "), F.col("kind"))).cast("string"))
+    made = found.join(chosen, ["kind", "normal"], "left").select("kind", "hit", new.alias("new"))
+    by_hit = tables.written(made.select("hit", F.struct("new", _names(F.col("kind"), F.col("hit"), F.col("new")).alias("bare")).alias("new")), "surrogates")
     plain = marked.where(F.size("_hits") == 0).select("_row", F.lit(0).cast("long").alias("n"))
     same = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256)
     some = marked.where(F.size("_hits") > 0).withColumn("_same", same)
-    ordered = some.select("_same", F.posexplode("_hits").alias("at", "hit")).distinct().join(by_hit, "hit").groupBy("_same").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("_new"))
-    put = F.array_join(F.zip_with(F.split("text", _ANY, -1), F.col("_new"), lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
+    ordered = some.select("_same", F.posexplode("_hits").alias("at", "hit")).distinct().join(by_hit.hint("merge"), "hit").groupBy("_same").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("_new"))
+    told = F.array_distinct(F.filter(F.transform("_new", lambda n: n["new"]["bare"]), lambda b: b.isNotNull()))
+    gap = lambda g: F.aggregate(told, g, lambda text, b: F.regexp_replace(text, b["pattern"], b["name"]))
+    put = F.array_join(F.zip_with(F.split("text", _ANY, -1), F.col("_new"), lambda g, n: F.concat(F.when(F.size(told) > 0, gap(g)).otherwise(g), F.coalesce(n["new"]["new"], F.lit("")))), "")
     some = some.join(ordered, "_same").select(F.col("_row").withField("text", put).alias("_row"), F.size("_new").cast("long").alias("n"))
     out = plain.unionByName(some)
     columns = [F.col("_row").getField(c).alias(c) for c in names]
