@@ -12,7 +12,8 @@ bin however many partners it has; parts of any length stand in all bins they rea
 overlap a base span give way to it.
 
 Only matches are shuffled, never texts. Defined results: null is the empty text. Rows that share a
-doc_id are told apart by their text; equal rows give equal results. Other columns are ignored.
+doc_id are told apart by their text; equal rows give equal results. Other columns are ignored. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,12 +86,13 @@ def linked(found: DataFrame, key: list[str]) -> DataFrame:
         same = same & (F.col(f"w.{k}") == F.col(f"b.{k}"))
     weak = found.where(F.col("kind") >= len(BASE))
     over = (F.col("w.start") < F.col("b.end")) & (F.col("b.start") < F.col("w.end"))
-    covered = reached(weak).alias("w").join(reached(base).alias("b"), same & over, "left_semi").select(*part).distinct()
-    weak = weak.join(covered, part, "left_anti")
+    # parts grow with the corpus: sort-merge joins at every size
+    covered = reached(weak).alias("w").join(reached(base).alias("b").hint("merge"), same & over, "left_semi").select(*part).distinct()
+    weak = weak.join(covered.hint("merge"), part, "left_anti")
     partners = reached(base.unionByName(weak), SCOPE)
     near = (F.col("w.start") - F.col("b.end") <= SCOPE) & (F.col("b.start") - F.col("w.end") <= SCOPE)
     fits = (F.col("w.kind").isin(_kinds("secret", among=WEAK)) & F.col("b.kind").isin(_kinds("ident", "endpoint"))) | (F.col("w.kind").isin(_kinds("ident", "endpoint", among=WEAK)) & F.col("b.kind").isin(_kinds("secret")))
-    kept = reached(weak).alias("w").join(partners.alias("b"), same & near & fits, "left_semi").select(*part).distinct()
+    kept = reached(weak).alias("w").join(partners.alias("b").hint("merge"), same & near & fits, "left_semi").select(*part).distinct()
     return base.unionByName(kept)
 
 
@@ -109,7 +111,7 @@ def secrets(documents: DataFrame) -> DataFrame:
     docs, key = tables.keyed(documents, "text")
     found = tables.written(parts(docs, key), "parts")
     spans = linked(found, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))
-    every = docs.select(*key).join(spans, key, "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
+    every = docs.select(*key).join(spans.hint("merge"), key, "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
     count = [_counted(NUMBER[k]).alias(f"n_{k}") for k in BASE]
     base = F.filter("all", lambda s: s["kind"] < len(BASE))
     return every.select(tables.doc_id(), *count, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("all")).alias("spans"))
