@@ -72,15 +72,43 @@ def test_segments_match_brute_force():
     r = np.random.default_rng(1)
     for _ in range(100):
         first = np.concatenate(([0], np.cumsum(r.integers(0, 9, 6))))
-        s = r.normal(-0.2, 1, first[-1])
+        s = r.integers(-9, 8, first[-1])
         best = toxicity.best_segments(s, first)
         for k in range(6):
             x = s[first[k] : first[k + 1]]
-            expect = max([0.0] + [x[i:j].sum() for i in range(len(x)) for j in range(i + 1, len(x) + 1)])
-            assert abs(best[k] - expect) < 1e-9
-            found = toxicity.maximal_segments(x.tolist())
-            assert all(abs(x[a:b].sum() - v) < 1e-9 and v > 0 for a, b, v in found)
-            assert not found or abs(max(v for *_, v in found) - expect) < 1e-9
+            expect = max([0] + [x[i:j].sum() for i in range(len(x)) for j in range(i + 1, len(x) + 1)])
+            assert best[k] == expect
+            found = toxicity.maximal_segments(x)
+            assert sorted((a, b) for a, b, _ in found) == sorted(brute_maximal(x.tolist(), 0))
+            assert all(x[a:b].sum() == v > 0 for a, b, v in found)
+
+
+def brute_maximal(x, at):
+    """Maximal scoring segments by definition: the best segment (the shortest, then leftmost), then the same left and right of it."""
+    best = max(((sum(x[i:j]), i - j, -i) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    i, j = -best[2], -best[2] - best[1]
+    return [*brute_maximal(x[:i], at), (at + i, at + j), *brute_maximal(x[j:], at + j)]
+
+
+def test_several_passages_weigh_more_than_the_best_alone(spark, documents):
+    docs, labels, _ = labelled(spark, documents)
+    model = toxicity.train(docs, labels)
+    plain = [f"word{i % 60}" for i in range(600)]
+    once, twice = list(plain), list(plain)
+    once[300:303] = twice[100:103] = twice[500:503] = ["vilefool", "grubhead", "dolt"]
+    got = {r.row: r for r in toxicity.score(documents([" ".join(once), " ".join(twice), " ".join(plain)]).selectExpr("doc_id as row", "text"), model).collect()}
+    assert len(got[0].passages) == 1 and len(got[1].passages) == 2 and not got[2].passages
+    assert got[1].score > got[0].score > got[2].score and got[0].best == got[1].best
+
+
+def test_scores_do_not_depend_on_neighbours(spark, documents):
+    docs, labels, _ = labelled(spark, documents)
+    model = toxicity.train(docs, labels)
+    rows = lambda df: {r.row: r.score for r in toxicity.score(df.selectExpr("doc_id as row", "text"), model).collect()}
+    together = rows(docs.coalesce(1))
+    assert together == rows(docs.repartition(7))
 
 
 def labelled(spark, documents, n=400):
@@ -137,6 +165,20 @@ def test_language_odd_texts(documents):
     assert {r.lang_pred for r in untaught} == {"und"}
 
 
+def test_blocks_of_languages_give_what_one_matrix_gives(spark, monkeypatch):
+    r = random.Random(11)
+    letters = ["abcdef", "ghijkl", "mnopqr", "абвгде", "stuvwx"]
+    rows = [(i, " ".join("".join(r.choice(letters[i % 5] + "abg") for _ in range(4)) for _ in range(20)), f"l{i % 5}") for i in range(60)] + [(60, None, "l0"), (61, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = docs.doc_id < 0
+    one = {x.doc_id: x for x in langid.identify(docs, docs, held).collect()}
+    monkeypatch.setattr(langid, "BLOCK", 2)
+    monkeypatch.setattr(langid, "GATHERED", 64)
+    two = {x.doc_id: x for x in langid.identify(docs, docs, held).collect()}
+    assert all(two[i].lang_pred == one[i].lang_pred and abs(two[i].score - one[i].score) < 1e-9 for i in one)
+    assert sum(one[i].lang_pred == f"l{i % 5}" for i in range(60)) >= 58
+
+
 # Quality ---------------------------------------------------------------------------------------
 def brute_quality(text):
     text = text or ""
@@ -163,11 +205,35 @@ def test_quality_matches_brute_force(documents):
 
 def test_compression_bands_reject_both_ends(documents):
     r = random.Random(7)
-    prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(400))
-    noise = " ".join("".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(6)) for _ in range(800))
-    loop = " ".join(f"{i} alpha beta gamma" for i in range(3000))
-    got = {x.doc_id: x.kept for x in quality.quality(documents([prose, noise, loop])).collect()}
-    assert got[0] and not got[2]
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    prose = [" ".join(word("etaoinshrdlu", r.randint(2, 8)) for _ in range(n)) for n in (12, 60, 400, 4000)]
+    noise = [" ".join("".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(6)) for _ in range(n)) for n in (60, 200, 800)]
+    coded = [" ".join(word(b64, 76) for _ in range(n)) for n in (12, 60, 260)]
+    loops = [" ".join(f"{i} alpha beta gamma" for i in range(n)) for n in (300, 3000)]
+    texts = prose + noise + coded + loops
+    got = {x.doc_id: x for x in quality.quality(documents(texts)).collect()}
+    assert not any(got[i].base_failed for i in range(len(texts)))
+    assert [got[i].kept for i in range(len(texts))] == [True] * 4 + [False] * 8
+
+
+def test_lines_and_windows_that_collide_in_polynomial_hashes(documents):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate({97: 98, 98: 97})
+    texts = [f"{one}\n{two}", f"{one} x y z q {two} x y z q"]
+    got = {x.doc_id: x for x in quality.quality(documents(texts)).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words, got[i].base_failed) == brute_quality(t)
+
+
+def test_contamination_by_words_that_collide_in_polynomial_hashes(spark, documents):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate({97: 98, 98: 97})
+    items = [(1, f"{one} x y"), (2, " ".join(one)), (3, "p q")]
+    texts = [f"{two} x y", f"{one} x y", " ".join(two), " ".join(one), *ODD]
+    got = decontaminate.judged(decontaminate.contamination(documents(texts), spark.createDataFrame(items, "item_id long, text string")))
+    got = sorted((x._id, x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in got.collect())
+    assert got == brute_contamination(list(enumerate(texts)), items, 13)
 
 
 def test_every_byte_of_a_long_text_is_in_a_chunk(documents):
@@ -259,8 +325,11 @@ def test_surrogates_keep_kind_format_and_coreference(documents):
     ]
     docs = documents(texts)
     out = surrogates.replaced(docs)
-    assert out.columns == docs.columns + ["n_entities"] if "n_entities" not in docs.columns else True
-    got = {r[0]: r[1] for r in out.select(out.columns[0], out.columns[1]).collect()} if len(set(out.columns)) == len(out.columns) else {r.doc_id: r.text for r in surrogates.replaced(docs, counted=False).collect()}
+    assert out.columns == docs.columns, "the count takes the place of the input's column of its name"
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert {r.doc_id: r.n_entities for r in out.collect()} == {i: [3, 3, 3, 3, 1][i] if i < 5 else 0 for i in range(len(texts))}
+    plain = surrogates.replaced(docs, counted=False)
+    assert plain.columns == docs.columns and {r.doc_id: (r.text, r.n_entities) for r in plain.collect()} == {i: (t, "e") for i, t in got.items()}
     a = re.findall(r"[\w.]+@[\w.]+\w", got[0])
     assert a[0].lower() == a[1].lower() and a[1].isupper() and a[2] != a[0] and a[0].split("@")[1] == a[2].split("@")[1] and "lee" not in got[0].lower()
     p = re.findall(r"\+1[\d ()-]+\d", got[1])
@@ -269,11 +338,33 @@ def test_surrogates_keep_kind_format_and_coreference(documents):
     assert re.sub(r"\D", "", c[0]) == re.sub(r"\D", "", c[1]) and luhn(re.sub(r"\D", "", c[0])) and c[0][0] == "4" and "4.0.1" in got[2] and "10.20.30.40" not in got[2]
     names = re.match(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\. г-жа ([а-яА-Я]+) ([а-яА-Я]+) пришла", got[3])
     assert names and names[2] == names[4] and "Smith" not in got[3] and names[1].endswith("rdo") and names[3].endswith("lia")
-    assert got[4].startswith("IBAN DE") and "3704" not in got[4]
+    iban = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d)", got[4])[1].replace(" ", "")
+    assert "3704" not in got[4] and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert [c.isupper() for c in a[0]] == [c.isupper() for c in "Ann.Lee7@mail5.example.com"]
     for i, t in enumerate(ODD):
         assert got[5 + i] == t
 
 
+def test_surrogates_of_names_without_their_honorific(documents):
+    texts = ["Dr. John Smith came. John Smith said that Johnny Smithson and John  Smith, not john smith, left with Mr. Smith.", "John Smith stays here", "Mrs. Anna-Maria O'Brian; Anna-Maria O'Brian"]
+    got = [r.text for r in sorted(surrogates.replaced(documents(texts), counted=False).collect())]
+    name = re.match(r"Dr\. (\w+ \w+) came\. (\w+ \w+) said that Johnny Smithson and (\w+ \w+), not john smith, left with Mr\. (\w+)\.", got[0])
+    assert name and name[1] == name[2] == name[3] and "John Smith " not in got[0] and name[4] == name[1].split()[1]
+    assert got[1] == texts[1]
+    name = re.fullmatch(r"Mrs\. (.+); (.+)", got[2])
+    assert name[1] == name[2] and "Brian" not in got[2]
+
+
+def test_surrogates_follow_the_session_key(spark, documents):
+    docs = documents(["Mail ann@mail.org"])
+    text = lambda: surrogates.replaced(docs, counted=False).first().text
+    one = text()
+    spark.conf.set(surrogates.KEY_SETTING, "another")
+    two = text()
+    spark.conf.unset(surrogates.KEY_SETTING)
+    assert one == text() != two
+
+
 def test_surrogates_are_distinct_and_no_entity(spark):
     emails = [(f"user{i}@x.org",) for i in range(300)]
     kinds = spark.createDataFrame(emails, "normal string").selectExpr("'email' as kind", "normal")
@@ -304,10 +395,32 @@ def test_targets_reshare_the_excess():
     assert mixing.targets([0, 5], [3.0, 1.0]) == [0.0, 7.5]
 
 
-def test_draws_meet_the_quotas():
-    quota = [0, 5000, 1, 12_345]
-    parts = list(mixing.draws(quota, 4096))
-    assert np.sum(parts, axis=0).tolist() == quota and all(p.sum() <= 4096 for p in parts)
+def test_slots_meet_the_targets_to_the_word():
+    r = np.random.default_rng(3)
+    sizes = [0, 1, 7, 64, 65, 5000, 12_345, 640, 3]
+    wanted = [0.0, 2.0, 10.2, 128.0, 97.0, 7500.0, 1234.0, 1279.0, 2.0]
+    plan = mixing.Plan(sizes, wanted, 64, 5)
+    plan.settle(sum(plan.draw(k) for k in range(plan.shards())))
+    assert plan.drawn.sum() == plan.slots.sum()
+    got = Counter()
+    for s in range(len(sizes)):
+        source, j = plan.final(s, np.arange(plan.drawn[s]))
+        got.update(zip(source.tolist(), j.tolist(), strict=True))
+    assert got == {(s, j): 1 for s in range(len(sizes)) for j in range(plan.slots[s])}
+    # however the draws come out
+    for _ in range(50):
+        drawn = r.multinomial(plan.slots.sum(), np.full(len(sizes), 1 / len(sizes)))
+        plan.settle(drawn)
+        moved = [tuple(map(int, x)) for s in range(len(sizes)) for x in zip(*plan.final(s, np.arange(drawn[s])), strict=True)]
+        assert sorted(moved) == sorted(got)
+    for s, (n, t) in enumerate(zip(sizes, wanted, strict=True)):
+        source = np.full(plan.slots[s], s)
+        block, words = plan.takes(source, np.arange(plan.slots[s]))
+        each = Counter()
+        for b, w in zip(block.tolist(), words.tolist(), strict=True):
+            each.update(range(64 * b, min(64 * b + w, n)))
+        assert sum(each.values()) == round(t) and max(each.values(), default=0) <= 2
+        assert not n or max(each.values(), default=0) - min(each.get(k, 0) for k in range(n)) <= 1
 
 
 def test_mix_meets_targets_and_texts(spark, documents):
@@ -315,8 +428,7 @@ def test_mix_meets_targets_and_texts(spark, documents):
     texts = ODD[:7] + [" ".join(f"w{r.randint(0, 99)}" for _ in range(r.randint(0, 400))) for _ in range(120)]
     rows = [(i % 125, t, "en", [None, "b", "a", "c"][i % 4]) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    mix = mixing.Mix(docs)
-    found = mix.taken().collect()
+    found = mixing.Mix(docs).taken().collect()
     again = mixing.Mix(docs).taken().collect()
     key = lambda x: (x._id, x.source or "", x["size"], x.taken)
     assert sorted(map(key, found)) == sorted(map(key, again)) and len(found) == len(rows)
@@ -330,11 +442,21 @@ def test_mix_meets_targets_and_texts(spark, documents):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     expect = dict(zip(order, mixing.targets([sizes[s] for s in order], [3.0, 1.0, 2.0, 3.0]), strict=True))
     for s, (size, taken, target) in per.items():
-        assert abs(target - expect[s]) < 1e-6 and abs(taken - target) <= 0.02 * target + 16, (s, size, taken, target)
+        assert abs(target - expect[s]) < 1e-6 and abs(taken - target) <= 1, (s, size, taken, target)
     pieces = mixing.mixed_texts(docs).collect()
     assert sum(len(p.text.split()) for p in pieces) == sum(x.taken for x in found)
     whole = {(i % 125, [None, "b", "a", "c"][i % 4]): " ".join(words(t)) for i, t in enumerate(texts)}
     same = Counter(d for d, *_ in rows)
     assert all(p.text in whole[p.doc_id, p.source] for p in pieces if same[p.doc_id] == 1)
     empty = spark.createDataFrame([], docs.schema)
-    assert mixing.Mix(empty).taken().count() == 0
+    assert mixing.Mix(empty).taken().count() == 0 and mixing.mixed_texts(empty).count() == 0
+
+
+def test_mix_of_odd_texts_with_clashing_columns(documents):
+    docs = documents(ODD, ids=[0, 0, 2, 3, None, 5, 5, 7, 8, 9])
+    found = mixing.Mix(docs).taken().collect()
+    assert sorted(r["size"] for r in found) == sorted(len(words(t)) for t in ODD)
+    total = sum(len(words(t)) for t in ODD)
+    assert abs(sum(r.taken for r in found) - 1.5 * total) <= 1 and all(r.taken <= 2 * r["size"] for r in found)
+    pieces = mixing.mixed_texts(docs).collect()
+    assert sum(len(words(p.text)) for p in pieces) == sum(r.taken for r in found)
