@@ -10,14 +10,35 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import glob_like, token
+from ..functions.exprs import glob_like, token, whole
 
 FETCH = 25_000
 NULLS = ("", "NULL", "null", "None", "NaN", "<null>")
-# The two paste contracts' columns, in their order, with their types.
-STEP_COLUMNS = {"query_id": "long", "stream_id": "long", "segment_id": "long", "step_id": "long", "step_name": "string", "table_id": "long", "table_name": "string", "source": "string", "duration": "double", "input_rows": "double", "output_rows": "double", "input_bytes": "double", "output_bytes": "double", "data_skewness": "double", "time_skewness": "double", "is_rrscan": "boolean", "alert": "string"}
-TABLE_COLUMNS = {"database": "string", "schema": "string", "table_id": "long", "table": "string", "diststyle": "string", "sortkey1": "string", "size": "double", "tbl_rows": "double", "unsorted": "double", "stats_off": "double", "skew_rows": "double", "vacuum_sort_benefit": "double"}
-ALIASES = {"query": "query_id", "stream": "stream_id", "segment": "segment_id", "step": "step_id", "rows": "output_rows", "bytes": "output_bytes", "size_mb": "size", "unsorted_pct": "unsorted", "table_name": "table", "schema_name": "schema"}
+# The two paste contracts in the order in which the warehouse's views have their columns, with their types.
+STEP_COLUMNS = dict(x.split(":") for x in """user_id:long query_id:long transaction_id:long session_id:long database_name:string parent_query_id:long
+ child_query_sequence:long start_time:timestamp_ntz end_time:timestamp_ntz elapsed_time:long aborted:long step_name:string table_id:long table_name:string
+ schema_name:string input_bytes:long input_rows:long output_bytes:long output_rows:long query_text:string source_query_id:long redshift_version:string
+ result_cache_hit:boolean step_id:long stream_id:long is_rrscan:boolean segment_id:long is_child:boolean source_type:string query_blocks_read:long
+ spilled_block_local_disk:long spilled_block_remote_disk:long data_skewness:double time_skewness:double is_delayed_scan:boolean delayed_scan_rows:long
+ join_type:string alert_type:string""".split())
+TABLE_COLUMNS = dict(x.split(":") for x in """database:string schema:string table_id:long table:string encoded:string diststyle:string sortkey1:string max_varchar:long
+ sortkey1_enc:string sortkey_num:long size:long pct_used:double empty:long unsorted:double stats_off:double tbl_rows:long skew_sortkey1:double skew_rows:double
+ estimated_visible_rows:long risk_event:string vacuum_sort_benefit:double create_time:timestamp_ntz""".split())
+# Other names of the columns.
+STEP_ALIASES = dict(x.split(":") for x in """userid:user_id queryid:query_id xid:transaction_id pid:session_id database:database_name parent_queryid:parent_query_id
+ child_query_seq:child_query_sequence duration:elapsed_time operation:step_name tableid:table_id tbl_name:table_name schema:schema_name bytes:input_bytes
+ rows:input_rows out_bytes:output_bytes out_rows:output_rows sql:query_text source_queryid:source_query_id rs_version:redshift_version
+ cache_hit:result_cache_hit stepid:step_id streamid:stream_id rrscan:is_rrscan segmentid:segment_id child:is_child srctype:source_type
+ blocks_read:query_blocks_read spill_local:spilled_block_local_disk spill_remote:spilled_block_remote_disk skewness_data:data_skewness
+ skewness_time:time_skewness delayed_scan:is_delayed_scan delayed_rows:delayed_scan_rows jointype:join_type alert:alert_type""".split())
+TABLE_ALIASES = dict(x.split(":") for x in """db:database schemaname:schema tableid:table_id tbl:table tablename:table dist_style:diststyle sort_key:sortkey1
+ sortkey:sortkey1 sort_key_num:sortkey_num size_mb:size pct:pct_used empty_blocks:empty unsorted_pct:unsorted stats_stale:stats_off rows:tbl_rows
+ row_count:tbl_rows skew:skew_rows est_rows:estimated_visible_rows risk:risk_event vacuum_benefit:vacuum_sort_benefit created:create_time""".split())
+# How headerless columns are named by the shape of their values, first fit first.
+NUMBER, MOMENT, STEP_WORD = r"-?\d[\d,.eE+\-]*", r"\d{4}-\d{2}-\d{2}", r"(?i)\b(scan|hash|join|aggregate|sort|dist|bcast|broadcast|merge|limit|project|filter)\b"
+SMALL_NUMBERS = ("step_id", "stream_id", "segment_id", "aborted")
+LARGE_NUMBERS = ("elapsed_time", "input_rows", "output_rows", "input_bytes", "output_bytes", "query_id", "transaction_id")
+WORDS = ("table_name", "schema_name", "database_name", "join_type", "alert_type", "source_type")
 
 
 # Readers ---------------------------------------------------------------------------------------
@@ -123,72 +144,88 @@ def best_snapshot(rows: DataFrame, wanted: str | None = None) -> str | None:
 
 # Pastes and files ------------------------------------------------------------------------------
 def cleaned(text: str) -> str:
-    """Box drawing and framing bars go; the rest stays."""
+    """Drawn lines, enclosing bars and row numbers go; the rest stays."""
     lines = []
-    for line in text.replace("\r\n", "\n").split("\n"):
-        bare = line.strip()
-        if not bare or re.fullmatch(r"[\s+\-=|─│┌┐└┘├┤┬┴┼═║╔╗╚╝╠╣╦╩╬]+", bare):
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        line = line.rstrip()
+        if not line or re.fullmatch(r"[\s\u2500-\u257F\-=+_|`~*]+", line):
             continue
-        if bare[0] in "|│║" and bare[-1] in "|│║":
-            line = bare[1:-1].strip()
-        lines.append(re.sub(r"[│║]", "|", line))
+        line = line.replace("│", "|").replace("║", "|")
+        if (bare := line.strip()).startswith("|") and bare.endswith("|") and len(bare) > 1:
+            line = bare[1:-1]
+        lines.append(re.sub(r"^\s*\d+\s*[:|]\s+", "", line))
     return "\n".join(lines)
 
 
 def delimiter(sample: str) -> str:
-    """Tab, bar, semicolon or comma, whichever splits most lines alike; else runs of blanks."""
-    lines = [x for x in sample.split("\n") if x.strip()][:40]
-    for d in "\t|;,":
-        counts = [line.count(d) for line in lines]
-        if lines and min(counts) >= 1 and sum(c == counts[0] for c in counts) >= 0.7 * len(counts):
-            return d
-    return r"\s{2,}"
+    """Of tab, bar, semicolon and comma the one with the most fields of the first line times the lines alike; else runs of blanks."""
+    lines = [x for x in sample.split("\n")[:40] if x.strip()]
+    if not lines:
+        return "\t"
+    score = {d: lines[0].count(d) * sum(x.count(d) == lines[0].count(d) for x in lines) for d in "\t|;,"}
+    best = max(score, key=score.get)
+    return best if score[best] else r"\s{2,}"
 
 
 def rows_of(text: str, sep: str) -> list[list[str | None]]:
+    """Rows as wide as the first line: shorter ones are filled up, longer ones skipped."""
     if len(sep) > 1:
         raw = [re.split(sep, line.strip()) for line in text.split("\n") if line.strip()]
     else:
-        raw = [r for r in csv.reader(io.StringIO(text), delimiter=sep) if r]
-    width = max(map(len, raw), default=0)
-    return [[None if (v := x.strip()) in NULLS else v for x in r] for r in raw if len(r) == width]
+        raw = [r for r in csv.reader(io.StringIO(text), delimiter=sep, skipinitialspace=True) if r]
+    width = len(raw[0]) if raw else 0
+    return [[None if (v := x.strip()) in NULLS else v for x in r] + [None] * (width - len(r)) for r in raw if len(r) <= width]
+
+
+def header_name(cell: str | None) -> str:
+    return re.sub(r"_+", "_", re.sub(r"\W+", "_", (cell or "").strip().strip("\"'").lower())).strip("_")
 
 
 def has_header(first: list[str | None], known: set[str]) -> bool:
-    named = [str(x).strip().lower() for x in first if x]
-    return bool(named) and sum(x in known or x in ALIASES for x in named) >= 0.4 * len(named)
+    """Two of five cells are known names; or some are and none looks like data, where data do not fill half of the row."""
+    share = sum(header_name(x) in known for x in first) / max(len(first), 1)
+    data = sum(x is None or bool(re.fullmatch(NUMBER, x) or re.search(MOMENT, x)) for x in first)
+    return share >= 0.4 or (data < max(2, len(first) // 2) and data == 0 and share > 0)
 
 
 def shaped(columns: list[list[str | None]], contract: dict[str, str]) -> list[str]:
-    """Names for a headerless table by position, where widths agree; else by the shape of the values."""
-    names = list(contract)
-    if len(columns) == len(names):
-        return names
-    out, free = [], list(contract.items())
-    for values in columns:
-        seen = [v for v in values[:80] if v is not None]
-        numeric = bool(seen) and all(re.fullmatch(r"-?\d+(\.\d+)?", v) for v in seen)
-        pick = next((k for k, t in free if (t in ("long", "double")) == numeric), f"column_{len(out) + 1}")
-        free = [(k, t) for k, t in free if k != pick]
-        out.append(pick)
+    """Names for a headerless table: by position where the width is the contract's, else by the first 80 values of each column."""
+    if len(columns) == len(contract):
+        return list(contract)
+    out: list[str] = []
+    for k, values in enumerate(columns):
+        seen = [v for v in values if v is not None][:80]
+        n = max(len(seen), 1)
+        numbers, moments = (sum(bool(test(v)) for v in seen) / n for test in (lambda v: re.fullmatch(NUMBER, v.replace(",", "")), lambda v: re.search(MOMENT, v)))
+        fits: list[str] = []
+        if moments > 0.5:
+            fits += [c for c, kind in contract.items() if kind == "timestamp_ntz"]
+        if re.search(STEP_WORD, " ".join(seen[:10])):
+            fits.append("step_name")
+        if numbers > 0.8:
+            fits += [*(SMALL_NUMBERS if len(set(seen)) <= max(5, len(seen) // 10) else ()), *LARGE_NUMBERS]
+        if numbers < 0.2:
+            fits += WORDS
+        out.append(next((c for c in fits if c in contract and c not in out), f"col_{k}"))
     return out
 
 
-def pasted(spark: SparkSession, text: str, contract: dict[str, str], needed: str, order: list[str] = ()) -> DataFrame:
-    """A pasted table in its contract's columns; a value that does not fit its type becomes null."""
+def pasted(spark: SparkSession, text: str, contract: dict[str, str], aliases: dict[str, str], needed: str, order: list[str] = ()) -> DataFrame:
+    """A pasted table in its contract's columns; a value that does not fit its type becomes null. Of columns with one name the first counts."""
     body = cleaned(text)
     rows = rows_of(body, delimiter(body))
     if not rows:
         raise ValueError("nothing to read")
-    if has_header(rows[0], set(contract)):
-        names = [ALIASES.get(str(x).strip().lower(), str(x).strip().lower()) if str(x).strip().lower() not in contract else str(x).strip().lower() for x in rows[0]]
-        rows = rows[1:]
+    if has_header(rows[0], set(contract) | set(aliases)):
+        names, rows = [header_name(x) for x in rows[0]], rows[1:]
     else:
         names = shaped([list(c) for c in zip(*rows, strict=True)], contract)
+    names = [n if n in contract else aliases.get(n, n) for n in names]
+    keep = [k for k, n in enumerate(names) if n in contract and n not in names[:k]]
     if needed not in names:
         raise ValueError(f"no column {needed}")
-    schema = ", ".join(f"`{n}` string" for n in names)
-    out = typed(spark.createDataFrame(rows, schema), contract)
+    schema = ", ".join(f"`{names[k]}` string" for k in keep)
+    out = typed(spark.createDataFrame([tuple(r[k] for k in keep) for r in rows], schema), contract)
     return out.orderBy(*[F.asc_nulls_last(c) for c in order]) if order else out
 
 
@@ -202,35 +239,41 @@ def typed(df: DataFrame, contract: dict[str, str]) -> DataFrame:
         if kind == "boolean":
             low = F.lower(v)
             return F.when(low.isin("t", "true", "1", "y", "yes"), True).when(low.isin("f", "false", "0", "n", "no"), False).alias(name)
-        return (v if kind == "string" else v.try_cast("double").cast("long") if kind == "long" else v.try_cast(kind)).alias(name)
+        return (v if kind == "string" else whole(name) if kind == "long" else v.try_cast(kind)).alias(name)
 
     return df.select(*[one(n, k) for n, k in contract.items()])
 
 
 def pasted_steps(spark: SparkSession, text: str) -> DataFrame:
-    return pasted(spark, text, STEP_COLUMNS, "step_name", ["stream_id", "segment_id", "step_id"])
+    return pasted(spark, text, STEP_COLUMNS, STEP_ALIASES, "step_name", ["stream_id", "segment_id", "step_id"])
 
 
 def pasted_tables(spark: SparkSession, text: str) -> DataFrame:
-    return pasted(spark, text, TABLE_COLUMNS, "table")
+    return pasted(spark, text, TABLE_COLUMNS, TABLE_ALIASES, "table")
+
 
+#: What the bytes 128 to 159 stand for in Windows files; the reader knows them as control characters only.
+_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
+_WINDOWS = "".join(bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0))
 
-def imported(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "UTF-16", "ISO-8859-1")) -> DataFrame:
-    """A delimited file with a header, all columns text; the delimiter and encoding are probed on its first lines."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65_536).alias("c")).first()["c"]
-    if bytes(head[:2]) not in (b"\xff\xfe", b"\xfe\xff"):  # UTF-16 needs its byte order mark
-        encodings = tuple(e for e in encodings if e != "UTF-16")
-    for e in encodings:
+
+def imported(spark: SparkSession, path: str) -> DataFrame:
+    """A delimited file with a header, all columns text; the delimiter and encoding (UTF-8, UTF-16, Windows-1252) are probed on its first lines."""
+    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65_536).alias("c")).first()["c"])
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):  # UTF-16 needs its byte order mark
+        encoding, sample = "UTF-16", head.decode("utf-16", "ignore")
+    else:
         try:
-            sample = bytes(head).decode("utf-8-sig" if e == "UTF-8" else e)
-            break
+            encoding, sample = "UTF-8", head.decode("utf-8-sig")
         except UnicodeDecodeError as error:
-            if error.start > len(head) - 4:  # a character cut by the probe's end
-                sample = bytes(head).decode("utf-8-sig" if e == "UTF-8" else e, "ignore")
-                break
+            cut = error.start > len(head) - 4 and len(head) == 65_536  # a character cut by the probe's end
+            encoding = "UTF-8" if cut else "ISO-8859-1"
+            sample = head.decode("utf-8-sig" if cut else "cp1252", "ignore")
     sep = delimiter(sample)
-    df = spark.read.csv(path, sep=sep if len(sep) == 1 else "\t", header=True, inferSchema=False, encoding=e, mode="DROPMALFORMED", multiLine=e == "UTF-16")
-    return df.select(*[token(f"`{c}`").alias(c.strip("﻿ ").lower()) for c in df.columns])
+    df = spark.read.csv(path, sep=sep if len(sep) == 1 else "\t", header=True, inferSchema=False, encoding=encoding, mode="DROPMALFORMED", multiLine=encoding == "UTF-16")
+    windows = lambda text: text.translate(str.maketrans(_CONTROLS, _WINDOWS))
+    value = (lambda c: F.translate(token(c), _CONTROLS, _WINDOWS)) if encoding == "ISO-8859-1" else token
+    return df.select(*[value(f"`{c}`").alias((windows(c) if encoding == "ISO-8859-1" else c).strip("\ufeff ").lower()) for c in df.columns])
 
 
 def definitions(rows: DataFrame, prefix: str = "definition_part_") -> DataFrame:

@@ -175,23 +175,48 @@ def test_first_source_wins(spark):
 
 # Imports ---------------------------------------------------------------------------------------
 def test_pastes(spark):
-    text = "┌────┐\n| step_name | table_id | segment | stream | step | is_rrscan | duration |\n|---|---|---|---|---|---|---|\n| scan | 7 | 1 | 0 | 2 | t | 12.5 |\n| hash join | NULL | 0 | 0 | 1 | f | oops |\n"
+    text = "┌────┐\n| step_name | table_id | segmentid | stream id | step_id | is_rrscan | duration |\n|---|---|---|---|---|---|---|\n| scan | 7 | 1 | 0 | 2 | t | 12 |\n| hash join | NULL | 0 | 0 | 1 | f | oops |\n"
     got = capture.pasted_steps(spark, text).collect()
-    assert [(r.step_name, r.table_id, r.step_id, r.is_rrscan, r.duration) for r in got] == [("hash join", None, 1, False, None), ("scan", 7, 2, True, 12.5)]
-    t = capture.pasted_tables(spark, "table\tsize\tunsorted_pct\nt1\t10\t5\nt2\t<null>\t7.5").collect()
-    assert [(r.table, r.size, r.unsorted) for r in t] == [("t1", 10.0, 5.0), ("t2", None, 7.5)]
+    assert [(r.step_name, r.table_id, r.step_id, r.is_rrscan, r.elapsed_time) for r in got] == [("hash join", None, 1, False, None), ("scan", 7, 2, True, 12)]
+    t = capture.pasted_tables(spark, "table\tsize_mb\tunsorted_pct\tcreated\nt1\t10\t5\t2024-05-01 10:00:00\nt2\t<null>\t7.5\tsoon").collect()
+    assert [(r.table, r.size, r.unsorted, str(r.create_time)) for r in t] == [("t1", 10, 5.0, "2024-05-01 10:00:00"), ("t2", None, 7.5, "None")]
     with pytest.raises(ValueError, match="no column"):
         capture.pasted_steps(spark, "5,6\n1,2\n3,4")
-    positional = "\n".join(",".join([str(i), *["0"] * 3, "scan", *["1"] * 12]) for i in range(3))
-    assert [r.query_id for r in capture.pasted_steps(spark, positional).collect()] == [0, 1, 2]
+    names = list(capture.STEP_COLUMNS)
+    assert len(names) == 38 and len(capture.TABLE_COLUMNS) == 22
+    positional = "\n".join(",".join("scan" if c == "step_name" else "x" if t == "string" else str(i) for c, t in capture.STEP_COLUMNS.items()) for i in range(3))
+    assert [(r.query_id, r.step_name, r.alert_type) for r in capture.pasted_steps(spark, positional).collect()] == [(i, "scan", "x") for i in range(3)]
 
 
-@pytest.mark.parametrize("encoding", ["utf-8-sig", "utf-16", "latin-1"])
+def test_one_bad_line_does_not_cost_the_good_ones():
+    assert capture.rows_of("a\tb\n1\t2\n3\t4\n5\t6\tjunk\n7\n", "\t") == [["a", "b"], ["1", "2"], ["3", "4"], ["7", None]]
+
+
+def test_pastes_lose_row_numbers_and_drawn_lines():
+    assert capture.cleaned("├───┼───┤\n| a | b |\n1 | foo | bar\n2: x | y\n----\n12 apples") == " a | b \nfoo | bar\nx | y\n12 apples"
+
+
+def test_delimiters_are_scored():
+    assert capture.delimiter("a;b,c,d\n1;2,3,4") == ","
+    assert capture.delimiter("a|b;c\n1|2\n3|4") == "|"
+    assert capture.delimiter("a  b   c\n1  2  3") == r"\s{2,}"
+
+
+def test_headers_and_shapes():
+    known = set(capture.STEP_COLUMNS) | set(capture.STEP_ALIASES)
+    assert capture.has_header(["Step Name", "zzz"], known) and capture.has_header(["xid", "a", "b", "c"], known)
+    assert not capture.has_header(["xid", "1", "2024-01-01", None], known) and not capture.has_header(["a", "b"], known)
+    columns = [["2024-01-01 10:00", "2024-01-02 10:00"], ["hash join", "scan"], ["1", "2"] * 40, [str(i * 7) for i in range(80)], ["t_a", "t_b"], ["1,5", "x", "3"]]
+    assert capture.shaped(columns, capture.STEP_COLUMNS) == ["start_time", "step_name", "step_id", "elapsed_time", "table_name", "col_5"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8-sig", "utf-16", "cp1252"])
 def test_file_imports(spark, tmp_path, encoding):
     p = tmp_path / "f.csv"
-    p.write_bytes("Name;Größe\nä;1\nNULL;2\n".encode(encoding))
+    p.write_bytes("Name;Größe “€”\nä – “x”;1\nNULL;2\n".encode(encoding))
     rows = capture.imported(spark, str(p)).collect()
-    assert [(r[0], r[1]) for r in rows] == [("ä", "1"), (None, "2")]
+    assert [(r[0], r[1]) for r in rows] == [("ä – “x”", "1"), (None, "2")]
+    assert capture.imported(spark, str(p)).columns == ["name", "größe “€”"]
 
 
 def test_definitions_and_globs(spark):
