@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, designs, externals, groups, lookup_queries, stores, texts
+from . import core, designs, externals, groups, layers, lookup_queries, stores, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (core, groups, externals, designs, stores, texts, lookup_queries):
+for _module in (core, groups, externals, designs, stores, texts, lookup_queries, layers):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
