@@ -84,34 +84,102 @@ def external_tables(catalog: DataFrame, rolled: DataFrame) -> DataFrame:
     return out.withColumn("partition_pruning_pct", pct).withColumn("pruning_band", pruning_band(F.col("partition_pruning_pct"))).withColumn("avg_files_per_segment", ratio("scanned_files", "segment_count")).withColumn("files_per_query", ratio("scanned_files", "query_count"))
 
 
-def _issue(code: str, weight: Column, title: str) -> Column:
-    return F.when(weight.isNotNull(), F.struct(F.lit(code).alias("code"), weight.cast("int").alias("weight"), F.lit(title).alias("title")))
+# The titles of the recommendations; equal weights are told in their order.
+TITLES = {
+    "COLUMNAR": "Convert the S3 dataset to a columnar format",
+    "PRUNE": "Make queries prune the existing partitions",
+    "REDESIGN": "Redesign or verify the partition strategy",
+    "TIGHTEN": "Tighten partition predicates",
+    "EVALUATE": "Evaluate a workload-aligned partition key",
+    "COMPACT": "Compact and rebalance the S3 files",
+    "SIZING": "Review S3 file sizing and fan-out",
+    "EARLIER": "Push selective work earlier",
+    "PUSHDOWN": "Review predicate and column pushdown",
+    "STAGE": "Materialize or stage the repeated external working set",
+    "STATISTICS": "Verify external-table statistics",
+    "QUALITY": "Resolve recurring Spectrum warnings or data errors",
+    "LOCAL": "Review a local distributed stage for downstream work",
+}
+
+
+def _issues(tables: DataFrame) -> Column:
+    """array<struct<code, weight, title>> of the rules that hold; of a family's rules the first."""
+    x = lambda c: zero(c).cast("double") if c in tables.columns else F.lit(0.0)
+    gb, runs, keyed = x("scan_gb"), x("query_count"), (x("partition_keys") > 0)
+    many, pruned = x("total_partitions") > 1, F.coalesce(F.col("partition_pruning_pct"), F.lit(-1.0))
+    listing, files = x("s3list_time_ms") / F.greatest(runs, F.lit(1.0)), x("avg_files_per_segment")
+    matched_steps, filtered = x("output_metric_match_count") > 0, x("row_filter_efficiency_pct")
+    columnar = F.regexp_replace(F.upper(F.coalesce("input_format", F.lit(""))), "[^A-Z0-9]", "").rlike("PARQUET|ORC|RCFILE")
+    counted = F.coalesce("parameters", F.lit("")).rlike("(?i)(?:^|[^a-z])numrows(?:[^a-z]|$)")
+    heavy = F.when(gb >= 10, 30).otherwise(20)
+    families = [
+        [("COLUMNAR_FORMAT", "COLUMNAR", ~columnar & (F.coalesce("input_format", F.lit("")) != ""), F.lit(30))],
+        [
+            ("PARTITION_PREDICATE", "PRUNE", many & (pruned < 50) & keyed, heavy),
+            ("PARTITION_DESIGN", "REDESIGN", many & (pruned < 50), heavy),
+            ("PARTITION_PREDICATE", "TIGHTEN", many & (pruned < 90) & (gb >= 10), F.lit(15)),
+            ("PARTITION_DESIGN", "EVALUATE", ~many & ~keyed & (gb >= 25), F.lit(20)),
+        ],
+        [("FILE_LAYOUT", "COMPACT", (files > 1000) | (x("files_per_query") > 5000) | (listing > 2000), F.lit(25)), ("FILE_LAYOUT", "SIZING", (files > 100) | (listing > 500), F.lit(15))],
+        [("PUSHDOWN", "EARLIER", matched_steps & (filtered >= 90) & (gb >= 25), F.lit(20)), ("PUSHDOWN", "PUSHDOWN", matched_steps & (filtered >= 50) & (gb >= 100), F.lit(12))],
+        [("MATERIALIZE_OR_STAGE", "STAGE", (runs >= 10) & ((gb >= 100) | (x("external_duration_s") >= 3600)), F.when((runs >= 25) | (gb >= 500), 25).otherwise(18))],
+        [("EXTERNAL_STATISTICS", "STATISTICS", ~counted & (runs >= 5) & (gb >= 10), F.lit(12))],
+        [("DATA_QUALITY", "QUALITY", (x("warning_count") > 5) | (x("error_count") > 0), F.when(x("error_count") > 0, 20).otherwise(12))],
+        [("LOCAL_STAGE_DESIGN", "LOCAL", (x("external_spill_blocks") > 0) & (runs >= 5), F.lit(12))],
+    ]
+    found = []
+    for rules in families:
+        first = F.lit(None)
+        for code, title, when, weight in reversed(rules):
+            first = F.when(when, F.struct(F.lit(code).alias("code"), weight.cast("int").alias("weight"), F.lit(TITLES[title]).alias("title"))).otherwise(first)
+        found.append(first)
+    return F.array_compact(F.array(*found))
 
 
 def assessed(tables: DataFrame) -> DataFrame:
     """Issues, score, priority and confidence of each external table with activity."""
-    c = {k: zero(k) for k in ("scan_gb", "query_count", "total_partitions", "partition_pruning_pct", "avg_files_per_segment", "files_per_query", "s3list_time_ms", "external_duration_s", "warning_count", "partition_keys")}
-    gb, runs, keys = c["scan_gb"], c["query_count"], c["partition_keys"]
-    partitioned, poor = (c["total_partitions"] > 1) & F.col("partition_pruning_pct").isNotNull(), c["partition_pruning_pct"] < 50
-    columnar = F.lower(F.coalesce("input_format", F.lit(""))).rlike("parquet|orc")
-    partition_weight = F.when(partitioned & poor, F.when(gb >= 10, 30).otherwise(20)).when(partitioned & (c["partition_pruning_pct"] < 90) & (gb >= 10), 15)
-    design_weight = F.when(partitioned & poor & (keys == 0), F.when(gb >= 10, 30).otherwise(20)).when((keys == 0) & (gb >= 25), 20)
-    files_weight = F.when((c["avg_files_per_segment"] > 1000) | (c["files_per_query"] > 5000) | (c["s3list_time_ms"] > 2000), 25).when((c["avg_files_per_segment"] > 100) | (c["s3list_time_ms"] > 500), 15)
-    stage_weight = F.when((runs >= 10) & ((gb >= 100) | (c["external_duration_s"] >= 3600)), F.when((runs >= 25) | (gb >= 500), 25).otherwise(18))
-    issues = F.array_compact(F.array(
-        _issue("COLUMNAR_FORMAT", F.when(~columnar, 30), "Store the table in a columnar format"),
-        _issue("PARTITION_PREDICATE", F.when(keys > 0, partition_weight), "Filter on the partition keys"),
-        _issue("PARTITION_DESIGN", design_weight, "Partition the table"),
-        _issue("FILE_LAYOUT", files_weight, "Merge small files"),
-        _issue("MATERIALIZE_OR_STAGE", stage_weight, "Keep a local copy of the hot part"),
-        _issue("EXTERNAL_STATISTICS", F.when(~F.coalesce("parameters", F.lit("")).contains("numRows") & (runs >= 5) & (gb >= 10), 12), "Set the row count"),
-        _issue("DATA_QUALITY", F.when(c["warning_count"] > 5, 20).when(c["warning_count"] > 0, 12), "Look into warnings"),
-    ))
     active = tables.where((F.col("query_count") > 0) & (F.col("scan_gb") > 0))
-    ordered = F.array_sort(issues, lambda a, b: F.when(a["weight"] != b["weight"], F.when(a["weight"] > b["weight"], -1).otherwise(1)).otherwise(F.when(a["title"] < b["title"], -1).when(a["title"] > b["title"], 1).otherwise(0)))
-    out = active.withColumn("issues", ordered).withColumn("score", F.least(F.aggregate("issues", F.lit(0), lambda a, i: a + i["weight"]), F.lit(100)))
-    score = F.col("score")
-    return out.withColumn("priority", F.when(score >= 70, "critical").when(score >= 45, "high").when(score >= 20, "medium").when(score > 0, "low").otherwise("none")).withColumn("confidence", F.when(runs >= 25, "high").when(runs >= 5, "medium").otherwise("low"))
+    before = lambda a, b: F.when(a["weight"] != b["weight"], b["weight"] - a["weight"]).when(a["title"] < b["title"], -1).when(a["title"] > b["title"], 1).otherwise(0)
+    out = active.withColumn("issues", F.array_sort(_issues(active), before)).withColumn("score", F.least(F.aggregate("issues", F.lit(0), lambda a, i: a + i["weight"]), F.lit(100)))
+    score, steps = F.col("score"), zero("output_metric_match_count") if "output_metric_match_count" in active.columns else F.lit(0)
+    priority = F.when(score >= 70, "critical").when(score >= 45, "high").when(score >= 20, "medium").when(score > 0, "low").otherwise("none")
+    return out.withColumn("priority", priority).withColumn("confidence", F.when((F.col("query_count") >= 5) & (steps > 0), "high").otherwise("medium"))
+
+
+def step_outputs(segments: DataFrame, steps: DataFrame) -> DataFrame:
+    """Segments with the rows and spill of their steps: the step of the same query and segment whose name is the segment's or a dotted end of it, or the other way round.
+
+    steps: query_id, segment_id, step_table, output_rows, spill_blocks. Both sides meet by query and segment, so the
+    comparison of names is a residual condition on few rows."""
+    a, b = F.lower(F.coalesce("table_name", F.lit(""))), F.lower("step_table")
+    fits = (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a))
+    s = steps.withColumnsRenamed({"query_id": "_q", "segment_id": "_s"})
+    joined = segments.join(s, (F.col("query_id") == F.col("_q")) & (F.col("segment_id") == F.col("_s")) & (a != "") & fits, "left")
+    return joined.drop("_q", "_s", "step_table")
+
+
+def output_rollup(found: DataFrame) -> DataFrame:
+    """Per external table: matched steps, how many scanned rows they filtered, and their spill. Expects step_outputs with ext_id."""
+    per = found.where(F.col("ext_id").isNotNull()).groupBy("ext_id").agg(F.count("output_rows").alias("output_metric_match_count"), F.sum(F.when(F.col("output_rows").isNotNull(), zero("returned_rows"))).alias("_in"), F.sum("output_rows").alias("_out"), F.sum(zero("spill_blocks")).alias("external_spill_blocks"))
+    return per.withColumn("row_filter_efficiency_pct", F.when(F.col("_in") > 0, F.greatest(F.lit(0.0), 100.0 * (F.col("_in") - F.col("_out")) / F.col("_in")))).drop("_in", "_out")
+
+
+def star(catalog: DataFrame, rolled: DataFrame, columns: DataFrame, outputs: DataFrame, errors: DataFrame) -> DataFrame:
+    """The catalogue with its columns, activity, step outputs and errors; tables without any of them stay. All but the catalogue have one row for each table."""
+    out = external_tables(catalog, rolled)
+    for part, key in ((columns, "external_table_key"), (outputs, "ext_id"), (errors, "ext_id")):
+        out = out.join(part, key, "left")
+    return out
+
+
+def scanned_most(tables: DataFrame) -> DataFrame:
+    """External tables that scanned anything, most first."""
+    return tables.where(zero("scan_gb") > 0).orderBy(F.desc("scan_gb"), "ext_id")
+
+
+def unpartitioned(tables: DataFrame) -> DataFrame:
+    """External tables in use that have no partition key, most scanned first."""
+    return tables.where((zero("query_count") > 0) & (zero("partition_keys") <= 0)).orderBy(F.desc(zero("scan_gb")), "ext_id")
 
 
 def from_activity(segments: DataFrame) -> DataFrame:

@@ -152,6 +152,12 @@ def actions(slow: DataFrame, reviewed: DataFrame, rewrites: DataFrame) -> DataFr
     return t.unionByName(q).unionByName(r)
 
 
+def ranked_by(found: DataFrame, by: str, score: str, most: int = 200) -> DataFrame:
+    """The best `most` rows by score of each `by` (a snapshot, say) with their rank in it."""
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.desc_nulls_last(score), "subject", "rule_id"))
+    return found.withColumn("priority_rank", place.cast("long")).where(F.col("priority_rank") <= most)
+
+
 def ranked(found: DataFrame, score: str, most: int = 200) -> DataFrame:
     """The best `most` rows by score with their rank; the limit comes first, so the ranking window sees `most` rows."""
     order = [F.desc(score), F.asc("subject"), F.asc("rule_id")]

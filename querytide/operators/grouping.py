@@ -77,12 +77,54 @@ def groups(found: DataFrame, min_size: int = LEAST_GROUP) -> DataFrame:
     return out.withColumn("sql_tables", F.array_join(F.array_sort(shapes.tables("shape")), ", ")).withColumn("repeat_group_key", shapes.digest(F.concat_ws("|", "repeat_kind", "constraint_key", "shape")))
 
 
-def display_ranked(grouped: DataFrame, most: int = 10_000) -> DataFrame:
-    """RQ001… by (total runtime, risk, size); the rank is made over the `most` heaviest groups."""
+def display_ranked(grouped: DataFrame) -> DataFrame:
+    """RQ001… by (total runtime, risk, size) over all groups.
+
+    Groups fall into classes of runtime; a class's first rank follows from the sizes of the heavier classes, so no
+    window holds more than one class."""
     order = [F.desc("total_runtime_s"), F.desc("max_risk"), F.desc("query_count"), F.asc("repeat_group_key")]
-    top = grouped.orderBy(*order).limit(most)
-    rank = F.row_number().over(W.orderBy(*order))
-    return top.withColumn("group_rank", rank.cast("long")).withColumn("repeat_group_id", F.concat(F.lit("RQ"), F.lpad(F.col("group_rank").cast("string"), 3, "0")))
+    classed = grouped.withColumn("_class", F.floor(1000 * F.log1p(F.greatest(zero("total_runtime_s"), F.lit(0.0)))))
+    heavier = W.orderBy(F.desc("_class")).rowsBetween(W.unboundedPreceding, -1)  # a row for each class: some thousands
+    first = classed.groupBy("_class").agg(F.count("*").alias("_n")).select("_class", F.coalesce(F.sum("_n").over(heavier), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.row_number().over(W.partitionBy("_class").orderBy(*order))
+    top = classed.join(first, "_class").withColumn("group_rank", rank.cast("long")).drop("_class", "_before")
+    return top.withColumn("repeat_group_id", F.concat(F.lit("RQ"), F.lpad(F.col("group_rank").cast("string"), F.greatest(F.lit(3), F.length(F.col("group_rank").cast("string"))), F.lit("0"))))
+
+
+def report(found: DataFrame, sums: list[str] = (), means: list[str] = (), merged: DataFrame | None = None, least: int = LEAST_GROUP) -> DataFrame:
+    """The whole report of repeat groups: near-equal shapes merged (rows of fuzzy_merged), sizes judged after the merge.
+
+    Totals and means of the given columns; the least, largest and mean similarity of the members' shapes to their group;
+    the union and the intersection of the shapes' tables, predicate operators and joins; the first seen member as
+    representative; all ids; and a durable key, with a number where two groups would share it. Shapes are analysed once
+    for each constraint key, never for each statement."""
+    if merged is not None:
+        found = found.join(merged.select("constraint_key", "merged_key", "similarity"), "constraint_key", "left")
+    else:
+        found = found.withColumns({"merged_key": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")})
+    found = found.withColumn("group_key", F.coalesce("merged_key", "constraint_key")).withColumn("similarity", F.coalesce("similarity", F.lit(1.0)))
+    shape = found.groupBy("group_key", "constraint_key").agg(F.min("shape").alias("shape"))
+    sets = {"tables": shapes.tables("shape"), "predicate_ops": shapes.predicate_operators("shape")}
+    lists = shape.groupBy("group_key").agg(F.count("*").alias("shape_count"), *[F.collect_list(v).alias(k) for k, v in sets.items()])
+    both = [F.array_join(F.array_sort(F.array_distinct(F.flatten(k))), ", ").alias(f"all_{k}") for k in sets] + [F.array_join(F.array_sort(F.aggregate(k, F.element_at(k, 1), lambda a, x: F.array_intersect(a, x))), ", ").alias(f"common_{k}") for k in sets]
+    lists = lists.select("group_key", "shape_count", *both)
+    seen = F.col("query_id")
+    out = found.groupBy("group_key").agg(
+        F.count("*").alias("query_count"),
+        *[F.sum(zero(c)).alias(f"total_{c}") for c in sums],
+        *[F.avg(c).alias(f"avg_{c}") for c in means],
+        F.min("similarity").alias("min_similarity"),
+        F.max("similarity").alias("max_similarity"),
+        F.avg("similarity").alias("avg_similarity"),
+        F.min_by("query_id", seen).alias("representative_id"),
+        F.min_by("shape", seen).alias("shape"),
+        F.min_by("kind", seen).alias("repeat_kind"),
+        F.size(F.collect_set("user_name")).cast("long").alias("user_count"),
+        F.array_sort(F.collect_set("query_id")).alias("query_ids"),
+    )
+    out = out.where(F.col("query_count") >= max(2, least)).join(lists, "group_key").withColumn("_key", shapes.digest(F.concat_ws("|", "repeat_kind", "group_key", "shape")))
+    again = F.row_number().over(W.partitionBy("_key").orderBy("group_key"))
+    return out.withColumn("_n", again).withColumn("repeat_group_key", F.when(F.col("_n") > 1, F.concat("_key", F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col("_key"))).drop("_key", "_n")
 
 
 def members(found: DataFrame, grouped: DataFrame, shown: int = 10) -> DataFrame:

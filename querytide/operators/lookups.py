@@ -118,7 +118,17 @@ def most_common(rows: DataFrame, group: str, value: Column, order: str, k: int =
     return counted.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= k)
 
 
-def catalog_closure(names: list[str], catalog: DataFrame, views: DataFrame, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def filtered_external(tables: DataFrame, schema: str | None = None, least_gb: float = 0, least_queries: int = 0, problems_only: bool = False) -> DataFrame:
+    """The external heat map's rows, most scanned first; problems are tables without partition keys, with poor pruning or with warnings."""
+    out = tables.where((zero("scan_gb") >= least_gb) & (zero("query_count") >= least_queries))
+    if schema:
+        out = out.where(F.lower("schema_name") == schema.lower())
+    if problems_only:
+        out = out.where((zero("partition_keys") <= 0) | (zero("partition_pruning_pct") < 50) | (zero("warning_count") > 0))
+    return out.orderBy(F.desc(zero("scan_gb")), "ext_id")
+
+
+def catalog_closure(names: list[str], catalog: DataFrame, views: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables and views that some names reach, through view bodies, until nothing new comes.
 
     catalog: table_key; views: view_key, source_definition. Returns (tables, views) of the closure."""
@@ -126,12 +136,13 @@ def catalog_closure(names: list[str], catalog: DataFrame, views: DataFrame, roun
     wanted = spark.createDataFrame([(n.lower(),) for n in names], "name string")
     index = views.select("view_key", "source_definition", F.explode(suffixes(F.col("view_key"))).alias("name"))
     seen, frontier = wanted, wanted
-    for _ in range(rounds):
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)  # cuts the lineage of long chains
+    while True:
         bodies = index.join(frontier, "name", "left_semi").select(F.explode(shapes.tables(shapes.regex_shape("source_definition"))).alias("name")).distinct()
-        frontier = bodies.join(seen, "name", "left_anti")
+        frontier = keep(bodies.join(seen, "name", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = keep(seen.unionByName(frontier))
     t = catalog.withColumn("name", F.explode(suffixes(F.col("table_key")))).join(seen, "name", "left_semi").drop("name").dropDuplicates(["table_key"])
     return t, index.join(seen, "name", "left_semi").select("view_key").distinct()
 

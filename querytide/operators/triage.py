@@ -142,11 +142,11 @@ def fix_script(review: DataFrame, advice: DataFrame) -> DataFrame:
     return upkeep.unionByName(design)
 
 
-def script_text(lines: DataFrame, most: int = 10_000) -> str:
-    """The script itself, from the `most` most pressing lines."""
-    rows = lines.orderBy(F.desc("section"), F.desc("weight"), "table_id", "step").limit(most).collect()
+def script_text(lines: DataFrame) -> str:
+    """The script itself: every line, the most pressing first; one partition at a time comes to the driver."""
+    rows = lines.orderBy(F.desc("section"), F.desc("weight"), "table_id", "step")
     out, section = [], None
-    for r in rows:
+    for r in rows.toLocalIterator():
         if r["section"] != section:
             section = r["section"]
             out += ["", f"-- {section}"]
@@ -159,16 +159,18 @@ def enriched_steps(steps: DataFrame, tables: DataFrame) -> DataFrame:
     """Steps with category, share of runtime, previous step of the stream and segment, and table figures."""
     flow = W.partitionBy("query_id", "stream_id", "segment_id").orderBy("step_id", F.col("table_id").asc_nulls_last(), F.desc("duration"))
     total = F.sum("duration").over(W.partitionBy("query_id"))
-    s = steps.withColumn("category", step_category("step_name")).withColumn("pct_runtime", ratio(100.0 * F.col("duration"), total)).withColumn("previous_step", F.lag("step_name").over(flow)).withColumn("previous_table", F.lag("table_id").over(flow))
+    s = steps.withColumn("category", step_category("step_name")).withColumn("pct_runtime", ratio(100.0 * F.col("duration"), total)).withColumn("previous_step", F.lag("step_name").over(flow)).withColumn("previous_table", F.lag("table_id").over(flow)).withColumn("previous_pct", F.lag("pct_runtime").over(flow))
     return s.join(tables.select("table_id", "diststyle", "sortkey1", "unsorted_pct", "stats_off", "skew_rows", "tbl_rows"), "table_id", "left")
 
 
 def step_findings(steps: DataFrame) -> DataFrame:
-    """Findings of enriched steps, by query."""
-    previous = step_category("previous_step")
+    """Findings of enriched steps, by query. Redistribution is judged by its share of a query's whole time, once for each query."""
+    moving = F.col("category") == "redistribute"
+    share = steps.groupBy("query_id").agg(ratio(F.sum(F.when(moving, F.col("duration"))), F.sum("duration")).alias("share"), F.max_by(F.struct("stream_id", "segment_id", "step_id"), F.when(moving, F.struct(zero("duration").alias("d"), (-F.col("step_id")).alias("s")))).alias("worst"))
+    share = share.where(F.col("share") >= 0.15).select("query_id", "worst.*", F.lit("REDISTRIBUTION").alias("finding"), F.when(F.col("share") > 0.4, "crit").otherwise("warn").alias("severity"), F.col("share").alias("impact"))
+    same = F.col("previous_table").eqNullSafe(F.col("table_id"))
     checks = [
-        ("REDISTRIBUTION", (F.col("category") == "redistribute") & (F.col("pct_runtime") >= 15), F.col("pct_runtime") >= 40, F.col("pct_runtime")),
-        ("DISTKEY_MISMATCH", (F.col("category") == "join") & (previous == "redistribute"), F.lit(False), F.col("pct_runtime")),
+        ("DISTKEY_MISMATCH", (F.col("category") == "join") & F.upper(F.coalesce("diststyle", F.lit(""))).contains("KEY") & (step_category("previous_step") == "redistribute") & same, F.lit(True), (zero("pct_runtime") + zero("previous_pct")) / 100),
         ("UNSORTED_SCAN", (F.col("category") == "scan") & (zero("unsorted_pct") >= 20) & (zero("input_rows") > 1_000_000), zero("unsorted_pct") >= 50, zero("unsorted_pct").cast("double")),
         ("STALE_STATS", (zero("stats_off") >= 10), zero("stats_off") >= 25, zero("stats_off").cast("double")),
         ("SKEW", zero("data_skewness") >= 3, zero("data_skewness") >= 5, 10.0 * zero("data_skewness")),
@@ -177,7 +179,8 @@ def step_findings(steps: DataFrame) -> DataFrame:
         ("ALERT", F.coalesce("alert", F.lit("")) != "", F.lit(False), F.lit(40.0)),
     ]
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("finding"), F.when(crit, "crit").otherwise("warn").alias("severity"), m.cast("double").alias("impact"))) for k, c, crit, m in checks]))
-    return steps.select("query_id", "stream_id", "segment_id", "step_id", F.explode(found).alias("f")).select("query_id", "stream_id", "segment_id", "step_id", "f.*")
+    each = steps.select("query_id", "stream_id", "segment_id", "step_id", F.explode(found).alias("f")).select("query_id", "stream_id", "segment_id", "step_id", "f.*")
+    return each.unionByName(share)
 
 
 # Plans -----------------------------------------------------------------------------------------
@@ -204,6 +207,26 @@ def plan_findings(evidence: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
     return evidence.select("query_id", "plan_node_id", F.explode(found).alias("f")).select("query_id", "plan_node_id", "f.*")
 
 
+LARGE_ROWS, LARGE_MB = 1_000_000, 1024
+
+
+def unkeyed_findings(tables: DataFrame, referenced: DataFrame | None = None) -> DataFrame:
+    """Large tables (among those referenced: one column table_id) without a distribution or sort key, and the skewed ones of them."""
+    if referenced is not None:
+        tables = tables.join(referenced.select("table_id").distinct(), "table_id", "left_semi")
+    no_dist, no_sort = distkey("diststyle").isNull(), missing_key("sortkey1")
+    large = tables.where((no_dist | no_sort) & ((zero("tbl_rows") >= LARGE_ROWS) | (zero("size_mb") >= LARGE_MB)))
+    found = F.array_compact(F.array(F.struct(F.lit("TABLE_UNKEYED").alias("finding"), F.when(no_dist, "high").otherwise("medium").alias("severity")), F.when(zero("skew_rows") >= 4, F.struct(F.lit("TABLE_SKEW").alias("finding"), F.lit("high").alias("severity")))))
+    return large.select("table_id", F.explode(found).alias("f")).select("table_id", "f.*")
+
+
+def ranked_findings(found: DataFrame, ties: list[str], most: int = 200) -> DataFrame:
+    """Findings by tier, severity and whether they have evidence, best first, with their place."""
+    out = found.withColumn("weight", F.when(F.col("severity") == "crit", 3).when(F.col("severity") == "high", 2).otherwise(1))
+    order = [F.asc("tier"), F.desc("weight"), F.desc("evidence"), *[F.asc(c) for c in ties]]
+    return out.orderBy(*order).limit(most).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
+
+
 def health(review: DataFrame) -> DataFrame:
     """Heat-map health: distribution, sorting and statistics of each table, and the worst of the first two."""
     dist = F.when(zero("skew_rows") >= 4, 2).when(F.upper("diststyle").like("EVEN%") | F.upper("diststyle").like("AUTO%"), 1).otherwise(0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import gold, rollups, rules
+from ..sources import storage
 from ..sources.adapter import relation, with_
 
 QUERIES: dict = {}
@@ -350,6 +351,21 @@ def action_queue(spark, sf):
     return gold.ranked(rounded(acts(spark, sf), "action_score", digits=3), "action_score")
 
 
+@query("action_queue_by_snapshot", f"{_ALL}, q as (select right(subject, 1) as snapshot_id, scope, subject, rule_id, severity, {near_sql('action_score', 3)} as action_score from act) select *, row_number() over (partition by snapshot_id order by action_score desc nulls last, subject, rule_id) as priority_rank from q qualify priority_rank <= 200")
+def action_queue_by_snapshot(spark, sf):
+    found = rounded(acts(spark, sf), "action_score", digits=3).select(F.right("subject", F.lit(1)).alias("snapshot_id"), "*")
+    return gold.ranked_by(found, "snapshot_id", "action_score")
+
+
+@query("report_summary", f"""{_ALL}, ins as ({union_of(rules.QUERY_RULES, 'qo', 'query', 'query_id')} union all {union_of(rules.TABLE_RULES, 'top', 'table', 'table_id')})
+ select (select count(*) from slow) as queries, (select {near_sql('sum(coalesce(elapsed_s, 0))', 1)} from slow) as total_elapsed_s, (select {near_sql('max(risk_score)', 3)} from slow) as max_risk, (select count(*) from slow where total_spill > 0) as spilling_queries,
+ (select count(*) from risk) as tables, (select count(*) from risk where table_risk_score >= 50) as high_risk_tables, (select count(*) from ins) as findings, (select count(*) from ins where severity = 'crit') as critical_findings, (select count(*) from act) as actions""")
+def report_summary(spark, sf):
+    s, t = slow(spark, sf), risk(spark, sf)
+    found = storage.summary(s, t, rules.insights(s, t), acts(spark, sf))
+    return rounded(rounded(found, "total_elapsed_s", digits=1), "max_risk", digits=3)
+
+
 @query("actions_fast", f"{with_('steps', 'tables', 'scans')}, {RISK}, {SCANS}, {_FAST}, fa as ({_acts(rules.FAST_ACTIONS, 'fr', 'table', 'table_id')}) select subject, rule_id, severity, {near_sql('impact_score', 3)} as action_score from fa")
 def actions_fast(spark, sf):
     found = rules.fired(rules.table_operands(fast(spark, sf)), rules.FAST_ACTIONS, ["table_id"])

@@ -32,16 +32,21 @@ def catalog(spark, sf) -> DataFrame:
     return core.risk(spark, sf)
 
 
-def reviewed(spark, sf) -> DataFrame:
-    """Catalogue and scans, as the advice operators need them, with fixed attention scores."""
+def scanned(spark, sf) -> DataFrame:
+    """Catalogue and scans."""
     t = core.risk(spark, sf)
     scans = rollups.table_scans(relation(spark, sf, "scans")).withColumn("table_key", F.concat_ws(".", "table_database", "schema_name", "table_name")).drop("table_database", "schema_name", "table_name")
-    out = t.join(scans, "table_key", "left")
-    return out.withColumns({"sort_attention_score": (F.col("table_id") % 70).cast("double"), "full_scan_score": (F.col("table_id") % 50).cast("double"), "distribution_usage_score": (F.col("table_id") % 60).cast("double"), "redistribution_count": F.col("table_id") % 7, "broadcast_count": F.col("table_id") % 5})
+    return t.join(scans, "table_key", "left")
+
+
+def reviewed(spark, sf) -> DataFrame:
+    """Catalogue, impact and scans with the attention scores, from all tables."""
+    return core.review(spark, sf)
 
 
-REV = f"""{RISK}, {SCANS}, rev as (select r.*, tsc.* exclude (table_key), cast(table_id % 70 as double) as sort_attention_score, cast(table_id % 50 as double) as full_scan_score, cast(table_id % 60 as double) as distribution_usage_score, table_id % 7 as redistribution_count, table_id % 5 as broadcast_count from risk r left join tsc using (table_key))"""
-_W = with_("patterns", "tables", "scans") + f", {REV}"
+_W = with_("patterns", "tables", "scans") + f", {RISK}, {SCANS}, rev as (select r.*, tsc.* exclude (table_key) from risk r left join tsc using (table_key))"
+_SCORED = f"""{with_('patterns', *core.BASE, 'scans')}, {core.SLOW}, {RISK}, {core.REFS}, {core._impact('total_elapsed_s')}, {SCANS}, {core.REVIEW.replace('rev as (', 'scored as (', 1)},
+rev as (select r.*, tsc.* exclude (table_key), sort_attention_score, full_scan_score, distribution_usage_score, scored.redistribution_count, coalesce(broadcast_count, 0) as broadcast_count from risk r join scored using (table_id) left join tsc on tsc.table_key = r.table_key left join impact using (table_id))"""
 FLAGS = """qf as (select *, (case when wildcard_count > 0 then 1 else 0 end + case when join_count > 0 and predicate_count = 0 then 1 else 0 end + case when avg_total_spill > 0 then 1 else 0 end + case when avg_has_nested_loop >= 0.3 then 1 else 0 end + case when avg_dist_both_cnt >= 0.5 then 1 else 0 end
  + case when avg_bcast_cnt >= 0.5 then 1 else 0 end + case when avg_remote_io_ratio >= 0.3 then 1 else 0 end + case when greatest(avg_max_data_skewness, avg_max_time_skewness) >= 4 then 1 else 0 end + case when avg_selectivity_ratio >= 0.9 and predicate_count = 0 then 1 else 0 end) as query_flag_count from patterns)"""
 TFLAGS = f"""tf as (select *, (case when {_META} and size_mb >= 100 then 1 else 0 end + case when unsorted_pct >= 20 then 1 else 0 end + case when stats_off >= 10 then 1 else 0 end + case when coalesce(rrscan_query_pct, 1) <= 0.5 and coalesce(scan_query_count, 0) >= 3 then 1 else 0 end + case when coalesce(full_scan_query_pct, 0) >= 0.5 then 1 else 0 end
@@ -56,12 +61,12 @@ def triage_query_flags(spark, sf):
 
 @query("triage_table_flags", f"{_W}, {TFLAGS} select table_id, flags from tf")
 def triage_table_flags(spark, sf):
-    return triage.table_flags(reviewed(spark, sf)).select("table_id", F.size("table_flags").alias("flags"))
+    return triage.table_flags(scanned(spark, sf)).select("table_id", F.size("table_flags").alias("flags"))
 
 
 @query("triage_verdicts", f"{_W}, {FLAGS}, {TFLAGS}, {HIT}, per as (select repeat_group_id, count(mention) as named, count(table_id) as matched, coalesce(sum(flags), 0) as table_flag_count from hit group by 1) select repeat_group_id, case when query_flag_count > 0 and table_flag_count > 0 then 'FIX BOTH' when query_flag_count > 0 then 'FIX QUERY' when table_flag_count > 0 then 'FIX TABLES' else 'MONITOR' end as verdict, case when matched = named then 'complete' when matched > 0 then 'partial' else 'none' end as coverage, {near_sql('(total_runtime_s + 10 * sqrt(query_count)) * case when avg_total_spill > 0 then 1.25 else 1 end + least(total_input_rows / 1e7, 50)', 1)} as triage_priority_score from qf join per using (repeat_group_id)")
 def triage_verdicts(spark, sf):
-    found = triage.verdicts(relation(spark, sf, "patterns"), reviewed(spark, sf))
+    found = triage.verdicts(relation(spark, sf, "patterns"), scanned(spark, sf))
     return rounded(found.select("repeat_group_id", "verdict", "coverage", "triage_priority_score"), "triage_priority_score", digits=1)
 
 
@@ -89,17 +94,17 @@ distkey as (select table_id, 'DISTKEY' as kind, dist_column as "column", pressur
  union all select table_id, 'SKEW_REVIEW', '', 85 + least(6 * skew_rows, 45), 'warn' from rev where skew_rows >= 4)"""
 
 
-@query("sortkey_advice", f'{_W}, {TFLAGS}, {HIT}, {STATS}, {SORT} select table_id, kind, "column", severity, {near_sql("pressure", 3)} as pressure from sortkey')
+@query("sortkey_advice", f'{_SCORED}, {TFLAGS}, {HIT}, {STATS}, {SORT} select table_id, kind, "column", severity, {near_sql("pressure", 3)} as pressure from sortkey')
 def sortkey_advice(spark, sf):
     return rounded(triage.sortkey_advice(stats(spark, sf), reviewed(spark, sf)), "pressure", digits=3)
 
 
-@query("distkey_advice", f'{_W}, {TFLAGS}, {HIT}, {STATS}, {DIST} select table_id, kind, "column", severity, {near_sql("pressure", 3)} as pressure from distkey')
+@query("distkey_advice", f'{_SCORED}, {TFLAGS}, {HIT}, {STATS}, {DIST} select table_id, kind, "column", severity, {near_sql("pressure", 3)} as pressure from distkey')
 def distkey_advice(spark, sf):
     return rounded(triage.distkey_advice(stats(spark, sf), reviewed(spark, sf)), "pressure", digits=3)
 
 
-@query("recommendation_ranking", f'{_W}, {TFLAGS}, {HIT}, {STATS}, {SORT}, {DIST}, al as (select table_id, kind, {near_sql("pressure", 3)} as pressure from (select * from sortkey union all select * from distkey)) select *, row_number() over (order by pressure desc, table_id, kind) as rank from al order by pressure desc, table_id, kind limit 300')
+@query("recommendation_ranking", f'{_SCORED}, {TFLAGS}, {HIT}, {STATS}, {SORT}, {DIST}, al as (select table_id, kind, {near_sql("pressure", 3)} as pressure from (select * from sortkey union all select * from distkey)) select *, row_number() over (order by pressure desc, table_id, kind) as rank from al order by pressure desc, table_id, kind limit 300')
 def recommendation_ranking(spark, sf):
     from pyspark.sql import Window as W
 
@@ -121,29 +126,42 @@ def column_demand(spark, sf):
 
 @query("table_scenarios", f'{_W}, {_DEMAND}, best as (select *, row_number() over (partition by table_name order by demand desc, "column") as n from demand), wanted as (select table_name, list("column" order by n) as ws from best where n <= 3 group by 1) select table_id, cast(case when ws is null then null when {_META} then 0 when ws[1] = lower(sortkey1) then 100 when list_contains(ws, lower(sortkey1)) then 70 else 30 end as bigint) as sort_key_fit, cast(case when skew_rows >= 4 then 0 when upper(diststyle) like \'KEY%\' then 100 when upper(diststyle) like \'ALL%\' and size_mb >= 1024 then 30 else 70 end as bigint) as distribution_fit, cast(least(unsorted_pct / 2 + stats_off + vacuum_sort_benefit, 100) as double) as maintenance_debt from rev left join wanted on wanted.table_name = lower(rev.schema_name || \'.\' || rev.table_name)')
 def table_scenarios(spark, sf):
-    r = reviewed(spark, sf).withColumn("table_name", F.concat_ws(".", "schema_name", "table_name"))
+    r = scanned(spark, sf).withColumn("table_name", F.concat_ws(".", "schema_name", "table_name"))
     return triage.scenarios(r, grouping.column_demand(relation(spark, sf, "patterns"))).select("table_id", "sort_key_fit", "distribution_fit", "maintenance_debt")
 
 
-@query("fix_script", f"""{_W}, {TFLAGS}, {HIT}, {STATS}, {SORT}, {DIST} select 'maintenance' as section, table_id, 1 as step, 'ANALYZE ' || table_key || ';' as line from rev where stats_off >= 10 union all select 'maintenance', table_id, 2, 'VACUUM SORT ONLY ' || table_key || ';' from rev where unsorted_pct >= 20 or vacuum_sort_benefit >= 10
+@query("fix_script", f"""{_SCORED}, {TFLAGS}, {HIT}, {STATS}, {SORT}, {DIST} select 'maintenance' as section, table_id, 1 as step, 'ANALYZE ' || table_key || ';' as line from rev where stats_off >= 10 union all select 'maintenance', table_id, 2, 'VACUUM SORT ONLY ' || table_key || ';' from rev where unsorted_pct >= 20 or vacuum_sort_benefit >= 10
  union all select 'design', table_id, case kind when 'SORTKEY' then 1 when 'DISTKEY' then 2 else 3 end, case kind when 'SORTKEY' then '-- ALTER TABLE ' || table_key || ' ALTER SORTKEY (' || a."column" || ');' when 'DISTKEY' then '-- ALTER TABLE ' || table_key || ' ALTER DISTKEY ' || a."column" || ';' else '-- review ' || lower(kind) || ' of ' || table_key end from (select * from sortkey union all select * from distkey) a join rev using (table_id)""")
 def fix_script(spark, sf):
     s, r = stats(spark, sf), reviewed(spark, sf)
     return triage.fix_script(r, triage.sortkey_advice(s, r).unionByName(triage.distkey_advice(s, r))).select("section", "table_id", "step", "line")
 
 
-_CAT = "case when contains(lower(step_name), 'join') then 'join' when contains(lower(step_name), 'aggr') then 'aggregate' when contains(lower(step_name), 'sort') then 'sort' when contains(lower(step_name), 'scan') then 'scan' else 'other' end"
+_CAT = "case when contains(lower(step_name), 'join') then 'join' when contains(lower(step_name), 'dist') or contains(lower(step_name), 'bcast') then 'redistribute' when contains(lower(step_name), 'aggr') then 'aggregate' when contains(lower(step_name), 'sort') then 'sort' when contains(lower(step_name), 'scan') then 'scan' else 'other' end"
+
+
+# the relation's steps move no rows: every fourth of them, by its place, stands for a redistribution of its successor's table
+_MOVED = """moved as (select * replace (case when step_id % 4 = 1 and query_id % 3 = 0 then 'dist inner' when step_id % 4 = 3 and query_id % 3 = 0 then 'hash join' else step_name end as step_name, case when step_id % 4 = 3 and query_id % 3 = 0 and query_id % 2 = 0 then (query_id % 25) else case when step_id % 4 = 1 and query_id % 3 = 0 then (query_id % 25) else table_id end end as table_id) from steps)"""
+
 
+def moved(spark, sf) -> DataFrame:
+    s, third = relation(spark, sf, "steps"), F.col("query_id") % 3 == 0
+    dist, join = third & (F.col("step_id") % 4 == 1), third & (F.col("step_id") % 4 == 3)
+    table = F.when(dist | (join & (F.col("query_id") % 2 == 0)), F.col("query_id") % 25).otherwise(F.col("table_id"))
+    return s.withColumns({"step_name": F.when(dist, "dist inner").when(join, "hash join").otherwise(F.col("step_name")), "table_id": table})
 
-@query("step_diagnosis", f"""{with_("steps", "tables")}, e as (select s.*, unsorted_pct, stats_off, {_CAT} as category from steps s left join tables using (table_id)),
-f as (select query_id, step_id, 'UNSORTED_SCAN' as finding, case when unsorted_pct >= 50 then 'crit' else 'warn' end as severity from e where category = 'scan' and unsorted_pct >= 20 and input_rows > 1000000
+
+@query("step_diagnosis", f"""{with_("steps", "tables")}, {_MOVED}, e as (select s.*, unsorted_pct, stats_off, diststyle, {_CAT} as category, lag({_CAT}) over w as before, lag(table_id) over w as table_before from moved s left join tables using (table_id) window w as (partition by query_id, stream_id, segment_id order by step_id, table_id nulls last, duration desc)),
+f as (select query_id, min(step_id) as step_id, 'REDISTRIBUTION' as finding, case when sum(duration) filter (category = 'redistribute') / cast(sum(duration) as double) > 0.4 then 'crit' else 'warn' end as severity from e group by query_id having sum(duration) filter (category = 'redistribute') / cast(sum(duration) as double) >= 0.15
+ union all select query_id, step_id, 'DISTKEY_MISMATCH', 'crit' from e where category = 'join' and contains(upper(diststyle), 'KEY') and before = 'redistribute' and table_before = table_id
+ union all select query_id, step_id, 'UNSORTED_SCAN' as finding, case when unsorted_pct >= 50 then 'crit' else 'warn' end as severity from e where category = 'scan' and unsorted_pct >= 20 and input_rows > 1000000
  union all select query_id, step_id, 'STALE_STATS', case when stats_off >= 25 then 'crit' else 'warn' end from e where stats_off >= 10
  union all select query_id, step_id, 'SKEW', case when data_skewness >= 5 then 'crit' else 'warn' end from e where data_skewness >= 3
  union all select query_id, step_id, 'REMOTE_SPILL', 'crit' from e where spill_remote > 0 union all select query_id, step_id, 'LOCAL_SPILL', 'warn' from e where spill_local > 1000 union all select query_id, step_id, 'ALERT', 'warn' from e where alert is not null)
  select query_id, finding, severity, count(*) as n from f group by all""")
 def step_diagnosis(spark, sf):
-    found = triage.step_findings(triage.enriched_steps(relation(spark, sf, "steps"), relation(spark, sf, "tables")))
-    return found.where(~F.col("finding").isin("REDISTRIBUTION", "DISTKEY_MISMATCH")).groupBy("query_id", "finding", "severity").agg(F.count("*").alias("n"))
+    found = triage.step_findings(triage.enriched_steps(moved(spark, sf), relation(spark, sf, "tables")))
+    return found.groupBy("query_id", "finding", "severity").agg(F.count("*").alias("n"))
 
 
 @query("step_previous", f"{with_('steps')}, d as (select query_id, stream_id, segment_id, step_id, min(step_name) as step_name, sum(duration) as duration from steps group by all) select query_id, step_id, lag(step_name) over (partition by query_id, stream_id, segment_id order by step_id) as previous_step, {near_sql('100.0 * duration / cast(sum(duration) over (partition by query_id) as double)', 3)} as pct_runtime from d")
@@ -153,18 +171,39 @@ def step_previous(spark, sf):
     return rounded(found.select("query_id", "step_id", "previous_step", "pct_runtime"), "pct_runtime", digits=3)
 
 
-EVID = r"""ev as (select * from (select query_id, plan_node_id, plan_node, try_cast(regexp_extract(plan_node, '\brows=(\d+)', 1) as bigint) as planned_rows from plans) full outer join (select query_id, step_id as plan_node_id, sum(output_rows) as output_rows, sum(input_bytes) as input_bytes, sum(spill_local + spill_remote) as spill_blocks, max(data_skewness) as skew from steps group by all) using (query_id, plan_node_id)),
+EVID = r"""ev as (select * from (select query_id, plan_node_id, plan_node, try_cast(regexp_extract(plan_node, '\brows=(\d+)', 1) as bigint) as planned_rows from plans) full outer join (select query_id, step_id as plan_node_id, sum(output_rows) as output_rows, sum(case when query_id % 5 = 0 then input_bytes * 1000000 else input_bytes end) as input_bytes, sum(spill_local + spill_remote) as spill_blocks, max(data_skewness) as skew from steps group by all) using (query_id, plan_node_id)),
 pf as (select query_id, plan_node_id, 'BROADCAST' as finding, case when output_rows >= 100000000 then 'crit' else 'warn' end as severity from ev where contains(lower(plan_node), 'bcast') and output_rows >= 1000000
  union all select query_id, plan_node_id, 'SPILL', case when spill_blocks * 1048576 >= 10000000000 then 'high' else 'warn' end from ev where spill_blocks * 1048576 >= 1000000000
  union all select query_id, plan_node_id, 'ESTIMATE_ERROR', 'warn' from ev where greatest(case when planned_rows > 0 then coalesce(output_rows, 0) / cast(planned_rows as double) end, case when output_rows > 0 then planned_rows / cast(output_rows as double) end) >= 100
+ union all select query_id, plan_node_id, 'WIDE_SCAN', 'warn' from ev where contains(lower(plan_node), 'scan') and input_bytes >= 50000000000 and input_bytes / cast(greatest(coalesce(output_rows, 0), 1) as double) > 10000
  union all select query_id, plan_node_id, 'SKEW', 'warn' from ev where skew >= 4)"""
 
 
+def wide(steps: DataFrame) -> DataFrame:
+    """Steps whose scans read wide rows: the bytes of every fifth query a million times over."""
+    return steps.withColumn("input_bytes", F.when(F.col("query_id") % 5 == 0, F.col("input_bytes") * 1_000_000).otherwise(F.col("input_bytes")))
+
+
 @query("plan_findings", f"{with_('plans', 'steps')}, {EVID} select query_id, finding, severity, count(*) as n from pf group by all")
 def plan_findings(spark, sf):
-    d = relation(spark, sf, "steps").withColumnRenamed("step_id", "plan_node_id")
+    d = wide(relation(spark, sf, "steps")).withColumnRenamed("step_id", "plan_node_id")
     found = triage.plan_findings(triage.plan_evidence(relation(spark, sf, "plans"), d))
-    return found.where("finding <> 'WIDE_SCAN'").groupBy("query_id", "finding", "severity").agg(F.count("*").alias("n"))
+    return found.groupBy("query_id", "finding", "severity").agg(F.count("*").alias("n"))
+
+
+@query("unkeyed_tables", f"""{with_('tables')}, k as (select *, regexp_extract(lower(diststyle), 'key\\s*\\(?\\s*([a-z_][a-z0-9_$]*)', 1) = '' as no_dist, {_META} as no_sort from tables)
+ select table_id, 'TABLE_UNKEYED' as finding, case when no_dist then 'high' else 'medium' end as severity from k where (no_dist or no_sort) and (tbl_rows >= 1000000 or size_mb >= 1024)
+ union all select table_id, 'TABLE_SKEW', 'high' from k where (no_dist or no_sort) and (tbl_rows >= 1000000 or size_mb >= 1024) and skew_rows >= 4""")
+def unkeyed_tables(spark, sf):
+    return triage.unkeyed_findings(relation(spark, sf, "tables")).select("table_id", "finding", "severity")
+
+
+@query("findings_ranking", f"""{with_('plans', 'steps', 'tables')}, {EVID}, m as (select query_id, plan_node_id, finding, severity, case severity when 'crit' then 3 when 'high' then 2 else 1 end as weight from pf)
+ select *, row_number() over (order by weight desc, finding, query_id, plan_node_id) as place from m order by weight desc, finding, query_id, plan_node_id limit 200""")
+def findings_ranking(spark, sf):
+    d = wide(relation(spark, sf, "steps")).withColumnRenamed("step_id", "plan_node_id")
+    found = triage.plan_findings(triage.plan_evidence(relation(spark, sf, "plans"), d)).withColumn("tier", F.lit(1)).withColumn("evidence", F.lit(True))
+    return triage.ranked_findings(found, ["finding", "query_id", "plan_node_id"]).select("query_id", "plan_node_id", "finding", "severity", "weight", "place")
 
 
 @query("table_health", f"{with_('tables')} select table_id, case when skew_rows >= 4 then 2 when upper(diststyle) like 'EVEN%' or upper(diststyle) like 'AUTO%' then 1 else 0 end as dist_health, case when {_META} or unsorted_pct > 90 then 2 when unsorted_pct >= 50 then 1 else 0 end as sort_health, greatest(case when skew_rows >= 4 then 2 when upper(diststyle) like 'EVEN%' or upper(diststyle) like 'AUTO%' then 1 else 0 end, case when {_META} or unsorted_pct > 90 then 2 when unsorted_pct >= 50 then 1 else 0 end) as health, 100 - stats_off <= 60 as stats_alert from tables")

@@ -36,16 +36,24 @@ EXT = """ext as (select e.*, schema_name || '.' || table_name as external_table_
  scanned_files / cast(segment_count as double) as avg_files_per_segment, scanned_files / cast(query_count as double) as files_per_query from externals e left join act a using (ext_id))"""
 _BAND = "case when partition_pruning_pct is null then 'unknown' when partition_pruning_pct >= 90 then 'excellent' when partition_pruning_pct >= 50 then 'partial' when partition_pruning_pct >= 10 then 'weak' else 'none' end as pruning_band"
 _CHAIN = f"{_WITH}, {MATCH}, {ACT}, {EXT}"
-_POOR = "total_partitions > 1 and partition_pruning_pct < 50"
-ISSUES = f"""iss as (
- select ext_id, 'COLUMNAR_FORMAT' as code, 30 as weight from ext where scan_gb > 0 and not regexp_matches(lower(input_format), 'parquet|orc')
- union all select ext_id, 'PARTITION_PREDICATE', case when {_POOR} then case when scan_gb >= 10 then 30 else 20 end else 15 end from ext where scan_gb > 0 and partition_keys > 0 and ({_POOR} or (total_partitions > 1 and partition_pruning_pct < 90 and scan_gb >= 10))
- union all select ext_id, 'PARTITION_DESIGN', case when {_POOR} then case when scan_gb >= 10 then 30 else 20 end else 20 end from ext where scan_gb > 0 and partition_keys = 0 and ({_POOR} or scan_gb >= 25)
- union all select ext_id, 'FILE_LAYOUT', case when avg_files_per_segment > 1000 or files_per_query > 5000 or s3list_time_ms > 2000 then 25 else 15 end from ext where scan_gb > 0 and (avg_files_per_segment > 100 or files_per_query > 5000 or s3list_time_ms > 500)
- union all select ext_id, 'MATERIALIZE_OR_STAGE', case when query_count >= 25 or scan_gb >= 500 then 25 else 18 end from ext where query_count >= 10 and (scan_gb >= 100 or external_duration_s >= 3600)
- union all select ext_id, 'EXTERNAL_STATISTICS', 12 from ext where not contains(parameters, 'numRows') and query_count >= 5 and scan_gb >= 10
- union all select ext_id, 'DATA_QUALITY', case when warning_count > 5 then 20 else 12 end from ext where scan_gb > 0 and warning_count > 0),
-sc as (select ext_id, cast(least(sum(weight), 100) as integer) as score, string_agg(code, ',' order by weight desc, case code when 'COLUMNAR_FORMAT' then 'Store the table in a columnar format' when 'PARTITION_PREDICATE' then 'Filter on the partition keys' when 'PARTITION_DESIGN' then 'Partition the table' when 'FILE_LAYOUT' then 'Merge small files' when 'MATERIALIZE_OR_STAGE' then 'Keep a local copy of the hot part' when 'EXTERNAL_STATISTICS' then 'Set the row count' else 'Look into warnings' end) as codes from iss group by ext_id)"""
+# steps of the segments: half of them name the table barely, a third put out fewer rows, some spill
+_STEPS = "stp as (select query_id, segment_id, case when query_id % 2 = 0 then string_split(table_name, '.')[-1] else 'x.' || table_name end as step_table, returned_rows // (segment_id * 4) as output_rows, query_id % 50 as spill_blocks from segments where table_name <> '' and query_id % 3 <> 0)"
+OUT = f"""{_STEPS}, so as (select m.*, stp.output_rows, stp.spill_blocks from mat m left join stp on m.query_id = stp.query_id and m.segment_id = stp.segment_id and m.table_name <> '' and (lower(m.table_name) = lower(step_table) or ends_with(lower(m.table_name), '.' || lower(step_table)) or ends_with(lower(step_table), '.' || lower(m.table_name)))),
+outs as (select ext_id, count(output_rows) as output_metric_match_count, cast(sum(coalesce(spill_blocks, 0)) as bigint) as external_spill_blocks, case when sum(returned_rows) filter (output_rows is not null) > 0 then greatest(0, 100.0 * (sum(returned_rows) filter (output_rows is not null) - sum(output_rows)) / cast(sum(returned_rows) filter (output_rows is not null) as double)) end as row_filter_efficiency_pct from so where ext_id is not null group by ext_id),
+er as (select query_id * 10 + segment_id as error_id, min(file_location) as file_location, min(query_id % 5) as error_code from segments where warning is not null group by 1), errs as (select ext_id, count(*) as error_count, count(distinct error_code) as error_codes from (select error_id, error_code, ext_id from er join externals on starts_with(file_location, location) qualify row_number() over (partition by error_id order by length(location) desc, ext_id) = 1) group by ext_id),
+cols as (select 'spectrum_' || cast(s_suppkey % 4 as varchar(20)) || '.ext_' || cast(s_suppkey as varchar(20)) as external_table_key, cast(s_suppkey % 9 + 1 as bigint) as column_count from supplier),
+full_ as (select ext.*, column_count, outs.* exclude (ext_id), errs.* exclude (ext_id) from ext left join cols using (external_table_key) left join outs using (ext_id) left join errs using (ext_id)),
+fa as (select *, coalesce(partition_pruning_pct, -1) as pr, coalesce(total_partitions, 0) > 1 as many, partition_keys > 0 as keyed, s3list_time_ms / cast(greatest(query_count, 1) as double) as li, coalesce(output_metric_match_count, 0) > 0 as ms, coalesce(row_filter_efficiency_pct, 0) as rf, case when scan_gb >= 10 then 30 else 20 end as hv from full_ where query_count > 0 and scan_gb > 0)"""
+ISSUES = """iss as (
+ select ext_id, 'COLUMNAR_FORMAT' as code, 30 as weight, 'Convert' as t from fa where not regexp_matches(upper(input_format), 'PARQUET|ORC|RCFILE')
+ union all select ext_id, case when many and pr < 50 and keyed then 'PARTITION_PREDICATE' when many and pr < 50 then 'PARTITION_DESIGN' when many then 'PARTITION_PREDICATE' else 'PARTITION_DESIGN' end, case when many and pr < 50 then hv when many then 15 else 20 end, case when many and pr < 50 and keyed then 'Make' when many and pr < 50 then 'Redesign' when many then 'Tighten' else 'Evaluate' end from fa where (many and (pr < 50 or (pr < 90 and scan_gb >= 10))) or (not many and not keyed and scan_gb >= 25)
+ union all select ext_id, 'FILE_LAYOUT', case when avg_files_per_segment > 1000 or files_per_query > 5000 or li > 2000 then 25 else 15 end, case when avg_files_per_segment > 1000 or files_per_query > 5000 or li > 2000 then 'Compact' else 'Review S3' end from fa where avg_files_per_segment > 100 or files_per_query > 5000 or li > 500
+ union all select ext_id, 'PUSHDOWN', case when rf >= 90 and scan_gb >= 25 then 20 else 12 end, case when rf >= 90 and scan_gb >= 25 then 'Push' else 'Review predicate' end from fa where ms and ((rf >= 90 and scan_gb >= 25) or (rf >= 50 and scan_gb >= 100))
+ union all select ext_id, 'MATERIALIZE_OR_STAGE', case when query_count >= 25 or scan_gb >= 500 then 25 else 18 end, 'Materialize' from fa where query_count >= 10 and (scan_gb >= 100 or external_duration_s >= 3600)
+ union all select ext_id, 'EXTERNAL_STATISTICS', 12, 'Verify' from fa where not contains(parameters, 'numRows') and query_count >= 5 and scan_gb >= 10
+ union all select ext_id, 'DATA_QUALITY', case when error_count > 0 then 20 else 12 end, 'Resolve' from fa where warning_count > 5 or error_count > 0
+ union all select ext_id, 'LOCAL_STAGE_DESIGN', 12, 'Review a' from fa where external_spill_blocks > 0 and query_count >= 5),
+sc as (select ext_id, cast(least(sum(weight), 100) as integer) as score, string_agg(code, ',' order by weight desc, t) as codes from iss group by ext_id)"""
 
 
 def matched(spark, sf) -> DataFrame:
@@ -74,12 +82,43 @@ def external_tables(spark, sf):
     return rounded(tables(spark, sf).select("ext_id", "external_table_key", "query_count", "pruning_band", *_T), *_T, digits=3)
 
 
-@query("external_assessment", f"{_CHAIN}, {ISSUES} select ext_id, coalesce(score, 0) as score, coalesce(codes, '') as issue_codes, case when coalesce(score, 0) >= 70 then 'critical' when score >= 45 then 'high' when score >= 20 then 'medium' when score > 0 then 'low' else 'none' end as priority, case when query_count >= 25 then 'high' when query_count >= 5 then 'medium' else 'low' end as confidence from ext left join sc using (ext_id) where query_count > 0 and scan_gb > 0")
+def starred(spark, sf) -> DataFrame:
+    """The catalogue with everything known of each table."""
+    found = matched(spark, sf)
+    seg = relation(spark, sf, "segments")
+    bare = F.when(F.col("query_id") % 2 == 0, F.substring_index("table_name", ".", -1)).otherwise(F.concat(F.lit("x."), F.col("table_name")))
+    steps = seg.where("table_name <> '' and query_id % 3 <> 0").select("query_id", "segment_id", bare.alias("step_table"), F.expr("returned_rows div (segment_id * 4)").alias("output_rows"), (F.col("query_id") % 50).alias("spill_blocks"))
+    errors = seg.where("warning is not null").groupBy(F.expr("query_id * 10 + segment_id").alias("error_id")).agg(F.min("file_location").alias("file_location"), F.min(F.expr("query_id % 5")).alias("error_code"))
+    columns = spark.read.parquet(f"{sf}/supplier.parquet").select(F.expr("'spectrum_' || cast(s_suppkey % 4 as string) || '.ext_' || cast(s_suppkey as string)").alias("external_table_key"), F.expr("cast(s_suppkey % 9 + 1 as bigint)").alias("column_count"))
+    catalog = relation(spark, sf, "externals")
+    return external.star(catalog, external.activity(found), columns, external.output_rollup(external.step_outputs(found, steps)), external.errors_matched(errors, catalog))
+
+
+@query("external_star", f"{_CHAIN}, {OUT} select ext_id, external_table_key, column_count, query_count, output_metric_match_count, external_spill_blocks, {near_sql('row_filter_efficiency_pct', 2)} as row_filter_efficiency_pct, error_count, error_codes from full_")
+def external_star(spark, sf):
+    found = rounded(starred(spark, sf), "row_filter_efficiency_pct", digits=2)
+    return found.select("ext_id", "external_table_key", "column_count", "query_count", "output_metric_match_count", "external_spill_blocks", "row_filter_efficiency_pct", "error_count", "error_codes")
+
+
+@query("external_assessment", f"{_CHAIN}, {OUT}, {ISSUES} select ext_id, coalesce(score, 0) as score, coalesce(codes, '') as issue_codes, case when coalesce(score, 0) >= 70 then 'critical' when score >= 45 then 'high' when score >= 20 then 'medium' when score > 0 then 'low' else 'none' end as priority, case when query_count >= 5 and ms then 'high' else 'medium' end as confidence from fa left join sc using (ext_id)")
 def external_assessment(spark, sf):
-    found = external.assessed(tables(spark, sf))
+    found = external.assessed(starred(spark, sf))
     return found.select("ext_id", "score", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("issue_codes"), "priority", "confidence")
 
 
+@query("spectrum_scanned", f"{_CHAIN} select ext_id, external_table_key, query_count, {near_sql('scan_gb', 3)} as scan_gb, row_number() over (order by scan_gb desc, ext_id) as place from ext where scan_gb > 0")
+def spectrum_scanned(spark, sf):
+    from pyspark.sql import Window as W
+
+    found = external.scanned_most(tables(spark, sf)).withColumn("place", F.row_number().over(W.orderBy(F.desc("scan_gb"), "ext_id")).cast("long"))
+    return rounded(found.select("ext_id", "external_table_key", "query_count", "scan_gb", "place"), "scan_gb", digits=3)
+
+
+@query("spectrum_unpartitioned", f"{_CHAIN} select ext_id, external_table_key, query_count, {near_sql('scan_gb', 3)} as scan_gb from ext where query_count > 0 and partition_keys <= 0")
+def spectrum_unpartitioned(spark, sf):
+    return rounded(external.unpartitioned(tables(spark, sf)).select("ext_id", "external_table_key", "query_count", "scan_gb"), "scan_gb", digits=3)
+
+
 @query("external_from_activity", f"{_WITH} select distinct case when contains(table_name, '.') then string_split(lower(table_name), '.')[-2] else '' end as schema_name, string_split(lower(table_name), '.')[-1] as table_name from segments where table_name <> ''")
 def external_from_activity(spark, sf):
     return external.from_activity(relation(spark, sf, "segments"))
@@ -101,20 +140,13 @@ def external_severity(spark, sf):
     return by("partition").join(by("files"), "ext_id")
 
 
-@query("external_errors", f"{_WITH}, e as (select query_id * 10 + segment_id as error_id, min(file_location) as file_location, min(query_id % 5) as error_code from segments where query_id % 9 = 0 group by 1), m as (select error_id, error_code, ext_id from e join externals on starts_with(file_location, location) qualify row_number() over (partition by error_id order by length(location) desc, ext_id) = 1) select ext_id, count(*) as error_count, count(distinct error_code) as error_codes from m group by ext_id")
+@query("external_errors", f"{_WITH}, e as (select query_id * 10 + segment_id as error_id, min(file_location) as file_location, min(query_id % 5) as error_code from segments group by 1), m as (select error_id, error_code, ext_id from e join externals on starts_with(file_location, location) qualify row_number() over (partition by error_id order by length(location) desc, ext_id) = 1) select ext_id, count(*) as error_count, count(distinct error_code) as error_codes from m group by ext_id")
 def external_errors(spark, sf):
-    e = relation(spark, sf, "segments").where("query_id % 9 = 0").groupBy(F.expr("query_id * 10 + segment_id").alias("error_id")).agg(F.min("file_location").alias("file_location"), F.min(F.expr("query_id % 5")).alias("error_code"))
-    return external.errors_matched(e, relation(spark, sf, "externals"))
-
-
-@query("external_errors_all", f"{_WITH}, e as (select query_id * 10 + segment_id as error_id, min(file_location) as file_location, min(query_id % 5) as error_code from segments group by 1), m as (select error_id, error_code, ext_id from e join externals on starts_with(file_location, location) qualify row_number() over (partition by error_id order by length(location) desc, ext_id) = 1) select ext_id, count(*) as error_count, count(distinct error_code) as error_codes from m group by ext_id")
-def external_errors_all(spark, sf):
-    """Errors of all queries; external_errors is held to one query in nine by its SQL."""
     e = relation(spark, sf, "segments").groupBy(F.expr("query_id * 10 + segment_id").alias("error_id")).agg(F.min("file_location").alias("file_location"), F.min(F.expr("query_id % 5")).alias("error_code"))
     return external.errors_matched(e, relation(spark, sf, "externals"))
 
 
-_COLS = "cols as (select 'ext_' || cast(n_nationkey as varchar(20)) as external_table_key, cast(p_size as bigint) as column_number, 'c_' || cast(p_partkey as varchar(20)) as column_name, p_brand as data_type, case when p_size <= 2 then p_size else 0 end as partition_key_ordinal, p_partkey % 2 = 0 as is_nullable from {part} join {nation} on n_nationkey = p_partkey % 25 where p_partkey <= 500)"
+_COLS = "cols as (select 'ext_' || cast(n_nationkey as varchar(20)) as external_table_key, cast(p_size as bigint) as column_number, 'c_' || cast(p_partkey as varchar(20)) as column_name, p_brand as data_type, case when p_size <= 2 then p_size else 0 end as partition_key_ordinal, p_partkey % 2 = 0 as is_nullable from {part} join {nation} on n_nationkey = p_partkey % 25)"
 
 
 @query("external_columns", f"with {_COLS.replace('{', '').replace('}', '')} select external_table_key, count(*) as column_count, count(*) filter (is_nullable) as nullable_count, string_agg(column_name, ',' order by column_number, column_name) as columns, coalesce(string_agg(column_name, ',' order by partition_key_ordinal, column_name) filter (partition_key_ordinal > 0), '') as partition_keys, array_to_string(list_sort(list(distinct data_type)), ',') as data_types, array_to_string(list(column_name order by column_number, column_name)[1:12], ',') as preview from cols group by external_table_key")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs, shapes
 from ..operators import grouping
 from ..sources.adapter import relation, with_
+from . import core
 from .core import _r, duration_sql, near, near_sql, rounded
 
 QUERIES: dict = {}
@@ -99,7 +100,7 @@ def repeat_groups(spark, sf):
     return rounded(found, *_G, digits=3).select("query_count", *_G, "max_risk", "representative_id", "repeat_kind", "first_id", "last_id", "user_count", "repeat_group_key")
 
 
-@query("repeat_group_ranking", f"{_W}, {_GROUPS}, k as (select {_KEY}, {near_sql('total_runtime_s', 3)} as total_runtime_s, max_risk, query_count from gr) select *, row_number() over (order by total_runtime_s desc, max_risk desc, query_count desc, repeat_group_key) as group_rank, 'RQ' || case when row_number() over (order by total_runtime_s desc, max_risk desc, query_count desc, repeat_group_key) < 1000 then lpad(cast(row_number() over (order by total_runtime_s desc, max_risk desc, query_count desc, repeat_group_key) as varchar), 3, '0') else left(cast(row_number() over (order by total_runtime_s desc, max_risk desc, query_count desc, repeat_group_key) as varchar), 3) end as repeat_group_id from k")
+@query("repeat_group_ranking", f"{_W}, {_GROUPS}, k as (select {_KEY}, {near_sql('total_runtime_s', 3)} as total_runtime_s, max_risk, query_count from gr) select *, row_number() over (order by total_runtime_s desc, max_risk desc, query_count desc, repeat_group_key) as group_rank, 'RQ' || case when row_number() over (order by total_runtime_s desc, max_risk desc, query_count desc, repeat_group_key) < 1000 then lpad(cast(row_number() over (order by total_runtime_s desc, max_risk desc, query_count desc, repeat_group_key) as varchar), 3, '0') else cast(row_number() over (order by total_runtime_s desc, max_risk desc, query_count desc, repeat_group_key) as varchar) end as repeat_group_id from k")
 def repeat_group_ranking(spark, sf):
     found = rounded(grouping.groups(grouping.candidates(stated(spark, sf))), "total_runtime_s", digits=3)
     return grouping.display_ranked(found).select("repeat_group_key", "total_runtime_s", "max_risk", "query_count", "group_rank", "repeat_group_id")
@@ -153,9 +154,42 @@ def similar_statements(spark, sf):
     return grouping.similar_to("select a, b from brand_1.part_x_1 where name like '%x'", relation(spark, sf, "statements")).select("query_id", near("similarity").alias("similarity"))
 
 
-@query("missed_groups", f"{_W}, {_GROUPS}, rest as (select *, array_to_string(list_sort({_TABLE}), ',') as table_set from ck where constraint_key not in (select constraint_key from gr)) select query_type, table_set, count(*) as statements, count(distinct shape) as distinct_shapes, {near_sql('sum(elapsed_s)', 3)} as runtime_s from rest where table_set <> '' group by query_type, table_set having count(*) >= 2 and count(distinct shape) >= 2 order by sum(elapsed_s) desc, query_type, table_set limit 40")
+# two statements over each nation's own table, which no other statement shares
+_LONE = "select 2000000000 + 2 * n_nationkey + i as query_id, case i when 0 then 'select a, b from lone_' || lower(replace(n_name, ' ', '_')) || ' where v > 1' else 'select b from lone_' || lower(replace(n_name, ' ', '_')) || ' order by b desc limit 5' end as sql_text, 'u' as user_name, 'db0' as database_name, 'SELECT' as query_type, cast(n_nationkey + i as double) as elapsed_s, cast(i as double) as risk_score from {nation} cross join (select 0 as i union all select 1) two"
+_LONELY = f"{with_('history', 'statements')}, {STATED}, every as (select query_id, sql_text, user_name, database_name, query_type, elapsed_s, risk_score from stated union all {_LONE.replace('{nation}', 'nation')}), {CAND.replace('from stated)', 'from every)')}"
+
+
+@query("missed_groups", f"{_LONELY}, {_GROUPS}, rest as (select *, array_to_string(list_sort({_TABLE}), ',') as table_set from ck where constraint_key not in (select constraint_key from gr)) select query_type, table_set, count(*) as statements, count(distinct shape) as distinct_shapes, {near_sql('sum(elapsed_s)', 3)} as runtime_s from rest where table_set <> '' group by query_type, table_set having count(*) >= 2 and count(distinct shape) >= 2 order by sum(elapsed_s) desc, query_type, table_set limit 40")
 def missed_groups(spark, sf):
-    found = grouping.candidates(stated(spark, sf))
+    lone = spark.sql(_LONE.replace("{nation}", f"parquet.`{sf}/nation.parquet`"))
+    found = grouping.candidates(stated(spark, sf).select(*lone.columns).unionByName(lone))
     return rounded(grouping.missed(found, grouping.groups(found)), "runtime_s", digits=3)
 
 
+_TOTALS = ["elapsed_s", "input_rows", "output_rows", "input_bytes", "total_spill", "duration", "alert_count", "external_duration"]
+_MEANS = ["elapsed_s", "queue_s", "risk_score", "step_cnt", "segment_cnt", "stream_cnt", "table_cnt", "input_rows", "output_rows", "input_bytes", "total_spill", "local_spill", "remote_spill", "max_data_skewness", "max_time_skewness", "remote_io_ratio", "selectivity_ratio", "external_duration_pct", "external_steps", "s3_steps", "join_steps", "agg_steps", "sort_steps", "scan_steps", "alert_count", "seq_scan_cnt", "dist_both_cnt", "bcast_cnt", "dist_total_cnt", "has_nested_loop", "network_cnt", "cost_score"]
+
+
+def measured(spark, sf) -> DataFrame:
+    """Candidates with everything measured of their queries."""
+    s = core.slow(spark, sf).where("sql_text is not null")
+    return grouping.candidates(s)
+
+
+_MEASURED = f"{with_(*core.BASE)}, {core.SLOW}, stated as (select * from slow where sql_text is not null), {CAND}"
+
+
+@query("repeat_report", f"""{_MEASURED}, g as (select constraint_key as group_key, count(*) as query_count, {', '.join(f"sum(coalesce({c}, 0)) as total_{c}" for c in _TOTALS)}, {', '.join(f"avg({c}) as avg_{c}" for c in _MEANS)}, min(query_id) as representative_id, first(shape order by query_id) as shape, first(kind order by query_id) as repeat_kind, count(distinct user_name) as user_count, md5(array_to_string(list_sort(list(distinct query_id)), ',')) as ids_md5 from ck group by 1 having count(*) >= 2)
+ select query_count, representative_id, repeat_kind, user_count, ids_md5, array_to_string(list_sort({_TABLE}), ', ') as all_tables, array_to_string(list_sort({_TABLE}), ', ') as common_tables, 'G' || left(sha256(repeat_kind || '|' || group_key || '|' || shape), 12) as repeat_group_key, {', '.join(f"{near_sql(f'total_{c}', 1)} as total_{c}" for c in _TOTALS)}, {', '.join(f"{near_sql(f'avg_{c}', 2)} as avg_{c}" for c in _MEANS)} from g""")
+def repeat_report(spark, sf):
+    found = grouping.report(measured(spark, sf), _TOTALS, _MEANS)
+    t, m = [f"total_{c}" for c in _TOTALS], [f"avg_{c}" for c in _MEANS]
+    out = rounded(rounded(found, *t, digits=1), *m, digits=2).withColumn("ids_md5", F.md5(F.array_join(F.transform("query_ids", lambda x: x.cast("string")), ",")))
+    return out.select("query_count", "representative_id", "repeat_kind", "user_count", "ids_md5", "all_tables", "common_tables", "repeat_group_key", *t, *m)
+
+
+@query("repeat_report_merged")
+def repeat_report_merged(spark, sf):
+    """The report with near-equal shapes merged; their clusters are beyond SQL, pytest holds them against brute force."""
+    found = measured(spark, sf)
+    return grouping.report(found, _TOTALS, _MEANS, grouping.fuzzy_merged(found))

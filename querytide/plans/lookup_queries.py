@@ -44,7 +44,7 @@ def group_table_sets(spark, sf):
     return lookups.table_sets(g, names.where("name like 'brand!_1%' escape '!'"), names.where("name = 'other.unknown'"))
 
 
-_VIEWS = "v as (select 'db.s.view_' || cast(s_suppkey as varchar(20)) as view_key, 'select a from spectrum_' || cast(s_suppkey%4 as varchar(20)) || '.ext_' || cast(s_suppkey as varchar(20)) || ' join local_t t on t.a = 1' as source_definition from {supplier} where s_suppkey % 2 = 0)"
+_VIEWS = "v as (select 'db.s.view_' || cast(s_suppkey as varchar(20)) as view_key, 'select a from spectrum_' || cast(s_suppkey%4 as varchar(20)) || '.ext_' || cast(s_suppkey as varchar(20)) || ' join local_t t on t.a = 1' as source_definition from {supplier})"
 
 
 @query("views_over_external_tables", f"{with_('externals')}, {_VIEWS.replace('{supplier}', 'supplier')} select view_key, 'spectrum_' || cast(ext_id % 4 as varchar) || '.ext_' || cast(ext_id as varchar) as external_tables from v join externals on view_key = 'db.s.view_' || cast(ext_id as varchar)")
@@ -93,9 +93,15 @@ def external_search(spark, sf):
     return lookups.searched(relation(spark, sf, "externals"), " Parquet ", ["schema_name", "table_name", "location", "input_format"]).select("ext_id")
 
 
-@query("external_focus", f"{externals._CHAIN}, {externals.ISSUES} select ext_id, score from sc where score >= 45 and contains(codes, 'COLUMNAR_FORMAT')")
+@query("external_focus", f"{externals._CHAIN}, {externals.OUT}, {externals.ISSUES} select ext_id, score from sc where score >= 45 and contains(codes, 'COLUMNAR_FORMAT')")
 def external_focus(spark, sf):
-    return lookups.focused(external.assessed(externals.tables(spark, sf)), "COLUMNAR_FORMAT", 45).select("ext_id", "score")
+    return lookups.focused(external.assessed(externals.starred(spark, sf)), "COLUMNAR_FORMAT", 45).select("ext_id", "score")
+
+
+@query("external_heat_map", f"{externals._CHAIN} select ext_id, external_table_key, {near_sql('scan_gb', 3)} as scan_gb from ext where schema_name = 'spectrum_1' and coalesce(scan_gb, 0) >= 1 and coalesce(query_count, 0) >= 2 and (partition_keys <= 0 or coalesce(partition_pruning_pct, 0) < 50 or coalesce(warning_count, 0) > 0)")
+def external_heat_map(spark, sf):
+    found = lookups.filtered_external(externals.tables(spark, sf), "Spectrum_1", 1.0, 2, problems_only=True)
+    return rounded(found.select("ext_id", "external_table_key", "scan_gb"), "scan_gb", digits=3)
 
 
 @query("group_query_ids", f"{groups._W} select constraint_key, array_to_string(list_sort(list(distinct query_id)), ',') as query_ids from ck group by 1")
@@ -115,30 +121,23 @@ def most_common_values(spark, sf):
     return lookups.most_common(s, "g", F.col("step_name"), "query_id")
 
 
-@query("catalog_cache", f"{with_('tables')} select table_id, case when table_id % 2 = 0 then 'cache' else 'live' end as origin from tables where table_id % 3 = 0")
+@query("catalog_cache", f"{with_('tables')} select table_id, case when table_id % 2 = 0 then 'cache' else 'live' end as origin from tables")
 def catalog_cache(spark, sf):
-    t = relation(spark, sf, "tables").select("table_id")
-    found, _ = lookups.cache_first(t.where("table_id % 3 = 0"), t.where("table_id % 2 = 0").withColumn("origin", F.lit("cache")), t.withColumn("origin", F.lit("live")), "table_id")
-    return found
-
-
-@query("catalog_cache_all", f"{with_('tables')} select table_id, case when table_id % 2 = 0 then 'cache' else 'live' end as origin from tables")
-def catalog_cache_all(spark, sf):
-    """Asks for all tables; catalog_cache is held to one in three by its SQL."""
     t = relation(spark, sf, "tables").select("table_id")
     found, _ = lookups.cache_first(t, t.where("table_id % 2 = 0").withColumn("origin", F.lit("cache")), t.withColumn("origin", F.lit("live")), "table_id")
     return found
 
 
-def closure(spark, sf) -> DataFrame:
-    v = spark.sql(f"with {_VIEWS.replace('{supplier}', f'parquet.`{sf}/supplier.parquet`')} select * from v")
-    t = external.catalog_keyed(relation(spark, sf, "externals")).select(F.col("external_table_key").alias("table_key"))
-    return lookups.catalog_closure(["s.view_2", "view_4"], t, v)[0]
+# views in chains: each reads the next, every seventh an external table
+_CHAINS = "v as (select 'db.s.view_' || cast(s_suppkey as varchar(20)) as view_key, case when s_suppkey % 7 = 0 then 'select a from spectrum_' || cast(s_suppkey % 4 as varchar(20)) || '.ext_' || cast(s_suppkey as varchar(20)) else 'select a from s.view_' || cast(s_suppkey + 1 as varchar(20)) || ' where a > 1' end as source_definition from {supplier})"
+_ASKED = [f"view_{k}" if k % 2 else f"s.view_{k}" for k in range(1, 1000, 30)]
 
 
-@query("catalog_closure", "select 'spectrum_2.ext_2' as table_key union all select 'spectrum_0.ext_4'")
+@query("catalog_closure", f"with recursive r as (select s_suppkey as k from supplier where s_suppkey % 30 = 1 and s_suppkey < 1000 union select k + 1 from r where k % 7 <> 0) select distinct 'spectrum_' || cast(k % 4 as varchar) || '.ext_' || cast(k as varchar) as table_key from r join supplier on s_suppkey = k where k % 7 = 0")
 def catalog_closure(spark, sf):
-    return closure(spark, sf)
+    v = spark.sql(f"with {_CHAINS.replace('{supplier}', f'parquet.`{sf}/supplier.parquet`')} select * from v")
+    t = external.catalog_keyed(relation(spark, sf, "externals")).select(F.col("external_table_key").alias("table_key"))
+    return lookups.catalog_closure(_ASKED, t, v)[0]
 
 
 _INS = f"{with_(*core.BASE)}, {core.SLOW}, {core.RISK}, {core.QOP}, {core.TOP}, {core.INSIGHTS}"

@@ -115,6 +115,18 @@ def evidence_trim(spark, sf):
     return storage.trim_preview({"query_details": relation(spark, sf, "steps"), "query_explain": relation(spark, sf, "plans")}, keep)
 
 
+_LOG = "log as (select 'table_' || cast(o_custkey % 40 as varchar(20)) as table_name, o_orderdate as recorded_at, md5(cast(o_custkey as varchar(20))) as sql_hash from {orders} where o_custkey % 40 <> 7)"
+_LOADED = "loaded as (select distinct 'table_' || cast(o_custkey % 40 as varchar(20)) as table_name from {orders})"
+
+
+@query("sql_drift", f"with {_LOG}, {_LOADED}, l as (select table_name, arg_max(sql_hash, strftime(recorded_at, '%Y-%m-%d %H:%M:%S') || sql_hash) as sql_hash from log group by 1) select table_name, case when l.sql_hash is null or table_name like '%3' then 'unrecorded' when table_name like '%1' then 'current' else 'changed' end as sql_status from loaded left join l using (table_name)".replace("{orders}", "orders"))
+def sql_drift(spark, sf):
+    read = lambda text, name: spark.sql(f"with {text} select * from {name}".replace("{orders}", f"parquet.`{sf}/orders.parquet`"))
+    log, loaded = read(_LOG, "log"), read(_LOADED, "loaded")
+    expected = storage.latest_sql(log).where("table_name not like '%3'").withColumn("sql_hash", F.when(F.col("table_name").like("%1"), F.col("sql_hash")).otherwise("other"))
+    return storage.sql_drift(loaded, log, expected).select("table_name", "sql_status")
+
+
 @query("table_inventory", f"{with_('history')} select 'a' as table_name, count(*) as row_count, count(distinct query_id % 4) as snapshots, max(start_time) as last_captured, case when (epoch_us({_NOW}) - epoch_us(max(start_time))) / 3.6e9 <= 24 then 'fresh' else 'stale' end as status from history union all select 'b', count(*), count(distinct query_id % 4), max(start_time), case when count(*) = 0 then 'empty' else 'stale' end from history where start_time < timestamp '1995-01-01'")
 def table_inventory(spark, sf):
     h = relation(spark, sf, "history").select((F.col("query_id") % 4).alias("snapshot_id"), F.col("start_time").alias("captured_at"))

@@ -51,47 +51,31 @@ def statement_fingerprints(spark, sf):
     return facts_of(spark, sf).groupBy("fingerprint").agg(F.count("*").alias("statements"), F.min("shape").alias("shape"))
 
 
-_PROC = "procs as (select o_orderkey as id, 'db.etl.p_' || cast(o_orderkey as varchar(20)) as procedure_key, 'begin insert into t select ''a;b''; update t set x = ' || cast(o_orderkey as varchar(20)) || '; -- c; d' || chr(10) || ' end;' as source_definition from {orders} where o_orderkey % 10 = 0)"
+_PROC = "procs as (select o_orderkey as id, 'db.etl.p_' || cast(o_orderkey as varchar(20)) as procedure_key, 'begin insert into t select ''a;b''; update t set x = ' || cast(o_orderkey as varchar(20)) || '; -- c; d' || chr(10) || ' end;' as source_definition from {orders})"
 
 
 @query("procedure_statements", f"with {_PROC.replace('{orders}', 'orders')} select procedure_key, 0 as statement_no, 'insert into t select ''a;b''' as sql_text from procs union all select procedure_key, 1, 'update t set x = ' || cast(id as varchar) from procs")
 def procedure_statements(spark, sf):
-    procs = spark.sql(f"with {_PROC.replace('{orders}', f'parquet.`{sf}/orders.parquet`')} select * from procs")
-    return facts.procedure_statements(procs)
-
-
-_PROCS = _PROC.replace(" where o_orderkey % 10 = 0", "")
-
-
-@query("procedure_statements_all", f"with {_PROCS.replace('{orders}', 'orders')} select procedure_key, 0 as statement_no, 'insert into t select ''a;b''' as sql_text from procs union all select procedure_key, 1, 'update t set x = ' || cast(id as varchar) from procs")
-def procedure_statements_all(spark, sf):
-    """Procedures of all orders; procedure_statements is held to one in ten by its SQL."""
-    return facts.procedure_statements(spark.sql(f"with {_PROCS.replace('{orders}', f'parquet.`{sf}/orders.parquet`')} select * from procs"))
-
-
-@query("call_resolution", f"{with_('statements')} select query_id, 'db1.etl.load_' || cast(query_id % 4 as varchar) as call_key from statements where query_id % 16 = 5")
-def call_resolution(spark, sf):
-    from ..operators.grouping import resolved_calls
-
-    s = relation(spark, sf, "statements").where("query_id % 16 = 5").select("query_id", F.concat(F.lit("db1..load_"), (F.col("query_id") % 4).cast("string")).alias("call_key"))
-    return resolved_calls(s, _captured(spark))
+    return facts.procedure_statements(spark.sql(f"with {_PROC.replace('{orders}', f'parquet.`{sf}/orders.parquet`')} select * from procs"))
 
 
 def _captured(spark) -> DataFrame:
     return spark.createDataFrame([("DB1.etl.load_0",), ("db1.etl.load_1",), ("db1.etl.load_2",), ("db1.etl.load_3",)], "procedure_key string")
 
 
-@query("call_resolution_all", f"{with_('statements')} select query_id, 'db1.etl.load_' || cast(query_id % 4 as varchar) as call_key from statements where query_id % 8 = 5")
-def call_resolution_all(spark, sf):
-    """Every CALL among all statements, its key read from the text; call_resolution is held to half of them by its SQL."""
+@query("call_resolution", f"{with_('statements')} select query_id, 'db1.etl.load_' || cast(query_id % 4 as varchar) as call_key from statements where query_id % 8 = 5")
+def call_resolution(spark, sf):
+    """Every CALL among all statements, its key read from the text."""
     from ..operators.grouping import resolved_calls
 
     s = relation(spark, sf, "statements").select("query_id", shapes.call_key("sql_text", F.lit("db1")).alias("call_key"))
     return resolved_calls(s.where(F.col("call_key").isNotNull()), _captured(spark))
 
 
-@query("leading_comments", r"select p_partkey as id, regexp_replace(case p_partkey % 3 when 0 then '/* a */ -- b' || chr(10) || ' select 1' when 1 then '  select 2' else '-- only' end, '(?s)^(?:\s+|--[^\n]*(?:\n|$)|/\*.*?(?:\*/|$))+', '') as body from part")
+_COMMENTED = "case query_id % 3 when 0 then '/* a */ -- b' || chr(10) || ' ' || sql_text when 1 then '  ' || sql_text else '-- only' end"
+
+
+@query("leading_comments", rf"{with_('statements')} select query_id, regexp_replace({_COMMENTED}, '(?s)^(?:\s+|--[^\n]*(?:\n|$)|/\*.*?(?:\*/|$))+', '') as body from statements")
 def leading_comments(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet")
-    text = F.when(F.col("p_partkey") % 3 == 0, F.lit("/* a */ -- b\n select 1")).when(F.col("p_partkey") % 3 == 1, F.lit("  select 2")).otherwise(F.lit("-- only"))
-    return p.select(F.col("p_partkey").alias("id"), shapes.without_leading_comments(text).alias("body"))
+    s = relation(spark, sf, "statements").withColumn("text", F.expr(_COMMENTED))
+    return s.select("query_id", shapes.without_leading_comments("text").alias("body"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -59,7 +62,8 @@ class Store:
         """Replaces the slices (snapshot, namespace) that `rows` has; an empty frame replaces nothing. Says whether it wrote."""
         if rows.isEmpty():
             return False
-        rows.repartition(*KEYS).write.partitionBy(*KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
+        # slices are gathered, and large ones split again by adaptive execution, so no slice is one task's work
+        rows.hint("rebalance", *KEYS).write.partitionBy(*KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
         return True
 
     def append(self, table: str, rows: DataFrame, keys: list[str]) -> None:
@@ -67,9 +71,8 @@ class Store:
         if not self.exists(table):
             self.replace(table, rows)
             return
-        merged = upserted(self.read(table), rows, [*KEYS, *keys])
         touched = rows.select(*KEYS).distinct()
-        slices = merged.join(touched, KEYS, "left_semi")
+        slices = upserted(self.read(table).join(touched, KEYS, "left_semi"), rows, [*KEYS, *keys])
         staged = f"{self.root}/_staging/{table}-{uuid.uuid4().hex}"
         slices.write.parquet(staged)  # a dataset cannot be read and overwritten in one job
         self.replace(table, self.spark.read.parquet(staged))
@@ -99,6 +102,42 @@ class Store:
             self.read(t).write.mode("overwrite").partitionBy(*KEYS).parquet(f"{to}/{t}")
         return {t: self.spark.read.parquet(f"{to}/{t}").count() for t in tables}
 
+    def restore(self, source: str, tables: list[str]) -> dict[str, int]:
+        """Puts back copies made by backup() and returns their rows; a copy that does not read back whole raises."""
+        out = {}
+        for t in tables:
+            copy = self.spark.read.parquet(f"{source}/{t}")
+            copy.write.mode("overwrite").partitionBy(*KEYS).parquet(self.path(t))
+            out[t] = self.read(t).count()
+            if out[t] != copy.count():
+                raise ValueError(f"{t} has {out[t]} rows after the restore")
+        return out
+
+    def recover(self, tables: list[str]) -> list[str]:
+        """After an interrupted load: tables that are missing come back from their staged form, if that carries exactly one snapshot."""
+        back = []
+        for t in tables:
+            if self.exists(t) or not self.exists(f"_staging/{t}"):
+                continue
+            staged = self.spark.read.parquet(self.path(f"_staging/{t}"))
+            if staged.select("snapshot_id").distinct().limit(2).count() == 1:
+                self.replace(t, staged)
+                back.append(t)
+        return back
+
+    def truncate_all(self, tables: list[str], preserved: tuple[str, ...] = ("roster",)) -> list[str]:
+        """Empties all tables but the preserved ones; returns the emptied."""
+        gone = [t for t in tables if t not in preserved and self.exists(t)]
+        for t in gone:
+            self.truncate(t)
+        return gone
+
+    def cached(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """An analysis kept under its key; made and written once."""
+        if not self.exists(f"_analyses/{key}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(self.path(f"_analyses/{key}"))
+        return self.spark.read.parquet(self.path(f"_analyses/{key}"))
+
     def truncate(self, table: str) -> None:
         """No rows; the columns stay."""
         empty = self.read(table).limit(0)
@@ -187,11 +226,33 @@ def ownership(rows: DataFrame) -> DataFrame:
     return rows.groupBy("assignment_key", "namespace_id").agg(F.count("*").alias("queries"), F.array_sort(F.collect_set("user_name")).alias("users"), F.min("query_id").alias("first_id"), F.max("query_id").alias("last_id"))
 
 
-def markdown(rows: DataFrame, title: str, most: int = 5000) -> str:
-    """A frame as a Markdown table (the `most` first rows)."""
+def analysis_key(settings: dict[str, object], identities: DataFrame) -> str:
+    """Digest of settings and of the identities (rows in any order) that an analysis was made from."""
+    seen = identities.agg(F.count("*"), F.sum(F.xxhash64(*identities.columns).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(json.dumps([sorted(settings.items()), [str(v) for v in seen]], default=str).encode()).hexdigest()[:32]
+
+
+def sql_drift(tables: DataFrame, log: DataFrame, expected: DataFrame) -> DataFrame:
+    """Whether each table was loaded by the SQL that is expected now: current, changed or unrecorded."""
+    known = tables.select("table_name").join(latest_sql(log), "table_name", "left").join(expected.select("table_name", F.col("sql_hash").alias("expected_hash")), "table_name", "left")
+    return known.withColumn("sql_status", F.when(F.col("sql_hash").isNull() | F.col("expected_hash").isNull(), "unrecorded").when(F.col("sql_hash") == F.col("expected_hash"), "current").otherwise("changed"))
+
+
+def summary(slow: DataFrame, tables: DataFrame, found: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row: how many queries, tables, findings and actions a report has, and their extremes."""
+    q = slow.agg(F.count("*").alias("queries"), F.sum(zero("elapsed_s")).alias("total_elapsed_s"), F.max("risk_score").alias("max_risk"), F.sum(F.when(zero("total_spill") > 0, 1).otherwise(0)).alias("spilling_queries"))
+    t = tables.agg(F.count("*").alias("tables"), F.sum(F.when(zero("table_risk_score") >= 50, 1).otherwise(0)).alias("high_risk_tables"))
+    f = found.agg(F.count("*").alias("findings"), F.sum(F.when(F.col("severity") == "crit", 1).otherwise(0)).alias("critical_findings"))
+    a = actions.agg(F.count("*").alias("actions"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    return one(q).join(one(t), "_one").join(one(f), "_one").join(one(a), "_one").drop("_one")
+
+
+def markdown(rows: DataFrame, title: str) -> str:
+    """A frame as a Markdown table: every row; one partition at a time comes to the driver."""
     names = rows.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + " - |" * len(names)]
-    lines += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows.limit(most).collect()]
+    lines += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows.toLocalIterator()]
     return "\n".join(lines) + "\n"
 
 
