@@ -264,3 +264,88 @@ def test_stream_appends_each_query_once(spark, tmp_path):
     out = ingest.arrivals(ingest.history_stream(spark, src, schema)).writeStream.format("memory").queryName("arr").outputMode("complete").trigger(availableNow=True).start()
     out.awaitTermination()
     assert [(r.queries, r.elapsed_time) for r in spark.sql("select * from arr").collect()] == [(2, 11)]
+
+
+# Reports and recovery --------------------------------------------------------------------------
+def test_report_merges_near_equal_shapes_before_sizes_are_judged(spark):
+    from querytide.operators import grouping
+
+    base = "select a, b, c from sales.orders_fact where customer_region = 'x' and order_total_amount > 5 order by order_total_amount desc"
+    texts = [base, base.replace("5", "7"), base.replace("order by order_total_amount desc", "order by order_total_amount asc"), "select z from other.table_two where q = 1 and r = 2", base]
+    rows = [(i, t, "u", "db", "SELECT", float(i), float(i), 10 * i) for i, t in enumerate(texts)]
+    q = spark.createDataFrame(rows, "query_id long, sql_text string, user_name string, database_name string, query_type string, elapsed_s double, risk_score double, spill long")
+    found = grouping.candidates(q)
+    plain = grouping.report(found, ["spill"], ["elapsed_s"]).collect()
+    assert [(r.query_count, r.query_ids) for r in plain] == [(3, [0, 1, 4])]
+    (g,) = grouping.report(found, ["spill"], ["elapsed_s"], grouping.fuzzy_merged(found)).collect()
+    assert (g.query_count, g.query_ids, g.representative_id, g.total_spill, g.avg_elapsed_s, g.shape_count) == (4, [0, 1, 2, 4], 0, 70, 1.75, 2)
+    assert g.all_tables == g.common_tables == "sales.orders_fact" and g.min_similarity < 1.0 and g.repeat_group_key.startswith("G")
+
+
+def test_fuzzy_groups_match_brute_force(spark):
+    import random
+
+    from querytide.operators import grouping
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(6))
+    texts = []
+    for _ in range(6):
+        stem = f"select {', '.join(word() for _ in range(12))} from s.t_one where {word()} = 1 and "
+        texts += [stem + word() + " = 2" for _ in range(4)]
+    q = spark.createDataFrame([(i, t, "u", "db", "SELECT", 1.0, 1.0) for i, t in enumerate(texts)], "query_id long, sql_text string, user_name string, database_name string, query_type string, elapsed_s double, risk_score double")
+    found = grouping.candidates(q)
+    got = {x.constraint_key: x.merged_key for x in grouping.fuzzy_merged(found).collect()}
+    shapes = sorted({(x.shape, x.constraint_key) for x in found.select("shape", "constraint_key").collect()}, key=lambda x: (len(x[0]), x[0]))
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            row = _lcs_row(row, c, b)
+        return 2 * row[-1] / (len(a) + len(b))
+
+    def _lcs_row(before, c, b):
+        out = [0]
+        for j, d in enumerate(b, 1):
+            out.append(before[j - 1] + 1 if c == d else max(before[j], out[-1]))
+        return out
+
+    clusters: list[list] = []
+    for s, k in shapes:
+        home = next((c for c in clusters if len(s) <= len(c[0][0]) * 1.25 and min(ratio(s, x) for x, _ in c) >= 0.95), None)
+        clusters.append([(s, k)]) if home is None else home.append((s, k))
+    assert got == {k: c[0][1] for c in clusters for _, k in c} and len(clusters) < len(shapes)
+
+
+def test_store_recovers_restores_and_empties(spark, tmp_path):
+    store = storage.Store(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([("1", "n1"), ("2", "n2")], "query_id string, namespace_id string")
+    store.stage("lost", storage.stamped(rows, "s1"))
+    store.stage("mixed", storage.stamped(rows, "s1").unionByName(storage.stamped(rows, "s2")))
+    assert store.recover(["lost", "mixed", "never"]) == ["lost"] and store.read("lost").count() == 2
+    store.replace("roster", storage.stamped(rows, "s1"))
+    store.backup(f"file://{tmp_path}/copy", ["lost"])
+    assert store.truncate_all(["lost", "roster", "never"]) == ["lost"] and store.read("lost").count() == 0 and store.read("roster").count() == 2
+    assert store.restore(f"file://{tmp_path}/copy", ["lost"]) == {"lost": 2}
+    made = []
+    key = storage.analysis_key({"b": 1, "a": 2}, rows)
+    assert key == storage.analysis_key({"a": 2, "b": 1}, rows.orderBy("query_id", ascending=False)) != storage.analysis_key({"a": 2}, rows)
+    for _ in range(2):
+        assert store.cached(key, lambda: made.append(1) or rows).count() == 2
+    assert made == [1]
+
+
+def test_markdown_and_scripts_hold_every_row(spark):
+    text = storage.markdown(spark.range(6000).selectExpr("id", "concat('a|', id) as t"), "Rows")
+    assert text.count("\n") == 6004 and "| 5999 | a\\|5999 |" in text
+
+
+def test_external_assessment_of_pushdown_and_spill(spark):
+    t = spark.createDataFrame(
+        [(1, "parquet", "numRows=1", 30, 120.0, 0, 1, 3, 95.0, 0, 0, 0), (2, "text", "", 6, 120.0, 10, 0, 3, 60.0, 5, 0, 2), (3, "orc", "numrows=5", 1, 1.0, 0, 1, 0, None, 0, 6, 0)],
+        "ext_id int, input_format string, parameters string, query_count int, scan_gb double, total_partitions int, partition_keys int, output_metric_match_count int, row_filter_efficiency_pct double, external_spill_blocks int, warning_count int, error_count int",
+    ).selectExpr("*", "case when total_partitions > 0 then 20.0 end as partition_pruning_pct", "1 as s3list_time_ms", "1.0 as avg_files_per_segment", "1.0 as files_per_query", "1.0 as external_duration_s")
+    got = {r.ext_id: ([(i["code"], i["weight"]) for i in r.issues], r.score, r.priority, r.confidence) for r in external.assessed(t).collect()}
+    assert got[1] == ([("MATERIALIZE_OR_STAGE", 25), ("PUSHDOWN", 20)], 45, "high", "high")
+    assert got[2][0] == [("COLUMNAR_FORMAT", 30), ("PARTITION_DESIGN", 30), ("DATA_QUALITY", 20), ("LOCAL_STAGE_DESIGN", 12), ("PUSHDOWN", 12), ("EXTERNAL_STATISTICS", 12)] and got[2][1:3] == (100, "critical")
+    assert got[3] == ([("DATA_QUALITY", 12)], 12, "low", "medium")
