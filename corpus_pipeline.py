@@ -53,7 +53,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.table(spark, sf_dir, "documents")
+    docs, last = tables.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = tables.written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            tables.removed(last)
+        last = docs
     return docs
