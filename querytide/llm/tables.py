@@ -61,17 +61,15 @@ def removed(df: DataFrame) -> None:
 def keyed(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
     """`df` as (_id, _tag, columns) and the columns that identify a row.
 
-    _id is doc_id with null as NULL_ID. _tag tells rows that share a doc_id apart by a hash of
-    their text and is 0 throughout when doc_ids are unique. Rows equal in doc_id and text share
+    _id is doc_id with null as NULL_ID. Where doc_ids are unique they are the key; else a hash of
+    the text, _tag, tells rows that share a doc_id apart. Rows equal in doc_id and text share
     their key, and so their result."""
     small_batches(df.sparkSession)
     base = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), *[F.col(c) for c in columns])
     shared = base.groupBy("_id").count().where("count > 1").select("_id")
     if shared.isEmpty():
         return base, ["_id"]
-    tagged = base.join(shared.withColumn("_shared", F.lit(True)), "_id", "left")
-    tag = F.when(F.col("_shared"), F.xxhash64("text")).otherwise(F.lit(0)).alias("_tag")
-    return tagged.select("_id", tag, *columns), ["_id", "_tag"]
+    return base.select("_id", F.xxhash64("text").alias("_tag"), *columns), ["_id", "_tag"]
 
 
 def with_tag(df: DataFrame) -> DataFrame:
