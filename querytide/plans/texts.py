@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shapes
 from ..sources.adapter import relation, with_
-from .statement import facts
+from .statement import facts, similarity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,32 @@ _COMMENTED = "case query_id % 3 when 0 then '/* a */ -- b' || chr(10) || ' ' ||
 def leading_comments(spark, sf):
     s = relation(spark, sf, "statements").withColumn("text", F.expr(_COMMENTED))
     return s.select("query_id", shapes.without_leading_comments("text").alias("body"))
+
+
+_PLAIN = [r"(?s)/\*.*?\*/", r"--[^\r\n]*"]
+_NUMBER, _LIST = r"(^|[^a-z0-9_$])[-+]?\d+(?:\.\d+)?([^a-z0-9_$.]|$)", r"\(\s*\?(?:\s*,\s*\?)+\s*\)"
+
+
+def _plain_sql() -> str:
+    """The oracle's text shape; RE2 has no look-around, so numbers take their neighbours along, twice over."""
+    sub = lambda c, p, n: f"regexp_replace({c}, '{p}', '{n}', 'g')"
+    t = sub(sub("sql_text", _PLAIN[0], " "), _PLAIN[1], " ")
+    t = "lower(" + sub(t, "''(?:[^'']|'''')*''", "?") + ")"
+    return "trim(" + sub(sub(sub(sub(t, _NUMBER, r"\1?\2"), _NUMBER, r"\1?\2"), _LIST, "(?)"), r"\s+", " ") + ")"
+
+
+@query("text_shapes", f"{with_('statements')} select query_id, {_plain_sql()} as shape from statements")
+def text_shapes(spark, sf):
+    return relation(spark, sf, "statements").select("query_id", shapes.text_shape("sql_text").alias("shape"))
+
+
+@query("joined_users", f"{with_('history')}, u as (select query_id % 97 as g, trim(user_name) as v, min(query_id) as o from history where trim(user_name) <> '' group by all), r as (select *, row_number() over (partition by g order by o) as n from u) select g, coalesce(string_agg(v, ', ' order by o) filter (n <= 8), '') as users, coalesce(array_to_string(list_sort(list(v))[1:5], ', '), '') as sorted from r group by g")
+def joined_users(spark, sf):
+    h = relation(spark, sf, "history").withColumn("g", F.col("query_id") % 97)
+    return h.groupBy("g").agg(shapes.joined_users("user_name", "query_id").alias("users"), shapes.joined_sorted("user_name", 5).alias("sorted"))
+
+
+@query("similar_parsed")
+def similar_parsed(spark, sf):
+    """Parsed similarity to one statement; pytest holds the parts against their formulas."""
+    return similarity.alike("select a, b from brand_1.part_x_1 where name like '%x'", relation(spark, sf, "statements"))

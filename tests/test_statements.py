@@ -195,3 +195,20 @@ def test_lens():
     assert ("s.w", "view") in nodes and ("s.f", "table") in nodes and edges == []
     assert lens.equality_colors(text, CATALOG) == [("f.k", "red"), ("d.k", "green")]
     assert lens.token_at("select a.b from t", 8) == "a.b" and lens.comparison_at("where a.x = 3", 10) == ("a.x", "3")
+
+
+def test_similarity_of_parsed_and_unparsed_statements(spark):
+    from querytide.operators.grouping import indel_ratio
+    from querytide.plans.statement import similarity as S
+
+    a, b = "select x.a, x.b from s.f x join s.d d on x.k = d.k where x.v > 5", "select x.a, x.c from s.f x where x.v > 7"
+    p, q = S.prepared(a, a), S.prepared(b, b)
+    j = S.jaccard
+    expect = 0.25 * indel_ratio(p.text, q.text) + 0.22 * indel_ratio(p.tree, q.tree) + 0.10 * j(p.tokens, q.tokens) + 0.05 * j(p.pairs, q.pairs) + 0.09 * 0.5 + 0.07 * (2 / 5) + 0.04 * 0 + 0.03 * 1 + 0.06 * 0 + 0.05 * 1 + 0.04 * (1 / 3)
+    assert p.tree and abs(S.similarity(p, q) - expect) < 1e-4 and S.similarity(p, p) == 1.0
+    u, v = S.prepared("merge into t using s on 1", "merge into t using s on ?"), S.prepared("merge into t using r on 1", "merge into t using r on ?")
+    assert not u.tree and abs(S.similarity(u, v) - (0.55 * indel_ratio(u.text, v.text) + 0.30 * j(u.tokens, v.tokens) + 0.15 * j(u.pairs, v.pairs))) < 1e-4
+    assert S.similarity(S.prepared("", ""), p) == 0.0
+    rows = spark.createDataFrame([(1, a), (2, a.replace("5", "9")), (3, "update t set a = 1"), (4, None), (5, b)], "query_id long, sql_text string")
+    got = [(r.query_id, r.similarity) for r in S.alike(a, rows, least=0.5).collect()]
+    assert [g[0] for g in got] == [1, 2, 5] and got[0][1] == got[1][1] == 1.0
