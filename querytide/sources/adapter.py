@@ -33,12 +33,12 @@ RELATIONS = {
  when 5 then 'CALL etl.load_' || cast(o.o_orderkey%4 as varchar(4)) || '(' || cast(o.o_orderkey as varchar(12)) || ')'
  when 6 then 'UNLOAD (''select a from ' || t || ' where d = ''''2024-01-01'''' '') TO ''s3://b/' || cast(o.o_orderkey as varchar(12)) || ''''
  else '/* run ' || cast(o.o_orderkey as varchar(12)) || ' */ select c from ' || s || '.' || t || ' where v > ' || cast(o.o_orderkey%100 as varchar(4)) || ' limit ' || cast(o.o_orderkey%7+1 as varchar(4)) end as sql_text
- from {orders} o join (select p_partkey, lower(replace(p_brand,'#','_')) as s, replace(p_name,' ','_') || '_' || cast(p_partkey as varchar(12)) as t from {part}) p on p.p_partkey = o.o_orderkey%25""",
+ from {orders} o join (select p_partkey, lower(replace(p_brand,'#','_')) as s, replace(p_name,' ','_') || '_' || cast(p_partkey as varchar(12)) as t from {part}) p on p.p_partkey = o.o_orderkey%200 + 1""",
     "history": """select o_orderkey as query_id, o_custkey%150 as user_id, 'db' || cast(o_custkey%3 as varchar(20)) as database_name, case when o_custkey%4=0 then cast(o_custkey as varchar(20)) when o_custkey%4=1 then '' else 'user_' || cast(o_custkey%150 as varchar(20)) end as user_name,
  case o_orderkey%10 when 0 then 'PROCEDURE' when 1 then 'UTILITY' when 2 then 'DDL' else 'SELECT' end as query_type, case o_orderstatus when 'F' then 'success' when 'O' then 'success' else 'failed' end as status, o_orderkey%17=0 as result_cache_hit,
  o_orderdate as start_time, case when o_orderkey%6=0 then null else o_orderdate + (o_orderkey%7200) * interval '1' second end as end_time,
  cast(round(o_totalprice*100) as bigint)*1000 as elapsed_time, cast(round(o_totalprice*100) as bigint)*800 as execution_time, (o_orderkey%97)*1000000 as queue_time, 'ns' || cast(o_custkey%5 as varchar(20)) as namespace_id from {orders}""",
-    "history_all": """select o_orderkey as query_id, 'ns' || cast(o_custkey%5 as varchar(20)) as namespace_id, cast(round(o_totalprice*100) as bigint)*1000 as elapsed_time, 'orders' as origin from {orders} where o_orderkey%2=0
+    "history_all": """select o_orderkey as query_id, 'ns' || cast(o_custkey%5 as varchar(20)) as namespace_id, cast(round(o_totalprice*100) as bigint)*1000 as elapsed_time, 'orders' as origin from {orders}
  union all select event_id + 1000000000 as query_id, 'ns' || cast(user_id%5 as varchar(20)) as namespace_id, cast(round(value*100) as bigint)*1000 as elapsed_time, 'events' as origin from {events}""",
     "patterns": """select 'P' || cast(p_partkey as varchar(20)) as repeat_group_id, case when p_partkey%11=0 then 'proc' else 'sql' end as repeat_kind, case p_partkey%5 when 0 then 'UTILITY' when 1 then 'DDL' else 'SELECT' end as query_type, p_size as query_count, cast(p_size*(p_partkey%90)*100 as double) as total_runtime_s,
  lower(replace(p_brand,'#','_')) || '.' || replace(p_name,' ','_') || '_' || cast(p_partkey as varchar(20)) || case when p_partkey%4=0 then ', other.unknown' else '' end as sql_tables, case p_partkey%3 when 0 then 'event_date, a.cust_id' when 1 then 'cust_id' else 'event_date' end as sql_filter_columns, case p_partkey%2 when 0 then 'cust_id; b.item_id' else '' end as sql_join_columns,
