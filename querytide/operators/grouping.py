@@ -20,7 +20,8 @@ MOST_CHARS = 8000
 
 
 def repeating(queries: DataFrame, min_runs: int = 3) -> DataFrame:
-    """Queries that repeat: same normalised text, or same user with the same opening and closing characters.
+    """Queries that repeat: same normalised text, or same user with the same opening and closing characters, or the same
+    query hash where there is a column query_hash (blank ones do not count).
 
     Blank texts leave before the counting. Counts are aggregated and joined back, so a hot key is combined before the shuffle."""
     norm = shapes.text_key("sql_text")
@@ -28,7 +29,12 @@ def repeating(queries: DataFrame, min_runs: int = 3) -> DataFrame:
     exact = q.groupBy("_norm").agg(F.count("*").alias("text_runs"))
     affix = q.where("_user <> ''").groupBy("_user", "_head", "_tail").agg(F.count("*").alias("affix_runs"))
     joined = q.join(exact, "_norm").join(affix, ["_user", "_head", "_tail"], "left").withColumn("affix_runs", zero("affix_runs"))
-    return joined.where((F.col("text_runs") >= min_runs) | (F.col("affix_runs") >= min_runs)).drop("_norm", "_head", "_tail", "_user")
+    often = (F.col("text_runs") >= min_runs) | (F.col("affix_runs") >= min_runs)
+    if "query_hash" in queries.columns:
+        hashed = q.where(token("query_hash").isNotNull()).groupBy("query_hash").agg(F.count("*").alias("hash_runs"))
+        joined = joined.join(hashed, "query_hash", "left").withColumn("hash_runs", zero("hash_runs"))
+        often = often | (F.col("hash_runs") >= min_runs)
+    return joined.where(often).drop("_norm", "_head", "_tail", "_user")
 
 
 def candidates(queries: DataFrame, by_user: bool = False) -> DataFrame:

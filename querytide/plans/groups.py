@@ -83,6 +83,16 @@ def repeating_queries(spark, sf):
     return grouping.repeating(stated(spark, sf)).select("query_id", "text_runs", "affix_runs")
 
 
+@query(
+    "repeating_by_hash",
+    rf"""{with_("history", "statements")}, {STATED}, n as (select *, trim(regexp_replace(lower(sql_text), '\s+', ' ', 'g')) as norm, case when query_id % 4 = 0 then 'h' || cast(query_id // 16 as varchar) else '' end as query_hash from stated), c as (select query_id, query_hash, count(*) over (partition by norm) as text_runs, case when trim(user_name) <> '' then count(*) over (partition by lower(trim(user_name)), left(norm, 64), right(norm, 64)) else 0 end as affix_runs, case when query_hash <> '' then count(*) over (partition by query_hash) else 0 end as hash_runs from n where norm <> '')
+ select query_id, text_runs, affix_runs, hash_runs from c where text_runs >= 3 or affix_runs >= 3 or hash_runs >= 3""",
+)
+def repeating_by_hash(spark, sf):
+    q = stated(spark, sf).withColumn("query_hash", F.expr("case when query_id % 4 = 0 then 'h' || cast(query_id div 16 as string) else '' end"))
+    return grouping.repeating(q).select("query_id", "text_runs", "affix_runs", "hash_runs")
+
+
 @query("group_candidates", f"{_W} select query_id, kind, call_key, constraint_key from ck")
 def group_candidates(spark, sf):
     return grouping.candidates(stated(spark, sf)).select("query_id", "kind", "call_key", "constraint_key")
