@@ -117,7 +117,7 @@ def test_call_keys(spark):
 
 def test_all_calls_are_resolved(spark, sf):
     calls = relation(spark, sf, "statements").where("sql_text like 'CALL %'")
-    got = registry.QUERIES["call_resolution_all"](spark, sf)
+    got = registry.QUERIES["call_resolution"](spark, sf)
     assert 0 < got.count() == calls.count() == got.join(calls, "query_id").where("call_key = concat('db1.', regexp_extract(sql_text, 'CALL (.*)[(]', 1))").count()
     texts = spark.createDataFrame([("/* x */ call load_1(7)",), ("CALL etl.load_1 (7)",), ("call nowhere()",), ("select 1",)], "sql_text string").select(shapes.call_key("sql_text", shapes.F.lit("DB1")).alias("call_key"))
     procs = spark.createDataFrame([("DB1.etl.load_1",), ("db1.etl.load_2",)], "procedure_key string")
@@ -126,9 +126,9 @@ def test_all_calls_are_resolved(spark, sf):
 
 def test_whole_tables_reach_the_operators(spark, sf):
     got, n = (lambda name: registry.QUERIES[name](spark, sf)), (lambda name: spark.read.parquet(f"{sf}/{name}.parquet").count())
-    assert got("procedure_statements_all").count() == 2 * n("orders") and got("catalog_cache_all").count() == n("part")
+    assert got("procedure_statements").count() == 2 * n("orders") and got("catalog_cache").count() == n("part")
     errors = relation(spark, sf, "segments").selectExpr("query_id * 10 + segment_id").distinct()
-    assert got("external_errors_all").agg({"error_count": "sum"}).first()[0] == errors.count()
+    assert got("external_errors").agg({"error_count": "sum"}).first()[0] == errors.count()
 
 
 def test_incremental_features_parse_each_statement_once(spark):
