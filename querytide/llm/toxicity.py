@@ -216,7 +216,8 @@ def _evidence(lexicons):
                 for k in np.unique(of).tolist():
                     s = np.where(of == k, lexicons.value[k].scores(t), s)
                 place = np.rint((s / UNIT + 1.0 + DRIFT) / (MOST_SCORE + 1.0) * (_BINS - 1)).astype(np.int64)
-                hist = [np.bincount(place[x:y], minlength=_BINS).astype(np.int32).tobytes() for x, y in zip(t.first[:-1], t.first[1:], strict=True)]
+                clean = np.bincount(place[np.asarray(batch.column(1))[a:b][t.document] == 0], minlength=_BINS).tobytes()
+                hist = [clean, *[b""] * (b - a - 1)]  # one histogram for the chunk's clean tokens
                 segments = [[score for _, _, score in maximal_segments(s[x:y])] for x, y in zip(t.first[:-1], t.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(np.diff(t.first)), pa.array(segments, pa.list_(pa.int64())), pa.array(hist, pa.binary())], names=["label", "n", "segments", "hist"])
 
@@ -247,10 +248,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mo
     others = [of(whole - counts[k], seen - total[k]) for k in range(PARTS)]
     found = known.mapInArrow(_evidence(context.broadcast(others)), "label int, n long, segments array<long>, hist binary").toArrow()  # at most `rows` rows
     label, n = (found.column(k).to_numpy() for k in (0, 1))
-    segments = [np.array(x, np.int64) for x in found.column(2).to_pylist()]
-    histogram = np.zeros(_BINS)
-    for y, h in zip(label, found.column(3).to_pylist(), strict=True):
-        histogram += np.frombuffer(h, np.int32) if y == 0 else 0
+    lists = found.column(2).combine_chunks()
+    segments = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if len(label) else []
+    histogram = sum((np.frombuffer(h, np.int64) for h in found.column(3).to_pylist() if h), np.zeros(_BINS))
     base = seen[1] / seen.sum() if seen.sum() else 0.0
     return Model(of(whole, seen), Calibration(label, n, segments, histogram, float(base)))
 
