@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, surrogates, toxicity
+from . import decontaminate, kdtree, langid, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, surrogates, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_secret_linking": secrets.op8_secret_linking,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_compression_quality": quality.op10_compression_quality,
+    "op12_exact_top_k": kdtree.op12_exact_top_k,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op7_suffix_array_dedup": suffix_dedup.ORACLE,
+    "op12_exact_top_k": kdtree.ORACLE,
 }
