@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, kdtree, langid, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, surrogates, toxicity
+from . import decontaminate, kdtree, langid, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, surrogates, toxicity, trie
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_compression_quality": quality.op10_compression_quality,
     "op12_exact_top_k": kdtree.op12_exact_top_k,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op7_suffix_array_dedup": suffix_dedup.ORACLE,
     "op12_exact_top_k": kdtree.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
 }
