@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, kdtree, langid, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, surrogates, toxicity, trie
+from . import alignment, decontaminate, kdtree, langid, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, surrogates, toxicity, trie
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_linking": secrets.op8_secret_linking,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_compression_quality": quality.op10_compression_quality,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_exact_top_k": kdtree.op12_exact_top_k,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
