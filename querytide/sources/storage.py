@@ -1,4 +1,4 @@
-"""The telemetry store: one Parquet dataset per table, partitioned by snapshot and namespace."""
+"""The telemetry store: Parquet slices by snapshot and namespace, under a manifest of versions; storage operators and inventories."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import zero
 
@@ -42,29 +44,141 @@ def conformed(rows: DataFrame, expected: list[str]) -> DataFrame:
     return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in expected], *rest)
 
 
+class Files:
+    """The few file operations that a store needs, on whatever file system Hadoop reaches."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
+
+    def _of(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._of(path)
+        return fs.exists(p)
+
+    def matching(self, pattern: str) -> list[str]:
+        fs, p = self._of(pattern)
+        return [str(x.getPath().toString()) for x in fs.globStatus(p) or []]
+
+    def text(self, path: str) -> str:
+        fs, p = self._of(path)
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        fs, p = self._of(path)
+        stream = fs.create(p, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def publish(self, source: str, target: str) -> None:
+        """Renames a file to a name that must be free; raises Conflict where it is taken."""
+        (_, p), (_, q) = self._of(source), self._of(target)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf)
+        none = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(p, q, none)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" in str(error.java_exception.getClass().getName()):
+                raise Conflict(target) from error
+            raise
+
+    def delete(self, path: str) -> None:
+        fs, p = self._of(path)
+        fs.delete(p, True)
+
+
+class Conflict(Exception):
+    """Another writer has committed since this one read the store."""
+
+
 class Store:
+    """Tables in slices (snapshot, namespace), under a manifest.
+
+    A load writes its slices to a folder of its own. The manifest names the folder of every slice of every table; its
+    versions are numbered files, and the highest counts. A commit writes the next version beside the others and
+    renames it into place, so any number of tables change at once or not at all, and a writer that dies leaves what
+    was there. Of two writers that start from one version the second raises Conflict. Renaming must be atomic and must
+    refuse a taken name, as on HDFS; a manifest has one line per slice, so its size follows snapshots, not rows."""
+
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def versions(self) -> list[int]:
+        return sorted(int(x.rsplit("/", 1)[1].removesuffix(".json")) for x in self.files.matching(f"{self.root}/_manifest/[0-9]*.json"))
+
+    def manifest(self, version: int | None = None) -> dict:
+        """{number, tables: {table: {schema, slices: {slice: load}}}} of a version, or of the last."""
+        known = self.versions()
+        if version is None:
+            version = known[-1] if known else 0
+        elif version not in known:
+            raise ValueError(f"the store has no version {version}")
+        return json.loads(self.files.text(f"{self.root}/_manifest/{version:09d}.json")) if version else {"number": 0, "tables": {}}
+
+    def commit(self, base: dict, tables: dict[str, dict]) -> int:
+        """Makes `tables` the state of theirs in the version after `base`."""
+        number = base["number"] + 1
+        passing = f"{self.root}/_manifest/_{uuid.uuid4().hex}.json"
+        self.files.write(passing, json.dumps({"number": number, "tables": base["tables"] | tables}))
+        try:
+            self.files.publish(passing, f"{self.root}/_manifest/{number:09d}.json")
+        except Conflict:
+            self.files.delete(passing)
+            raise
+        return number
+
+    def load(self, table: str, rows: DataFrame) -> dict:
+        """Writes rows to a folder of their own, which no reader sees before a commit; returns the table's entry for them alone."""
+        name = uuid.uuid4().hex
+        # slices are gathered, and large ones split again by adaptive execution, so no slice is one task's work
+        keyed = rows.withColumns({f"_{k}": F.col(k) for k in KEYS}).hint("rebalance", *KEYS)
+        keyed.write.partitionBy(*[f"_{k}" for k in KEYS]).parquet(f"{self.root}/_data/{table}/{name}")
+        found = self.files.matching(f"{self.root}/_data/{table}/{name}/_{KEYS[0]}=*/_{KEYS[1]}=*")
+        return {"schema": rows.schema.json(), "slices": {"/".join(x.split("/")[-2:]): name for x in found}}
+
+    @staticmethod
+    def _with(entry: dict | None, new: dict) -> dict:
+        """A table's entry with the slices of `new` in place of its own, and the columns of both."""
+        if entry is None:
+            return new
+        both = {f["name"]: f for x in (entry, new) for f in json.loads(x["schema"])["fields"]}
+        return {"schema": json.dumps({"type": "struct", "fields": list(both.values())}), "slices": entry["slices"] | new["slices"]}
+
     def exists(self, table: str) -> bool:
-        jvm, path = self.spark._jvm, self.path(table)
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(p)
+        return table in self.manifest()["tables"]
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(self.path(table))
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """A table as the last version has it, or an earlier one; columns that a slice lacks are null."""
+        entry = self.manifest(version)["tables"].get(table)
+        if entry is None:
+            raise ValueError(f"the store has no table {table}")
+        schema = StructType.fromJson(json.loads(entry["schema"]))
+        paths = [f"{self.root}/_data/{table}/{load}/{name}" for name, load in sorted(entry["slices"].items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def replace(self, table: str, rows: DataFrame) -> bool:
         """Replaces the slices (snapshot, namespace) that `rows` has; an empty frame replaces nothing. Says whether it wrote."""
-        if rows.isEmpty():
-            return False
-        # slices are gathered, and large ones split again by adaptive execution, so no slice is one task's work
-        rows.hint("rebalance", *KEYS).write.partitionBy(*KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(table))
-        return True
+        return self.replace_all({table: rows}) == [table]
+
+    def replace_all(self, tables: dict[str, DataFrame]) -> list[str]:
+        """replace() of several tables at once, in one version; returns those that had rows."""
+        base = self.manifest()
+        loads = {t: self.load(t, rows) for t, rows in tables.items()}
+        loads = {t: entry for t, entry in loads.items() if entry["slices"]}
+        if loads:
+            self.commit(base, {t: self._with(base["tables"].get(t), entry) for t, entry in loads.items()})
+        return list(loads)
 
     def append(self, table: str, rows: DataFrame, keys: list[str]) -> None:
         """Rows take the place of stored rows equal in the keys (null-safe), within the touched slices only."""
@@ -72,11 +186,7 @@ class Store:
             self.replace(table, rows)
             return
         touched = rows.select(*KEYS).distinct()
-        slices = upserted(self.read(table).join(touched, KEYS, "left_semi"), rows, [*KEYS, *keys])
-        staged = f"{self.root}/_staging/{table}-{uuid.uuid4().hex}"
-        slices.write.parquet(staged)  # a dataset cannot be read and overwritten in one job
-        self.replace(table, self.spark.read.parquet(staged))
-        self._delete(staged)
+        self.replace(table, upserted(self.read(table).join(touched, KEYS, "left_semi"), rows, [*KEYS, *keys]))
 
     def stage(self, table: str, rows: DataFrame) -> str:
         path = f"{self.root}/_staging/{table}"
@@ -84,68 +194,94 @@ class Store:
         return path
 
     def promote(self, snapshot: str, tables: list[str]) -> list[str]:
-        """Staged tables that carry exactly this snapshot replace their slices; returns the refused ones."""
-        refused = []
+        """Staged tables that carry exactly this snapshot replace their slices, all in one version; returns the refused ones, which refuse all."""
+        refused, staged = [], {}
         for t in tables:
-            staged = self.spark.read.parquet(f"{self.root}/_staging/{t}")
-            found = [r[0] for r in staged.select("snapshot_id").distinct().limit(2).collect()]
-            if found != [snapshot]:
+            if not self.files.exists(self.path(f"_staging/{t}")):
+                refused.append(t)
+                continue
+            staged[t] = self.spark.read.parquet(self.path(f"_staging/{t}"))
+            if [r[0] for r in staged[t].select("snapshot_id").distinct().limit(2).collect()] != [snapshot]:
                 refused.append(t)
         if not refused:
-            for t in tables:
-                self.replace(t, self.spark.read.parquet(f"{self.root}/_staging/{t}"))
+            self.replace_all(staged)
         return refused
 
     def backup(self, to: str, tables: list[str]) -> dict[str, int]:
-        """Copies tables and returns the rows of each copy, read again."""
+        """Copies tables and returns the rows of each copy, read again; what each should hold is noted beside them."""
+        base, out, notes = self.manifest()["number"], {}, {}
         for t in tables:
-            self.read(t).write.mode("overwrite").partitionBy(*KEYS).parquet(f"{to}/{t}")
-        return {t: self.spark.read.parquet(f"{to}/{t}").count() for t in tables}
+            rows = self.read(t, base or None)
+            rows.write.mode("overwrite").parquet(f"{to}/{t}")
+            notes[t] = contents(rows)
+            out[t] = contents(self.spark.read.schema(rows.schema).parquet(f"{to}/{t}"))[0]
+        self.files.write(f"{to}/_contents.json", json.dumps(notes))
+        return out
 
     def restore(self, source: str, tables: list[str]) -> dict[str, int]:
-        """Puts back copies made by backup() and returns their rows; a copy that does not read back whole raises."""
-        out = {}
-        for t in tables:
-            copy = self.spark.read.parquet(f"{source}/{t}")
-            copy.write.mode("overwrite").partitionBy(*KEYS).parquet(self.path(t))
-            out[t] = self.read(t).count()
-            if out[t] != copy.count():
-                raise ValueError(f"{t} has {out[t]} rows after the restore")
+        """Puts back copies made by backup(), all in one version, and returns their rows.
+
+        Copies are checked against the backup's note before anything is written, and what was written before it counts; either raises and leaves the tables as they are."""
+        notes = json.loads(self.files.text(f"{source}/_contents.json"))
+        copies = {t: self.spark.read.parquet(f"{source}/{t}") for t in tables}
+        for t, copy in copies.items():
+            if list(contents(copy)) != notes.get(t):
+                raise ValueError(f"the copy of {t} does not read back whole")
+        base, loads, out = self.manifest(), {}, {}
+        for t, copy in copies.items():
+            loads[t] = self.load(t, copy)
+            paths = [f"{self.root}/_data/{t}/{load}/{name}" for name, load in loads[t]["slices"].items()]
+            written = self.spark.read.schema(copy.schema).parquet(*paths) if paths else copy.limit(0)
+            if list(contents(written)) != notes[t]:
+                raise ValueError(f"{t} does not read back whole after the restore")
+            out[t] = notes[t][0]
+        self.commit(base, loads)
         return out
 
     def recover(self, tables: list[str]) -> list[str]:
         """After an interrupted load: tables that are missing come back from their staged form, if that carries exactly one snapshot."""
-        back = []
+        back = {}
         for t in tables:
-            if self.exists(t) or not self.exists(f"_staging/{t}"):
+            if self.exists(t) or not self.files.exists(self.path(f"_staging/{t}")):
                 continue
             staged = self.spark.read.parquet(self.path(f"_staging/{t}"))
             if staged.select("snapshot_id").distinct().limit(2).count() == 1:
-                self.replace(t, staged)
-                back.append(t)
-        return back
+                back[t] = staged
+        return self.replace_all(back)
 
     def truncate_all(self, tables: list[str], preserved: tuple[str, ...] = ("roster",)) -> list[str]:
-        """Empties all tables but the preserved ones; returns the emptied."""
-        gone = [t for t in tables if t not in preserved and self.exists(t)]
-        for t in gone:
-            self.truncate(t)
+        """Empties all tables but the preserved ones, in one version; the columns stay. Returns the emptied."""
+        base = self.manifest()
+        gone = [t for t in tables if t not in preserved and t in base["tables"]]
+        if gone:
+            self.commit(base, {t: base["tables"][t] | {"slices": {}} for t in gone})
         return gone
 
+    def truncate(self, table: str) -> None:
+        self.truncate_all([table], ())
+
+    def expire(self, keep: int = 2) -> int:
+        """Deletes the versions before the last `keep`, and the loads that no version left names; returns how many loads. Not beside a running writer."""
+        known = self.versions()
+        for v in known[:-keep]:
+            self.files.delete(f"{self.root}/_manifest/{v:09d}.json")
+        used = {(t, load) for v in known[-keep:] for t, entry in self.manifest(v)["tables"].items() for load in entry["slices"].values()}
+        gone = [x for x in self.files.matching(f"{self.root}/_data/*/*") if tuple(x.split("/")[-2:]) not in used]
+        for x in gone:
+            self.files.delete(x)
+        return len(gone)
+
     def cached(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
         """An analysis kept under its key; made and written once."""
-        if not self.exists(f"_analyses/{key}/_SUCCESS"):
+        if not self.files.exists(self.path(f"_analyses/{key}/_SUCCESS")):
             make().write.mode("overwrite").parquet(self.path(f"_analyses/{key}"))
         return self.spark.read.parquet(self.path(f"_analyses/{key}"))
 
-    def truncate(self, table: str) -> None:
-        """No rows; the columns stay."""
-        empty = self.read(table).limit(0)
-        self.spark.createDataFrame([], empty.schema).write.mode("overwrite").parquet(self.path(table))
 
-    def _delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+def contents(rows: DataFrame) -> tuple[int, str]:
+    """Rows and a digest of their values, in any order."""
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+    return n, str(total)
 
 
 def upserted(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
