@@ -19,22 +19,48 @@ AFFIX = 64
 MOST_CHARS = 8000
 
 
+def _counted(queries: DataFrame) -> tuple[DataFrame, list[tuple[list[str], str, DataFrame]]]:
+    """Queries with their keys, and by kind of repetition (keys, column, runs of each key). Blank texts, users and hashes do not count."""
+    norm = shapes.text_key("sql_text")
+    q = queries.withColumn("_norm", norm).withColumn("_head", F.substring("_norm", 1, AFFIX)).withColumn("_tail", F.right("_norm", F.lit(AFFIX))).withColumn("_user", F.lower(F.trim(F.coalesce("user_name", F.lit("")))))
+    said = q.where("_norm <> ''")
+    kinds = [(["_norm"], "text_runs", said), (["_user", "_head", "_tail"], "affix_runs", said.where("_user <> ''"))]
+    if "query_hash" in queries.columns:
+        kinds.append((["query_hash"], "hash_runs", said.where(token("query_hash").isNotNull())))
+    return q, [(keys, name, rows.groupBy(*keys).agg(F.count("*").alias(name))) for keys, name, rows in kinds]
+
+
+def _flagged(queries: DataFrame, min_runs: int) -> tuple[DataFrame, Column, DataFrame]:
+    """Queries with their runs, which of them repeat, and one row, `some`: whether any does.
+
+    Counts are aggregated and joined back, so a hot key is combined before the shuffle. `some` is read off the counts, whose exchanges the joins use again."""
+    q, kinds = _counted(queries)
+    often, some = F.lit(False), None
+    for keys, name, runs in kinds:
+        q = q.join(runs, keys, "left").withColumn(name, zero(name))
+        often = often | (F.col(name) >= min_runs)
+        most = runs.agg(F.max(name).alias("most"))
+        some = most if some is None else some.unionByName(most)
+    # a blank text has no runs of its own, and those of its hash are none of its business
+    return q, often & (F.col("_norm") != ""), some.agg((F.coalesce(F.max("most"), F.lit(0)) >= min_runs).alias("some"))
+
+
+_KEYS = ["_norm", "_head", "_tail", "_user"]
+
+
 def repeating(queries: DataFrame, min_runs: int = 3) -> DataFrame:
     """Queries that repeat: same normalised text, or same user with the same opening and closing characters, or the same
-    query hash where there is a column query_hash (blank ones do not count).
+    query hash where there is a column query_hash (blank ones do not count)."""
+    q, often, _ = _flagged(queries, min_runs)
+    return q.where(often).drop(*_KEYS)
 
-    Blank texts leave before the counting. Counts are aggregated and joined back, so a hot key is combined before the shuffle."""
-    norm = shapes.text_key("sql_text")
-    q = queries.withColumn("_norm", norm).where("_norm <> ''").withColumn("_head", F.substring("_norm", 1, AFFIX)).withColumn("_tail", F.right("_norm", F.lit(AFFIX))).withColumn("_user", F.lower(F.trim(F.coalesce("user_name", F.lit("")))))
-    exact = q.groupBy("_norm").agg(F.count("*").alias("text_runs"))
-    affix = q.where("_user <> ''").groupBy("_user", "_head", "_tail").agg(F.count("*").alias("affix_runs"))
-    joined = q.join(exact, "_norm").join(affix, ["_user", "_head", "_tail"], "left").withColumn("affix_runs", zero("affix_runs"))
-    often = (F.col("text_runs") >= min_runs) | (F.col("affix_runs") >= min_runs)
-    if "query_hash" in queries.columns:
-        hashed = q.where(token("query_hash").isNotNull()).groupBy("query_hash").agg(F.count("*").alias("hash_runs"))
-        joined = joined.join(hashed, "query_hash", "left").withColumn("hash_runs", zero("hash_runs"))
-        often = often | (F.col("hash_runs") >= min_runs)
-    return joined.where(often).drop("_norm", "_head", "_tail", "_user")
+
+def repeating_or_all(queries: DataFrame, min_runs: int = 3) -> DataFrame:
+    """Queries that repeat, or all of them where none does, so that an analysis is never blank; `prefiltered` says which.
+
+    The branch is in the plan: a scalar subquery over the counts, without an action and without a further scan."""
+    q, often, some = _flagged(queries, min_runs)
+    return q.withColumn("prefiltered", some.scalar()).where(often | ~F.col("prefiltered")).drop(*_KEYS)
 
 
 def candidates(queries: DataFrame, by_user: bool = False) -> DataFrame:

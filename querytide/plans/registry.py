@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, designs, externals, groups, layers, lookup_queries, stores, texts, tools
+from . import core, designs, externals, groups, layers, lookup_queries, merges, stores, texts, tools
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (core, groups, externals, designs, stores, texts, lookup_queries, layers, tools):
+for _module in (core, groups, externals, designs, stores, texts, lookup_queries, layers, tools, merges):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
