@@ -153,9 +153,12 @@ def actions(slow: DataFrame, reviewed: DataFrame, rewrites: DataFrame) -> DataFr
 
 
 def ranked_by(found: DataFrame, by: str, score: str, most: int = 200) -> DataFrame:
-    """The best `most` rows by score of each `by` (a snapshot, say) with their rank in it."""
+    """The best `most` rows by score of each `by` (a snapshot, say) with their rank in it.
+
+    The filter stands on the rank itself: so each task keeps its best `most` rows of a snapshot before the exchange, and the
+    task that ranks a snapshot sees no more than that from each."""
     place = F.row_number().over(W.partitionBy(by).orderBy(F.desc_nulls_last(score), "subject", "rule_id"))
-    return found.withColumn("priority_rank", place.cast("long")).where(F.col("priority_rank") <= most)
+    return found.withColumn("priority_rank", place).where(F.col("priority_rank") <= most).withColumn("priority_rank", F.col("priority_rank").cast("long"))
 
 
 def ranked(found: DataFrame, score: str, most: int = 200) -> DataFrame:

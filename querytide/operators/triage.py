@@ -30,6 +30,46 @@ def ambiguous_best(mentions: DataFrame, catalog: DataFrame, score: str) -> DataF
     return mentions.join(index, F.lower("mention") == F.col("suffix"), "left").drop("suffix")
 
 
+def _plain(c: str) -> Column:
+    """An identifier in lower case, without quotes and outer blanks."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), '"', "")))
+
+
+#: Ways to find a table, best first: written in full, in the query's database, by a schema and table or by a table that one table has.
+FULL, IN_DATABASE, ONE_SCHEMA, ONE_NAME = range(4)
+
+
+def resolved_by_database(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """mentions with table_key and found_by: the table that a mention means for a query in its database.
+
+    mentions: mention (table, schema.table or database.schema.table), database_name. catalog: source_db, schema_name,
+    table_name, table_key. Where several databases have a schema.table, only the query's own database or a full name
+    decides; what stays ambiguous stays null. Each distinct (mention, database) is looked up once: its forms are exploded,
+    meet the catalogue's by equality, and the best way wins; within one the more qualified form."""
+    db, schema, name = _plain("source_db"), _plain("schema_name"), _plain("table_name")
+    both = F.when(schema != "", F.concat(schema, F.lit("."), name)).otherwise(name)
+    key = F.when(_plain("table_key") != "", _plain("table_key")).otherwise(F.array_join(F.filter(F.array(db, schema, name), lambda x: x != ""), "."))
+    form = lambda way, *parts: F.struct(F.lit(way).alias("way"), F.concat_ws("\n", *parts).alias("form"))
+    full = F.concat(db, F.lit("."), both)
+    index = catalog.select(key.alias("table_key"), F.explode(F.array_compact(F.array(
+        F.when((db != "") & (both != ""), form(FULL, full)), F.when((db != "") & (both != ""), form(IN_DATABASE, db, both)), F.when(both != "", form(ONE_SCHEMA, both)), F.when(name != "", form(ONE_NAME, name)),
+    ))).alias("f")).where("table_key <> ''").select("table_key", "f.*")
+    # two owners make a form ambiguous; full names and those of one database are taken as they are
+    owners = index.groupBy("way", "form").agg(F.min("table_key").alias("found"), F.max("table_key").alias("last")).where((F.col("way") < ONE_SCHEMA) | (F.col("found") == F.col("last"))).drop("last")
+
+    asked = mentions.select("mention", "database_name").distinct().withColumn("m", _plain("mention")).withColumn("d", _plain("database_name"))
+    parts = F.split("m", r"\.")
+    least = F.greatest(F.size(parts) - 2, F.lit(1))
+    ends = F.transform(F.sequence(F.lit(1), least), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))  # as written, then without its first parts
+    ends = F.when(F.size(parts) > 1, F.concat(ends, F.when(F.size(parts) > 2, F.array(F.array_join(F.slice(parts, -2, 2), "."))).otherwise(F.array().cast("array<string>")), F.slice(parts, -1, 1))).otherwise(parts)
+    tries = F.flatten(F.transform(F.array_distinct(ends), lambda e, i: F.array(*[F.struct(F.lit(way).alias("way"), i.alias("place"), f.alias("form")) for way, f in ((FULL, e), (IN_DATABASE, F.when(F.col("d") != "", F.concat_ws("\n", F.col("d"), e))), (ONE_SCHEMA, e), (ONE_NAME, e))])))
+    # the last two ways are one tier: there the more qualified form comes first
+    rank = F.struct(F.least(F.col("way"), F.lit(ONE_SCHEMA)).alias("tier"), "place", "way")
+    best = asked.select("mention", "database_name", F.explode(tries).alias("t")).select("mention", "database_name", "t.*").join(owners, ["way", "form"]).groupBy("mention", "database_name").agg(F.min_by("found", rank).alias("table_key"), F.min_by("way", rank).alias("found_by"))
+    b = best.withColumnsRenamed({"mention": "_m", "database_name": "_d"})
+    return mentions.join(b, mentions["mention"].eqNullSafe(b["_m"]) & mentions["database_name"].eqNullSafe(b["_d"]), "left").drop("_m", "_d")
+
+
 QUERY_FLAGS = {
     "wildcard": "wildcard_count > 0",
     "join_without_predicate": "join_count > 0 and predicate_count = 0",

@@ -253,3 +253,27 @@ def name_resolution(spark, sf):
 def name_resolution_best(spark, sf):
     k = catalog(spark, sf).select(F.explode(triage.suffixes(F.col("table_key"))).alias("suffix"))
     return k.groupBy(F.split_part("suffix", F.lit("_"), F.lit(1)).alias("stem")).agg(F.count("*").alias("n"), F.countDistinct("suffix").alias("suffixes"))
+
+
+# Two copies of every second table in another database; mentions in five forms, of queries in three databases or none
+_COPIES = "cat2 as (select source_db, schema_name, table_name, table_id from tables union all select 'db' || cast((table_id + 1) % 3 as varchar(20)), schema_name, table_name, -table_id from tables where table_id % 2 = 0), dbcat as (select source_db, schema_name, table_name, lower(source_db || '.' || schema_name || '.' || table_name) as table_key from cat2)"
+_SAID = """said as (select h.query_id, case when h.query_id % 7 = 0 then '' else h.database_name end as database_name, case h.query_id % 5 when 0 then 'db' || cast(h.query_id % 4 as varchar(20)) || '.' || schema_name || '.' || table_name when 1 then upper(schema_name || '.' || table_name) when 2 then table_name when 3 then '"' || schema_name || '"."' || table_name || '"' else 'nowhere.' || table_name end as mention
+ from history h join tables t on t.table_id = h.query_id % 1500 + 1)"""
+
+
+@query(
+    "database_name_resolution",
+    f"""{with_("history", "tables")}, {_COPIES}, {_SAID}, q as (select *, string_split(replace(lower(mention), '"', ''), '.') as p from said),
+ one as (select schema_name || '.' || lower(table_name) as f, min(table_key) as k from dbcat group by 1 having count(distinct table_key) = 1), bare as (select lower(table_name) as f, min(table_key) as k from dbcat group by 1 having count(distinct table_key) = 1)
+ select query_id, mention, database_name, coalesce(a.k, b.k, c.k, d.k) as table_key, cast(case when a.k is not null then 0 when b.k is not null then 1 when c.k is not null then 2 when d.k is not null then 3 end as integer) as found_by from q
+ left join (select distinct table_key as k from dbcat) a on len(p) = 3 and a.k = array_to_string(p, '.') left join (select distinct table_key as k from dbcat) b on len(p) >= 2 and database_name <> '' and b.k = database_name || '.' || array_to_string(p[-2:], '.')
+ left join one c on len(p) >= 2 and c.f = array_to_string(p[-2:], '.') left join bare d on d.f = p[-1]""",
+)
+def database_name_resolution(spark, sf):
+    h, t = relation(spark, sf, "history"), relation(spark, sf, "tables")
+    copies = t.where("table_id % 2 = 0").withColumn("source_db", F.expr("'db' || cast((table_id + 1) % 3 as string)"))
+    cat = t.unionByName(copies).withColumn("table_key", F.lower(F.concat_ws(".", "source_db", "schema_name", "table_name")))
+    name = F.concat_ws(".", "schema_name", "table_name")
+    form = F.when(F.expr("query_id % 5 = 0"), F.concat(F.expr("'db' || cast(query_id % 4 as string) || '.'"), name)).when(F.expr("query_id % 5 = 1"), F.upper(name)).when(F.expr("query_id % 5 = 2"), F.col("table_name")).when(F.expr("query_id % 5 = 3"), F.expr("""'"' || schema_name || '"."' || table_name || '"'""")).otherwise(F.concat(F.lit("nowhere."), "table_name"))
+    said = h.join(t, F.col("table_id") == F.expr("query_id % 1500 + 1")).select("query_id", F.when(F.expr("query_id % 7 = 0"), "").otherwise(F.col("database_name")).alias("database_name"), form.alias("mention"))
+    return triage.resolved_by_database(said, cat).select("query_id", "mention", "database_name", "table_key", "found_by")
