@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,7 +15,7 @@ from ..functions import shapes
 from ..functions.exprs import token, zero
 
 LEAST_CHARS, LEAST_GROUP = 24, 2
-FUZZY, LENGTH_SPAN = 0.95, 0.25
+FUZZY = 0.95
 AFFIX = 64
 #: Statements longer than this keep their regex shape.
 MOST_CHARS = 8000
@@ -219,38 +221,102 @@ def indel_ratio(a: str, b: str) -> float:
     return 2.0 * (len(a) - state.bit_count()) / (len(a) + len(b))
 
 
-def _clusters(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy complete-link clusters of one block's distinct shapes, shortest first."""
-    pdf = pdf.sort_values(["width", "shape"], kind="stable")
-    clusters: list[tuple[list[str], float]] = []
-    found = []
-    for shape, key in zip(pdf["shape"], pdf["constraint_key"], strict=True):
-        for k, (held, low) in enumerate(clusters):
-            if len(shape) > len(held[0]) * (1 + LENGTH_SPAN):
-                continue
-            score = min(indel_ratio(shape, x) for x in held)
-            if score >= FUZZY:
-                held.append(shape)
-                clusters[k] = (held, min(low, score))
-                found.append((key, k))
-                break
-        else:
-            clusters.append(([shape], 1.0))
-            found.append((key, len(clusters) - 1))
-    head = {}
-    for key, k in found:
-        head.setdefault(k, key)
-    return pd.DataFrame({"constraint_key": [key for key, _ in found], "merged_key": [head[k] for _, k in found], "similarity": [clusters[k][1] for _, k in found]})
+#: No longer shape can reach FUZZY with a shorter one beyond this factor of its length.
+_REACH = 2 / FUZZY - 1 + 1e-9
+#: What near-equal shapes can differ in at most by their lengths: counted characters, which runs are split by.
+_COUNTED = ["width", "commas", "marks", "letters_e"]
+
+
+def _histogram(text: str) -> np.ndarray:
+    """How often each character stands in a text, by 128 bins; texts differ by as many insertions at least as their bins do in sum."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 128, minlength=128).astype(np.int32)
+
+
+class _Clusters:
+    """Greedy complete-link clusters of shapes that come shortest first; one that nothing can join any more is closed."""
+
+    def __init__(self) -> None:
+        self.open: list[dict] = []
+
+    def add(self, shape: str, key: str) -> Iterator[tuple]:
+        reached, before = [], self.open
+        for c in before:
+            if len(shape) <= len(c["shapes"][0]) * _REACH:
+                reached.append(c)
+            else:
+                yield from self._closed(c)
+        self.open = reached
+        counts = _histogram(shape)
+        if self.open:
+            heads = np.array([c["counts"] for c in self.open])
+            room = (1 - FUZZY) * (heads.sum(axis=1) + len(shape)) + 1e-6
+            for k in np.flatnonzero(np.abs(heads - counts).sum(axis=1) <= room).tolist():
+                c = self.open[k]
+                low = c["low"]
+                for held in c["shapes"]:
+                    low = min(low, indel_ratio(shape, held))
+                    if low < FUZZY:
+                        break
+                else:
+                    c["shapes"].append(shape)
+                    c["keys"].append(key)
+                    c["low"] = low
+                    return
+        self.open.append({"shapes": [shape], "keys": [key], "low": 1.0, "counts": counts})
+
+    @staticmethod
+    def _closed(c: dict) -> Iterator[tuple]:
+        for key in c["keys"]:
+            yield key, c["keys"][0], c["low"]
+
+    def close(self) -> Iterator[tuple]:
+        for c in self.open:
+            yield from self._closed(c)
+        self.open = []
+
+
+def _clustered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Clusters of the runs of one partition, which come one after another, each shortest first."""
+    now, clusters, names = None, _Clusters(), ["constraint_key", "merged_key", "similarity"]
+    for batch in batches:
+        found = []
+        for run, shape, key in zip(batch["run"], batch["shape"], batch["constraint_key"], strict=True):
+            if run != now:
+                found += clusters.close()
+                now = run
+            found += clusters.add(shape, key)
+        yield pd.DataFrame(found, columns=names)
+    yield pd.DataFrame(list(clusters.close()), columns=names)
+
+
+def _split_runs(rows: DataFrame, by: str) -> DataFrame:
+    """Splits runs where no near-equal shapes can stand on both sides: between values of `by` that differ by more than the lengths allow.
+
+    Only the distinct values of a run are ordered, and a text's length bounds them."""
+    values = rows.groupBy("run", by).agg(F.max("width").alias("widest"))
+    before = F.lag(by).over(W.partitionBy("run").orderBy(by))
+    widest = F.max("widest").over(W.partitionBy("run"))
+    gap = F.when(F.col(by) - before > 2 * (1 - FUZZY) * widest + 1, 1).otherwise(0)
+    part = F.sum("gap").over(W.partitionBy("run").orderBy(by).rowsBetween(W.unboundedPreceding, 0))
+    parts = values.withColumn("gap", gap).withColumn("part", part).select("run", by, "part")
+    return rows.join(parts, ["run", by]).withColumn("run", F.md5(F.concat_ws("|", "run", "part"))).drop("part")
 
 
 def fuzzy_merged(found: DataFrame) -> DataFrame:
     """constraint_key -> merged_key, similarity: near-equal shapes of one scope, type and table set.
 
-    Works on distinct shapes, never on statements, so a hot statement costs one row; a block is what shares scope,
-    type and table set."""
+    Works on distinct shapes, never on statements, so a hot statement costs one row. A block (scope, type, table set) is split
+    into runs between which no pair can be near enough, by its lengths and by counts of single characters; runs are spread
+    over the tasks. A task reads a run in order of length and holds only the shapes that are at most 10.6 % shorter than
+    the present one, so its memory follows that band, not the block; within it, counts of all characters decide first."""
     distinct = found.where("kind = 'sql'").groupBy("constraint_key").agg(F.min("shape").alias("shape"), F.min("scope").alias("scope"), F.min(F.lower(F.coalesce("query_type", F.lit("")))).alias("type"))
-    blocks = distinct.withColumn("table_set", F.array_join(F.array_sort(shapes.tables("shape")), ",")).where("table_set <> ''").withColumn("width", F.length("shape"))
-    return blocks.groupBy("scope", "type", "table_set").applyInPandas(_clusters, "constraint_key string, merged_key string, similarity double")
+    blocks = distinct.withColumn("table_set", F.array_join(F.array_sort(shapes.tables("shape")), ",")).where("table_set <> ''")
+    count = lambda c: F.length("shape") - F.length(F.replace("shape", F.lit(c)))
+    runs = blocks.select("constraint_key", "shape", F.md5(F.concat_ws("\n", "scope", "type", "table_set")).alias("run"), F.length("shape").alias("width"), count(",").alias("commas"), count("?").alias("marks"), count("e").alias("letters_e"))
+    for by in _COUNTED:
+        runs = _split_runs(runs, by)
+    ordered = runs.repartition("run").sortWithinPartitions("run", "width", "shape", "constraint_key").select("run", "shape", "constraint_key")
+    return ordered.mapInPandas(_clustered, "constraint_key string, merged_key string, similarity double")
 
 
 def _bigrams(tokens: Column) -> Column:

@@ -317,6 +317,27 @@ def test_fuzzy_groups_match_brute_force(spark):
     assert got == {k: c[0][1] for c in clusters for _, k in c} and len(clusters) < len(shapes)
 
 
+def test_clusters_close_with_their_length_band_and_runs_split_blocks(spark):
+    from querytide.operators import grouping
+
+    import pandas as pd
+
+    shape = lambda n, c="a": c * n
+    clusters, out, most = grouping._Clusters(), [], 0
+    for n in range(20, 400):
+        out += clusters.add(shape(n), f"k{n}")
+        most = max(most, sum(len(c["shapes"]) for c in clusters.open))
+    out += clusters.close()
+    assert sorted(k for k, _, _ in out) == sorted(f"k{n}" for n in range(20, 400))
+    assert most < 90, "what is more than a tenth shorter is let go"
+    batches = [pd.DataFrame({"run": ["a", "b"], "shape": [shape(50), shape(50)], "constraint_key": ["1", "2"]}), pd.DataFrame({"run": ["b"], "shape": [shape(51)], "constraint_key": ["3"]})]
+    got = pd.concat(grouping._clustered(iter(batches)))
+    assert dict(zip(got["constraint_key"], got["merged_key"], strict=True)) == {"1": "1", "2": "2", "3": "2"}
+    rows = spark.createDataFrame([("r", n) for n in (100, 105, 110, 150, 155)], "run string, width int")
+    runs = grouping._split_runs(rows, "width").groupBy("run").agg({"width": "count"}).collect()
+    assert sorted(r[1] for r in runs) == [2, 3]
+
+
 def test_store_recovers_restores_and_empties(spark, tmp_path):
     store = storage.Store(spark, f"file://{tmp_path}/s")
     rows = spark.createDataFrame([("1", "n1"), ("2", "n2")], "query_id string, namespace_id string")
