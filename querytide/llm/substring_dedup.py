@@ -170,10 +170,11 @@ def _chunk_pieces(chunk, ids, tags, n_buckets, window, kmer, frequent, hashing)
 
 def _batch(groups: list[tuple]) -> pa.RecordBatch:
     """Rows of SPANS from groups of its columns; a number stands for a whole column."""
-    kinds = [np.int8, np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int64]
-    full = [[np.broadcast_to(np.asarray(c), len(g[1])) for c in g] for g in groups]
+    kinds = [np.int8, np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.int32, np.uint64]
+    # each column has its own type before they are joined: numpy would make doubles of signed and unsigned ones
+    full = [[np.broadcast_to(np.asarray(c).astype(t), len(g[1])) for c, t in zip(g, kinds, strict=True)] for g in groups]
     arrays = [np.concatenate([g[i] for g in full]) for i in range(len(kinds))]
-    return pa.RecordBatch.from_arrays([pa.array((a.view(np.int64) if a.dtype == np.uint64 else a).astype(t)) for a, t in zip(arrays, kinds, strict=True)], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64) if a.dtype == np.uint64 else a) for a in arrays], names=_NAMES)
 
 
 def gathered(blobs: list[bytes], kind: bytes, dtypes: list[str]) -> list[np.ndarray] | None:

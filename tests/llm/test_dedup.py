@@ -1,11 +1,13 @@
 """Substring, byte-string and SimHash deduplication against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest_llm import ODD
@@ -44,6 +46,36 @@ def test_substrings_match_brute_force(spark, seed):
     assert sorted(tuple(x) for x in got) == brute_substrings(rows, 6)
 
 
+@pytest.mark.parametrize("local", [False, True])
+def test_pieces_keep_ids_of_64_bits(local):
+    ids = np.array([1 << 63, (1 << 64) - 1, (1 << 53) + 1, 12345], np.uint64)
+    mini, piece = np.repeat(np.arange(4, dtype=np.uint64), 2), np.repeat(ids, 2)
+    doc, start, length = np.arange(8), np.arange(8, dtype=np.uint32), np.full(8, 5, np.uint16)
+    blobs = [b"P" + substring_dedup.deal(np.zeros(8, np.int64), [mini, piece, doc, np.zeros(8, np.int64), start, length]).__next__()[1]]
+    if local:  # spans settled in a chunk come in the same batch
+        blobs.append(b"L" + next(substring_dedup.deal(np.zeros(1, np.int64), [np.array([9]), np.array([0]), np.array([0], np.uint32), np.array([3], np.uint32), np.array([0], np.uint8)]))[1])
+    found = pa.Table.from_batches(substring_dedup._settle_pieces(blobs)).to_pylist()
+    claims = {r["piece"] % (1 << 64) for r in found if r["kind"] == substring_dedup.CLAIM}
+    assert claims == set(ids.tolist())
+
+
+def test_long_spans_of_the_test_documents_are_compacted(spark, sf, monkeypatch):
+    """Half of the graph under one id would leave nearly every claim a span of its own."""
+    seen = {}
+    long_spans = substring_dedup.long_spans
+
+    def counted(claims):
+        spans = long_spans(claims)
+        seen["claims"], seen["spans"] = claims.count(), spans.count()
+        seen["most"] = claims.groupBy("piece").count().agg({"count": "max"}).first()[0]
+        return spans
+
+    monkeypatch.setattr(substring_dedup, "long_spans", counted)
+    larger = os.path.join(os.path.dirname(sf), "sf0.01")  # several chunks, so that claims cross them
+    substring_dedup.dedup_substrings(spark.read.parquet(f"{larger}/documents.parquet"), texts=False).count()
+    assert seen["spans"] < 0.5 * seen["claims"] and seen["most"] < 0.2 * seen["claims"], seen
+
+
 def test_substrings_odd_texts(documents):
     got = {r.doc_id: r for r in substring_dedup.dedup_substrings(documents(ODD)).collect()}
     assert len(got) == len(ODD)
