@@ -7,7 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import grouping, reports
+from ..operators import enrichment, evidence, grouping, reports
+from ..sources import repository, storage
 from ..sources.adapter import relation, with_
 from . import groups
 
@@ -109,3 +110,75 @@ def repeating_or_all(spark, sf):
     q = groups.stated(spark, sf)
     some, none = (grouping.repeating_or_all(q, least).select(F.lit(case).alias("scope_case"), "query_id", "text_runs", "affix_runs", "prefiltered") for case, least in (("some", 3), ("none", _MANY)))
     return some.unionByName(none)
+
+
+# Two joins a query: one names a condition and tables that some nodes hold, the other only words
+_JOINS = """select query_id, 1 as join_no, 'Filter: (x = 1)' as condition, 'a.hash = b.cost' as column_pairs, 'db.join.c, t' as left_physical_sources, 's.ext.k' as right_physical_sources from statements
+ union all select query_id, 2, case when query_id % 2 = 0 then '' else 'nested on statistics' end, '', '', '' from statements where query_id % 3 <> 0"""
+
+
+@query(
+    "plan_evidence",
+    rf"""{with_("statements", "plans", "steps")}, j as ({_JOINS}), c as (select *, count(*) over (partition by query_id) as joins from j),
+ p as (select *, step_no % 2 as seq, lower(plan_node || ' ' || plan_info) as t, regexp_matches(lower(plan_node || ' ' || plan_info), '\b(join|nestloop|nested loop)\b') as jn from (select *, plan_node_id as step_no from plans where query_id % 11 <> 0)),
+ q as (select *, bool_or(jn) over (partition by query_id) as any_join from p), cand as (select *, count(*) over (partition by query_id) as n from q where jn or not any_join),
+ sc as (select c.query_id, join_no, joins, n, plan_node_id, seq, plan_node, plan_info, case join_no when 1 then contains(t, 'x = 1')::int * 4 + contains(t, 'filter')::int + contains(t, 'hash')::int + contains(t, 'cost')::int + contains(t, 'db')::int + contains(t, 'join')::int + contains(t, 'ext')::int + 2 * (contains(t, 'join')::int + contains(t, 'ext')::int)
+   else case when condition = '' then 0 else contains(t, 'nested')::int + contains(t, 'statistics')::int end end as score from c join cand using (query_id)),
+ b as (select * from sc qualify row_number() over (partition by query_id, join_no order by score desc, seq, plan_node_id, plan_node, plan_info) = 1),
+ d as (select query_id, step_id as plan_node_id, stream_id as seq, array_to_string(list_sort(list_distinct(list(step_name))), ', ') as names, cast(sum(input_rows) as double) as actual_input_rows, cast(sum(spill_remote) as double) as actual_remote_spill_blocks, cast(max(data_skewness) as double) as actual_max_data_skew from steps group by all),
+ r as (select c.query_id, c.join_no, case when b.query_id is null then 'No SYS_QUERY_EXPLAIN rows loaded' when score <= 0 and not (b.joins = 1 and b.n = 1) then 'Plan join present; SQL-to-plan match unresolved' when score >= 4 then 'Matched (high)' when score >= 2 then 'Matched (medium)' else 'Matched (single-join inference)' end as plan_match_status, b.plan_node_id, b.seq, plan_node || ' ' || plan_info as txt from c left join b using (query_id, join_no))
+ select r.query_id, join_no, plan_match_status, case when st then r.plan_node_id end as plan_node_id, case when st then r.seq end as plan_child_query_sequence, case when st then coalesce(names, '') else '' end as actual_step_names, case when st then coalesce(actual_input_rows, 0) else 0 end as actual_input_rows, case when st then coalesce(actual_remote_spill_blocks, 0) else 0 end as actual_remote_spill_blocks, case when st then coalesce(actual_max_data_skew, 0) else 0 end as actual_max_data_skew,
+  case when not st then '' when contains(txt, 'DS_DIST_BOTH') then 'DS_DIST_BOTH' when contains(txt, 'DS_BCAST_INNER') then 'DS_BCAST_INNER' else 'No mapped movement signal' end as actual_movement from (select *, starts_with(plan_match_status, 'Matched') as st from r) r left join d on d.query_id = r.query_id and d.plan_node_id = r.plan_node_id and d.seq = r.seq""",
+)
+def plan_evidence(spark, sf):
+    relation(spark, sf, "statements").createOrReplaceTempView("_evidence_statements")
+    joins = spark.sql(_JOINS.replace("from statements", "from _evidence_statements"))
+    explain = relation(spark, sf, "plans").where("query_id % 11 <> 0").withColumn("child_query_sequence", F.expr("plan_node_id % 2"))
+    steps = relation(spark, sf, "steps").withColumnsRenamed({"step_id": "plan_node_id", "stream_id": "child_query_sequence", "spill_remote": "spilled_block_remote_disk"})
+    found = evidence.plan_evidence(joins, explain, steps)
+    return found.select("query_id", "join_no", "plan_match_status", "plan_node_id", "plan_child_query_sequence", "actual_step_names", "actual_input_rows", "actual_remote_spill_blocks", "actual_max_data_skew", "actual_movement")
+
+
+# Every second table is in the repository, in another database too where its number divides by 4; the rest is live only. References have three forms, some name nothing.
+_CATALOG = "select source_db as database_name, schema_name, table_name, table_id, size_mb from tables union all select 'db' || cast((table_id + 1) % 3 as varchar(20)), schema_name, table_name, table_id + 1000000000, size_mb from tables where table_id % 4 = 0"
+_IDENTITY = "case table_id % 3 when 0 then source_db || '.' || schema_name || '.' || table_name when 1 then upper(schema_name) || '.' || table_name else case when table_id % 5 = 0 then 'no_' else '' end || table_name end"
+
+
+@query(
+    "catalog_repository",
+    f"""{with_("tables")}, cat as ({_CATALOG}), ref as (select distinct {_IDENTITY} as identity from tables),
+ k as (select lower(database_name) as db, lower(schema_name || '.' || table_name) as st, lower(table_name) as t, table_id % 2 = 0 as kept from cat), r as (select identity, string_split(lower(identity), '.') as p from ref),
+ live as (select * from k where kept or t in (select p[-1] from r where not exists (select 1 from k k2 where k2.kept and ((len(p) = 3 and k2.db || '.' || k2.st = lower(identity)) or (len(p) = 2 and k2.st = lower(identity)) or (len(p) = 1 and k2.t = lower(identity)))))),
+ m as (select identity, kept, db || '.' || st as key, db from r join live on (len(p) = 3 and db || '.' || st = lower(identity)) or (len(p) = 2 and st = lower(identity)) or (len(p) = 1 and t = lower(identity))),
+ f as (select identity, case when count(*) filter (db = 'db0') = 1 then min(key) filter (db = 'db0') when count(*) = 1 then min(key) end as table_key, bool_and(kept) as kept from m group by 1)
+ select identity, table_key, case when table_key is not null then case when kept then 'repository' else 'live' end end as origin from ref left join f using (identity)""",
+)
+def catalog_repository(spark, sf):
+    t = relation(spark, sf, "tables")
+    copies = t.where("table_id % 4 = 0").withColumns({"source_db": F.expr("'db' || cast((table_id + 1) % 3 as string)"), "table_id": F.expr("table_id + 1000000000")})
+    cat = t.unionByName(copies).select(F.col("source_db").alias("database_name"), "schema_name", "table_name", "table_id", "size_mb")
+    columns = cat.select("database_name", "schema_name", "table_name", F.lit("id").alias("column_name"), F.lit("bigint").alias("data_type"), F.lit(1).alias("sortkey_pos"))
+    repo = repository.Repository(storage.Store(spark, repository.scratch(spark, "catalog")))
+    kept = cat.where("table_id % 2 = 0")
+    repo.build(kept, columns.join(kept.select("database_name", "schema_name", "table_name"), ["database_name", "schema_name", "table_name"], "left_semi"))
+
+    def live(names):
+        plain = cat.withColumn("table_name", repository.plain("table_name"))
+        return repository.for_names(plain, "table_name", names), repository.for_names(columns.withColumn("table_name", repository.plain("table_name")), "table_name", names)
+
+    refs = t.select(F.expr(_IDENTITY.replace("varchar(20)", "string")).alias("identity")).distinct()
+    return repo.fetch(refs, live, "db0").select("identity", "table_key", "origin")
+
+
+@query(
+    "statement_enrichment",
+    f"{with_('statements')}, k as (select distinct sha256(sql_text) as sql_hash, query_id % 2 as half from statements), n as (select sql_hash, min(half) as half from k group by 1) select sql_hash, count(*) as queries, case when min(n.half) = 0 then 'known' else 'new' end as origin from (select sha256(sql_text) as sql_hash from statements) s join n using (sql_hash) group by 1",
+)
+def statement_enrichment(spark, sf):
+    """All statements enriched in two runs: the first has those of even queries, the second finds them known."""
+    store, s = storage.Store(spark, repository.scratch(spark, "features")), relation(spark, sf, "statements")
+    enrichment.enriched(s.where("query_id % 2 = 0"), store, 20_000)
+    before = store.read(enrichment.CACHE).select("sql_hash", F.lit("known").alias("origin"))
+    found, _ = enrichment.enriched(s, store, 20_000)
+    per = found.groupBy("sql_hash").agg(F.count("*").alias("queries"))
+    return per.join(before, "sql_hash", "left").select("sql_hash", "queries", F.coalesce("origin", F.lit("new")).alias("origin"))
