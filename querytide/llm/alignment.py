@@ -46,7 +46,7 @@ from .exchange import bucket_count, pack, unpack
 FOLDER, SETTING = "/opt/tokenizers", "spark.querytide.tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MOST_BYTES = 64 << 20
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 #: Segments that are tokenised together.
 SLICE = 20_000
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -166,6 +166,14 @@ def array_of(length: np.ndarray, raw: bytes, kind: pa.DataType) -> pa.Array:
     return pa.Array.from_buffers(kind, len(length), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def opened(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def parts(docs: DataFrame, cuts: bytes, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """PARTS of (doc_id, text): for each chunk one row (bucket -1) with its ids, segments of each text and their numbers, and one for each bucket with its distinct segments and their occurrences."""
 
@@ -178,16 +186,17 @@ def parts(docs: DataFrame, cuts: bytes, buckets: int, chunk_bytes: int = CHUNK_B
         start = np.cumsum(length) - length
         bucket = (tk.word_hashes(np.frombuffer(raw, np.uint8), start, start + length) % np.uint64(buckets)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
+        count = np.bincount(refs, minlength=len(words))
+        # texts as ranks by frequency, whose high bytes are mostly 0, and the place of each rank among what is sent
+        place, rank, ranked = np.empty(len(order), np.int32), np.empty(len(order), np.int32), np.argsort(-count, kind="stable")
+        place[order] = rank[ranked] = np.arange(len(order))
         n = np.zeros(len(ids), np.int32)
         n[valid] = number
-        yield chunk, -1, place[refs].tobytes(), ids.to_pylist(), n.tolist()
-        count = np.bincount(refs, minlength=len(words))
+        yield chunk, -1, squeezed(pack([place[ranked]]) + pack([rank[refs]])), ids.to_pylist(), n.tolist()
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1)) if len(order) else []
         for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
             size, held = strings(words.take(pa.array(order[a:b])))
-            yield chunk, int(bucket[order[a]]), pack([size.astype(np.uint32), count[order[a:b]].astype(np.uint32)]) + held, None, None
+            yield chunk, int(bucket[order[a]]), squeezed(pack([size.astype(np.uint32), count[order[a:b]].astype(np.uint32)]) + held), None, None
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -246,7 +255,7 @@ def aligned(chunks: DataFrame, both: tuple[bytes, bytes]) -> DataFrame:
         chunk, blobs = table["chunk"].to_numpy(), table["blob"].to_pylist()
         order = np.argsort(chunk)
         lengths, counts, raws = [], [], []
-        for x in (blobs[i] for i in order.tolist()):
+        for x in (opened(blobs[i]) for i in order.tolist()):
             size, count = unpack(x, ["u4", "u4"])
             lengths.append(size.astype(np.int64))
             counts.append(count.astype(np.int64))
@@ -268,8 +277,8 @@ def aligned(chunks: DataFrame, both: tuple[bytes, bytes]) -> DataFrame:
         np.add.at(total, of, np.repeat(weight, stats[3]))
         size, raw = strings(pa.concat_arrays(groups))
         return pa.table({
-            "bucket": table["bucket"][:1], "chunks": [pack([chunk[order], np.array([len(x) for x in lengths])])], "refs": [refs.astype(np.uint32).tobytes()], "stats": [pack([x.astype(np.uint32) for x in stats])],
-            "groups": [pack([size.astype(np.uint32)]) + raw], "links": [of.astype(np.uint32).tobytes()], "pairs": [pack([pairs, total])],
+            "bucket": table["bucket"][:1], "chunks": [pack([chunk[order], np.array([len(x) for x in lengths])])], "refs": [squeezed(pack([refs.astype(np.uint32)]))], "stats": [squeezed(pack([x.astype(np.uint32) for x in stats]))],
+            "groups": [squeezed(pack([size.astype(np.uint32)]) + raw)], "links": [squeezed(pack([of.astype(np.uint32)]))], "pairs": [pack([pairs, total])],
         })
 
     return tables.written(chunks.where("bucket >= 0").select("bucket", "chunk", "blob").groupBy("bucket").applyInArrow(bucket, ALIGNED), "aligned")
@@ -300,18 +309,19 @@ def returned(index: DataFrame, counts: DataFrame) -> DataFrame:
         row = left.slice(0, 1).to_pylist()[0]
         order = np.argsort(right["pair"].to_numpy())
         count, best = right["count"].to_numpy()[order], right["best"].to_numpy()[order].astype(np.int64)
-        stats = [x.astype(np.int64) for x in unpack(row["stats"], ["u4"] * 4)]
-        links, edge = np.frombuffer(row["links"], np.uint32), np.cumsum(stats[3]) - stats[3]
+        stats = [x.astype(np.int64) for x in unpack(opened(row["stats"]), ["u4"] * 4)]
+        links, edge = unpack(opened(row["links"]), ["u4"])[0], np.cumsum(stats[3]) - stats[3]
         stats += [np.add.reduceat(best[links], edge), np.add.reduceat(count[links], edge)]
-        length = unpack(row["groups"], ["u4"])[0]
-        groups = array_of(length, row["groups"][8 + 4 * len(length) :], pa.large_binary())
-        refs = np.frombuffer(row["refs"], np.uint32)
+        held = opened(row["groups"])
+        length = unpack(held, ["u4"])[0]
+        groups = array_of(length, held[8 + 4 * len(length) :], pa.large_binary())
+        refs = unpack(opened(row["refs"]), ["u4"])[0]
         chunk, size = unpack(row["chunks"], ["i8", "i8"])
         blobs = []
         for a, n in zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
             own = refs[a : a + n]
             text_length, text = strings(groups.take(pa.array(own)))
-            blobs.append(pack([x.astype(t) for x, t in zip([*(s[own] for s in stats), text_length], STATS, strict=True)]) + text)
+            blobs.append(squeezed(pack([x.astype(t) for x, t in zip([*(s[own] for s in stats), text_length], STATS, strict=True)]) + text))
         return pa.table({"chunk": chunk, "bucket": pa.array(np.full(len(chunk), row["bucket"], np.int32)), "blob": pa.array(blobs, pa.binary())})
 
     return index.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(bucket, "chunk long, bucket int, blob binary")
@@ -327,16 +337,19 @@ def composed(left: pa.Table, right: pa.Table) -> pa.Table:
     order = np.argsort(right["bucket"].to_numpy())
     blobs = right["blob"].to_pylist()
     columns, texts = [[] for _ in STATS], []
-    for x in (blobs[i] for i in order.tolist()):
+    for x in (opened(blobs[i]) for i in order.tolist()):
         for c, values in zip(columns, unpack(x, STATS), strict=True):
-            c.append(values.astype(np.int64))
+            c.append(values)
         texts.append(x[8 + _WIDTH * len(columns[0][-1]) :])
-    columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in columns]
-    groups = array_of(columns[-1], b"".join(texts), pa.large_string())
-    refs = np.frombuffer(left["blob"][0].as_py(), np.int32)
+    columns = [np.concatenate([np.zeros(0, t), *c]) for c, t in zip(columns, STATS, strict=True)]
+    held = opened(left["blob"][0].as_py())
+    place = unpack(held, ["i4"])[0]
+    refs = unpack(held[8 + 4 * len(place) :], ["i4"])[0]
+    groups = array_of(columns[-1].astype(np.int64), b"".join(texts), pa.large_string()).take(pa.array(place))
+    columns = [c[place] for c in columns]
     n = np.array(left["n"][0].as_py(), np.int64)
     offsets = np.concatenate([[0], np.cumsum(n)])
-    sums = [np.concatenate([[0], np.cumsum(c[refs])])[offsets] for c in columns[:-1]]
+    sums = [np.concatenate([[0], np.cumsum(c[refs], dtype=np.int64)])[offsets] for c in columns[:-1]]
     hashes = [hashlib.sha256(";".join(groups.take(pa.array(refs[a:b])).to_pylist()).encode()).hexdigest() if b > a else "" for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     names = [x.split()[0] for x in RESULT.split(", ")]
     return pa.table([left["ids"][0].values if isinstance(left["ids"][0], pa.ListScalar) else pa.array([], pa.int64()), *[pa.array(np.diff(s)) for s in sums], pa.array(hashes, pa.string())], names=names)
