@@ -70,6 +70,18 @@ class Files:
         finally:
             stream.close()
 
+    def head(self, path: str, size: int) -> bytes:
+        """The first bytes of a file, or of the first file with any of a folder or pattern."""
+        fs, p = self._of(path)
+        found = [x for top in fs.globStatus(p) or [] for x in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])]
+        for x in sorted((str(x.getPath().toString()) for x in found if x.getLen() and not str(x.getPath().getName()).startswith(("_", "."))), key=str):
+            stream = fs.open(self.jvm.org.apache.hadoop.fs.Path(x))
+            try:
+                return bytes(stream.readNBytes(size))
+            finally:
+                stream.close()
+        return b""
+
     def write(self, path: str, text: str) -> None:
         fs, p = self._of(path)
         stream = fs.create(p, True)

@@ -8,7 +8,7 @@ import __spark_entry__
 from querytide.functions import exprs, shapes
 from querytide.operators import external, grouping, rollups, triage
 from querytide.plans import core, registry
-from querytide.sources import capture, storage
+from querytide.sources import capture, pastes, storage
 from querytide.sources.adapter import relation
 from querytide.streaming import ingest
 
@@ -188,26 +188,45 @@ def test_pastes(spark):
     assert [(r.query_id, r.step_name, r.alert_type) for r in capture.pasted_steps(spark, positional).collect()] == [(i, "scan", "x") for i in range(3)]
 
 
-def test_one_bad_line_does_not_cost_the_good_ones():
-    assert capture.rows_of("a\tb\n1\t2\n3\t4\n5\t6\tjunk\n7\n", "\t") == [["a", "b"], ["1", "2"], ["3", "4"], ["7", None]]
+def said(df):
+    return [r[1] for r in df.orderBy("no").collect()]
 
 
-def test_pastes_lose_row_numbers_and_drawn_lines():
-    assert capture.cleaned("├───┼───┤\n| a | b |\n1 | foo | bar\n2: x | y\n----\n12 apples") == " a | b \nfoo | bar\nx | y\n12 apples"
+def test_one_bad_line_does_not_cost_the_good_ones(spark):
+    rows = pastes.cells(pastes.content(pastes.lines_of(spark, "a\tb\n1\t2\n3\t4\n5\t6\tjunk\n7\n")), "\t", 2)
+    assert said(rows) == [["a", "b"], ["1", "2"], ["3", "4"], ["7", None]]
+    quoted = pastes.cells(pastes.lines_of(spark, 'x, "a, ""b""", NaN\ny,,\n'), ",", 3)
+    assert said(quoted)[:2] == [["x", 'a, "b"', None], ["y", None, None]]
 
 
-def test_delimiters_are_scored():
-    assert capture.delimiter("a;b,c,d\n1;2,3,4") == ","
-    assert capture.delimiter("a|b;c\n1|2\n3|4") == "|"
-    assert capture.delimiter("a  b   c\n1  2  3") == r"\s{2,}"
+def test_pastes_lose_row_numbers_and_drawn_lines(spark):
+    assert said(pastes.content(pastes.lines_of(spark, "├───┼───┤\r\n| a | b |\r1 | foo | bar\n2: x | y\n----\n12 apples  "))) == [" a | b ", "foo | bar", "x | y", "12 apples"]
 
 
-def test_headers_and_shapes():
+@pytest.mark.parametrize(("text", "sep"), [("a;b,c,d\n1;2,3,4", ","), ("a|b;c\n1|2\n3|4", "|"), ("a  b   c\n1  2  3", pastes.BLANKS), ("", pastes.BLANKS), ("a\tb|c\n1\t2|3", "\t")])
+def test_delimiters_are_scored(spark, text, sep):
+    assert pastes.separator(pastes.lines_of(spark, text)) == sep
+
+
+def test_headers_and_shapes(spark):
     known = set(capture.STEP_COLUMNS) | set(capture.STEP_ALIASES)
-    assert capture.has_header(["Step Name", "zzz"], known) and capture.has_header(["xid", "a", "b", "c"], known)
-    assert not capture.has_header(["xid", "1", "2024-01-01", None], known) and not capture.has_header(["a", "b"], known)
-    columns = [["2024-01-01 10:00", "2024-01-02 10:00"], ["hash join", "scan"], ["1", "2"] * 40, [str(i * 7) for i in range(80)], ["t_a", "t_b"], ["1,5", "x", "3"]]
-    assert capture.shaped(columns, capture.STEP_COLUMNS) == ["start_time", "step_name", "step_id", "elapsed_time", "table_name", "col_5"]
+    assert pastes.is_header(["Step Name", "zzz"], known) and pastes.is_header(["xid", "a", "b", "c"], known)
+    assert not pastes.is_header(["xid", "1", "2024-01-01", None], known) and not pastes.is_header(["a", "b"], known) and not pastes.is_header([], known)
+    columns = [["2024-01-01 10:00", "2024-01-02 10:00"], ["hash join", "scan"], ["1", "2"] * 40, [str(i * 7) for i in range(80)], ["t_a", "t_b"], ["1,5", "x", "3"], []]
+    rows = [(i, [c[i] if i < len(c) else None for c in columns]) for i in range(80)]
+    df = spark.createDataFrame(rows, "no long, cells array<string>").repartition(3)
+    assert pastes.named_by_values(df, 7, capture.STEP_COLUMNS) == ["start_time", "step_name", "step_id", "elapsed_time", "table_name", "col_5", "schema_name"]
+    assert pastes.named_by_values(df, 38, capture.STEP_COLUMNS) == list(capture.STEP_COLUMNS)
+
+
+def test_a_file_is_probed_by_its_first_bytes_and_split_at_blanks(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("name   size\nfirst one  5\nx  None\ntoo  many  here\n")
+    assert [tuple(r) for r in capture.imported(spark, str(tmp_path / "f.txt")).collect()] == [("first one", "5"), ("x", None)]
+    (tmp_path / "big.csv").write_text("a;b\n" + "é;1\n" * 40_000)
+    store = storage.Files(spark)
+    assert len(store.head(str(tmp_path / "big.csv"), pastes.PROBE)) == pastes.PROBE
+    assert pastes.probed(("x" + "é" * pastes.PROBE).encode()[: pastes.PROBE])[0] == "UTF-8"
+    assert capture.imported(spark, str(tmp_path / "big.csv")).where("a = 'é'").count() == 40_000
 
 
 @pytest.mark.parametrize("encoding", ["utf-8-sig", "utf-16", "cp1252"])
