@@ -279,23 +279,53 @@ def category(groups: DataFrame) -> Column:
     return F.when(F.col("repeat_kind") == "proc", "sproc").when(F.upper("query_type").isin("UTILITY", "DDL", "VACUUM", "ANALYZE", "COPY", "UNLOAD"), "utility").when(zero("avg_s3_scan_cnt") > 0, "spectrum").otherwise("plain")
 
 
-def chart(groups: DataFrame, scenario: str = "overview", most: int = 200) -> DataFrame:
-    """The chart's rows: filtered and scored by scenario, best first. The median is exact."""
-    x = lambda c: zero(c).cast("double")
-    per = groups.withColumn("runtime", x("total_runtime_s") / F.greatest(F.col("query_count"), F.lit(1))).withColumn("rows_per_run", x("total_input_rows") / F.greatest(F.col("query_count"), F.lit(1)))
-    log = lambda c: F.log10(1 + c)
+#: Categories that tell what tables a group touches; the others are its one kind.
+MIXES = ("mixed", "view")
+
+
+def _of_categories(groups: DataFrame, wanted: set[str]) -> Column:
+    """Whether a group is of any of the wanted categories: its kind, or mixed, or view."""
+    has = lambda c: F.col(c) if c in groups.columns else F.lit(None)
+    kinds = [k for k in wanted if k not in MIXES]
+    out = category(groups).isin(kinds) if kinds else F.lit(False)
+    if "mixed" in wanted:
+        out = out | (F.lower(F.trim(F.coalesce(has("mixed_query_class").cast("string"), F.lit("")))) == "mixed")
+    if "view" in wanted:
+        out = out | F.coalesce(has("uses_view").cast("boolean"), F.lit(False))
+    return out
+
+
+def chart(groups: DataFrame, scenario: str = "overview", most: int = 200, categories: set[str] | None = None, least_s: float = 0.0, metric: str = "total_input_rows", positive: bool = True) -> DataFrame:
+    """The chart's rows: of the wanted categories, runtimes and metric, scored by scenario, best first. The median is exact.
+
+    Scenarios weigh the mean runtime: light ones by how few rows a run reads, heavy ones by spill, by moved data that gives
+    little output, by waiting, or by skew and remote reads."""
+    x = lambda c: zero(c).cast("double") if c in groups.columns else F.lit(0.0)
+    runs = F.greatest(x("query_count"), F.lit(1.0))
+    per = groups.where(_of_categories(groups, categories)) if categories else groups
+    per = per.withColumns({"runtime": x("total_runtime_s") / runs, "rows_per_run": x("total_input_rows") / runs, "metric_per_run": x(metric) / runs})
+    runtime, rows, queue = F.col("runtime"), F.col("rows_per_run"), x("total_queue_s") / runs
+    log = lambda c: F.log10(1 + F.greatest(c, F.lit(0.0)))
+    spill = x("total_spill_blocks") / runs if "total_spill_blocks" in groups.columns else x("avg_total_spill")
+    moved, read = x("avg_dist_both_cnt") + x("avg_bcast_cnt"), x("total_input_bytes") / runs
+    share = x("total_output_rows") / runs / F.when(rows > 0, rows).otherwise(1.0)
+    skew, remote, s3 = F.greatest(x("avg_max_data_skewness"), x("avg_max_time_skewness")), x("avg_remote_io_ratio"), x("avg_s3_scan_cnt")
+    kept, score = F.lit(True), runtime
     if scenario == "slow_light":
-        middle = per.where("rows_per_run > 0").agg(F.median("rows_per_run")).first()[0] or 0.0
-        kept, score = per.where((F.col("runtime") >= 10) & (F.col("rows_per_run") <= middle) & (x("avg_total_spill") <= 0)), log(F.col("runtime"))
+        middle = F.coalesce(per.where(rows > 0).agg(F.median("rows_per_run")).scalar(), F.lit(1_000_000.0))
+        kept, score = (runtime >= 10) & (rows <= middle) & (spill <= 0), runtime / (1 + log(rows))
     elif scenario == "spill_slow":
-        kept, score = per.where(x("avg_total_spill") > 0), log(F.col("runtime")) * log(x("avg_total_spill"))
+        kept, score = spill > 0, runtime * (1 + log(spill))
+    elif scenario == "io_shuffle":
+        kept, score = (moved > 0) & (read > 0) & (share <= 0.25), runtime * (1 + moved) * (1 + log(read)) * (2 - F.greatest(F.lit(0.0), F.least(share, F.lit(1.0))))
     elif scenario == "queue_bound":
-        kept, score = per.where(x("total_queue_s") > 0), log(x("total_queue_s"))
+        kept, score = queue > 0, queue * (1 + queue / F.greatest(runtime, F.lit(0.001)))
     elif scenario == "skew_remote":
-        kept, score = per.where((x("avg_max_data_skewness") >= 4) | (x("avg_remote_io_ratio") >= 0.3)), x("avg_max_data_skewness") + 10 * x("avg_remote_io_ratio")
-    else:
-        kept, score = per, log(x("total_runtime_s")) + log(F.col("query_count"))
-    return kept.withColumn("chart_score", score).orderBy(F.desc("chart_score"), F.desc("total_runtime_s"), "repeat_group_id").limit(most)
+        kept, score = (skew >= 4) | (remote >= 0.3) | (s3 > 0), runtime * (1 + F.greatest(skew, F.lit(0.0)) + 10 * F.greatest(remote, F.lit(0.0)) + s3)
+    found = per.where(kept & (runtime >= least_s)).withColumn("chart_score", score)
+    if positive:  # nothing to place on a logarithmic axis
+        found = found.where("metric_per_run > 0")
+    return found.orderBy(F.desc("chart_score"), F.desc("runtime"), F.desc("total_runtime_s"), "repeat_group_id").limit(most)
 
 
 def issue_matrix(slow: DataFrame, found: DataFrame, most: int = 40) -> DataFrame:

@@ -217,22 +217,29 @@ def query_categories(spark, sf):
     return g.groupBy(triage.category(g).alias("category")).agg(F.count("*").alias("n"))
 
 
-def _chart(name: str, where: str, score: str, scenario: str) -> None:
-    per = "per as (select *, total_runtime_s / greatest(query_count, 1) as runtime, total_input_rows / cast(greatest(query_count, 1) as double) as rpr from patterns)"
-    text = f"{with_('patterns')}, {per}, sc as (select repeat_group_id, total_runtime_s, {near_sql(score, 6)} as chart_score from per where {where}) select repeat_group_id, chart_score from sc order by chart_score desc, total_runtime_s desc, repeat_group_id limit 200"
+# What the relation lacks: bytes, output rows, and what tables a group touches
+_MORE = {"total_input_bytes": "total_input_rows * 96", "total_output_rows": "total_input_rows * (query_count % 7) div 10", "mixed_query_class": "case when query_count % 3 = 0 then 'Mixed' end", "uses_view": "query_count % 5 = 0"}
+_PER = """per as (select *, total_runtime_s / greatest(query_count, 1) as runtime, total_input_rows / cast(greatest(query_count, 1) as double) as rpr, total_input_rows * 96 / cast(greatest(query_count, 1) as double) as bpr, (total_input_rows * (query_count % 7) // 10) / cast(total_input_rows as double) as share,
+ total_queue_s / greatest(query_count, 1) as queue, greatest(avg_max_data_skewness, avg_max_time_skewness) as skew, avg_dist_both_cnt + avg_bcast_cnt as moved from patterns)"""
 
-    @query(name, text)
-    def run(spark, sf):
-        g = relation(spark, sf, "patterns")
-        found = triage.chart(g, scenario, 1 << 30)
-        return rounded(found, "chart_score", digits=6).orderBy(F.desc("chart_score"), F.desc("total_runtime_s"), "repeat_group_id").limit(200).select("repeat_group_id", "chart_score")
 
+def _chart(name: str, where: str, score: str, scenario: str, **filters) -> None:
+    text = f"{with_('patterns')}, {_PER}, sc as (select repeat_group_id, {near_sql('runtime', 6)} as runtime, total_runtime_s, {near_sql(score, 6)} as chart_score from per where {where}) select repeat_group_id, chart_score from sc order by chart_score desc, runtime desc, total_runtime_s desc, repeat_group_id limit 200"
 
-_chart("chart_overview", "true", "log10(1 + total_runtime_s) + log10(1 + query_count)", "overview")
-_chart("chart_slow_light", "runtime >= 10 and rpr <= (select median(rpr) from per where rpr > 0) and avg_total_spill <= 0", "log10(1 + runtime)", "slow_light")
-_chart("chart_spill_slow", "avg_total_spill > 0", "log10(1 + runtime) * log10(1 + avg_total_spill)", "spill_slow")
-_chart("chart_queue_bound", "total_queue_s > 0", "log10(1 + total_queue_s)", "queue_bound")
-_chart("chart_skew_remote", "avg_max_data_skewness >= 4 or avg_remote_io_ratio >= 0.3", "avg_max_data_skewness + 10 * avg_remote_io_ratio", "skew_remote")
+    @query(name, text)
+    def run(spark, sf):
+        g = relation(spark, sf, "patterns").withColumns({k: F.expr(v) for k, v in _MORE.items()})
+        found = triage.chart(g, scenario, 1 << 30, **filters)
+        return rounded(found, "chart_score", "runtime", digits=6).orderBy(F.desc("chart_score"), F.desc("runtime"), F.desc("total_runtime_s"), "repeat_group_id").limit(200).select("repeat_group_id", "chart_score")
+
+
+_chart("chart_overview", "true", "runtime", "overview")
+_chart("chart_slow_light", "runtime >= 10 and rpr <= (select median(rpr) from per where rpr > 0) and avg_total_spill <= 0", "runtime / (1 + log10(1 + rpr))", "slow_light")
+_chart("chart_spill_slow", "avg_total_spill > 0", "runtime * (1 + log10(1 + avg_total_spill))", "spill_slow")
+_chart("chart_io_shuffle", "moved > 0 and bpr > 0 and share <= 0.25", "runtime * (1 + moved) * (1 + log10(1 + bpr)) * (2 - share)", "io_shuffle")
+_chart("chart_queue_bound", "queue > 0", "queue * (1 + queue / greatest(runtime, 0.001))", "queue_bound")
+_chart("chart_skew_remote", "skew >= 4 or avg_remote_io_ratio >= 0.3 or avg_s3_scan_cnt > 0", "runtime * (1 + skew + 10 * avg_remote_io_ratio + avg_s3_scan_cnt)", "skew_remote")
+_chart("chart_categories", "runtime >= 500 and (repeat_kind = 'proc' or query_count % 3 = 0 or query_count % 5 = 0)", "runtime", "overview", categories={"sproc", "mixed", "view"}, least_s=500.0)
 
 
 @query("issue_matrix", f"{with_(*core.BASE)}, {core.SLOW}, {RISK}, {core.QOP}, {core.TOP}, {core.INSIGHTS}, t as (select cast(query_id as varchar) as subject from (select query_id, {near_sql('risk_score')} as risk_score from slow) order by risk_score desc nulls last, query_id limit 40) select subject, left(rule_id, 24) as family, cast(max(case when impact_score >= 80 then 3 when impact_score >= 50 then 2 else 1 end) as bigint) as level from ins join t using (subject) where scope = 'query' group by all")
