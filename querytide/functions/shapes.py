@@ -57,14 +57,6 @@ def text_shape(c: Column | str) -> Column:
     return collapsed(_chain(F.lower(t), (r"(?<![a-z0-9_$])[-+]?\d+(?:\.\d+)?(?![a-z0-9_$])", "?"), (r"\(\s*\?(?:\s*,\s*\?)++\s*\)", "(?)")))
 
 
-def joined_users(c: Column | str, order: Column | str, limit: int = 8) -> Column:
-    """Aggregate: distinct users (whatever their case) as first written, in the order seen, the first `limit`."""
-    shown = collapsed(F.coalesce(_c(c).cast("string"), F.lit("")))
-    seen = F.array_sort(F.collect_list(F.when(shown != "", F.struct(_c(order).alias("o"), shown.alias("v")))))
-    distinct = F.aggregate(seen, F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x["v"])), a).otherwise(F.array_append(a, x["v"])))
-    return F.array_join(F.slice(distinct, 1, limit), ", ")
-
-
 def joined_sorted(c: Column | str, limit: int) -> Column:
     """Aggregate: distinct non-blank values in order, the first `limit`."""
     text = _c(c).cast("string")

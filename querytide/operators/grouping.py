@@ -111,18 +111,41 @@ def groups(found: DataFrame, min_size: int = LEAST_GROUP) -> DataFrame:
     return out.withColumn("sql_tables", F.array_join(F.array_sort(shapes.tables("shape")), ", ")).withColumn("repeat_group_key", shapes.digest(F.concat_ws("|", "repeat_kind", "constraint_key", "shape")))
 
 
-def display_ranked(grouped: DataFrame) -> DataFrame:
-    """RQ001… by (total runtime, risk, size) over all groups.
+def placed(rows: DataFrame, score: str, order: list[Column], name: str) -> DataFrame:
+    """rows with their place by `order`, which begins with `score` descending.
+
+    Rows fall into classes of the score; a class's first place follows from the sizes of the higher classes, so no window
+    holds more than one class."""
+    classed = rows.withColumn("_class", F.floor(1000 * F.log1p(F.greatest(zero(score).cast("double"), F.lit(0.0)))))
+    higher = W.orderBy(F.desc("_class")).rowsBetween(W.unboundedPreceding, -1)  # a row for each class: some ten thousands
+    first = classed.groupBy("_class").agg(F.count("*").alias("_n")).select("_class", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_class").orderBy(*order))
+    return classed.join(first, "_class").withColumn(name, place.cast("long")).drop("_class", "_before")
 
-    Groups fall into classes of runtime; a class's first rank follows from the sizes of the heavier classes, so no
-    window holds more than one class."""
+
+def display_ranked(grouped: DataFrame) -> DataFrame:
+    """RQ001… by (total runtime, risk, size) over all groups."""
     order = [F.desc("total_runtime_s"), F.desc("max_risk"), F.desc("query_count"), F.asc("repeat_group_key")]
-    classed = grouped.withColumn("_class", F.floor(1000 * F.log1p(F.greatest(zero("total_runtime_s"), F.lit(0.0)))))
-    heavier = W.orderBy(F.desc("_class")).rowsBetween(W.unboundedPreceding, -1)  # a row for each class: some thousands
-    first = classed.groupBy("_class").agg(F.count("*").alias("_n")).select("_class", F.coalesce(F.sum("_n").over(heavier), F.lit(0)).alias("_before"))
-    rank = F.col("_before") + F.row_number().over(W.partitionBy("_class").orderBy(*order))
-    top = classed.join(first, "_class").withColumn("group_rank", rank.cast("long")).drop("_class", "_before")
-    return top.withColumn("repeat_group_id", F.concat(F.lit("RQ"), F.lpad(F.col("group_rank").cast("string"), F.greatest(F.lit(3), F.length(F.col("group_rank").cast("string"))), F.lit("0"))))
+    rank = F.col("group_rank").cast("string")
+    return placed(grouped, "total_runtime_s", order, "group_rank").withColumn("repeat_group_id", F.concat(F.lit("RQ"), F.lpad(rank, F.greatest(F.lit(3), F.length(rank)), F.lit("0"))))
+
+
+def first_users(rows: DataFrame, keys: list[str], user: str, order: str, limit: int = 8) -> DataFrame:
+    """(keys, users): the first `limit` different users of each group (whatever their case), as first written and in the order seen; '' without any.
+
+    Users are made distinct before they are gathered, and only the first of each group travel on."""
+    shown = shapes.collapsed(F.coalesce(F.col(user).cast("string"), F.lit("")))
+    named = rows.select(*keys, shown.alias("_shown"), F.col(order).alias("_o"))
+    different = named.where("_shown <> ''").groupBy(*keys, F.lower("_shown").alias("_low")).agg(F.min(F.struct("_o", "_shown")).alias("_first"))
+    early = different.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_first"))).where(F.col("_n") <= limit)
+    lists = early.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_first"))), lambda x: x["_first"]["_shown"]), ", ").alias("users"))
+    every = rows.select(*keys).distinct()
+    for k in keys:
+        lists = lists.withColumnRenamed(k, f"_{k}")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return every.join(lists, same, "left").select(*keys, F.coalesce("users", F.lit("")).alias("users"))
 
 
 def report(found: DataFrame, sums: list[str] = (), means: list[str] = (), merged: DataFrame | None = None, least: int = LEAST_GROUP) -> DataFrame:

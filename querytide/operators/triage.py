@@ -195,8 +195,26 @@ def script_text(lines: DataFrame) -> str:
 
 
 # One query's steps -----------------------------------------------------------------------------
+def located(steps: DataFrame, tables: DataFrame) -> DataFrame:
+    """steps whose table_id is not known, with the table of their schema_name and table_name, else of the bare name; of several the smallest id.
+
+    Different names are looked up once each, whatever their steps."""
+    full = lambda s, t: F.btrim(F.lower(F.concat_ws(".", F.coalesce(s, F.lit("")), t)), F.lit("."))
+    names = F.array_distinct(F.array(full(F.col("schema_name"), F.col("table_name")), F.lower("table_name")))
+    index = tables.where("table_name <> ''").select("table_id", F.explode(names).alias("form")).groupBy("form").agg(F.min("table_id").alias("id"))
+    known = tables.select(F.col("table_id").alias("_known")).distinct()
+    s = steps.join(known, F.col("table_id") == F.col("_known"), "left")
+    asked = s.where("_known is null and table_name <> ''").select(F.col("schema_name").alias("_schema"), F.col("table_name").alias("_table")).distinct()
+    forms = F.array(full(F.col("_schema"), F.col("_table")), F.lower("_table"))
+    found = asked.select("_schema", "_table", F.posexplode(forms).alias("place", "form")).join(index, "form").groupBy("_schema", "_table").agg(F.min_by("id", "place").alias("_found"))
+    both = s.join(found, F.col("schema_name").eqNullSafe(F.col("_schema")) & (F.col("table_name") == F.col("_table")) & F.col("_known").isNull(), "left")
+    return both.withColumn("table_id", F.coalesce("_known", "_found", "table_id")).drop("_known", "_schema", "_table", "_found")
+
+
 def enriched_steps(steps: DataFrame, tables: DataFrame) -> DataFrame:
-    """Steps with category, share of runtime, previous step of the stream and segment, and table figures."""
+    """Steps with category, share of runtime, previous step of the stream and segment, and table figures; where steps name their tables, by name too."""
+    if {"schema_name", "table_name"} <= {*steps.columns}:
+        steps = located(steps, tables)
     flow = W.partitionBy("query_id", "stream_id", "segment_id").orderBy("step_id", F.col("table_id").asc_nulls_last(), F.desc("duration"))
     total = F.sum("duration").over(W.partitionBy("query_id"))
     s = steps.withColumn("category", step_category("step_name")).withColumn("pct_runtime", ratio(100.0 * F.col("duration"), total)).withColumn("previous_step", F.lag("step_name").over(flow)).withColumn("previous_table", F.lag("table_id").over(flow)).withColumn("previous_pct", F.lag("pct_runtime").over(flow))

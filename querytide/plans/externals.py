@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import external
+from ..operators import external, grouping
 from ..sources.adapter import relation, with_
 from .core import _r, near_sql, rounded
 
@@ -108,9 +108,7 @@ def external_assessment(spark, sf):
 
 @query("spectrum_scanned", f"{_CHAIN} select ext_id, external_table_key, query_count, {near_sql('scan_gb', 3)} as scan_gb, row_number() over (order by scan_gb desc, ext_id) as place from ext where scan_gb > 0")
 def spectrum_scanned(spark, sf):
-    from pyspark.sql import Window as W
-
-    found = external.scanned_most(tables(spark, sf)).withColumn("place", F.row_number().over(W.orderBy(F.desc("scan_gb"), "ext_id")).cast("long"))
+    found = grouping.placed(external.scanned_most(tables(spark, sf)), "scan_gb", [F.desc("scan_gb"), F.asc("ext_id")], "place")
     return rounded(found.select("ext_id", "external_table_key", "query_count", "scan_gb", "place"), "scan_gb", digits=3)
 
 

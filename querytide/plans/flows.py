@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import details
+from ..operators import details, triage
+from ..sources.adapter import relation, with_
 from .core import near_sql, rounded
 
 QUERIES: dict = {}
@@ -74,3 +76,22 @@ _PAINS = "[('ALERT', alert_count > 0), ('REMOTE_SPILL', spilled_block_remote_dis
 def grouped_flow(spark, sf):
     found = details.grouped_flow(captured(spark, sf))
     return rounded(found, "pain_score", digits=4).select(*details.FLOW_KEYS, "duration", "max_duration", "detail_row_count", "input_rows", "output_rows", "blocks_read", "alert", "dominant_pain", "pain_points", "pain_score", "detail_row_rank", "pain_rank")
+
+
+# Steps that name their table: a third by number, a third by schema and name, the rest by a bare name or one that no table has
+_NAMED = """named as (select s.query_id, s.step_id, case when s.query_id % 3 = 0 then s.table_id end as table_id, case when s.query_id % 3 = 1 then upper(t.schema_name) when s.query_id % 3 = 2 then 'other' end as schema_name, case when s.query_id % 30 = 2 then 'none_' else '' end || t.table_name as table_name from steps s join tables t on t.table_id = s.table_id)"""
+
+
+@query(
+    "steps_by_name",
+    f"""{with_("steps", "tables")}, {_NAMED}, f as (select lower(schema_name || '.' || table_name) as form, min(table_id) as id from tables group by 1), b as (select lower(table_name) as form, min(table_id) as id from tables group by 1)
+ select n.query_id, n.step_id, coalesce(n.table_id, f.id, b.id) as table_id, count(*) as n from named n left join f on n.table_id is null and f.form = lower(n.schema_name || '.' || n.table_name) left join b on n.table_id is null and b.form = lower(n.table_name) group by all""",
+)
+def steps_by_name(spark, sf):
+    s, t = relation(spark, sf, "steps"), relation(spark, sf, "tables")
+    names = t.select(F.col("table_id").alias("_t"), F.col("schema_name").alias("_s"), F.col("table_name").alias("_n"))
+    named = s.join(names, F.col("table_id") == F.col("_t")).select(
+        "query_id", "step_id", F.when(F.expr("query_id % 3 = 0"), F.col("table_id")).alias("table_id"), F.when(F.expr("query_id % 3 = 1"), F.upper("_s")).when(F.expr("query_id % 3 = 2"), "other").alias("schema_name"),
+        F.concat(F.when(F.expr("query_id % 30 = 2"), "none_").otherwise(""), F.col("_n")).alias("table_name"),
+    )
+    return triage.located(named, t).groupBy("query_id", "step_id", "table_id").agg(F.count("*").alias("n"))

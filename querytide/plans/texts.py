@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import grouping
 from ..functions import shapes
 from ..sources.adapter import relation, with_
 from .statement import facts, similarity
@@ -101,7 +102,7 @@ def text_shapes(spark, sf):
 @query("joined_users", f"{with_('history')}, u as (select query_id % 97 as g, trim(user_name) as v, min(query_id) as o from history where trim(user_name) <> '' group by all), r as (select *, row_number() over (partition by g order by o) as n from u) select g, coalesce(string_agg(v, ', ' order by o) filter (n <= 8), '') as users, coalesce(array_to_string(list_sort(list(v))[1:5], ', '), '') as sorted from r group by g")
 def joined_users(spark, sf):
     h = relation(spark, sf, "history").withColumn("g", F.col("query_id") % 97)
-    return h.groupBy("g").agg(shapes.joined_users("user_name", "query_id").alias("users"), shapes.joined_sorted("user_name", 5).alias("sorted"))
+    return grouping.first_users(h, ["g"], "user_name", "query_id").join(h.groupBy("g").agg(shapes.joined_sorted("user_name", 5).alias("sorted")), "g")
 
 
 @query("similar_parsed")
