@@ -50,12 +50,17 @@ HONORIFICS = {
 _NAME = r"\p{Lu}(?:['’]\p{Lu})?[\p{Ll}\p{M}]+(?:['’-]\p{Lu}[\p{Ll}\p{M}]+)?"
 #: A look at the first letter comes before the alternatives, which most positions of a text then skip.
 _TITLE = f"(?=[{''.join(sorted({x[0] for x in HONORIFICS}))}])(?:{'|'.join(sorted(HONORIFICS, key=len, reverse=True))})"
+#: What is no phone number though its digits suffice: dates and spans of years, and numbers whose digits stand in threes.
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+_DATE = rf"(?:{_YEAR}[ .-]{_MONTH}[ .-]{_DAY}(?!\d)|{_DAY}[ .-]{_MONTH}[ .-]{_YEAR}(?!\d)|{_YEAR}[ -]{_YEAR}(?!\d))"
+_GROUPED = r"[1-9]\d{0,2}(?:[ .]\d{3})+(?!\d|[ .-]\d)"
+#: A phone number has a plus sign, a bracketed area code, or nine digits or more in groups that form neither of those.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]?\d{2,4}(?:[ .-]?\d{2,4})?(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+\d{8,15}(?![\p{L}\p{N}])",
+    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:(?=\+(?:\D{{0,2}}\d){{8}})\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|\+\d{{8,15}}|\(\d{{1,4}}\)[ .-]?\d{{2,4}}[ .-]?\d{{2,4}}(?:[ .-]?\d{{2,4}})?|(?<!\d[.-])(?!{_DATE}|{_GROUPED})(?=(?:\d[ .-]?){{9}})\d{{2,4}}[ .-]\d{{2,4}}[ .-]?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{0,2}})(?![\p{{L}}\p{{N}}]|\.\d)",
     "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.?\x20{_NAME}(?:\x20{_NAME}){{0,2}}",
 }
 _ANY = "|".join(PATTERNS.values())

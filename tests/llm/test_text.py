@@ -362,6 +362,19 @@ def test_surrogates_of_names_without_their_honorific(documents):
     assert name[1] == name[2] and "Brian" not in got[2]
 
 
+NO_PHONES = ["on 2024-01-15 at 10", "2024-01-15 10:30", "15.01.2024 10:00", "15-01-2024 1999", "12 345 678 people", "10 20 30", "2019-2021 34", "1 234 567 890 bytes", "123 456 789", "2024 01 15", "1999-12-31 23", "555-0142", "v10.20.30.405", "+12", "12-34-56"]
+PHONES = {"+49 30 1234567": "+99 99 9999999", "(030) 123 45 67": "(999) 999 99 99", "030 1234 5678": "999 9999 9999", "555-123-4567": "999-999-9999", "+14155550123": "+99999999999", "06 12 34 56 78": "99 99 99 99 99", "+1 (826) 555-4081": "+9 (999) 999-9999"}
+
+
+def test_dates_and_grouped_numbers_are_no_phones(documents):
+    texts = [f"a {t}, b" for t in NO_PHONES] + [f"call {t}." for t in PHONES] + ["from +1 (826) 555-4081 190.137.223.204 on"]
+    got = [r.text for r in sorted(surrogates.replaced(documents(texts), counted=False).collect())]
+    assert got[: len(NO_PHONES)] == texts[: len(NO_PHONES)]
+    for text, old, form in zip(got[len(NO_PHONES) :], PHONES, PHONES.values(), strict=False):
+        assert re.sub(r"\d", "9", text) == f"call {form}." and old not in text
+    assert re.fullmatch(r"from \+\d \(\d{3}\) \d{3}-\d{4} \d+\.\d+\.\d+\.\d+ on", got[-1]) and "555-4081" not in got[-1] and "190.137.223.204" not in got[-1]
+
+
 def test_surrogates_follow_the_session_key(spark, documents):
     docs = documents(["Mail ann@mail.org"])
     text = lambda: surrogates.replaced(docs, counted=False).first().text
