@@ -45,12 +45,16 @@ RESULT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leav
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def rebuilt(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turns): each conversation's sequence of (label, words), its first turns replaced by its base's."""
+def digested(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns): each conversation's own sequence of (label, words), written."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     label = F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text)))
     turns = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", label.alias("label"), F.regexp_count(text, F.lit(WORD)).alias("words")).alias("t"))
-    own = tables.written(turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["label"].alias("label"), t["words"].alias("words"))).alias("turns")), "turns")
+    return tables.written(turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["label"].alias("label"), t["words"].alias("words"))).alias("turns")), "turns")
+
+
+def rebuilt(own: DataFrame) -> DataFrame:
+    """(conv_id, turns): digested conversations, their first turns replaced by their base's."""
     base = F.col("conv_id") - F.col("conv_id") % FAMILY
     heads = own.where(F.col("conv_id") % FAMILY == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, TURNS - 1).alias("head"))
     taken = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % TURNS).cast("int")
@@ -300,7 +304,9 @@ def upper(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prefix_trie(conversations: DataFrame, members: int = MEMBERS, most: int = HEAVY) -> DataFrame:
     """A row of RESULT for each node of the trie of the rebuilt `conversations` (conv_id, turn, role, text)."""
     spark = conversations.sparkSession
-    sequences = paths(rebuilt(conversations))
+    own = digested(conversations)
+    sequences = paths(rebuilt(own))
+    tables.removed(own)
     total, convs, smallest = sequences.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)) / 4, F.count("*"), F.min("conv_id")).first()
     limit = max(members, int(total // most))  # heavy prefixes have more members each, and the members of all prefixes are `total`
     heavy = tables.written(counted(sequences).where(F.col("n_convs") > limit), "heavy")
@@ -314,6 +320,8 @@ def prefix_trie(conversations: DataFrame, members: int = MEMBERS, most: int = HE
     ends = ends_of(parts.where(F.length("labels") == 0))
     frame = heavy.select(root.columns).unionByName(root).join(below.withColumnRenamed("above", "prefix"), "prefix", "left").join(ends, "prefix", "left")
     tops = tables.written(frame.coalesce(1).mapInArrow(upper, NODES), "upper")
+    for done in (sequences, heavy):
+        tables.removed(done)
     names = F.broadcast(tops.select(F.col("above").alias("_up"), F.col("conv_id").alias("_of")))  # HEAVY + 1 rows at most
     light = nodes.join(names, nodes["above"] == names["_up"], "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "_of"))
     return light.select(*RESULT).unionByName(tops.select(*RESULT))
