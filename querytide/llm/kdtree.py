@@ -215,10 +215,13 @@ def top_k(vectors: DataFrame, queries, k: int = K, scale: int = SCALE, shard: in
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-numbers.count() // shard))
     index = trees(numbers, shards, leaf)
     chosen = numbers.where(queries & F.col("vec_id").isNotNull())
-    first = blocks(chosen.withColumn("kth", F.lit(_LOW + 1)), block).withColumn("home", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int"))
-    seeds = tables.written(searched(index, first.withColumn("shard", F.col("home")).withColumn("band", F.lit(0).cast("long")), k), "seeds")
+    first = blocks(chosen.withColumn("kth", F.lit(_LOW + 1)), block)
+    home = F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int")
+    seeds = tables.written(searched(index, first.withColumns({"shard": home, "band": F.lit(0).cast("long")}), k), "seeds")
     bars = seeds.groupBy("query_row").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_row").alias("row"), "low")
     again = blocks(chosen.hint("merge").join(bars, "row", "left").select("row", "vec_id", "vector", F.coalesce("low", F.lit(_LOW + 1)).alias("kth")), block)
+    for done in (numbers, first, seeds):
+        tables.removed(done)
     everywhere = again.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("band", F.pmod(F.xxhash64("block"), F.greatest(F.lit(1), F.lit(-(-again.count() // BAND)))))
     found = searched(index, everywhere, k)
     best = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
