@@ -138,7 +138,7 @@ def catalog_closure(names: list[str], catalog: DataFrame, views: DataFrame) -> t
     seen, frontier = wanted, wanted
     keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)  # cuts the lineage of long chains
     while True:
-        bodies = index.join(frontier, "name", "left_semi").select(F.explode(shapes.tables(shapes.regex_shape("source_definition"))).alias("name")).distinct()
+        bodies = index.join(frontier, "name", "left_semi").select(F.explode(shapes.tables(shapes.regex_shape("source_definition", run_suffix=False))).alias("name")).distinct()
         frontier = keep(bodies.join(seen, "name", "left_anti"))
         if frontier.isEmpty():
             break
