@@ -36,10 +36,12 @@ def table_sets(groups: DataFrame, external: DataFrame, views: DataFrame) -> Data
 
 
 def external_views(views: DataFrame, external: DataFrame) -> DataFrame:
-    """Views whose text names an external table, by any suffix of two parts or more (or a bare name that one table has)."""
+    """Views whose text names an external table, by any suffix of two parts or more (or a bare name that one table has).
+
+    Names keep their numeric suffixes here: a stem would be no table's name."""
     keys = external.select(F.col("external_table_key").alias("key"), F.explode(suffixes(F.col("external_table_key"))).alias("suffix"))
     sure = keys.groupBy("suffix").agg(F.min("key").alias("key"), F.size(F.collect_set("key")).alias("n")).where((F.col("n") == 1) | F.col("suffix").contains("."))
-    said = views.select("view_key", F.explode(shapes.tables(shapes.regex_shape("source_definition"))).alias("suffix"))
+    said = views.select("view_key", F.explode(shapes.tables(shapes.regex_shape("source_definition", run_suffix=False))).alias("suffix"))
     return said.join(sure, "suffix").groupBy("view_key").agg(F.array_sort(F.collect_set("key")).alias("external_tables"))
 
 

@@ -13,3 +13,10 @@ def test_closure_follows_names_with_long_numeric_suffixes(spark):
     t, seen = lookups.catalog_closure(["view_998"], tables, v)
     assert [r["table_key"] for r in t.collect()] == ["lake.ext_1234"]
     assert sorted(r["view_key"] for r in seen.collect()) == ["db.s.view_998", "db.s.view_999"]
+
+
+def test_views_name_external_tables_with_long_numeric_suffixes(spark):
+    external = spark.createDataFrame([("lake.ext_1234",), ("lake.ext_5",)], "external_table_key string")
+    v = _views(spark, ("db.s.a", "select a from lake.ext_1234 join t on t.a = 1"), ("db.s.b", "select a from ext_5"))
+    found = {r["view_key"]: r["external_tables"] for r in lookups.external_views(v, external).collect()}
+    assert found == {"db.s.a": ["lake.ext_1234"], "db.s.b": ["lake.ext_5"]}
