@@ -1,6 +1,10 @@
 """Faults that show only on tables larger than the fixtures', or on names that they lack."""
 
+import pandas as pd
+import pytest
+
 from querytide.operators import lookups
+from querytide.plans.statement import batch, facts, rewrites, sharing, stages, tree
 
 
 def _views(spark, *rows):
@@ -20,3 +24,53 @@ def test_views_name_external_tables_with_long_numeric_suffixes(spark):
     v = _views(spark, ("db.s.a", "select a from lake.ext_1234 join t on t.a = 1"), ("db.s.b", "select a from ext_5"))
     found = {r["view_key"]: r["external_tables"] for r in lookups.external_views(v, external).collect()}
     assert found == {"db.s.a": ["lake.ext_1234"], "db.s.b": ["lake.ext_5"]}
+
+
+def _parses(monkeypatch):
+    seen = []
+    monkeypatch.setattr(tree, "Reader", lambda sql, real=tree.Reader: (seen.append(sql), real(sql))[1])
+    return seen
+
+
+SAME_FORM = [f"select a, '{k}x' from s.f where v > {k + 10000} and n like '%{k}' and d = {k + 10000}" for k in range(50)]
+
+
+def test_facts_read_statements_of_one_form_once(monkeypatch):
+    seen = _parses(monkeypatch)
+    batch = pd.DataFrame({"sql_hash": SAME_FORM, "sql_text": SAME_FORM, "shape": "", "sql_tables": "", "join_count": 0, "predicate_count": 0, "subquery_count": 0, "wildcard_count": 0})
+    got = pd.concat(facts._analyse(iter([batch])))
+    assert len(seen) == 1
+    text = SAME_FORM[7]
+    assert got["shape"].tolist() == [facts.literal_free(text)] * 50 and set(got["fingerprint"]) == {facts.fingerprint(text)}
+    assert got["markers"].tolist() == [facts.markers(text)] * 50 and facts.markers(text) == ["leading-wildcard-like"]
+
+
+def test_forms_keep_what_tools_tell_apart():
+    one = lambda sql: sharing.form(sql)[0]
+    assert one("select 12345 from t") == one("SELECT 67890\nfrom t".replace("SELECT", "select"))
+    for a, b in (("n like '%a'", "n like 'a'"), ("d = '2024-01-01'", "d = '12345'"), ("a = 10000 and b = 10000", "a = 10000 and b = 20000"), ("a::varchar(12345)", "a::varchar(54321)"), ("f('day', d)", "f('year', d)")):
+        assert one(f"select {a} from t") != one(f"select {b} from t")
+    assert sharing.form("select ` from t") is None and sharing.form(f"select {sharing.MARK} from t") is None
+
+
+@pytest.mark.parametrize("where", ["f.k = {0} and d.name = 'x{0}' and f.v > {0}", "date(f.event_date) = '2024-01-{1}' and f.v in ({0}, 2, '{0}')", "f.k = {0} and f.v between 9{0} and {0} and f.v < 10{0}", "f.k = 'it''s {0}' and d.name like '%{0}%' and f.k = 99{0}"])
+def test_rewrites_and_stages_of_a_form_equal_those_of_each_statement(spark, where):
+    catalog = {"db.s.f": rewrites.Meta(sortkeys=["event_date"], not_null={"k"}, columns=["k", "v", "event_date"], rows=5e9, size_mb=2e5), "db.s.d": rewrites.Meta(columns=["k", "name"])}
+    texts = ["select f.v, d.name from s.f f join s.d d on f.k = d.k where " + where.format(k, k % 28 + 1) for k in (0, 5, 12345, 99999, 123456)] + ["insert into t values (1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "sql_text string")
+    named = rows.selectExpr("sql_text", "sha2(sql_text, 256) as sql_hash")
+    for r in batch.rewritten(rows, catalog).join(named, "sql_hash").collect():
+        want = rewrites.optimized(r.sql_text, catalog)
+        assert (r.sql, r.rules, r.blocked, r.error) == (want.sql, [n for n, _ in want.applied], [f"{n}: {w}" for n, w in want.blocked], want.error)
+    for r in batch.staged(rows, catalog).join(named, "sql_hash").collect():
+        want = stages.decomposed(r.sql_text, catalog)
+        assert (r.script, r.error, r.gain) == (want.script, want.error, want.gain)
+
+
+@pytest.mark.parametrize("tool", [rewrites.optimized, stages.decomposed])
+def test_rewrites_and_stages_read_a_form_once(monkeypatch, tool):
+    seen = _parses(monkeypatch)
+    shared = sharing.Shared(lambda sql: tool(sql, {}))
+    shared(SAME_FORM[0])
+    once = len(seen)
+    assert [shared(t)[1](shared(t)[0].sql if tool is rewrites.optimized else shared(t)[0].final) for t in SAME_FORM] and len(seen) == once
