@@ -3,8 +3,9 @@
 import pandas as pd
 import pytest
 
-from querytide.operators import lookups
+from querytide.operators import enrichment, grouping, lookups
 from querytide.plans.statement import batch, facts, rewrites, sharing, stages, tree
+from querytide.sources import storage
 
 
 def _views(spark, *rows):
@@ -74,3 +75,20 @@ def test_rewrites_and_stages_read_a_form_once(monkeypatch, tool):
     shared(SAME_FORM[0])
     once = len(seen)
     assert [shared(t)[1](shared(t)[0].sql if tool is rewrites.optimized else shared(t)[0].final) for t in SAME_FORM] and len(seen) == once
+
+
+def test_enrichment_reads_what_waits_once_and_bounds_its_commits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(enrichment, "MOST_COMMITS", 3)
+    store = storage.Store(spark, str(tmp_path / "store"))
+    queries = spark.createDataFrame([(i, f"select a from s.t_{i} where v = {i}") for i in range(120)], "query_id int, sql_text string")
+    files, commits = [], []
+
+    def analyse(part):
+        files.append(set(part.inputFiles()))
+        return grouping.features(part)
+
+    got, counts = enrichment.enriched(queries, store, 10, analyse, lambda done, of: commits.append((done, of)))
+    assert commits == [(4, 12), (8, 12), (12, 12)] and counts == {"new": 120, "known": 0}
+    assert len(files) == 3 and not (files[0] & files[1] or files[0] & files[2] or files[1] & files[2]), "a commit reads only its own statements"
+    assert got.count() == 120 and store.read(enrichment.CACHE).select("namespace_id").distinct().count() == 12
+    assert got.where("structure_key is null").count() == 0
