@@ -71,14 +71,15 @@ def column_facts(columns: DataFrame) -> DataFrame:
 
 
 def by_location(places: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(db, place, external_table_key): the catalogue's longest location in a database that a place begins with.
+    """(db, place, external_table_key): for each database with such a one, its catalogue's longest location that a place begins with.
 
+    Only distinct places (column place) are asked for, so the rows that they come from need not meet their queries' databases first.
     The lengths that occur among locations are few (a path's length bounds them), so a place is cut to each of them and meets the catalogue by equality, not by a comparison with every entry."""
-    places = places.select("db", "place").where("place <> ''").distinct()
+    places = places.select("place").where("place <> ''").distinct()
     kept = catalog.where("s3_location <> ''").select(F.lower("redshift_database_name").alias("db"), F.lower("s3_location").alias("start"), "external_table_key")
     lengths = kept.agg(F.sort_array(F.collect_set(F.length("start")), asc=False).alias("lengths"))
     cut = places.withColumn("size", F.explode(lengths.scalar())).where(F.col("size") <= F.length("place")).withColumn("start", F.left("place", F.col("size")))
-    return cut.join(kept, ["db", "start"]).groupBy("db", "place").agg(F.min_by("external_table_key", F.struct(-F.col("size"), "external_table_key")).alias("external_table_key"))
+    return cut.join(kept, "start").groupBy("db", "place").agg(F.min_by("external_table_key", F.struct(-F.col("size"), "external_table_key")).alias("external_table_key"))
 
 
 _SEGMENT = ["query_id", "child_query_sequence", "segment_id", "name", "place"]
@@ -86,8 +87,8 @@ _SEGMENT = ["query_id", "child_query_sequence", "segment_id", "name", "place"]
 
 def mapped(details: DataFrame, history: DataFrame, catalog: DataFrame) -> DataFrame:
     """Object-store segments with their catalogue entry in the query's own database: full name, then schema and table, then table, then longest location."""
-    asked = history.select("query_id", _low("database_name").alias("db"))
-    seg = details.where(_low("source_type") == "s3").join(asked, "query_id").withColumn("name", F.coalesce(_low("table_name"), F.lit(""))).withColumn("place", F.coalesce(_low("file_location"), F.lit("")))
+    asked, place = history.select("query_id", _low("database_name").alias("db")), F.coalesce(_low("file_location"), F.lit(""))
+    seg = details.where(_low("source_type") == "s3").join(asked, "query_id").withColumn("name", F.coalesce(_low("table_name"), F.lit(""))).withColumn("place", place)
     one = W.partitionBy(*_SEGMENT).orderBy("start_time", "end_time", "duration", "returned_rows", "returned_bytes")
     seg = seg.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
     db, size = F.lower("redshift_database_name").alias("db"), F.length(F.coalesce("s3_location", F.lit("")))
@@ -95,7 +96,7 @@ def mapped(details: DataFrame, history: DataFrame, catalog: DataFrame) -> DataFr
     names = catalog.select(db, "external_table_key", size.alias("size"), F.explode(forms).alias("f")).select("db", "external_table_key", "size", "f.*")
     best = names.groupBy("db", "name").agg(F.min_by("external_table_key", F.struct("tier", -F.col("size"), "external_table_key")).alias("by_name"))
     named = seg.join(best, ["db", "name"], "left")
-    places = by_location(named.where("by_name is null"), catalog).withColumnRenamed("external_table_key", "by_place")
+    places = by_location(details.where(_low("source_type") == "s3").select(place.alias("place")), catalog).withColumnRenamed("external_table_key", "by_place")
     return named.join(places, ["db", "place"], "left").withColumn("external_table_key", F.coalesce("by_name", "by_place")).where("external_table_key is not null").drop("by_name", "by_place")
 
 
@@ -137,7 +138,7 @@ def errors(rows: DataFrame, history: DataFrame, catalog: DataFrame) -> DataFrame
     kind = F.coalesce(category(words, ERROR_WORDS), F.lit("other"))
     e = rows.withColumn("_kind", kind).groupBy(*once).agg(F.min("_kind").alias("_kind"))
     e = e.join(history.select("query_id", _low("database_name").alias("db")), "query_id").withColumn("place", _low("file_location"))
-    found = e.join(by_location(e, catalog), ["db", "place"])
+    found = e.join(by_location(rows.select(_low("file_location").alias("place")), catalog), ["db", "place"])
     n = lambda k: F.sum(F.when(F.col("_kind") == k, 1).otherwise(0)).alias(f"{k}_error_count")
     return found.groupBy("external_table_key").agg(F.count("*").alias("sampled_error_count"), F.countDistinct("query_id").alias("queries_with_sampled_errors"), *[n(k) for k in (*ERROR_WORDS, "other")], F.countDistinct("error_code").alias("distinct_error_code_count"), F.countDistinct("column_name").alias("affected_column_count"))
 

@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from querytide.operators import enrichment, grouping, lookups
+from querytide.operators import assembly, enrichment, grouping, lookups
 from querytide.plans.statement import batch, facts, rewrites, sharing, stages, tree
 from querytide.sources import storage
 
@@ -92,3 +92,11 @@ def test_enrichment_reads_what_waits_once_and_bounds_its_commits(spark, tmp_path
     assert len(files) == 3 and not (files[0] & files[1] or files[0] & files[2] or files[1] & files[2]), "a commit reads only its own statements"
     assert got.count() == 120 and store.read(enrichment.CACHE).select("namespace_id").distinct().count() == 12
     assert got.where("structure_key is null").count() == 0
+
+
+def test_places_meet_locations_without_their_queries(spark):
+    kinds = "redshift_database_name string, s3_location string, external_table_key string"
+    catalog = spark.createDataFrame([("DA", "s3://L/a/", "da.s.a"), ("db", "s3://l/a/", "db.s.a"), ("db", "s3://l/a/b/", "db.s.b")], kinds)
+    places = spark.createDataFrame([("s3://l/a/b/part-1",), ("s3://l/a/b/part-1",), ("s3://x/",), ("",), (None,)], "place string")
+    found = {(r["db"], r["place"]): r["external_table_key"] for r in assembly.by_location(places, catalog).collect()}
+    assert found == {("da", "s3://l/a/b/part-1"): "da.s.a", ("db", "s3://l/a/b/part-1"): "db.s.b"}
