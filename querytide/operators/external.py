@@ -25,24 +25,24 @@ def prefixes(location: Column) -> Column:
 def matched(segments: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each segment with its best catalogue entry: full name, then bare name, then the longest location prefix.
 
-    The OR of three conditions would be a nested loop; here each segment explodes into ranked keys (at most two names and
-    its own parent folders) and meets the catalogue's keys by equality. The best rank per segment wins."""
+    The OR of three conditions would be a nested loop; here names and places explode into ranked keys (at most two names and
+    the place's own parent folders) and meet the catalogue's keys by equality. The best rank wins. Segments with the same name
+    and place have the same entry, so each such pair is matched once and its entry joined back."""
     c = catalog_keyed(catalog)
     keys = c.select("ext_id", F.explode(F.array(
         F.struct(F.lit(1).alias("class"), F.col("external_table_key").alias("key")),
         F.struct(F.lit(2).alias("class"), F.lower("table_name").alias("key")),
         F.struct(F.lit(3).alias("class"), F.regexp_replace("location", "/+$", "").alias("key")),
     )).alias("k")).select("ext_id", "k.*")
-    s = segments.withColumn("seg_no", F.xxhash64("query_id", "segment_id", "table_name", "file_location"))
-    name = F.lower(F.coalesce("table_name", F.lit("")))
+    s = segments.withColumns({"_name": F.lower(F.coalesce("table_name", F.lit(""))), "_place": F.coalesce("file_location", F.lit(""))})
+    name = F.col("_name")
     wanted = F.concat(
         F.array(F.struct(F.lit(1).alias("class"), name.alias("key"), F.lit(0).alias("rank")), F.struct(F.lit(2).alias("class"), F.substring_index(name, ".", -1).alias("key"), F.lit(1).alias("rank"))),
-        F.transform(prefixes(F.coalesce("file_location", F.lit(""))), lambda p, i: F.struct(F.lit(3).alias("class"), p.alias("key"), (i + 2).alias("rank"))),
+        F.transform(prefixes(F.col("_place")), lambda p, i: F.struct(F.lit(3).alias("class"), p.alias("key"), (i + 2).alias("rank"))),
     )
-    distinct = s.select("seg_no", "table_name", "file_location").dropDuplicates(["seg_no"])
-    tried = distinct.select("seg_no", F.explode(wanted).alias("w")).select("seg_no", "w.*").where("key <> ''")
-    best = tried.join(keys, ["class", "key"]).groupBy("seg_no").agg(F.min_by("ext_id", F.struct("rank", "ext_id")).alias("ext_id"), F.min("rank").alias("match_rank"))
-    return s.join(best, "seg_no", "left").drop("seg_no")
+    tried = s.select("_name", "_place").distinct().select("_name", "_place", F.explode(wanted).alias("w")).select("_name", "_place", "w.*").where("key <> ''")
+    best = tried.join(keys, ["class", "key"]).groupBy("_name", "_place").agg(F.min_by("ext_id", F.struct("rank", "ext_id")).alias("ext_id"), F.min("rank").alias("match_rank"))
+    return s.join(best, ["_name", "_place"], "left").drop("_name", "_place")
 
 
 def pruning_pct(total: Column, kept: Column) -> Column:

@@ -134,8 +134,9 @@ def external_hourly(spark, sf):
 @query("external_severity", f"{_CHAIN} select ext_id, case when coalesce(partition_pruning_pct, 0) < 10 then 3 when coalesce(partition_pruning_pct, 0) < 50 then 2 when coalesce(partition_pruning_pct, 0) < 90 then 1 else 0 end as by_partition, case when coalesce(scanned_files, 0) > 100000 then 3 when coalesce(scanned_files, 0) > 10000 then 2 when coalesce(scanned_files, 0) > 100 then 1 else 0 end as by_files from ext")
 def external_severity(spark, sf):
     t = tables(spark, sf)
-    by = lambda m: external.severity(t, m).select("ext_id", F.col("severity").cast("int").alias(f"by_{m}"))
-    return by("partition").join(by("files"), "ext_id")
+    for m in ("partition", "files"):
+        t = external.severity(t, m).withColumn(f"by_{m}", F.col("severity").cast("int"))
+    return t.select("ext_id", "by_partition", "by_files")
 
 
 @query("external_errors", f"{_WITH}, e as (select query_id * 10 + segment_id as error_id, min(file_location) as file_location, min(query_id % 5) as error_code from segments group by 1), m as (select error_id, error_code, ext_id from e join externals on starts_with(file_location, location) qualify row_number() over (partition by error_id order by length(location) desc, ext_id) = 1) select ext_id, count(*) as error_count, count(distinct error_code) as error_codes from m group by ext_id")

@@ -2,8 +2,9 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from querytide.operators import assembly, enrichment, grouping, lookups
+from querytide.operators import assembly, enrichment, external, grouping, lookups
 from querytide.plans.statement import batch, facts, rewrites, sharing, stages, tree
 from querytide.sources import storage
 
@@ -100,3 +101,14 @@ def test_places_meet_locations_without_their_queries(spark):
     places = spark.createDataFrame([("s3://l/a/b/part-1",), ("s3://l/a/b/part-1",), ("s3://x/",), ("",), (None,)], "place string")
     found = {(r["db"], r["place"]): r["external_table_key"] for r in assembly.by_location(places, catalog).collect()}
     assert found == {("da", "s3://l/a/b/part-1"): "da.s.a", ("db", "s3://l/a/b/part-1"): "db.s.b"}
+
+
+def test_segments_of_one_name_and_place_are_matched_once(spark, monkeypatch):
+    catalog = spark.createDataFrame([(1, "s", "a", "s3://l/a/"), (2, "s", "b", "s3://l/a/b/")], "ext_id int, schema_name string, table_name string, location string")
+    rows = [(q, 1, name, place) for q in range(200) for name, place in (("S.a", "s3://x/y"), ("", "s3://l/a/b/part-1"), (None, "s3://l/a/c"), ("x", "s3://x/y"))]
+    segments = spark.createDataFrame(rows, "query_id int, segment_id int, table_name string, file_location string")
+    cut = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(external, "prefixes", F.udf(lambda p: (cut.add(1), ["/".join(p.split("/")[:n]) for n in range(p.count("/") + 1, 2, -1)])[1], "array<string>").asNondeterministic())
+    found = {(r["table_name"], r["ext_id"], r["match_rank"]): r["n"] for r in external.matched(segments, catalog).groupBy("table_name", "ext_id", "match_rank").agg(F.count("*").alias("n")).collect()}
+    assert found == {("S.a", 1, 0): 200, ("", 2, 3): 200, (None, 1, 3): 200, ("x", None, None): 200}
+    assert 0 < cut.value <= 16, "a pair of name and place is cut once, not once for each segment"
