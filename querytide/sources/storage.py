@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.exprs import zero
+from ..operators import rules
 
 KEYS = ["snapshot_id", "namespace_id"]
 EVIDENCE = ("query_history", "query_details", "query_health", "query_explain", "query_detail_flow", "query_text", "child_query_text", "table_scan_info")
@@ -386,14 +387,24 @@ def sql_drift(tables: DataFrame, log: DataFrame, expected: DataFrame) -> DataFra
     return known.withColumn("sql_status", F.when(F.col("sql_hash").isNull() | F.col("expected_hash").isNull(), "unrecorded").when(F.col("sql_hash") == F.col("expected_hash"), "current").otherwise("changed"))
 
 
-def summary(slow: DataFrame, tables: DataFrame, found: DataFrame, actions: DataFrame) -> DataFrame:
-    """One row: how many queries, tables, findings and actions a report has, and their extremes."""
-    q = slow.agg(F.count("*").alias("queries"), F.sum(zero("elapsed_s")).alias("total_elapsed_s"), F.max("risk_score").alias("max_risk"), F.sum(F.when(zero("total_spill") > 0, 1).otherwise(0)).alias("spilling_queries"))
-    t = tables.agg(F.count("*").alias("tables"), F.sum(F.when(zero("table_risk_score") >= 50, 1).otherwise(0)).alias("high_risk_tables"))
-    f = found.agg(F.count("*").alias("findings"), F.sum(F.when(F.col("severity") == "crit", 1).otherwise(0)).alias("critical_findings"))
-    a = actions.agg(F.count("*").alias("actions"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return one(q).join(one(t), "_one").join(one(f), "_one").join(one(a), "_one").drop("_one")
+def summary(slow: DataFrame, tables: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """One row: how many queries, tables, findings and actions a report has, and their extremes.
+
+    What the rules find of a query or table is counted in its own row, so each of the three frames is read once."""
+    critical = lambda h: F.size(F.filter(h, lambda x: x["severity"] == "crit"))
+    raw = slow.withColumn("_raw", F.struct("elapsed_s", "risk_score", "total_spill"))
+    per = rules.query_operands(raw).select("_raw.*", rules.hits(rules.QUERY_RULES).alias("found"), rules.hits(rules.QUERY_ACTIONS).alias("acts"), rules.hits(rules.REWRITE_RULES).alias("rewrites"))
+    acts = F.size("acts") + F.size(F.filter("rewrites", lambda x: x["impact_score"] >= 80))
+    q = per.agg(
+        F.count("*").alias("queries"), F.sum(zero("elapsed_s")).alias("total_elapsed_s"), F.max("risk_score").alias("max_risk"), F.sum(F.when(zero("total_spill") > 0, 1).otherwise(0)).alias("spilling_queries"),
+        zero(F.sum(F.size("found"))).alias("_found"), zero(F.sum(critical("found"))).alias("_critical"), zero(F.sum(acts)).alias("_acts"),
+    )
+    per = rules.table_operands(tables).select("table_risk_score", rules.hits(rules.TABLE_RULES).alias("found"))
+    t = per.agg(F.count("*").alias("tables"), F.sum(F.when(F.col("table_risk_score") >= 50, 1).otherwise(0)).alias("high_risk_tables"), zero(F.sum(F.size("found"))).alias("_t_found"), zero(F.sum(critical("found"))).alias("_t_critical"))
+    r = rules.table_operands(reviewed).agg(zero(F.sum(F.size(rules.hits(rules.TABLE_ACTIONS)))).alias("_t_acts"))
+    both = q.crossJoin(t).crossJoin(r)  # a row each
+    counts = {"findings": "found", "critical_findings": "critical", "actions": "acts"}
+    return both.select("queries", "total_elapsed_s", "max_risk", "spilling_queries", "tables", "high_risk_tables", *[(F.col(f"_{c}") + F.col(f"_t_{c}")).alias(k) for k, c in counts.items()])
 
 
 def markdown(rows: DataFrame, title: str) -> str:

@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from querytide.operators import assembly, enrichment, external, grouping, lookups
+from querytide.operators import assembly, details, enrichment, external, grouping, lookups
+from querytide.plans import core, flows
 from querytide.plans.statement import batch, facts, rewrites, sharing, stages, tree
 from querytide.sources import storage
 
@@ -112,3 +113,18 @@ def test_segments_of_one_name_and_place_are_matched_once(spark, monkeypatch):
     found = {(r["table_name"], r["ext_id"], r["match_rank"]): r["n"] for r in external.matched(segments, catalog).groupBy("table_name", "ext_id", "match_rank").agg(F.count("*").alias("n")).collect()}
     assert found == {("S.a", 1, 0): 200, ("", 2, 3): 200, (None, 1, 3): 200, ("x", None, None): 200}
     assert 0 < cut.value <= 16, "a pair of name and place is cut once, not once for each segment"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flow_is_dealt_by_query_once(spark, sf):
+    assert _plan(details.grouped_flow(flows.captured(spark, sf))).count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("frame", [core.acts, core.report_summary])
+def test_actions_and_summary_make_the_slow_queries_once(spark, sf, frame):
+    leaves = frame(spark, sf)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    # orders are read four times for the slow queries that rules judge, as often for those behind the tables' impact, and once for references
+    assert sum("o_orderkey" in leaves.apply(i).toString() for i in range(leaves.size())) <= 9
