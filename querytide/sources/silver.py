@@ -5,7 +5,7 @@ null into null, casts what fits and nulls what does not; a column that the table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import duration_seconds, fragment, moment, ratio, real, token, whole
@@ -87,8 +87,20 @@ def stored(view: str) -> dict[str, str]:
     return out
 
 
+#: Longer methods HotSpot leaves to its interpreter.
+METHOD_BYTES = 8000
+
+
+def short_methods(spark: SparkSession) -> None:
+    """Lowers the session's limit of generated methods to METHOD_BYTES, beyond which Spark generates code by operator; a smaller setting stays."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > METHOD_BYTES:
+        spark.conf.set(name, str(METHOD_BYTES))
+
+
 def view(bronze: DataFrame, name: str) -> DataFrame:
-    """The typed view `name` of a stored table."""
+    """The typed view `name` of a stored table. Its columns are too many for one generated method."""
+    short_methods(bronze.sparkSession)
 
     def of(column: str, kind: str) -> Column:
         return _CASTS[kind](f"`{column}`") if column in bronze.columns else F.lit(None).cast(_NULLS[kind])

@@ -4,8 +4,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from querytide.functions import exprs
 from querytide.operators import assembly, details, enrichment, external, grouping, lookups
-from querytide.plans import core, flows
+from querytide.plans import core, flows, layers
 from querytide.plans.statement import batch, facts, rewrites, sharing, stages, tree
 from querytide.sources import storage
 
@@ -128,3 +129,23 @@ def test_actions_and_summary_make_the_slow_queries_once(spark, sf, frame):
     leaves = frame(spark, sf)._jdf.queryExecution().optimizedPlan().collectLeaves()
     # orders are read four times for the slow queries that rules judge, as often for those behind the tables' impact, and once for references
     assert sum("o_orderkey" in leaves.apply(i).toString() for i in range(leaves.size())) <= 9
+
+
+def test_only_text_of_a_fitting_form_is_cast(spark):
+    """A failing cast costs an exception, so what has no fitting form is not cast."""
+    texts = ["many", "n/a", "soon", "1.5x", "--1", "", " None ", "12", " 7 ", "\t8\n", "-2.5", "2.5", "1e3", ".5", "5.", "1.5d", "0x1p3", "inf", "99999999999999999999"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(exprs.whole("t"), exprs.real("t")).collect()
+    nothing = [(None, None)] * 7
+    numbers = [(12, 12.0), (7, 7.0), (8, 8.0), (-3, -2.5), (3, 2.5), (1000, 1000.0), (1, 0.5), (5, 5.0), (2, 1.5), (8, 8.0), (None, float("inf")), (None, 1e20)]
+    assert [tuple(r) for r in got] == nothing + numbers
+    days = spark.createDataFrame([("soon",), ("2024-01-02",), (" 2024-01-02 03:04",)], "t string").select(exprs.moment("t").cast("string")).collect()
+    assert [r[0] for r in days] == [None, "2024-01-02 00:00:00", "2024-01-02 03:04:00"]
+    for made, form in ((exprs.whole("t"), "[0-9]"), (exprs.real("t"), "inf"), (exprs.moment("t"), "[Tt]")):
+        plan = rows.select(made)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" in plan and form in plan
+
+
+def test_typed_views_keep_generated_methods_short(spark, sf):
+    layers.QUERIES["silver_external_table_info"](spark, sf)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
