@@ -364,10 +364,16 @@ def pair_similarity(pairs: DataFrame) -> DataFrame:
 
 
 def similar_to(statement: str, queries: DataFrame, least: float = 0.68, most: int = 40) -> DataFrame:
-    """Queries like a statement, best first. The text's share of a score is 0.55 at most, so what the tokens and pairs
-    do not bring to the rest is dropped before the texts are compared."""
-    near = queries.withColumns({"right_shape": shapes.regex_shape("sql_text"), "left_shape": shapes.regex_shape(F.lit(statement))}).where(_token_share() >= least - 0.55 - 1e-9)
-    return pair_similarity(near).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "query_id").limit(most)
+    """Queries like a statement, best first. Each distinct shape is compared once, with its first `most` queries, of which no more
+    can be wanted. The text's share of a score is 0.55 at most, so what the tokens and pairs do not bring to the rest is
+    dropped before the texts are compared."""
+    first = F.row_number().over(W.partitionBy("_shape").orderBy("query_id"))
+    few = queries.withColumn("_shape", shapes.regex_shape("sql_text")).withColumn("_n", first).where(F.col("_n") <= most)
+    # a condition on the key itself would be pushed down to each query, with the making of its shape at each mention
+    shaped = few.groupBy("_shape").agg(F.collect_list(F.struct(*queries.columns)).alias("_rows"), F.min("_shape").alias("right_shape")).withColumn("left_shape", shapes.regex_shape(F.lit(statement)))
+    near = pair_similarity(shaped.where(_token_share() >= least - 0.55 - 1e-9)).where(F.col("similarity") >= least)
+    rows = near.select(F.explode("_rows").alias("_row"), "right_shape", "left_shape", "similarity").select("_row.*", "right_shape", "left_shape", "similarity")
+    return rows.orderBy(F.desc("similarity"), "query_id").limit(most)
 
 
 def features(queries: DataFrame) -> DataFrame:

@@ -149,3 +149,18 @@ def test_only_text_of_a_fitting_form_is_cast(spark):
 def test_typed_views_keep_generated_methods_short(spark, sf):
     layers.QUERIES["silver_external_table_info"](spark, sf)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_similar_statements_compare_each_shape_once(spark, monkeypatch):
+    rows = [(i, f"select a, b from t where k = {i}" if i % 2 else f"select a, b, c from t where k = {i}") for i in range(200)] + [(500, "vacuum u"), (501, None)]
+    q = spark.createDataFrame(rows, "query_id long, sql_text string")
+    pairs, compared = spark.sparkContext.accumulator(0), grouping.pair_similarity
+
+    def seen(p):
+        return compared(p.mapInPandas(lambda batches: (pairs.add(len(b)) or b for b in batches), p.schema))
+
+    monkeypatch.setattr(grouping, "pair_similarity", seen)
+    got = grouping.similar_to("select a, b from t where k = 7", q, most=120).collect()
+    assert pairs.value <= 3
+    assert [r.query_id for r in got] == [*range(1, 200, 2), *range(0, 40, 2)] and got[0].similarity == 1.0
+    assert got[0].sql_text == "select a, b from t where k = 1" and list(got[0].asDict()) == ["query_id", "sql_text", "right_shape", "left_shape", "similarity"]
