@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from querytide.functions import exprs
-from querytide.operators import assembly, details, enrichment, external, grouping, lookups
+from querytide.operators import assembly, details, enrichment, external, gold, grouping, lookups
 from querytide.plans import core, flows, layers
 from querytide.plans.statement import batch, facts, rewrites, sharing, stages, tree
 from querytide.sources import storage
@@ -164,3 +164,20 @@ def test_similar_statements_compare_each_shape_once(spark, monkeypatch):
     assert pairs.value <= 3
     assert [r.query_id for r in got] == [*range(1, 200, 2), *range(0, 40, 2)] and got[0].similarity == 1.0
     assert got[0].sql_text == "select a, b from t where k = 1" and list(got[0].asDict()) == ["query_id", "sql_text", "right_shape", "left_shape", "similarity"]
+
+
+def test_contained_references_are_found_around_dots(spark):
+    keys = ["db.s.t", "db.s.t_1", "db.xs.t", "db.s.", "db..t", "db..", "plain", "a.b", "db.s.t"]
+    tables = spark.createDataFrame([(i, k, float(i % 3)) for i, k in enumerate(keys)], "table_id long, table_key string, table_risk_score double")
+    texts = ["select * from S.T_12", "s.t and s.t again, db.xs.t.c", "select plain", "a.b.", "..", ".t", "no dot", "", None, "s.t", "é.b aé.b", "xxs.", "b.a.b.c"]
+    queries = spark.createDataFrame([(i % 12, t) for i, t in enumerate(texts)], "query_id long, sql_text string")
+    found = gold.table_references_contained(queries, tables)
+    want = sorted((i % 12, j) for i, t in enumerate(texts) for j, k in enumerate(keys) if ".".join(k.split(".")[-2:]) in (t or "").lower())
+    assert sorted((r.query_id, r.table_id) for r in found.collect()) == want
+    assert not gold.table_references_contained(queries, tables.limit(0)).count()
+
+
+def test_contained_references_do_not_compare_all_pairs(spark, sf):
+    plan = core.QUERIES["table_references_contained"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert any("tail" in x and "=" in x and "Contains" not in x for x in joins)
