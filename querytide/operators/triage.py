@@ -46,16 +46,19 @@ def resolved_by_database(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
     table_name, table_key. Where several databases have a schema.table, only the query's own database or a full name
     decides; what stays ambiguous stays null. Each distinct (mention, database) is looked up once: its forms are exploded,
     meet the catalogue's by equality, and the best way wins; within one the more qualified form."""
-    db, schema, name = _plain("source_db"), _plain("schema_name"), _plain("table_name")
+    # a catalogue is few bytes in its file, so one task would make and sort all of its forms: it is dealt first
+    names = catalog.select("source_db", "schema_name", "table_name", "table_key").repartition("source_db", "schema_name", "table_name")
+    parts = names.select(*[_plain(c).alias(c) for c in names.columns])
+    db, schema, name = F.col("source_db"), F.col("schema_name"), F.col("table_name")
     both = F.when(schema != "", F.concat(schema, F.lit("."), name)).otherwise(name)
-    key = F.when(_plain("table_key") != "", _plain("table_key")).otherwise(F.array_join(F.filter(F.array(db, schema, name), lambda x: x != ""), "."))
+    key = F.when(F.col("table_key") != "", F.col("table_key")).otherwise(F.array_join(F.filter(F.array(db, schema, name), lambda x: x != ""), "."))
     form = lambda way, *parts: F.struct(F.lit(way).alias("way"), F.concat_ws("\n", *parts).alias("form"))
     full = F.concat(db, F.lit("."), both)
-    index = catalog.select(key.alias("table_key"), F.explode(F.array_compact(F.array(
+    index = parts.select(key.alias("table_key"), F.explode(F.array_compact(F.array(
         F.when((db != "") & (both != ""), form(FULL, full)), F.when((db != "") & (both != ""), form(IN_DATABASE, db, both)), F.when(both != "", form(ONE_SCHEMA, both)), F.when(name != "", form(ONE_NAME, name)),
     ))).alias("f")).where("table_key <> ''").select("table_key", "f.*")
     # two owners make a form ambiguous; full names and those of one database are taken as they are
-    owners = index.groupBy("way", "form").agg(F.min("table_key").alias("found"), F.max("table_key").alias("last")).where((F.col("way") < ONE_SCHEMA) | (F.col("found") == F.col("last"))).drop("last")
+    owners = index.groupBy("way", "form").agg(F.min("table_key").alias("found"), F.max("table_key").alias("last")).where((F.col("way") < ONE_SCHEMA) | (F.col("found") == F.col("last"))).drop("last").hint("merge")  # the file's size says too little of the forms to broadcast them
 
     asked = mentions.select("mention", "database_name").distinct().withColumn("m", _plain("mention")).withColumn("d", _plain("database_name"))
     parts = F.split("m", r"\.")

@@ -282,5 +282,5 @@ def database_name_resolution(spark, sf):
     cat = t.unionByName(copies).withColumn("table_key", F.lower(F.concat_ws(".", "source_db", "schema_name", "table_name")))
     name = F.concat_ws(".", "schema_name", "table_name")
     form = F.when(F.expr("query_id % 5 = 0"), F.concat(F.expr("'db' || cast(query_id % 4 as string) || '.'"), name)).when(F.expr("query_id % 5 = 1"), F.upper(name)).when(F.expr("query_id % 5 = 2"), F.col("table_name")).when(F.expr("query_id % 5 = 3"), F.expr("""'"' || schema_name || '"."' || table_name || '"'""")).otherwise(F.concat(F.lit("nowhere."), "table_name"))
-    said = h.join(t, F.col("table_id") == F.expr("query_id % 1500 + 1")).select("query_id", F.when(F.expr("query_id % 7 = 0"), "").otherwise(F.col("database_name")).alias("database_name"), form.alias("mention"))
+    said = h.join(t.hint("merge"), F.col("table_id") == F.expr("query_id % 1500 + 1")).select("query_id", F.when(F.expr("query_id % 7 = 0"), "").otherwise(F.col("database_name")).alias("database_name"), form.alias("mention"))
     return triage.resolved_by_database(said, cat).select("query_id", "mention", "database_name", "table_key", "found_by")

@@ -1,11 +1,13 @@
 """Faults that show only on tables larger than the fixtures', or on names that they lack."""
 
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from querytide.functions import exprs
-from querytide.operators import assembly, details, enrichment, external, gold, grouping, lookups
+from querytide.operators import assembly, details, enrichment, external, gold, grouping, lookups, triage
 from querytide.plans import core, flows, layers
 from querytide.plans.statement import batch, facts, rewrites, sharing, stages, tree
 from querytide.sources import storage
@@ -181,3 +183,12 @@ def test_contained_references_do_not_compare_all_pairs(spark, sf):
     plan = core.QUERIES["table_references_contained"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join Inner" in x]
     assert any("tail" in x and "=" in x and "Contains" not in x for x in joins)
+
+
+def test_forms_of_a_catalogue_are_dealt_and_never_broadcast(spark):
+    cat = spark.createDataFrame([("db1", "s", "orders", ""), ("db2", "s", "orders", ""), ("db1", "s", "only", "")], "source_db string, schema_name string, table_name string, table_key string")
+    said = spark.createDataFrame([("s.only", ""), ("s.orders", "db2"), ("orders", "db1")], "mention string, database_name string")
+    found = triage.resolved_by_database(said, cat)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[way#\d+, form#\d+\]", plan) and "hashpartitioning(source_db" in plan
+    assert {(r.mention, r.table_key) for r in found.collect()} == {("s.only", "db1.s.only"), ("s.orders", "db2.s.orders"), ("orders", None)}
