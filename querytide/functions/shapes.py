@@ -71,9 +71,9 @@ def without_leading_comments(c: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"(?s)^(?:\s+|--[^\n]*(?:\n|$)|/\*.*?(?:\*/|$))+", "")
 
 
-def unloaded(c: Column | str) -> Column:
-    """The inner statement of UNLOAD ('…'), else the text."""
-    t = without_leading_comments(c)
+def unloaded(c: Column | str, bare: bool = False) -> Column:
+    """The inner statement of UNLOAD ('…'), else the text. bare: the text has no leading comments any more."""
+    t = _c(c) if bare else without_leading_comments(c)
     found = [F.regexp_extract(t, rf"(?i)^unload\s*\(\s*'((?:[^']++|'')*{more})'", 1) for more in ("+", "")]  # as in QUOTED
     whole, cut = (F.when(x != "", F.replace(x, F.lit("''"), F.lit("'"))) for x in found)
     return F.coalesce(whole, cut, t)
@@ -81,7 +81,16 @@ def unloaded(c: Column | str) -> Column:
 
 def call_key(c: Column | str, database: Column | str) -> Column:
     """database.schema.procedure of a CALL; null for other statements; a bare name leaves the schema open."""
-    name = F.regexp_extract(F.lower(without_leading_comments(c)), r'^call\s+([a-z0-9_$."]+)\s*\(', 1)
+    return key_of_called(called(without_leading_comments(c)), database)
+
+
+def called(bare: Column | str) -> Column:
+    """The procedure's name as a CALL writes it, from a text without leading comments; '' for other statements."""
+    return F.regexp_extract(F.lower(_c(bare)), r'^call\s+([a-z0-9_$."]+)\s*\(', 1)
+
+
+def key_of_called(called: Column | str, database: Column | str) -> Column:
+    name = _c(called)
     parts = F.split(F.regexp_replace(name, '"', ""), r"\.")
     db = F.lower(F.coalesce(_c(database), F.lit("")))
     return F.when(name == "", None).when(F.size(parts) >= 3, F.array_join(F.slice(parts, -3, 3), ".")).when(F.size(parts) == 2, F.concat_ws(".", db, parts[0], parts[1])).otherwise(F.concat_ws(".", db, F.lit(""), parts[0]))

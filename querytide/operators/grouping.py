@@ -69,14 +69,18 @@ def candidates(queries: DataFrame, by_user: bool = False) -> DataFrame:
     """Shape, scope and constraint key of each statement; statements under LEAST_CHARS characters stay out.
 
     Expects query_id, sql_text, query_type, database_name, user_name, elapsed_s, risk_score."""
-    body = shapes.unloaded("sql_text")
+    # what several columns need stands in a column of its own, so that no expression is worked out twice
+    q = queries.withColumn("_bare", shapes.without_leading_comments("sql_text"))
+    q = q.withColumn("_unload", F.lower(F.substring("_bare", 1, 6)) == "unload").withColumn("_called", shapes.called("_bare"))
+    body = F.when(F.col("_unload"), shapes.unloaded("_bare", bare=True)).otherwise(F.col("_bare"))
     scope = F.lower(F.coalesce(token("user_name"), F.lit("unknown"))) if by_user else F.lit("all")
     shape = shapes.values_tail(shapes.regex_shape(body))
-    prefix = F.when(shapes.without_leading_comments("sql_text").rlike("(?i)^unload"), "unload: ").otherwise("")
-    q = queries.withColumn("call_key", shapes.call_key("sql_text", "database_name")).withColumn("shape", F.concat(prefix, shape)).withColumn("scope", scope)
+    prefix = F.when(F.col("_unload"), "unload: ").otherwise("")
+    q = q.withColumn("call_key", shapes.key_of_called("_called", "database_name")).withColumn("shape", F.concat(prefix, shape)).withColumn("scope", scope).drop("_bare", "_unload", "_called")
     kind = F.when(F.col("call_key").isNotNull(), "proc").otherwise("sql")
     body_key = F.when(F.col("call_key").isNotNull(), F.col("call_key")).otherwise(F.substring(F.sha1("shape"), 1, 20))
-    q = q.where(F.length(F.trim("sql_text")) >= F.when(F.col("call_key").isNotNull(), 1).otherwise(LEAST_CHARS))
+    chars = F.length(F.trim("sql_text"))
+    q = q.where((chars >= LEAST_CHARS) | ((chars >= 1) & F.col("call_key").isNotNull()))
     return q.withColumn("kind", kind).withColumn("constraint_key", F.concat_ws("|", kind, "scope", F.lower(F.coalesce("query_type", F.lit(""))), body_key))
 
 
@@ -160,26 +164,44 @@ def report(found: DataFrame, sums: list[str] = (), means: list[str] = (), merged
     else:
         found = found.withColumns({"merged_key": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")})
     found = found.withColumn("group_key", F.coalesce("merged_key", "constraint_key")).withColumn("similarity", F.coalesce("similarity", F.lit(1.0)))
-    shape = found.groupBy("group_key", "constraint_key").agg(F.min("shape").alias("shape"))
-    sets = {"tables": shapes.tables("shape"), "predicate_ops": shapes.predicate_operators("shape")}
-    lists = shape.groupBy("group_key").agg(F.count("*").alias("shape_count"), *[F.collect_list(v).alias(k) for k, v in sets.items()])
-    both = [F.array_join(F.array_sort(F.array_distinct(F.flatten(k))), ", ").alias(f"all_{k}") for k in sets] + [F.array_join(F.array_sort(F.aggregate(k, F.element_at(k, 1), lambda a, x: F.array_intersect(a, x))), ", ").alias(f"common_{k}") for k in sets]
-    lists = lists.select("group_key", "shape_count", *both)
-    seen = F.col("query_id")
-    out = found.groupBy("group_key").agg(
+    # Numbers are summed under the texts as keys, which a hash aggregate can hold; lists of ids, texts by order and the like would sort all the wide
+    # rows. What is left is a row for each different shape. Ids and users are gathered from narrow rows of their own.
+    plain = found.agg(*[F.sum(zero(c)).alias(f"total_{c}") for c in sums], *[F.avg(c).alias(f"avg_{c}") for c in means], F.count("*")).schema
+    added = lambda c: c if isinstance(found.schema[c].dataType, T.DecimalType) else F.col(c).cast("double")
+    per = found.groupBy("group_key", "constraint_key", "similarity", "kind", "shape").agg(
         F.count("*").alias("query_count"),
         *[F.sum(zero(c)).alias(f"total_{c}") for c in sums],
-        *[F.avg(c).alias(f"avg_{c}") for c in means],
+        *[x for c in means for x in (F.sum(added(c)).alias(f"_sum_{c}"), F.count(c).alias(f"_count_{c}"))],
+        F.sum("similarity").alias("_similarity"),
+        F.min("query_id").alias("representative_id"),
+    )
+    numbers = ["query_count", *[f"total_{c}" for c in sums], *[f"_{x}_{c}" for c in means for x in ("sum", "count")], "_similarity"]
+    seen = F.col("representative_id")
+    per = per.groupBy("group_key", "constraint_key", "similarity").agg(*[F.sum(c).alias(c) for c in numbers], F.min_by(F.struct("shape", "kind"), seen).alias("_first"), F.min("shape").alias("shape"), F.min(seen).alias("representative_id"))
+    sets = {"tables": shapes.tables("shape"), "predicate_ops": shapes.predicate_operators("shape")}
+    per = per.select("*", *[v.alias(f"_{k}") for k, v in sets.items()])
+    lists = {k: F.collect_list(f"_{k}") for k in sets}
+    both = [F.array_join(F.array_sort(F.array_distinct(F.flatten(v))), ", ").alias(f"all_{k}") for k, v in lists.items()] + [F.array_join(F.array_sort(F.aggregate(v, F.element_at(v, 1), lambda a, x: F.array_intersect(a, x))), ", ").alias(f"common_{k}") for k, v in lists.items()]
+    out = per.groupBy("group_key").agg(
+        F.count("*").alias("shape_count"),
+        *[F.sum(c).alias(c) for c in numbers],
         F.min("similarity").alias("min_similarity"),
         F.max("similarity").alias("max_similarity"),
-        F.avg("similarity").alias("avg_similarity"),
-        F.min_by("query_id", seen).alias("representative_id"),
-        F.min_by("shape", seen).alias("shape"),
-        F.min_by("kind", seen).alias("repeat_kind"),
-        F.size(F.collect_set("user_name")).cast("long").alias("user_count"),
-        F.array_sort(F.collect_set("query_id")).alias("query_ids"),
+        F.min_by("_first", seen).alias("_first"),
+        F.min(seen).alias("representative_id"),
+        *both,
     )
-    out = out.where(F.col("query_count") >= max(2, least)).join(lists, "group_key").withColumn("_key", shapes.digest(F.concat_ws("|", "repeat_kind", "group_key", "shape")))
+    of = lambda total, n: F.when(F.col(n) > 0, F.col(total) / F.col(n))
+    out = out.where(F.col("query_count") >= max(2, least)).select(
+        "group_key", "query_count",
+        *[F.col(f"total_{c}").cast(plain[f"total_{c}"].dataType).alias(f"total_{c}") for c in sums],
+        *[of(f"_sum_{c}", f"_count_{c}").cast(plain[f"avg_{c}"].dataType).alias(f"avg_{c}") for c in means],
+        "min_similarity", "max_similarity", of("_similarity", "query_count").alias("avg_similarity"), "representative_id", "_first.shape", F.col("_first.kind").alias("repeat_kind"),
+        "shape_count", *[f"{x}_{k}" for x in ("all", "common") for k in sets],
+    )
+    who = found.groupBy("group_key").agg(F.size(F.collect_set("user_name")).cast("long").alias("user_count"), F.array_sort(F.collect_set("query_id")).alias("query_ids"))
+    order = ["group_key", "query_count", *[f"total_{c}" for c in sums], *[f"avg_{c}" for c in means], "min_similarity", "max_similarity", "avg_similarity", "representative_id", "shape", "repeat_kind", "user_count", "query_ids", "shape_count", *[f"{x}_{k}" for x in ("all", "common") for k in sets]]
+    out = out.join(who, "group_key").select(*order).withColumn("_key", shapes.digest(F.concat_ws("|", "repeat_kind", "group_key", "shape")))
     again = F.row_number().over(W.partitionBy("_key").orderBy("group_key"))
     return out.withColumn("_n", again).withColumn("repeat_group_key", F.when(F.col("_n") > 1, F.concat("_key", F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col("_key"))).drop("_key", "_n")
 

@@ -192,3 +192,13 @@ def test_forms_of_a_catalogue_are_dealt_and_never_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[way#\d+, form#\d+\]", plan) and "hashpartitioning(source_db" in plan
     assert {(r.mention, r.table_key) for r in found.collect()} == {("s.only", "db1.s.only"), ("s.orders", "db2.s.orders"), ("orders", None)}
+
+
+def test_reports_sum_in_hash_aggregates(spark):
+    rows = [(i, f"select a, b from s.t where v > {i % 3}", f"u{i % 2}", "db", "SELECT", float(i), 1.0, None if i == 1 else i) for i in range(4)]
+    q = spark.createDataFrame(rows, "query_id long, sql_text string, user_name string, database_name string, query_type string, elapsed_s double, risk_score double, spill long")
+    found = grouping.report(grouping.candidates(q), ["spill"], ["spill"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(?:ObjectHash|Sort)Aggregate\(keys=\[group_key#\d+\], functions=\[.*sum\(coalesce\(spill", plan)
+    (g,) = found.collect()
+    assert (g.total_spill, g.avg_spill, g.query_ids, g.user_count, g.query_count) == (5, 5 / 3, [0, 1, 2, 3], 2, 4)
