@@ -179,6 +179,13 @@ def test_contained_references_are_found_around_dots(spark):
     assert not gold.table_references_contained(queries, tables.limit(0)).count()
 
 
+def test_contained_references_have_no_bound_on_tables(spark):
+    tables = spark.range(2500).selectExpr("id as table_id", "concat('db.s.t', id) as table_key", "cast(id as double) as table_risk_score")
+    queries = spark.createDataFrame([(1, "select 1 from s.t7 join s.t7 using (k)"), (1, "select 1 from s.t7 join s.t7 using (k)"), (1, "s.t2400"), (2, "S.T1")], "query_id long, sql_text string")
+    found = gold.table_references_contained(queries, tables)
+    assert sorted((r.query_id, r.table_id) for r in found.collect()) == [(1, 2), (1, 7), (1, 7), (1, 24), (1, 240), (1, 2400), (2, 1)]
+
+
 def test_contained_references_do_not_compare_all_pairs(spark, sf):
     plan = core.QUERIES["table_references_contained"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join Inner" in x]
