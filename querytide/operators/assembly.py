@@ -83,33 +83,56 @@ def by_location(places: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 _SEGMENT = ["query_id", "child_query_sequence", "segment_id", "name", "place"]
+#: Rows of the catalogue's names, or locations, that may be broadcast; beyond, they are joined.
+MOST_BROADCAST = 100_000
 
 
-def mapped(details: DataFrame, history: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Object-store segments with their catalogue entry in the query's own database: full name, then schema and table, then table, then longest location."""
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
+def segments(details: DataFrame, history: DataFrame) -> DataFrame:
+    """Object-store segments with their query's own database, each once; partitioned by query_id, as `with_outputs` needs them."""
     asked, place = history.select("query_id", _low("database_name").alias("db")), F.coalesce(_low("file_location"), F.lit(""))
     seg = details.where(_low("source_type") == "s3").join(asked, "query_id").withColumn("name", F.coalesce(_low("table_name"), F.lit(""))).withColumn("place", place)
     one = W.partitionBy(*_SEGMENT).orderBy("start_time", "end_time", "duration", "returned_rows", "returned_bytes")
-    seg = seg.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return seg.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "table_name", "file_location")
+
+
+def mapped(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Segments with their catalogue entry in the query's own database: full name, then schema and table, then table, then longest location.
+
+    Up to MOST_BROADCAST names and locations are broadcast, so the segments, the widest rows here, stay where their queries are: what no
+    name finds is cut to each length of a location, and the longest cut that meets one counts. Beyond, segments are shuffled to them."""
     db, size = F.lower("redshift_database_name").alias("db"), F.length(F.coalesce("s3_location", F.lit("")))
     forms = F.array(*[F.struct(F.lit(k).alias("tier"), x.alias("name")) for k, x in enumerate((F.col("external_table_key"), F.lower(F.concat("schema_name", F.lit("."), "table_name")), F.lower("table_name")))])
     names = catalog.select(db, "external_table_key", size.alias("size"), F.explode(forms).alias("f")).select("db", "external_table_key", "size", "f.*")
     best = names.groupBy("db", "name").agg(F.min_by("external_table_key", F.struct("tier", -F.col("size"), "external_table_key")).alias("by_name"))
-    named = seg.join(best, ["db", "name"], "left")
-    places = by_location(details.where(_low("source_type") == "s3").select(place.alias("place")), catalog).withColumnRenamed("external_table_key", "by_place")
-    return named.join(places, ["db", "place"], "left").withColumn("external_table_key", F.coalesce("by_name", "by_place")).where("external_table_key is not null").drop("by_name", "by_place")
+    named = found.join(F.broadcast(best) if _few(best) else best, ["db", "name"], "left")
+    starts = catalog.where("s3_location <> ''").groupBy(db, F.lower("s3_location").alias("start")).agg(F.min("external_table_key").alias("by_place"))
+    if _few(starts):
+        lengths = starts.agg(F.collect_set(F.length("start")).alias("lengths")).scalar()
+        cut = named.withColumn("_lengths", lengths).withColumn("_size", F.explode_outer(F.when(F.col("by_name").isNull(), F.filter("_lengths", lambda n: n <= F.length("place"))))).withColumn("start", F.left("place", F.col("_size")))
+        met = cut.join(F.broadcast(starts), ["db", "start"], "left").where("by_name is not null or by_place is not null")
+        placed = met.withColumn("_n", F.row_number().over(W.partitionBy(*_SEGMENT).orderBy(F.desc("_size")))).where("_n = 1").drop("_n", "_lengths", "_size", "start")
+    else:
+        placed = named.join(by_location(found.select("place"), catalog).withColumnRenamed("external_table_key", "by_place"), ["db", "place"], "left")
+    return placed.withColumn("external_table_key", F.coalesce("by_name", "by_place")).where("external_table_key is not null").drop("by_name", "by_place")
 
 
 def with_outputs(segments: DataFrame, steps: DataFrame) -> DataFrame:
-    """Segments with what the scans of their query and segment put out: the step of the same name, else one whose name ends the other after a dot, first by name."""
-    scans = steps.where((F.col("step_id") >= 0) & (_low("step_name") == "scan") & _low("source").isin(*EXTERNAL_SOURCES))
+    """Segments with what the scans of their query and segment put out: the step of the same name, else one whose name ends the other after a dot, first by name.
+
+    Scans are shuffled once, by query, and so meet the segments where these are: the join's key is the query alone, and the segment is
+    compared by a condition that is no key."""
+    scans = steps.where((F.col("step_id") >= 0) & (_low("step_name") == "scan") & _low("source").isin(*EXTERNAL_SOURCES)).repartition("query_id")
     out = scans.groupBy(F.col("query_id").alias("_q"), F.col("segment_id").alias("_s"), _low("table_name").alias("_t")).agg(
         F.sum("output_bytes").alias("output_bytes"), F.sum("output_rows").alias("output_rows"), F.max("data_skewness").alias("data_skewness"), F.max("time_skewness").alias("time_skewness"),
         F.sum(F.col("spilled_block_local_disk") + F.col("spilled_block_remote_disk")).alias("spill_blocks"),
     )
     a, b = F.col("name"), F.col("_t")
     fits = (a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a))
-    joined = segments.join(out, (F.col("query_id") == F.col("_q")) & (F.col("segment_id") == F.col("_s")) & fits, "left")
+    joined = segments.join(out, (F.col("query_id") == F.col("_q")) & F.col("segment_id").between(F.col("_s"), F.col("_s")) & fits, "left")
     first = W.partitionBy(*_SEGMENT).orderBy(F.when(a == b, 0).otherwise(1), "_t")
     return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_q", "_s", "_t")
 
@@ -136,7 +159,7 @@ def errors(rows: DataFrame, history: DataFrame, catalog: DataFrame) -> DataFrame
     once = ["query_id", "file_location", "rowid", "column_name", "error_code"]
     words = F.concat_ws(" ", "action", "trigger")
     kind = F.coalesce(category(words, ERROR_WORDS), F.lit("other"))
-    e = rows.withColumn("_kind", kind).groupBy(*once).agg(F.min("_kind").alias("_kind"))
+    e = rows.withColumn("_kind", kind).repartition("query_id").groupBy(*once).agg(F.min("_kind").alias("_kind"))
     e = e.join(history.select("query_id", _low("database_name").alias("db")), "query_id").withColumn("place", _low("file_location"))
     found = e.join(by_location(rows.select(_low("file_location").alias("place")), catalog), ["db", "place"])
     n = lambda k: F.sum(F.when(F.col("_kind") == k, 1).otherwise(0)).alias(f"{k}_error_count")
@@ -150,10 +173,10 @@ _ZERO = ["column_count", "partition_key_count", "query_count", "external_segment
 def assembled(spark: SparkSession, stages: dict[str, DataFrame | None]) -> DataFrame:
     """One row per external table from the staged frames (see STAGES). A missing stage leaves its facts null or 0.
 
-    Everything meets by equality: segments and steps by query and segment, names and locations by database and key."""
+    Everything meets by equality: segments and steps by query, names and locations by database and key."""
     get = lambda name: staged(spark, stages, name)
     catalog, history = catalogue(get("svv_external_tables")), get("sys_query_history")
-    acts = activity(with_outputs(mapped(get("sys_external_query_detail"), history, catalog), get("sys_query_detail")))
+    acts = activity(mapped(with_outputs(segments(get("sys_external_query_detail"), history), get("sys_query_detail")), catalog))
     out = catalog
     for part in (column_facts(get("external_column_stats")), acts, errors(get("sys_external_query_error"), history, catalog)):
         out = out.join(part, "external_table_key", "left")

@@ -1,6 +1,7 @@
 """Names resolved by database, external tables assembled from stages, ranks within snapshots."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,18 @@ def test_assembly_without_a_stage(spark, missing):
         assert {r.gross_output_rows for r in rows} == {None} and max(r.query_count for r in rows) == 1
 
 
+def test_assembly_shuffles_segments_by_query_only(spark):
+    plan = assembly.assembled(spark, stages(spark))._jdf.queryExecution().executedPlan().toString()
+    wide = re.findall(r"hashpartitioning\(query_id#\d+L, segment_id#", plan)
+    assert not wide and "Exchange hashpartitioning(query_id#" in plan
+
+
+def test_assembly_is_the_same_with_large_catalogues(spark, monkeypatch):
+    few = sorted(map(str, assembly.assembled(spark, stages(spark)).collect()))
+    monkeypatch.setattr(assembly, "MOST_BROADCAST", 0)
+    assert sorted(map(str, assembly.assembled(spark, stages(spark)).collect())) == few
+
+
 def test_a_snapshots_rank_keeps_its_best_rows_before_the_exchange(spark):
     r = random.Random(1)
     rows = [(r.choice("ab") if i % 9 else None, f"s{i % 50}", f"r{i}", r.choice([None, 1.0, 2.0, 3.0])) for i in range(600)]
