@@ -14,6 +14,8 @@ from .grouping import features
 BATCH_ROWS = 1_000_000
 #: Commits of a run at most; beyond so many batches a commit takes several, as each has its own jobs and its own version.
 MOST_COMMITS = 64
+#: Parts that the statements of a commit are dealt to, so that several tasks analyse them: one file is one task's work.
+PARTS = 16
 CACHE, PENDING = "statement_features", "_pending"
 
 
@@ -41,7 +43,7 @@ def enriched(queries: DataFrame, store: Store, batch_rows: int = BATCH_ROWS, ana
     batch = F.pmod(F.xxhash64("sql_hash"), F.lit(max(batches, 1))).cast("int")
     dealt = waiting.withColumn("_batch", batch).withColumn("_commit", F.floor(F.col("_batch") / step).cast("int"))
     if batches > 1:  # each commit reads its own folder, not all that waits
-        dealt.repartition("_commit").write.mode("overwrite").partitionBy("_commit").parquet(f"{pending}_dealt")
+        dealt.repartition("_commit", F.pmod(F.xxhash64("sql_hash", F.lit(1)), F.lit(PARTS))).write.mode("overwrite").partitionBy("_commit").parquet(f"{pending}_dealt")
     for c in range(-(-batches // step)):
         part = store.spark.read.schema(dealt.drop("_commit").schema).parquet(f"{pending}_dealt/_commit={c}") if batches > 1 and store.files.exists(f"{pending}_dealt/_commit={c}") else dealt.where(F.col("_commit") == c)
         made = analyse(part).drop("sql_text", "_commit").withColumns({"snapshot_id": F.lit("features"), "namespace_id": F.concat(F.lit(f"{run}-"), F.col("_batch").cast("string"))}).drop("_batch")

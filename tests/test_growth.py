@@ -99,6 +99,22 @@ def test_enrichment_reads_what_waits_once_and_bounds_its_commits(spark, tmp_path
     assert got.where("structure_key is null").count() == 0
 
 
+def test_a_commits_statements_are_dealt_to_several_tasks(spark, tmp_path):
+    queries = spark.createDataFrame([(i, f"select a from s.t_{i} where v = {i}") for i in range(200)], "query_id int, sql_text string")
+    files = []
+
+    def analyse(part):
+        files.append(len(part.inputFiles()))
+        return grouping.features(part)
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, counts = enrichment.enriched(queries, storage.Store(spark, str(tmp_path / "store")), 100, analyse)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert counts == {"new": 200, "known": 0} and len(files) == 2 and min(files) > 1
+
+
 def test_places_meet_locations_without_their_queries(spark):
     kinds = "redshift_database_name string, s3_location string, external_table_key string"
     catalog = spark.createDataFrame([("DA", "s3://L/a/", "da.s.a"), ("db", "s3://l/a/", "db.s.a"), ("db", "s3://l/a/b/", "db.s.b")], kinds)
